@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ LONG, DOUBLE, TEXT, BOOL, TIME = "long", "double", "text", "bool", "time"
 
 #: Largest table that may be pinned on the driver (per-column facts only).
 PIN_ROWS = 500_000
+#: Tables the optimizer estimates below this are spread over the cores and kept.
+SMALL_BYTES = 128 * 1024 * 1024
+ARRIVAL = "__arrival"
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -39,6 +43,11 @@ def local_table(spark: SparkSession, table: pa.Table, schema: T.StructType) -> D
     return spark.createDataFrame(table, schema=schema)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def lane_of(data_type: T.DataType) -> str | None:
     """Which of the five value lanes a Spark type belongs to, if any."""
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -75,6 +84,7 @@ class Dataset:
     order_by: list[str] | None = None
     semantic_rules: str = "reference"
     encoding: str | None = None
+    hold: bool = True
     _memory: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
@@ -92,6 +102,27 @@ class Dataset:
             else:
                 self.fields.append(Field(len(self.fields), item.name, lane))
 
+        self.rows = self._prepare()
+
+    def _prepare(self) -> DataFrame:
+        """The rows the operators scan.
+
+        The reports read the table several times. A table that is small by the
+        optimizer's own estimate is spread over the cores and persisted; a
+        larger one is rescanned, column-pruned, every time.
+        """
+        rows = self.source
+        if not self.order_by:
+            rows = rows.withColumn(ARRIVAL, F.monotonically_increasing_id())
+        if self.hold and estimated_bytes(self.source) <= SMALL_BYTES:
+            parallelism = self.spark.sparkContext.defaultParallelism
+            rows = rows.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        return rows
+
+    def release(self) -> None:
+        """Drop the kept copy of a small table."""
+        self.rows.unpersist()
+
     # -- memory of per-column facts -----------------------------------------
     def remember(self, key, build):
         if key not in self._memory:
@@ -154,11 +185,11 @@ class Dataset:
     def order_columns(self) -> list[Column]:
         if self.order_by:
             return [column(k) for k in self.order_by]
-        return [F.monotonically_increasing_id()]
+        return [F.col(ARRIVAL)]
 
     @property
     def row_count(self) -> int:
-        return self.remember("row_count", self.source.count)
+        return self.remember("row_count", self.rows.count)
 
     def unsupported_columns(self) -> DataFrame:
         """Columns whose type has no profile (arrays, maps, structs, binary)."""

@@ -49,7 +49,7 @@ def distinct_row_count(ds: Dataset) -> int:
             cols.append(key(item.name).alias(f"c{i}"))
         else:
             cols.append(F.sha2(F.to_json(F.struct(column(item.name))), 256).alias(f"c{i}"))
-    return ds.remember("distinct_rows", lambda: ds.source.select(*cols).distinct().count())
+    return ds.remember("distinct_rows", lambda: ds.rows.select(*cols).distinct().count())
 
 
 def duplicate_row_count(ds: Dataset) -> int:
@@ -109,7 +109,7 @@ def fence_counts(ds: Dataset, names: list[str]) -> dict[str, tuple[int, int, flo
             x = ds.number(n)
             low, high = bounds.get(n, (0.0, 0.0))
             aggs += [F.count(x).alias(f"n{i}"), F.count_if((x < low) | (x > high)).alias(f"o{i}")]
-        row = ds.source.agg(*aggs).first()
+        row = ds.rows.agg(*aggs).first()
         for i, n in enumerate(todo):
             low, high = bounds.get(n, (None, None))
             spread = low is not None and high > low

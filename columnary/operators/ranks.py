@@ -17,7 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+#: Sketch accuracy for small and for large brackets.
+COARSE, FINE = 1_000, 10_000
+FINE_FROM = 20_000_000
 INSIDE = 1_000_000
 MAX_ROUNDS = 8
 
@@ -84,6 +86,10 @@ def rank_values(df: DataFrame, exprs: dict, wanted, inside: int = INSIDE) -> dic
     return answer
 
 
+def accuracy(size: int) -> int:
+    return FINE if size > FINE_FROM else COARSE
+
+
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """Shrink every bracket around its ranks by one sketch and one count."""
     by_scope: dict = {}
@@ -94,12 +100,12 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     for i, ((_, low, high, below, inside), group) in enumerate(scopes):
         grid = []
         for t in group:
-            slack = 2.0 / ACCURACY
+            slack = 2.0 / accuracy(inside)
             top = max(inside - 1, 1)
             grid += [max(0.0, (t.low_rank - below) / top - slack), min(1.0, (t.high_rank - below) / top + slack)]
         e = group[0].expr
         scoped = F.when(e.between(low, high), e)
-        sketches.append(F.percentile_approx(scoped, grid, ACCURACY).alias(f"s{i}"))
+        sketches.append(F.percentile_approx(scoped, grid, accuracy(inside)).alias(f"s{i}"))
     row = df.agg(*sketches).first()
     tries = []
     for i, (_, group) in enumerate(scopes):

@@ -18,10 +18,9 @@ SLACK = 24
 
 def preview_rows(ds: Dataset, limit: int = 20) -> DataFrame:
     """The first rows in row order with their 0-based ``row_id`` (top-k, no sort)."""
-    if not ds.order_by:
-        return ds.source.limit(limit).withColumn("row_id", F.row_number().over(Window.orderBy(F.lit(1))) - 1)
-    head = ds.source.orderBy(*ds.order_columns).limit(limit)
-    return head.withColumn("row_id", (F.row_number().over(Window.orderBy(*ds.order_columns)) - 1).cast("long"))
+    head = ds.rows.orderBy(*ds.order_columns).limit(limit)
+    position = F.row_number().over(Window.orderBy(*ds.order_columns)) - 1
+    return head.select(position.cast("long").alias("row_id"), *[column(n) for n in ds.source.columns])
 
 
 def head_values(ds: Dataset, k: int) -> DataFrame:
@@ -39,7 +38,7 @@ def _head_values(ds: Dataset, k: int) -> DataFrame:
     texts = [ds.text(f.name).alias(str(f.ordinal)) for f in ds.fields]
     order = [o.alias(f"k{i}") for i, o in enumerate(ds.order_columns)]
     keys = [F.col(a) for a in (f"k{i}" for i in range(len(order)))]
-    head = ds.source.select(*order, *texts).orderBy(*keys).limit(k + SLACK).toArrow()
+    head = ds.rows.select(*order, *texts).orderBy(*keys).limit(k + SLACK).toArrow()
 
     ordinals, ranks, values = [], [], []
     short = []
@@ -57,7 +56,7 @@ def _head_values(ds: Dataset, k: int) -> DataFrame:
     for start in range(0, len(short), 50):
         parts = []
         for f in short[start : start + 50]:
-            rows = ds.source.where(ds.value(f.name).isNotNull()).select(*order, ds.text(f.name).alias("v"))
+            rows = ds.rows.where(ds.value(f.name).isNotNull()).select(*order, ds.text(f.name).alias("v"))
             ranked = rows.orderBy(*keys).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
             parts.append(ranked.select(F.lit(f.ordinal).alias("ordinal"), "rank", "v"))
         sample = sample.unionByName(pin(reduce(DataFrame.unionAll, parts)))
@@ -66,7 +65,3 @@ def _head_values(ds: Dataset, k: int) -> DataFrame:
     if days:
         sample = sample.withColumn("v", F.when(F.col("ordinal").isin(days), F.substring("v", 1, 10)).otherwise(F.col("v")))
     return sample
-
-
-def row_columns(ds: Dataset) -> list:
-    return [column(n) for n in ds.source.columns]

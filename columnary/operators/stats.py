@@ -37,7 +37,7 @@ def quartiles(ds: Dataset, names: list[str]) -> dict[str, list[float]]:
     known = ds.remember("quartiles", dict)
     todo = [n for n in names if n not in known]
     if todo:
-        known.update(exact_quantiles(ds.source, {n: ds.number(n) for n in todo}, QUARTILES))
+        known.update(exact_quantiles(ds.rows, {n: ds.number(n) for n in todo}, QUARTILES))
     return {n: known[n] for n in names}
 
 
@@ -54,7 +54,7 @@ def moments(ds: Dataset, names: list[str]) -> dict[str, dict]:
                 F.count(x).alias(f"count{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"std{i}"),
                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), sample_skew(x).alias(f"skew{i}"),
             ]
-        row = ds.source.agg(*aggs).first()
+        row = ds.rows.agg(*aggs).first()
         for i, n in enumerate(chunk):
             known[n] = {k: row[f"{k}{i}"] for k in ("count", "mean", "std", "min", "max", "skew")}
     return {n: known[n] for n in names}
@@ -113,7 +113,7 @@ def datetime_summary(ds: Dataset) -> DataFrame:
     for i, n in enumerate(names):
         x = ds.value(n) if ds.get(n).lane == TIME else parse_timestamp(ds.text(n))
         aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-    wide = ds.source.agg(*aggs)
+    wide = ds.rows.agg(*aggs)
     entries = [
         F.struct(
             F.lit(ds.get(n).ordinal).alias("ordinal"), F.lit(n).alias("column"), F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b")
@@ -154,7 +154,7 @@ def pair_correlations(ds: Dataset) -> DataFrame:
                     aggs.append(
                         F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))).alias(f"c{i}")
                     )
-            row = ds.source.agg(*aggs).first()
+            row = ds.rows.agg(*aggs).first()
             for i, (a, b) in enumerate(chunk):
                 r = row[f"c{i}"]
                 if a in whole and b in whole:

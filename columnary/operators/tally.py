@@ -31,7 +31,7 @@ def melt(ds: Dataset, exprs: dict[int, Column], keep: list[Column] | None = None
     items = sorted(exprs.items())
     for start in range(0, len(items), BATCH):
         chunk = items[start : start + BATCH]
-        wide = ds.source.select(*keep, *[e.alias(str(o)) for o, e in chunk])
+        wide = ds.rows.select(*keep, *[e.alias(str(o)) for o, e in chunk])
         ids = wide.columns[: len(keep)]
         long = wide.unpivot([column(i) for i in ids], [column(str(o)) for o, _ in chunk], "ordinal", "v")
         parts.append(long.select(*[column(i) for i in ids], F.col("ordinal").cast("int").alias("ordinal"), "v"))
@@ -77,7 +77,7 @@ def restore_labels(ds: Dataset, top: DataFrame) -> DataFrame:
     for o in ordinals:
         raw = ds.text(by_ordinal[o])
         wanted = F.broadcast(long.where(F.col("ordinal") == o).select(F.col("v").alias("key")).distinct())
-        rows = ds.source.select(raw.alias("text")).where(F.length("text") > 128).withColumn("key", text_key(F.col("text")))
+        rows = ds.rows.select(raw.alias("text")).where(F.length("text") > 128).withColumn("key", text_key(F.col("text")))
         found = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         texts.append(found.select(F.lit(o).alias("ordinal"), "key", "text"))
     lookup = reduce(DataFrame.unionAll, texts)
