@@ -96,6 +96,8 @@ class Dataset:
         self.fields: list[Field] = []
         self.unsupported: list[tuple[str, str]] = []
         for item in self.source.schema.fields:
+            if item.name == ARRIVAL:
+                continue
             lane = lane_of(item.dataType)
             if lane is None:
                 self.unsupported.append((item.name, item.dataType.simpleString()))
@@ -112,7 +114,7 @@ class Dataset:
         larger one is rescanned, column-pruned, every time.
         """
         rows = self.source
-        if not self.order_by:
+        if not self.order_by and ARRIVAL not in rows.columns:
             rows = rows.withColumn(ARRIVAL, F.monotonically_increasing_id())
         if self.hold and estimated_bytes(self.source) <= SMALL_BYTES:
             parallelism = self.spark.sparkContext.defaultParallelism
@@ -134,10 +136,18 @@ class Dataset:
     def spark(self) -> SparkSession:
         return self.source.sparkSession
 
+    @property
+    def all_columns(self) -> list[str]:
+        return [c for c in self.source.columns if c != ARRIVAL]
+
     @property
     def names(self) -> list[str]:
         return [f.name for f in self.fields]
 
+    def within(self, rows: DataFrame) -> Dataset:
+        """The same table restricted to some of its rows, facts to be found anew."""
+        return Dataset(rows, self.name, self.order_by, self.semantic_rules, self.encoding, hold=False)
+
     def get(self, name: str) -> Field:
         for item in self.fields:
             if item.name == name:

@@ -44,11 +44,9 @@ def distinct_row_count(ds: Dataset) -> int:
 
     names = set(ds.names)
     cols = []
-    for i, item in enumerate(ds.source.schema.fields):
-        if item.name in names:
-            cols.append(key(item.name).alias(f"c{i}"))
-        else:
-            cols.append(F.sha2(F.to_json(F.struct(column(item.name))), 256).alias(f"c{i}"))
+    for i, name in enumerate(ds.all_columns):
+        whole = key(name) if name in names else F.sha2(F.to_json(F.struct(column(name))), 256)
+        cols.append(whole.alias(f"c{i}"))
     return ds.remember("distinct_rows", lambda: ds.rows.select(*cols).distinct().count())
 
 

@@ -20,7 +20,7 @@ def preview_rows(ds: Dataset, limit: int = 20) -> DataFrame:
     """The first rows in row order with their 0-based ``row_id`` (top-k, no sort)."""
     head = ds.rows.orderBy(*ds.order_columns).limit(limit)
     position = F.row_number().over(Window.orderBy(*ds.order_columns)) - 1
-    return head.select(position.cast("long").alias("row_id"), *[column(n) for n in ds.source.columns])
+    return head.select(position.cast("long").alias("row_id"), *[column(n) for n in ds.all_columns])
 
 
 def head_values(ds: Dataset, k: int) -> DataFrame:
