@@ -55,5 +55,7 @@ def time_text(value: Column) -> Column:
 
 
 def iso_text(value: Column) -> Column:
-    """ISO-8601 text; fraction only when present."""
-    return F.regexp_replace(value.cast("string"), " ", "T")
+    """ISO-8601 text; six fraction digits, only when there is a fraction."""
+    whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(value, "SSSSSS")
+    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))

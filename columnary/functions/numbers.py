@@ -29,6 +29,19 @@ def clamp_unit(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """Round to ``places`` decimals by the binary value.
+
+    ``round`` works on the shortest decimal text, so 9 / 60000 (just below
+    0.00015 in binary) would go up to 0.0002.
+    """
+    x = F.col(value) if isinstance(value, str) else value
+    x = x.cast("double")
+    scale = float(10**places)
+    size = F.abs(x) * scale
+    return F.when(size < 2.0**52, F.signum(x) * F.floor(size + 0.5) / scale).otherwise(x)
+
+
 def sample_skew(value: Column) -> Column:
     """Bias-corrected skewness; 0 for constant data, NULL below three values."""
     n = F.count(value).cast("double")

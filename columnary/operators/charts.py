@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import safe_ratio
+from ..functions import rounded, safe_ratio
 from .dataset import Dataset
 from .quality import fence_counts
 from .stats import (
@@ -22,8 +22,8 @@ SCATTER_PAIRS, SCATTER_POINTS, SCATTER_MINIMUM = 4, 220, 10
 
 def missingness(ds: Dataset, limit: int = 20) -> DataFrame:
     """Missing share in percent, worst columns first."""
-    share = F.round(safe_ratio(F.col("missing"), F.greatest("rows", F.lit(1))), 4)
-    table = column_facts(ds).select("ordinal", F.col("name").alias("column"), F.round(share * 100, 2).alias("missing_pct"), F.col("missing").alias("missing_count"))
+    share = rounded(safe_ratio(F.col("missing"), F.greatest("rows", F.lit(1))), 4)
+    table = column_facts(ds).select("ordinal", F.col("name").alias("column"), rounded(share * 100, 2).alias("missing_pct"), F.col("missing").alias("missing_count"))
     return table.where("missing_pct > 0").orderBy(F.desc("missing_pct"), "ordinal").limit(limit)
 
 
@@ -62,7 +62,7 @@ def histograms(ds: Dataset) -> DataFrame:
     binned = melt(ds, {ds.get(n).ordinal: _bin(ds.number(n), e) for n, e in edges.items()}).where("v is not null")
     counts = binned.groupBy("ordinal", F.col("v").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return grid.join(F.broadcast(counts), ["ordinal", "bin"], "left").select(
-        "ordinal", "column", "bin", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"),
+        "ordinal", "column", "bin", rounded("start", 6).alias("start"), rounded("end", 6).alias("end"),
         F.coalesce("count", F.lit(0)).cast("long").alias("count"),
     )
 
@@ -75,7 +75,7 @@ def boxplots(ds: Dataset) -> DataFrame:
         (ds.get(n).ordinal, n, m[n]["min"], q[n][0], q[n][1], q[n][2], m[n]["max"], f[n][1]) for n in names if m[n]["count"]
     ]
     table = ds.spark.createDataFrame(rows, "ordinal int, column string, min double, q1 double, median double, q3 double, max double, outlier_count long")
-    return table.select("ordinal", "column", *[F.round(c, 6).alias(c) for c in ("min", "q1", "median", "q3", "max")], "outlier_count")
+    return table.select("ordinal", "column", *[rounded(c, 6).alias(c) for c in ("min", "q1", "median", "q3", "max")], "outlier_count")
 
 
 def top_categories(ds: Dataset) -> DataFrame:
@@ -108,7 +108,7 @@ def pairwise_scatter(ds: Dataset) -> DataFrame:
         parts.append(
             numbered.where(F.col("points") >= SCATTER_MINIMUM).select(
                 F.lit(pair.column_a).alias("x_column"), F.lit(pair.column_b).alias("y_column"),
-                F.round(F.lit(pair.correlation), 4).alias("correlation"), "row", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"),
+                rounded(F.lit(pair.correlation), 4).alias("correlation"), "row", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"),
             )
         )
     return reduce(DataFrame.unionAll, parts) if parts else ds.spark.createDataFrame([], schema)
@@ -128,7 +128,7 @@ def chart_picks(ds: Dataset, recent: Column | None = None) -> DataFrame:
             F.col(cols["subject"]).cast("string").alias("subject"),
             (F.col(cols["detail"]) if "detail" in cols else F.lit(None)).cast("string").alias("detail"),
             F.col(cols["value"]).cast("double").alias("value"),
-            (F.round(cols["share"], 4) if "share" in cols else F.lit(None)).cast("double").alias("share"),
+            (rounded(cols["share"], 4) if "share" in cols else F.lit(None)).cast("double").alias("share"),
             (F.col(cols["low"]) if "low" in cols else F.lit(None)).cast("double").alias("low"),
             (F.col(cols["high"]) if "high" in cols else F.lit(None)).cast("double").alias("high"),
         )

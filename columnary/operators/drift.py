@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import safe_ratio
+from ..functions import rounded, safe_ratio
 from .dataset import Dataset, pin
 from .ordinals import from_rank
 from .stats import labelled_columns, moments, numeric_columns
@@ -48,9 +48,9 @@ def numeric_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
     return table.select(
         "ordinal", "column", F.lit("numeric").alias("kind"),
         F.lit("First half mean").alias("baseline_label"), F.lit("Second half mean").alias("recent_label"),
-        F.round("baseline", 6).alias("baseline_value"), F.round("recent", 6).alias("recent_value"),
-        F.round(shift / F.greatest(F.abs("baseline"), floor) * 100.0, 4).alias("delta_pct"),
-        F.round(F.abs(shift) / F.greatest(F.col("std"), floor), 4).alias("change_score"),
+        rounded("baseline", 6).alias("baseline_value"), rounded("recent", 6).alias("recent_value"),
+        rounded(shift / F.greatest(F.abs("baseline"), floor) * 100.0, 4).alias("delta_pct"),
+        rounded(F.abs(shift) / F.greatest(F.col("std"), floor), 4).alias("change_score"),
     )
 
 
@@ -77,8 +77,8 @@ def categorical_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
     return sides.where("a is not null and b is not null").join(F.broadcast(heads), "ordinal").select(
         "ordinal", "column", F.lit("categorical").alias("kind"),
         F.lit("First half top category").alias("baseline_label"), F.lit("Second half top category").alias("recent_label"),
-        "baseline_top", "recent_top", F.round("a", 4).alias("baseline_share"), F.round("b", 4).alias("recent_share"),
-        F.round(F.abs(F.col("b") - F.col("a")), 4).alias("change_score"),
+        "baseline_top", "recent_top", rounded("a", 4).alias("baseline_share"), rounded("b", 4).alias("recent_share"),
+        rounded(F.abs(F.col("b") - F.col("a")), 4).alias("change_score"),
     )
 
 

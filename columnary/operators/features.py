@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import day_ordinal, safe_ratio
+from ..functions import day_ordinal, rounded, safe_ratio
 from .dataset import BOOL, DOUBLE, LONG, TEXT, TIME, Dataset, pin
 from .ranks import exact_quantiles
 from .samples import head_values
@@ -47,7 +47,7 @@ def identifier_like(ds: Dataset) -> DataFrame:
     facts = column_facts(ds).where((F.col("lane") == TEXT) & (F.col("non_null") >= 20)).join(F.broadcast(lengths), "ordinal")
     share = safe_ratio(F.col("unique"), F.col("non_null"))
     flagged = (share >= vocab.IDENTIFIER_SHARE) | ((share >= 0.55) & (F.col("mean_length") >= 12.0))
-    return facts.select("ordinal", F.col("name").alias("column"), F.round(share, 4).alias("unique_share"), F.round("mean_length", 4).alias("mean_length"), flagged.alias("identifier_like"))
+    return facts.select("ordinal", F.col("name").alias("column"), rounded(share, 4).alias("unique_share"), rounded("mean_length", 4).alias("mean_length"), flagged.alias("identifier_like"))
 
 
 def variances(ds: Dataset, names: list[str]) -> dict[str, float]:

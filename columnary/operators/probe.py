@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import clamp_unit
+from ..functions import clamp_unit, rounded
 from .dataset import TIME, Dataset
 from .features import FeatureChoice, is_number
 from .metrics import classification_metrics, regression_metrics, roc_auc
@@ -63,10 +63,10 @@ def blend(table: DataFrame, probes: DataFrame) -> DataFrame:
     probed = F.col("probe_score").isNotNull()
     return joined.select(
         "ordinal", "column", "recommended_task", "semantic_type", "verdict",
-        F.when(probed, F.round(clamp_unit(F.col("score") * (1.0 - w) + F.col("probe_score") * w), 4)).otherwise(F.col("score")).alias("score"),
+        F.when(probed, rounded(clamp_unit(F.col("score") * (1.0 - w) + F.col("probe_score") * w), 4)).otherwise(F.col("score")).alias("score"),
         F.when(probed, F.concat("reasons", F.array("reason"))).otherwise(F.col("reasons")).alias("reasons"),
-        F.when(probed, F.round("score", 4)).alias("heuristic_score"),
-        F.round("probe_score", 4).alias("probe_score"),
+        F.when(probed, rounded("score", 4)).alias("heuristic_score"),
+        rounded("probe_score", 4).alias("probe_score"),
     )
 
 

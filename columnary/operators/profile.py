@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import has_any_token, name_tokens, normalized_text, safe_ratio
+from ..functions import has_any_token, name_tokens, normalized_text, rounded, safe_ratio
 from .dataset import TIME, Dataset, pin
 from .samples import head_values
 from .tally import column_facts
@@ -178,11 +178,11 @@ def column_profile(ds: Dataset) -> DataFrame:
         "semantic_confidence",
         "likely_role",
         F.col("non_null").alias("non_null_count"),
-        F.round(safe_ratio(F.col("non_null"), rows), 4).alias("non_null_pct"),
+        rounded(safe_ratio(F.col("non_null"), rows), 4).alias("non_null_pct"),
         F.col("missing").alias("missing_count"),
-        F.round(safe_ratio(F.col("missing"), rows), 4).alias("missing_pct"),
+        rounded(safe_ratio(F.col("missing"), rows), 4).alias("missing_pct"),
         F.col("unique").alias("unique_count"),
-        F.round(safe_ratio(F.col("unique"), rows), 4).alias("unique_pct"),
+        rounded(safe_ratio(F.col("unique"), rows), 4).alias("unique_pct"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import column, safe_ratio, text_key
+from ..functions import column, rounded, safe_ratio, text_key
 from .dataset import TEXT, Dataset
 from .profile import profile_facts, target_candidates
 from .stats import numeric_columns, pair_correlations, quartiles
@@ -17,7 +17,7 @@ OUTLIER_SCHEMA = "ordinal int, column string, valid_count long, outlier_count lo
 
 def missing_by_column(ds: Dataset) -> DataFrame:
     """Columns with missing cells, worst first."""
-    share = F.round(safe_ratio(F.col("missing"), F.greatest("rows", F.lit(1))), 4)
+    share = rounded(safe_ratio(F.col("missing"), F.greatest("rows", F.lit(1))), 4)
     return (
         column_facts(ds).where("missing > 0")
         .select("ordinal", F.col("name").alias("column"), F.col("missing").alias("missing_count"), share.alias("missing_pct"))
@@ -69,7 +69,7 @@ def near_constant_columns(ds: Dataset) -> DataFrame:
     share = safe_ratio(F.col("top_n"), F.col("non_null"))
     return (
         column_facts(ds).where("`unique` > 1").withColumn("share", share).where("share >= 0.95 and share < 1.0")
-        .select("ordinal", F.col("name").alias("column"), F.col("top_n").alias("dominant_count"), F.round("share", 4).alias("dominant_value_ratio"))
+        .select("ordinal", F.col("name").alias("column"), F.col("top_n").alias("dominant_count"), rounded("share", 4).alias("dominant_value_ratio"))
     )
 
 
@@ -81,7 +81,7 @@ def invalid_numeric_columns(ds: Dataset) -> DataFrame:
     """Non-numeric columns of which a good part still parses as numbers."""
     return (
         _not_numeric(ds).where("num_ratio >= 0.2 and num_ratio < 0.9")
-        .select("ordinal", F.col("name").alias("column"), F.col("num_n").alias("numeric_count"), F.round("num_ratio", 4).alias("numeric_parse_ratio"))
+        .select("ordinal", F.col("name").alias("column"), F.col("num_n").alias("numeric_count"), rounded("num_ratio", 4).alias("numeric_parse_ratio"))
     )
 
 
@@ -89,7 +89,7 @@ def high_cardinality_columns(ds: Dataset) -> DataFrame:
     share = safe_ratio(F.col("unique"), F.greatest("rows", F.lit(1)))
     return (
         _not_numeric(ds).withColumn("share", share).where("share > 0.5 and `unique` > 25")
-        .select("ordinal", F.col("name").alias("column"), F.col("unique").alias("unique_count"), F.round("share", 4).alias("unique_pct"))
+        .select("ordinal", F.col("name").alias("column"), F.col("unique").alias("unique_count"), rounded("share", 4).alias("unique_pct"))
     )
 
 
@@ -123,12 +123,12 @@ def outlier_columns(ds: Dataset) -> DataFrame:
         if valid >= 10 and out > 0
     ]
     table = ds.spark.createDataFrame(rows, OUTLIER_SCHEMA)
-    return table.withColumn("outlier_pct", F.round(safe_ratio(F.col("outlier_count"), F.greatest("valid_count", F.lit(1))), 4))
+    return table.withColumn("outlier_pct", rounded(safe_ratio(F.col("outlier_count"), F.greatest("valid_count", F.lit(1))), 4))
 
 
 def high_correlations(ds: Dataset, threshold: float = 0.85) -> DataFrame:
     pairs = pair_correlations(ds).where(F.abs("correlation") >= threshold)
-    return pairs.withColumn("correlation", F.round("correlation", 4))
+    return pairs.withColumn("correlation", rounded("correlation", 4))
 
 
 def quality_flags(ds: Dataset) -> DataFrame:
@@ -197,7 +197,7 @@ def quality_score(ds: Dataset, constant_rule: str = "share") -> DataFrame:
     )
     total = sum((F.col(p) for p in PENALTIES[1:]), F.col(PENALTIES[0]))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - total))
-    return scored.withColumn("quality_score", F.round(score, 2))
+    return scored.withColumn("quality_score", rounded(score, 2))
 
 
 def recommendations(ds: Dataset) -> DataFrame:
@@ -221,9 +221,9 @@ def posture(ds: Dataset) -> DataFrame:
     density = F.when(cells > 0, 100.0 - F.col("total_missing_values") / F.greatest(cells, F.lit(1)) * 100.0).otherwise(100.0)
     width = F.when(F.col("column_count") >= 40, "Wide dataset").when(F.col("column_count") >= 15, "Balanced shape").otherwise("Compact table")
     return m.select(
-        width.alias("width_label"), "row_count", "column_count", F.round(F.greatest(density, F.lit(0.0)), 4).alias("density_pct"),
+        width.alias("width_label"), "row_count", "column_count", rounded(F.greatest(density, F.lit(0.0)), 4).alias("density_pct"),
         "total_missing_values", F.lit(target_candidates(ds).count()).cast("long").alias("target_candidate_count"),
-        F.round("quality_score", 1).alias("quality_score"), "duplicate_row_count",
+        rounded("quality_score", 1).alias("quality_score"), "duplicate_row_count",
     )
 
 
@@ -233,8 +233,8 @@ def completeness(ds: Dataset) -> DataFrame:
     cells = F.greatest(F.col("row_count") * F.col("column_count"), F.lit(1))
     rows = F.greatest(F.col("row_count"), F.lit(1))
     return m.select(
-        F.round(F.greatest(F.lit(0.0), (cells - F.col("total_missing_values")) / cells * 100.0), 4).alias("completeness_pct"),
-        F.round(F.greatest(F.lit(0.0), (F.col("row_count") - F.col("duplicate_row_count")) / rows * 100.0), 4).alias("uniqueness_pct"),
+        rounded(F.greatest(F.lit(0.0), (cells - F.col("total_missing_values")) / cells * 100.0), 4).alias("completeness_pct"),
+        rounded(F.greatest(F.lit(0.0), (F.col("row_count") - F.col("duplicate_row_count")) / rows * 100.0), 4).alias("uniqueness_pct"),
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text_key
+from ..functions import rounded, text_key
 from .dataset import Dataset, pin
 from .features import is_number
 from .ranks import rank_values
@@ -111,8 +111,8 @@ def target_slices(ds: Dataset, target: str, task: str, features: list[str] | Non
         parts.append(
             found.join(F.broadcast(grid), ["ordinal", "v"]).select(
                 "feature", F.lit("numeric").alias("feature_type"), (F.col("v") + 1).alias("bucket"),
-                F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), F.lit(None).cast("string").alias("label"),
-                "count", F.lit(target_label).alias("target_label"), F.round("target_value", 6).alias("target_value"), "target_class",
+                rounded("lower", 6).alias("lower"), rounded("upper", 6).alias("upper"), F.lit(None).cast("string").alias("label"),
+                "count", F.lit(target_label).alias("target_label"), rounded("target_value", 6).alias("target_value"), "target_class",
             )
         )
     labelled = [n for n in names if not is_number(ds, n) and facts[n]["unique"] + (facts[n].missing > 0) >= 2]
@@ -132,7 +132,7 @@ def target_slices(ds: Dataset, target: str, task: str, features: list[str] | Non
                 named.select(
                     "feature", F.lit("categorical").alias("feature_type"), F.col("rank").alias("bucket"),
                     F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.col("v").alias("label"),
-                    "count", F.lit(target_label).alias("target_label"), F.round("target_value", 6).alias("target_value"), "target_class",
+                    "count", F.lit(target_label).alias("target_label"), rounded("target_value", 6).alias("target_value"), "target_class",
                 )
             )
     return reduce(DataFrame.unionAll, parts) if parts else ds.spark.createDataFrame([], SLICE_SCHEMA)

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import parse_timestamp, safe_ratio, sample_skew
+from ..functions import parse_timestamp, rounded, safe_ratio, sample_skew
 from ..functions.dates import iso_text
 from .dataset import TIME, Dataset, pin
 from .profile import columns_of
@@ -71,7 +71,7 @@ def numeric_summary(ds: Dataset) -> DataFrame:
             continue
         rows.append((ds.get(n).ordinal, n, s["count"], s["mean"], q[n][1], s["std"], s["min"], s["max"], q[n][0], q[n][2], s["skew"]))
     table = ds.spark.createDataFrame(rows, NUMERIC_SCHEMA)
-    rounded = [F.round(k, 6).alias(k) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]
+    rounded = [rounded(k, 6).alias(k) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]
     return table.select("ordinal", "column", "count", *rounded)
 
 
@@ -93,7 +93,7 @@ def categorical_summary(ds: Dataset) -> DataFrame:
     top = label_counts(ds, labelled_columns(ds))
     facts = column_facts(ds).select("ordinal", "rows", (F.col("unique") + (F.col("missing") > 0).cast("long")).alias("unique_count"))
     value = F.struct(
-        "rank", F.col("v").alias("value"), F.col("n").alias("count"), F.round(safe_ratio(F.col("n"), F.greatest("rows", F.lit(1))), 4).alias("pct")
+        "rank", F.col("v").alias("value"), F.col("n").alias("count"), rounded(safe_ratio(F.col("n"), F.greatest("rows", F.lit(1))), 4).alias("pct")
     )
     return (
         top.join(F.broadcast(facts), "ordinal")
@@ -181,7 +181,7 @@ def correlation_matrix(ds: Dataset, limit: int = 12) -> DataFrame:
     upper = pairs.toDF("x_ordinal", "y_ordinal", "x", "y", "value")
     lower = upper.select(F.col("y_ordinal"), F.col("x_ordinal"), F.col("y"), F.col("x"), "value")
     cells = upper.union(lower).union(ds.spark.createDataFrame(diagonal, schema))
-    return cells.withColumn("value", F.round("value", 4))
+    return cells.withColumn("value", rounded("value", 4))
 
 
 def strongest_correlations(ds: Dataset, limit: int = 8) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions import rounded
 from .dataset import Dataset, pin
 from .features import (
     FeatureChoice, Encoding, choose_features, class_sizes, class_weights, feature_vector, is_number, learn_encoding, task_type,
@@ -251,9 +252,9 @@ def supervised_benchmark(
     wide = ds.spark.createDataFrame(table, schema)
     choice = pin(model_choice(wide, p.task))
     best = choice.where("is_best").first().model
-    comparison = wide.unpivot(["position", "model"], names, "metric", "value").where("value is not null").withColumn("value", F.round("value", 6))
+    comparison = wide.unpivot(["position", "model"], names, "metric", "value").where("value is not null").withColumn("value", rounded("value", 6))
     ranked = ds.spark.createDataFrame(importances(fitted[best], p.encoding.names()), "feature string, importance double")
-    importance = ranked.orderBy(F.desc("importance"), "feature").limit(15).withColumn("importance", F.round("importance", 6))
+    importance = ranked.orderBy(F.desc("importance"), "feature").limit(15).withColumn("importance", rounded("importance", 6))
     keys = [c for c in p.test.columns if c.startswith("key_")]
     shown = scored(p, fitted[best]).orderBy(*keys)
     diagnostics = diagnostics_table(p)

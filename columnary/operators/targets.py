@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import clamp_unit, safe_ratio
+from ..functions import clamp_unit, rounded, safe_ratio
 from .dataset import Dataset, pin
 from .profile import profile_facts, target_candidates
 from .ranks import exact_quantiles
@@ -56,7 +56,7 @@ def _entropy() -> Column:
 
 
 def normalized_entropy(ds: Dataset) -> DataFrame:
-    return profile_facts(ds).select("ordinal", F.col("name").alias("column"), F.round(_entropy(), 6).alias("normalized_entropy"))
+    return profile_facts(ds).select("ordinal", F.col("name").alias("column"), rounded(_entropy(), 6).alias("normalized_entropy"))
 
 
 def _branch() -> Column:
@@ -78,8 +78,8 @@ def _candidates(ds: Dataset) -> DataFrame:
     header = F.lower(F.trim("name"))
     base = (
         profile_facts(ds)
-        .withColumn("unique_pct", F.round(safe_ratio(F.col("unique"), rows), 4))
-        .withColumn("missing_pct", F.round(safe_ratio(F.col("missing"), rows), 4))
+        .withColumn("unique_pct", rounded(safe_ratio(F.col("unique"), rows), 4))
+        .withColumn("missing_pct", rounded(safe_ratio(F.col("missing"), rows), 4))
         .withColumn("row_count", rows)
         .withColumn("bonus", outcome_bonus(header)).withColumn("penalty", feature_penalty(header)).withColumn("code", code_like(header))
         .withColumn("coverage", clamp_unit(1.0 - F.col("missing_pct") * 1.6))
@@ -216,7 +216,7 @@ def heuristic_targets(ds: Dataset) -> DataFrame:
             scored.select(
                 "ordinal", F.col("name").alias("column"),
                 F.when(judged, branch).otherwise("none").alias("recommended_task"), "semantic_type", verdict.alias("verdict"),
-                F.round(clamp_unit(F.col("raw")), 4).alias("score"), reasons.alias("reasons"),
+                rounded(clamp_unit(F.col("raw")), 4).alias("score"), reasons.alias("reasons"),
             ).orderBy("ordinal")
         )
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions import rounded
 from .dataset import DOUBLE, LONG, Dataset, pin
 from .features import impute_and_scale, variances
 from .isolation import grow_forest, score_rows
@@ -121,7 +122,7 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
     decision = F.col("raw_score") - F.lit(offset)
     out = flat.select(
         *keys, F.element_at(renamed, F.col("label")).alias("cluster"), (decision < 0).alias("anomaly_flag"),
-        F.round(decision, 6).alias("anomaly_score"), F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"),
+        rounded(decision, 6).alias("anomaly_score"), rounded("pc1", 6).alias("pc1"), rounded("pc2", 6).alias("pc2"),
     )
     notes = ds.spark.createDataFrame([(used, available, len(names), offered)], "used long, available long, kept int, offered int")
     return Scan(k, names, available, used, out, [float(v) for v in pca.explainedVariance], scan_warnings(notes))
