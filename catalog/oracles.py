@@ -240,7 +240,7 @@ nums AS (SELECT long.ordinal, long.name, long.x FROM long JOIN prof USING (ordin
 quart AS (SELECT ordinal, name, count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3, min(x) AS lo, max(x) AS hi FROM nums GROUP BY 1, 2),
 fences AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM quart),
 outs AS (SELECT f.ordinal, f.name, n, q1, q2, q3, lo, hi, lower_fence, upper_fence,
-                CASE WHEN q3 > q1 THEN count(*) FILTER (x < lower_fence OR x > upper_fence) ELSE 0 END AS out_n
+                count(*) FILTER (q3 > q1 AND (x < lower_fence OR x > upper_fence)) AS out_n
          FROM fences f JOIN nums USING (ordinal) GROUP BY ALL)"""
 add("iqr_outliers", "dirty", 'SELECT name AS "column", n AS valid_count, out_n AS outlier_count, round(out_n / n, 4) AS outlier_pct, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence FROM outs WHERE n >= 10 AND out_n > 0', QUART)
 
@@ -319,7 +319,7 @@ add("completeness_dirty", "dirty", COMPLETE, measures("dirty"))
 NUMERIC_SELECT = """SELECT name AS "column", count(*) AS count, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_pop(x), 6) AS std,
   round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.75), 6) AS q3, round(skewness(x), 6) AS skew
   FROM nums GROUP BY name"""
-add("numeric_summary", "lineitem", NUMERIC_SELECT, QUART)
+add("numeric_summary", "lineitem", NUMERIC_SELECT.replace("round(avg(x), 6)", "round(avg(x), 4)"), QUART)
 add("numeric_summary_dirty", "dirty", NUMERIC_SELECT, QUART)
 LABELS = """,
 labels AS (SELECT long.ordinal, long.name, coalesce(long.t, '<missing>') AS t FROM long JOIN prof USING (ordinal) WHERE inferred_type IN ('categorical', 'boolean', 'text')),
@@ -328,10 +328,10 @@ toplab AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, k)
 LABEL_SELECT = 'SELECT name AS "column", uniq AS unique_count, CAST(rk - 1 AS INT) AS position, {value} AS value, n AS count, round(n / total, 4) AS pct FROM toplab WHERE rk <= 10'
 add("categorical_summary", "dirty", LABEL_SELECT.format(value="t"), LABELS)
 add("categorical_summary_documents", "documents", LABEL_SELECT.format(value="sha256(t)"), LABELS)
-ORACLES["datetime_summary"] = """
+ISO = "CASE WHEN microsecond({v}) % 1000000 = 0 THEN strftime({v}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({v}, '%Y-%m-%dT%H:%M:%S.%f') END"
+ORACLES["datetime_summary"] = f"""
 WITH a AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events)
-SELECT 'ts' AS "column", strftime(lo, CASE WHEN microsecond(lo) % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END) AS min,
-       strftime(hi, CASE WHEN microsecond(hi) % 1000000 = 0 THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END) AS max, date_sub('day', lo, hi) AS span_days FROM a"""
+SELECT 'ts' AS "column", {ISO.format(v="lo")} AS min, {ISO.format(v="hi")} AS max, date_sub('day', lo, hi) AS span_days FROM a"""
 ORACLES["datetime_summary_text"] = """
 WITH a AS (SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem)
 SELECT 'ship_text' AS "column", strftime(lo, '%Y-%m-%dT00:00:00') AS min, strftime(hi, '%Y-%m-%dT00:00:00') AS max, date_sub('day', lo, hi) AS span_days FROM a"""
@@ -388,7 +388,7 @@ lab2 AS (SELECT long.ordinal, long.name, late, coalesce(t, '<missing>') AS t, co
          WHERE inferred_type IN ('categorical', 'boolean', 'text') GROUP BY ALL),
 lead2 AS (SELECT *, row_number() OVER (PARTITION BY ordinal, late ORDER BY n DESC, t) AS rk, sum(n) OVER (PARTITION BY ordinal, late) AS total FROM lab2),
 cdrift AS (
-  SELECT e.ordinal, e.name, e.t AS at, l.t AS bt, e.n / e.total AS a, l.n / l.total AS b FROM lead2 e JOIN lead2 l USING (ordinal)
+  SELECT e.ordinal, e.name, e.t AS ta, l.t AS tb, e.n / e.total AS a, l.n / l.total AS b FROM lead2 e JOIN lead2 l USING (ordinal)
   WHERE e.rk = 1 AND l.rk = 1 AND NOT e.late AND l.late AND ordinal IN (SELECT DISTINCT ordinal FROM lab2 ORDER BY ordinal LIMIT 6)),
 alld AS (
   SELECT ordinal, name AS "column", 'numeric' AS kind, 'First half mean' AS baseline_label, 'Second half mean' AS recent_label,
@@ -396,7 +396,7 @@ alld AS (
          round(abs(b - a) / greatest(CASE WHEN sd = 0 THEN 1 ELSE sd END, 1e-6), 4) AS change_score,
          CAST(NULL AS VARCHAR) AS baseline_top, CAST(NULL AS VARCHAR) AS recent_top, CAST(NULL AS DOUBLE) AS baseline_share, CAST(NULL AS DOUBLE) AS recent_share
   FROM ndrift WHERE a IS NOT NULL AND b IS NOT NULL
-  UNION ALL SELECT ordinal, name, 'categorical', 'First half top category', 'Second half top category', NULL, NULL, NULL, round(abs(b - a), 4), at, bt, round(a, 4), round(b, 4) FROM cdrift)"""
+  UNION ALL SELECT ordinal, name, 'categorical', 'First half top category', 'Second half top category', NULL, NULL, NULL, round(abs(b - a), 4), ta, tb, round(a, 4), round(b, 4) FROM cdrift)"""
 
 
 HALF = "rid >= greatest(1, (SELECT count(*) FROM src) // 2)"
@@ -552,3 +552,7 @@ SELECT 'unsupervised' AS capability, numeric_columns >= 2 AND row_count >= 10 AS
 UNION ALL SELECT 'supervised', candidates > 0 OR (SELECT count(*) FROM scored WHERE task <> 'none') > 0,
   CASE WHEN candidates > 0 OR (SELECT count(*) FROM scored WHERE task <> 'none') > 0 THEN 'Choose a target column to compare dataset-specific supervised models.'
        ELSE 'No obvious target candidates were inferred automatically, but you can still choose a valid target column manually.' END FROM m""", measures("dirty") + TARGETS)
+
+from . import oracles_ml  # noqa: E402  (adds the model and archive statements)
+
+ORACLES.update(oracles_ml.statements(base, source, columns))

@@ -71,8 +71,8 @@ def numeric_summary(ds: Dataset) -> DataFrame:
             continue
         rows.append((ds.get(n).ordinal, n, s["count"], s["mean"], q[n][1], s["std"], s["min"], s["max"], q[n][0], q[n][2], s["skew"]))
     table = ds.spark.createDataFrame(rows, NUMERIC_SCHEMA)
-    rounded = [rounded(k, 6).alias(k) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]
-    return table.select("ordinal", "column", "count", *rounded)
+    values = [rounded(k, 6).alias(k) for k in ("mean", "median", "std", "min", "max", "q1", "q3", "skew")]
+    return table.select("ordinal", "column", "count", *values)
 
 
 def label_counts(ds: Dataset, names: list[str], k: int = 10) -> DataFrame:
