@@ -118,7 +118,9 @@ class Dataset:
             rows = rows.withColumn(ARRIVAL, F.monotonically_increasing_id())
         if self.hold and estimated_bytes(self.source) <= SMALL_BYTES:
             parallelism = self.spark.sparkContext.defaultParallelism
-            rows = rows.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
+            # by row key: unlike round robin this needs no sort to be repeatable
+            keys = [column(k) for k in self.order_by] if self.order_by else [F.col(ARRIVAL)]
+            rows = rows.repartition(parallelism, *keys).persist(StorageLevel.MEMORY_AND_DISK)
         return rows
 
     def release(self) -> None:

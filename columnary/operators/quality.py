@@ -32,33 +32,40 @@ def missing_cells(ds: Dataset) -> DataFrame:
     return column_facts(ds).agg(total.alias("total_missing_values"), safe_ratio(total, cells).alias("total_missing_pct"))
 
 
-def distinct_row_count(ds: Dataset) -> int:
-    """Distinct rows, missing values equal to each other.
+def row_counts(ds: Dataset) -> tuple[int, int]:
+    """Rows and distinct rows, missing values equal to each other.
 
     Identical rows collapse in the map stage; long texts enter by digest, so a
     row's share of the shuffle stays bounded.
     """
 
-    def key(name: str):
-        return text_key(ds.value(name)) if ds.get(name).lane == TEXT else ds.value(name)
+    def build() -> tuple[int, int]:
+        names = set(ds.names)
+        cols = []
+        for i, name in enumerate(ds.all_columns):
+            if name not in names:
+                key = F.sha2(F.to_json(F.struct(column(name))), 256)
+            elif ds.get(name).lane == TEXT:
+                key = text_key(ds.value(name))
+            else:
+                key = ds.value(name)
+            cols.append(key.alias(f"c{i}"))
+        groups = ds.rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+        found = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("kinds")).first()
+        return found.rows, found.kinds
 
-    names = set(ds.names)
-    cols = []
-    for i, name in enumerate(ds.all_columns):
-        whole = key(name) if name in names else F.sha2(F.to_json(F.struct(column(name))), 256)
-        cols.append(whole.alias(f"c{i}"))
-    return ds.remember("distinct_rows", lambda: ds.rows.select(*cols).distinct().count())
+    return ds.remember("row_counts", build)
 
 
 def duplicate_row_count(ds: Dataset) -> int:
     """Rows that repeat an earlier identical row."""
-    rows = column_facts(ds).agg(F.max("rows")).first()[0] or 0
-    return rows - distinct_row_count(ds) if rows else 0
+    rows, kinds = row_counts(ds)
+    return rows - kinds
 
 
 def duplicate_rows(ds: Dataset) -> DataFrame:
-    rows = column_facts(ds).agg(F.max("rows")).first()[0] or 0
-    return ds.spark.createDataFrame([(rows, rows - duplicate_row_count(ds), duplicate_row_count(ds))], "row_count long, distinct_row_count long, duplicate_row_count long")
+    rows, kinds = row_counts(ds)
+    return ds.spark.createDataFrame([(rows, kinds, rows - kinds)], "row_count long, distinct_row_count long, duplicate_row_count long")
 
 
 def constant_columns(ds: Dataset) -> DataFrame:

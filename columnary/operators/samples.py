@@ -36,9 +36,8 @@ def head_values(ds: Dataset, k: int) -> DataFrame:
 def _head_values(ds: Dataset, k: int) -> DataFrame:
     facts = {r.ordinal: r for r in column_facts(ds).collect()}
     texts = [ds.text(f.name).alias(str(f.ordinal)) for f in ds.fields]
-    order = [o.alias(f"k{i}") for i, o in enumerate(ds.order_columns)]
-    keys = [F.col(a) for a in (f"k{i}" for i in range(len(order)))]
-    head = ds.rows.select(*order, *texts).orderBy(*keys).limit(k + SLACK).toArrow()
+    # texts are made after the top-k, for the few rows that are kept
+    head = ds.rows.orderBy(*ds.order_columns).limit(k + SLACK).select(*texts).toArrow()
 
     ordinals, ranks, values = [], [], []
     short = []
@@ -56,9 +55,9 @@ def _head_values(ds: Dataset, k: int) -> DataFrame:
     for start in range(0, len(short), 50):
         parts = []
         for f in short[start : start + 50]:
-            rows = ds.rows.where(ds.value(f.name).isNotNull()).select(*order, ds.text(f.name).alias("v"))
-            ranked = rows.orderBy(*keys).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
-            parts.append(ranked.select(F.lit(f.ordinal).alias("ordinal"), "rank", "v"))
+            first = ds.rows.where(ds.value(f.name).isNotNull()).orderBy(*ds.order_columns).limit(k)
+            rank = F.row_number().over(Window.orderBy(*ds.order_columns))  # k rows
+            parts.append(first.select(F.lit(f.ordinal).alias("ordinal"), rank.alias("rank"), ds.text(f.name).alias("v")))
         sample = sample.unionByName(pin(reduce(DataFrame.unionAll, parts)))
 
     days = [f.ordinal for f in ds.fields if f.lane == TIME and facts[f.ordinal].midnight]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -131,42 +132,56 @@ def pair_correlations(ds: Dataset) -> DataFrame:
     """Pearson correlation of every numeric pair over the rows where both are
     present; NULL where undefined. One row per unordered pair, unrounded.
 
-    Pairs without missing values share per-column deviations, so they cost one
-    co-moment each; the others compute their own on the common rows.
+    Plain sums of deviations from the column means, which one earlier pass
+    found: a pair without missing values costs a single sum of products, a pair
+    with gaps sums its own complete rows. No data is shuffled.
     """
 
     def build() -> DataFrame:
         names = numeric_columns(ds)
+        known = moments(ds, names)
         whole = {r["name"] for r in column_facts(ds).where("num_n = rows").select("name").collect()}
         pairs = list(combinations(names, 2))
+        deviation = {n: ds.number(n) - F.lit(known[n]["mean"]) for n in names}
         values: dict = {}
-        width = PASS_WIDTH // 3
-        spread = {n: moments(ds, names)[n]["std"] for n in names}
-        for start in range(0, len(pairs), width):
-            chunk = pairs[start : start + width]
+        for start in range(0, len(pairs), PASS_WIDTH // 6):
+            chunk = pairs[start : start + PASS_WIDTH // 6]
             aggs = []
             for i, (a, b) in enumerate(chunk):
-                x, y = ds.number(a), ds.number(b)
+                u, v = deviation[a], deviation[b]
+                aggs.append(F.sum(u * v).alias(f"uv{i}"))
                 if a in whole and b in whole:
-                    aggs.append(F.covar_pop(x, y).alias(f"c{i}"))
-                else:
-                    # regr_* drop incomplete pairs themselves
-                    aggs.append(
-                        F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))).alias(f"c{i}")
-                    )
+                    continue
+                both = u.isNotNull() & v.isNotNull()
+                aggs += [
+                    F.count_if(both).alias(f"n{i}"), F.sum(F.when(both, u)).alias(f"u{i}"), F.sum(F.when(both, v)).alias(f"v{i}"),
+                    F.sum(F.when(both, u * u)).alias(f"uu{i}"), F.sum(F.when(both, v * v)).alias(f"vv{i}"),
+                ]
             row = ds.rows.agg(*aggs).first()
             for i, (a, b) in enumerate(chunk):
-                r = row[f"c{i}"]
                 if a in whole and b in whole:
-                    scale = (spread[a] or 0.0) * (spread[b] or 0.0)
-                    r = r / scale if r is not None and scale > 0 else None
-                values[a, b] = None if r is None or r != r else max(-1.0, min(1.0, r))
+                    n = known[a]["count"]
+                    values[a, b] = _correlation(n, 0.0, 0.0, row[f"uv{i}"], n * (known[a]["std"] or 0.0) ** 2, n * (known[b]["std"] or 0.0) ** 2)
+                else:
+                    values[a, b] = _correlation(*(row[f"{k}{i}"] for k in ("n", "u", "v", "uv", "uu", "vv")))
         rows = [(ds.get(a).ordinal, ds.get(b).ordinal, a, b, values[a, b]) for a, b in pairs]
         return ds.spark.createDataFrame(rows, PAIR_SCHEMA)
 
     return ds.remember("pairs", build)
 
 
+def _correlation(n: int, u: float | None, v: float | None, uv: float | None, uu: float | None, vv: float | None) -> float | None:
+    """Pearson r from the sums of deviations; None where undefined."""
+    if not n or uv is None or uu is None or vv is None:
+        return None
+    left, right = uu - u * u / n, vv - v * v / n
+    # a column constant on the common rows leaves rounding noise, not spread
+    if left <= 1e-12 * uu or right <= 1e-12 * vv:
+        return None
+    r = (uv - u * v / n) / math.sqrt(left * right)
+    return max(-1.0, min(1.0, r)) if r == r else None
+
+
 def correlation_matrix(ds: Dataset, limit: int = 12) -> DataFrame:
     """Both triangles and the diagonal over the first ``limit`` numeric columns."""
     names = numeric_columns(ds)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse_number, parse_timestamp, text_key, text_key_length
 from ..functions.text import column
-from ..vocab import BOOLEAN_WORDS, DATE_TOKENS, MISSING_LABEL
+from ..vocab import BOOLEAN_WORDS, DATE_TOKENS, LATITUDE_TOKENS, LONGITUDE_TOKENS, PERCENT_TOKENS
 from .dataset import BOOL, DOUBLE, LONG, TEXT, TIME, Dataset, Field, pin
 
 #: Columns unpivoted in one Expand; wider lanes are cut into several.
@@ -87,12 +87,19 @@ def restore_labels(ds: Dataset, top: DataFrame) -> DataFrame:
 
 
 # -- column facts -------------------------------------------------------------
-def _facts(lane: str, rows: DataFrame, dated: list[int]) -> DataFrame:
+def _facts(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
     """One row per column from its tally; every aggregate is mergeable.
 
-    ``dated`` lists the columns named like dates: only there may whole numbers
-    (2024, 20240131) be dates.
+    What only matters under certain headers (dates written as whole numbers,
+    coordinate and percentage ranges) is left out where no header asks for it.
     """
+    words = {f.ordinal: header_words(f.name) for f in fields}
+
+    def asked(*vocabulary: str) -> list[int]:
+        return [o for o, w in words.items() if w & set(vocabulary)]
+
+    dated = asked(*DATE_TOKENS)
+    placed, shared = asked(*LATITUDE_TOKENS, *LONGITUDE_TOKENS), asked(*PERCENT_TOKENS)
     v, n = F.col("v"), F.col("n")
     present = v.isNotNull()
     zero = F.lit(0).cast("long")
@@ -146,10 +153,10 @@ def _facts(lane: str, rows: DataFrame, dated: list[int]) -> DataFrame:
             distinct.alias("num_unique"),
             weight(near).alias("int_n"),
             weight(x >= 0).alias("nonneg_n"),
-            weight(x.between(-90, 90)).alias("lat_n"),
-            weight(x.between(-180, 180)).alias("lng_n"),
-            weight(x.between(0, 1)).alias("unit_n"),
-            weight(x.between(0, 100)).alias("pct_n"),
+            (weight(x.between(-90, 90)) if placed else none).alias("lat_n"),
+            (weight(x.between(-180, 180)) if placed else none).alias("lng_n"),
+            (weight(x.between(0, 1)) if shared else none).alias("unit_n"),
+            (weight(x.between(0, 100)) if shared else none).alias("pct_n"),
             F.coalesce(F.bool_and((x > -1) & (x < 2)), F.lit(False)).alias("unit_like"),
         ]
     return rows.groupBy("ordinal").agg(*facts)
@@ -170,8 +177,7 @@ def _column_facts(ds: Dataset) -> DataFrame:
     lanes: dict[str, list[Field]] = {}
     for f in ds.fields:
         lanes.setdefault(TEXT if f.lane == BOOL else f.lane, []).append(f)
-    dated = [f.ordinal for f in ds.fields if header_words(f.name) & set(DATE_TOKENS)]
-    parts = [_facts(lane, tally(ds, fields), dated).select("ordinal", *FACT_NAMES) for lane, fields in lanes.items()]
+    parts = [_facts(lane, tally(ds, fields), fields).select("ordinal", *FACT_NAMES) for lane, fields in lanes.items()]
     heads = ds.spark.createDataFrame(
         [(f.ordinal, f.name, f.lane) for f in ds.fields], "ordinal int, name string, lane string"
     )

@@ -25,6 +25,9 @@ def build_session(app: str = "columnary", master: str | None = None, shuffle_par
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # one JVM does all the work; takes effect when it is not running yet
+            builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
