@@ -141,31 +141,32 @@ def keep_categories(counts: list[tuple[str, int]], distinct: int, rows: int, lim
 
 
 def learn_categories(ds: Dataset, rows: DataFrame, names: list[str], limit: int, share: float, encoding: Encoding) -> None:
-    """Modes and kept categories of text features, from their tallies."""
+    """Modes and kept categories of text features, from their tallies.
+
+    At most 1 / share categories can be frequent, so that many are fetched.
+    """
     if not names:
         return
     part = ds.within(rows)
-    at_most = int(1 / share) + 1 if share > 0 else limit + 1
-    top = restore_labels(part, pin(top_labels_present(part, names, at_most)))
+    enough = int(1 / share) + 1 if share > 0 else limit + 1
+    top = restore_labels(part, pin(top_labels(part, names, enough + 1)))
     total = rows.count()
-    facts = {r["name"]: r for r in column_facts(part).where(F.col("name").isin(names)).collect()}
     found: dict[str, list[tuple[str, int]]] = {n: [] for n in names}
+    missing = dict.fromkeys(names, 0)
     by_ordinal = {part.get(n).ordinal: n for n in names}
     for r in top.orderBy("ordinal", "rank").collect():
-        found[by_ordinal[r.ordinal]].append((r.v, r.n))
+        if r.v == vocab.MISSING_LABEL:
+            missing[by_ordinal[r.ordinal]] = r.n
+        else:
+            found[by_ordinal[r.ordinal]].append((r.v, r.n))
     for n in names:
         if not found[n]:
             continue
-        counts = found[n]
-        mode = counts[0][0]
-        counts = [(v, c + (facts[n].missing if v == mode else 0)) for v, c in counts]
+        mode = found[n][0][0]
+        counts = [(v, c + (missing[n] if v == mode else 0)) for v, c in found[n]]
         encoding.modes[n] = mode
-        encoding.kept[n], encoding.pooled[n] = keep_categories(counts, facts[n]["unique"], total, limit, share)
-
-
-def top_labels_present(ds: Dataset, names: list[str], k: int) -> DataFrame:
-    """Top k labels per column with missing values left out."""
-    return top_labels(ds, names, k + 1).where(F.col("v") != vocab.MISSING_LABEL)
+        # beyond the fetched ones there are only rare categories
+        encoding.kept[n], encoding.pooled[n] = keep_categories(counts, len(counts), total, limit, share)
 
 
 def learn_encoding(ds: Dataset, rows: DataFrame, choice: FeatureChoice, limit: int = vocab.MAX_CATEGORIES, share: float = vocab.MIN_CATEGORY_SHARE) -> Encoding:

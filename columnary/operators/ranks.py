@@ -39,29 +39,33 @@ class _Target:
         return self.low == self.high
 
 
-def rank_values(df: DataFrame, exprs: dict, wanted, inside: int = INSIDE) -> dict:
+def rank_values(df: DataFrame, exprs: dict, wanted, inside: int = INSIDE, known: dict | None = None) -> dict:
     """Values at ranks: ``{key: (count, [(v_low, v_high), ...])}``.
 
-    ``exprs`` maps a key to a double expression (NULLs ignored); ``wanted(n)``
+    ``exprs`` maps a key to a sortable expression (NULLs ignored); ``wanted(n)``
     gives the (low, high) 0-based rank pairs to fetch for a column of n values.
+    ``known`` may bring count, minimum and maximum from an earlier pass.
     """
     if not exprs:
         return {}
     keys = list(exprs)
-    # a placeholder grid: ranks depend on n, which the same pass counts
-    first = df.agg(
-        *[e for i, k in enumerate(keys) for e in (
-            F.count(exprs[k]).alias(f"n{i}"), F.min(exprs[k]).alias(f"lo{i}"), F.max(exprs[k]).alias(f"hi{i}"),
-        )]
-    ).first()
-    counts = {k: first[f"n{i}"] for i, k in enumerate(keys)}
+    spans = dict(known or {})
+    todo = [k for k in keys if k not in spans]
+    if todo:
+        first = df.agg(
+            *[e for i, k in enumerate(todo) for e in (
+                F.count(exprs[k]).alias(f"n{i}"), F.min(exprs[k]).alias(f"lo{i}"), F.max(exprs[k]).alias(f"hi{i}"),
+            )]
+        ).first()
+        spans.update({k: (first[f"n{i}"], first[f"lo{i}"], first[f"hi{i}"]) for i, k in enumerate(todo)})
+    counts = {k: spans[k][0] for k in keys}
     targets: list[_Target] = []
     slots: dict = {k: [] for k in keys}
-    for i, k in enumerate(keys):
+    for k in keys:
         if counts[k] == 0:
             continue
         for low, high in wanted(counts[k]):
-            t = _Target(k, exprs[k], low, high, first[f"lo{i}"], first[f"hi{i}"], 0, counts[k])
+            t = _Target(k, exprs[k], low, high, spans[k][1], spans[k][2], 0, counts[k])
             targets.append(t)
             slots[k].append(t)
 
@@ -145,13 +149,13 @@ def _pick(df: DataFrame, targets: list[_Target]) -> dict:
     return {id(targets[r["t"]]): (r["low"], r["high"]) for r in rows}
 
 
-def exact_quantiles(df: DataFrame, exprs: dict, probs: list[float], inside: int = INSIDE) -> dict:
+def exact_quantiles(df: DataFrame, exprs: dict, probs: list[float], inside: int = INSIDE, known: dict | None = None) -> dict:
     """Linearly interpolated quantiles per key; empty columns give None."""
 
     def spot(n: int) -> list[tuple[int, int]]:
         return [(math.floor((n - 1) * p), math.ceil((n - 1) * p)) for p in probs]
 
-    found = rank_values(df, exprs, spot, inside)
+    found = rank_values(df, exprs, spot, inside, known)
     answer = {}
     for key, (n, pairs) in found.items():
         if n == 0:

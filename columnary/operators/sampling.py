@@ -16,7 +16,8 @@ from ..vocab import SEED
 from .dataset import Dataset
 
 HASH_BITS = 52
-_LEVELS = (18, 18, 16)
+#: Hash bits told apart per histogram, for tables of any size and for small ones.
+_LEVELS, _SMALL_LEVELS, _SMALL = (18, 18, 16), (26, 26), 4_000_000
 
 
 def row_hash(ds: Dataset, seed: int = SEED) -> Column:
@@ -41,7 +42,7 @@ def hash_cuts(rows: DataFrame, group: Column, h: Column, wanted: dict[str, int])
     prefix = {g: 0 for g in need}
     slim = rows.select(group.alias("g"), h.alias("h"))
     shift = HASH_BITS
-    for bits in _LEVELS:
+    for bits in _SMALL_LEVELS if sum(wanted.values()) <= _SMALL else _LEVELS:
         if not need:
             break
         scope = F.broadcast(rows.sparkSession.createDataFrame([(g, prefix[g], need[g]) for g in need], "g string, p long, need long"))

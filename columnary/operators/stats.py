@@ -38,7 +38,8 @@ def quartiles(ds: Dataset, names: list[str]) -> dict[str, list[float]]:
     known = ds.remember("quartiles", dict)
     todo = [n for n in names if n not in known]
     if todo:
-        known.update(exact_quantiles(ds.rows, {n: ds.number(n) for n in todo}, QUARTILES))
+        spans = {n: (m["count"], m["min"], m["max"]) for n, m in moments(ds, todo).items()}
+        known.update(exact_quantiles(ds.rows, {n: ds.number(n) for n in todo}, QUARTILES, known=spans))
     return {n: known[n] for n in names}
 
 

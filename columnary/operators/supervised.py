@@ -102,9 +102,10 @@ def prepare(
 ) -> Prepared:
     if target not in ds.names:
         raise ValueError("Target column not found in dataset.")
-    present = ds.rows.where(ds.text(target).isNotNull())
-    whole = ds.within(present)
-    available = column_facts(whole).where(F.col("name") == target).first().non_null
+    available = column_facts(ds).where(F.col("name") == target).first().non_null
+    complete = available == ds.row_count
+    present = ds.rows if complete else ds.rows.where(ds.text(target).isNotNull())
+    whole = ds if complete else ds.within(present)  # a complete target shares the known facts
     if available < min_rows:
         raise ValueError(f"Supervised analysis requires at least {min_rows} rows after dropping missing target values.")
     task = task or task_type(whole, target)

@@ -87,79 +87,70 @@ def restore_labels(ds: Dataset, top: DataFrame) -> DataFrame:
 
 
 # -- column facts -------------------------------------------------------------
-def _facts(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
-    """One row per column from its tally; every aggregate is mergeable.
+def _measured(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
+    """Tally rows with what the rules ask of a value, in one shape for all lanes.
 
-    What only matters under certain headers (dates written as whole numbers,
-    coordinate and percentage ranges) is left out where no header asks for it.
+    Evaluated once per distinct value, not per row. Whole numbers (2024,
+    20240131) may be dates only in columns named like dates.
     """
-    words = {f.ordinal: header_words(f.name) for f in fields}
+    v = F.col("v")
+    false, nothing = F.lit(False), F.lit(None).cast("double")
+    x, truthy, dated, length, day = nothing, false, false, F.lit(0).cast("long"), false
+    if lane == LONG:
+        x, truthy = v.cast("double"), v.isin(0, 1)
+        asked = [f.ordinal for f in fields if header_words(f.name) & set(DATE_TOKENS)]
+        if asked:
+            shaped = F.col("ordinal").isin(asked) & (v.between(1000, 9999) | v.between(10000101, 99991231))
+            dated = F.when(shaped, parse_timestamp(v.cast("string"))).isNotNull()
+    elif lane == DOUBLE:
+        x = v
+    elif lane == TIME:
+        dated, day = v.isNotNull(), v == F.date_trunc("day", v).cast("timestamp_ntz")
+    else:
+        x, truthy = parse_number(v), F.lower(F.trim(v)).isin(BOOLEAN_WORDS)
+        dated, length = parse_timestamp(v).isNotNull(), text_key_length(v)
+    return rows.select(
+        "ordinal", "n", v.isNotNull().alias("present"), x.alias("x"), truthy.alias("truthy"), dated.alias("dated"),
+        length.alias("length"), F.coalesce(day, false).alias("day"),
+    )
+
 
-    def asked(*vocabulary: str) -> list[int]:
-        return [o for o, w in words.items() if w & set(vocabulary)]
+def _facts(measured: DataFrame, fields: list[Field]) -> DataFrame:
+    """One row per column; every aggregate merges, so the map stage does most.
 
-    dated = asked(*DATE_TOKENS)
-    placed, shared = asked(*LATITUDE_TOKENS, *LONGITUDE_TOKENS), asked(*PERCENT_TOKENS)
-    v, n = F.col("v"), F.col("n")
-    present = v.isNotNull()
+    Ranges that only matter under certain headers are left out where no header
+    asks for them.
+    """
+    n, x, present = F.col("n"), F.col("x"), F.col("present")
     zero = F.lit(0).cast("long")
+    words = set().union(*[header_words(f.name) for f in fields])
+    placed, shared = words & {*LATITUDE_TOKENS, *LONGITUDE_TOKENS}, words & set(PERCENT_TOKENS)
 
     def weight(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), zero)
 
-    none = zero
-    x = date_n = text_length = None
-    bool_n = none
-    midnight = F.lit(False)
-    if lane == LONG:
-        x = v.cast("double")
-        bool_n = weight(v.isin(0, 1))
-        if dated:
-            shaped = F.col("ordinal").isin(dated) & (v.between(1000, 9999) | v.between(10000101, 99991231))
-            date_n = weight(F.when(shaped, parse_timestamp(v.cast("string"))).isNotNull())
-    elif lane == DOUBLE:
-        x = v
-    elif lane == TIME:
-        date_n = weight(present)
-        midnight = F.coalesce(F.bool_and(v == F.date_trunc("day", v).cast("timestamp_ntz")), F.lit(False))
-    else:
-        # numbers and dates are parsed once per distinct value, before aggregation
-        rows = rows.withColumn("x", parse_number(v)).withColumn("d", parse_timestamp(v).isNotNull())
-        x = F.col("x")
-        bool_n = weight(F.lower(F.trim(v)).isin(BOOLEAN_WORDS))
-        date_n = weight(F.col("d"))
-        text_length = F.coalesce(F.sum(text_key_length(v) * n), zero)
-
-    facts = [
+    whole = F.rint(x)
+    near = (x == whole) | (F.abs(x - whole) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(whole))
+    return measured.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
         weight(present).alias("non_null"),
-        F.count(v).alias("unique"),
+        F.count_if(present).alias("unique"),
         F.coalesce(F.max(F.when(present, n)), zero).alias("top_n"),
         F.coalesce(F.sum(F.when(present, n * F.log2(n))), F.lit(0.0)).alias("n_log_n"),
-        bool_n.alias("bool_n"),
-        (date_n if date_n is not None else none).alias("date_n"),
-        (text_length if text_length is not None else none).alias("text_length"),
-        midnight.alias("midnight"),
-    ]
-    if x is None:
-        facts += [none.alias(k) for k in ("num_n", "num_unique", "int_n", "nonneg_n", "lat_n", "lng_n", "unit_n", "pct_n")]
-        facts += [F.lit(False).alias("unit_like")]
-    else:
-        whole = F.rint(x)
-        near = (x == whole) | (F.abs(x - whole) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(whole))
-        distinct = F.countDistinct(x) if lane in (TEXT, BOOL) else F.count(v)
-        facts += [
-            weight(x.isNotNull()).alias("num_n"),
-            distinct.alias("num_unique"),
-            weight(near).alias("int_n"),
-            weight(x >= 0).alias("nonneg_n"),
-            (weight(x.between(-90, 90)) if placed else none).alias("lat_n"),
-            (weight(x.between(-180, 180)) if placed else none).alias("lng_n"),
-            (weight(x.between(0, 1)) if shared else none).alias("unit_n"),
-            (weight(x.between(0, 100)) if shared else none).alias("pct_n"),
-            F.coalesce(F.bool_and((x > -1) & (x < 2)), F.lit(False)).alias("unit_like"),
-        ]
-    return rows.groupBy("ordinal").agg(*facts)
+        weight(present & F.col("truthy")).alias("bool_n"),
+        weight(F.col("dated")).alias("date_n"),
+        F.coalesce(F.sum(F.when(present, F.col("length") * n)), zero).alias("text_length"),
+        F.coalesce(F.bool_and(F.when(present, F.col("day"))), F.lit(False)).alias("midnight"),
+        weight(x.isNotNull()).alias("num_n"),
+        F.count(x).alias("num_unique"),
+        weight(near).alias("int_n"),
+        weight(x >= 0).alias("nonneg_n"),
+        (weight(x.between(-90, 90)) if placed else zero).alias("lat_n"),
+        (weight(x.between(-180, 180)) if placed else zero).alias("lng_n"),
+        (weight(x.between(0, 1)) if shared else zero).alias("unit_n"),
+        (weight(x.between(0, 100)) if shared else zero).alias("pct_n"),
+        F.coalesce(F.bool_and((x > -1) & (x < 2)), F.lit(False)).alias("unit_like"),
+    )
 
 
 FACT_NAMES = [
@@ -170,26 +161,41 @@ FACT_NAMES = [
 
 def column_facts(ds: Dataset) -> DataFrame:
     """Pinned table of one row per column, in column order (computed once)."""
-    return ds.remember("column_facts", lambda: pin(_column_facts(ds)))
+    return ds.remember("column_facts", lambda: _column_facts(ds))
 
 
 def _column_facts(ds: Dataset) -> DataFrame:
     lanes: dict[str, list[Field]] = {}
     for f in ds.fields:
         lanes.setdefault(TEXT if f.lane == BOOL else f.lane, []).append(f)
-    parts = [_facts(lane, tally(ds, fields), fields).select("ordinal", *FACT_NAMES) for lane, fields in lanes.items()]
+    if not lanes:
+        raise ValueError("the table has no column of a supported type")
+    measured = [_measured(lane, tally(ds, fields), fields) for lane, fields in lanes.items()]
+    facts = pin(_facts(reduce(DataFrame.unionAll, measured), ds.fields))
     heads = ds.spark.createDataFrame(
         [(f.ordinal, f.name, f.lane) for f in ds.fields], "ordinal int, name string, lane string"
     )
-    if not parts:
-        raise ValueError("the table has no column of a supported type")
-    facts = heads.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "ordinal", "left")
     filled = [
         F.coalesce(F.col(k), F.lit(False) if k in ("midnight", "unit_like") else F.lit(0.0) if k == "n_log_n" else F.lit(0).cast("long")).alias(k)
         for k in FACT_NAMES
     ]
-    table = facts.select("ordinal", "name", "lane", *filled)
-    return table.withColumn("missing", F.col("rows") - F.col("non_null")).orderBy("ordinal")
+    table = heads.join(F.broadcast(facts), "ordinal", "left").select("ordinal", "name", "lane", *filled)
+    table = pin(table.withColumn("missing", F.col("rows") - F.col("non_null")).orderBy("ordinal"))
+    return _merge_equal_numbers(ds, table)
+
+
+def _merge_equal_numbers(ds: Dataset, table: DataFrame) -> DataFrame:
+    """Distinct numbers of text columns whose texts may differ for one number
+    ('1', '1.0'). It matters only where all numbers are 0 or 1, so it is counted
+    only there."""
+    doubtful = table.where((F.col("lane") == TEXT) & F.col("unit_like") & (F.col("num_unique") > 2)).select("ordinal", "name").collect()
+    if not doubtful:
+        return table
+    counts = ds.rows.agg(*[F.countDistinct(ds.number(r["name"])).alias(str(r.ordinal)) for r in doubtful]).first()
+    exact = F.col("num_unique")
+    for r in doubtful:
+        exact = F.when(F.col("ordinal") == r.ordinal, F.lit(counts[str(r.ordinal)]).cast("long")).otherwise(exact)
+    return pin(table.withColumn("num_unique", exact).orderBy("ordinal"))
 
 
 def header_words(name: str) -> set[str]:
