@@ -9,7 +9,7 @@ from ..functions import rounded, safe_ratio
 from .dataset import Dataset, pin
 from .ordinals import from_rank
 from .stats import labelled_columns, moments, numeric_columns
-from .tally import column_facts, restore_labels, top_labels, label_tally
+from .tally import column_facts, restore_labels, top_labels
 
 DRIFT_COLUMNS, LABEL_COLUMNS, SHOWN = 8, 6, 10
 NUMERIC_SCHEMA = "ordinal int, column string, baseline double, recent double, std double"
@@ -65,7 +65,7 @@ def categorical_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
     if not names or flag is None:
         return ds.spark.createDataFrame([], schema)
     by = [flag.alias("late")]
-    counts = label_tally(ds, names[:1], by).groupBy("late").agg(F.sum("n").alias("total"))
+    counts = ds.rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     top = restore_labels(ds, pin(top_labels(ds, names, 1, by, ["late"])))
     shares = top.join(F.broadcast(counts), "late").withColumn("share", safe_ratio(F.col("n"), F.col("total")))
     early, late = F.when(~F.col("late"), F.col("v")), F.when(F.col("late"), F.col("v"))

@@ -247,7 +247,9 @@ def supervised_benchmark(
     for position, (label, estimator) in enumerate(models):
         model = estimator.fit(p.train)
         fitted[label] = model
-        found = evaluate(p, scored(p, model))
+        held_out = scored(p, model).persist(StorageLevel.MEMORY_AND_DISK)  # several metrics read it
+        found = evaluate(p, held_out)
+        held_out.unpersist()
         table.append((position, label, *[found.get(m) for m in names]))
     schema = "position int, model string, " + ", ".join(f"{m} double" for m in names)
     wide = ds.spark.createDataFrame(table, schema)
@@ -256,8 +258,7 @@ def supervised_benchmark(
     comparison = wide.unpivot(["position", "model"], names, "metric", "value").where("value is not null").withColumn("value", rounded("value", 6))
     ranked = ds.spark.createDataFrame(importances(fitted[best], p.encoding.names()), "feature string, importance double")
     importance = ranked.orderBy(F.desc("importance"), "feature").limit(15).withColumn("importance", rounded("importance", 6))
-    keys = [c for c in p.test.columns if c.startswith("key_")]
-    shown = scored(p, fitted[best]).orderBy(*keys)
+    shown = scored(p, fitted[best])
     diagnostics = diagnostics_table(p)
     metrics = wide.where(F.col("model") == best).drop("position", "model")
     warned = supervised_warnings(

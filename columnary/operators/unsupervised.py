@@ -117,6 +117,7 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
     ).persist(StorageLevel.MEMORY_AND_DISK)
     offset = exact_quantiles(flat, {"s": F.col("raw_score")}, [contamination])["s"][0]
     sizes = flat.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").collect()
+    vectors.unpersist()  # ``flat`` is complete and can be recomputed from the source
     renamed = F.create_map(*[F.lit(v) for i, r in enumerate(sizes) for v in (r.label, i)])
     keys = [c for c in flat.columns if c.startswith("key_")]
     decision = F.col("raw_score") - F.lit(offset)
