@@ -118,14 +118,16 @@ def impute_and_scale(ds: Dataset, rows: DataFrame, names: list[str]) -> tuple[di
     """Exact medians, then mean and population deviation of the filled column."""
     exprs = {n: feature_number(ds, n) for n in names}
     medians = {n: q[0] for n, q in exact_quantiles(rows, exprs, [0.5]).items() if q[0] is not None}
-    if not medians:
-        return {}, {}
-    aggs = []
-    for i, (n, m) in enumerate(medians.items()):
-        filled = F.coalesce(exprs[n], F.lit(float(m)))
-        aggs += [F.avg(filled).alias(f"m{i}"), F.stddev_pop(filled).alias(f"s{i}")]
-    row = rows.agg(*aggs).first()
-    centres = {n: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, n in enumerate(medians)}
+    centres = {}
+    filled = list(medians)
+    for start in range(0, len(filled), PASS_WIDTH // 2):
+        chunk = filled[start : start + PASS_WIDTH // 2]
+        aggs = []
+        for i, n in enumerate(chunk):
+            x = F.coalesce(exprs[n], F.lit(float(medians[n])))
+            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        row = rows.agg(*aggs).first()
+        centres.update({n: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, n in enumerate(chunk)})
     return medians, centres
 
 

@@ -9,7 +9,7 @@ from .. import vocab
 from ..functions import column, rounded, safe_ratio, text_key
 from .dataset import TEXT, Dataset
 from .profile import profile_facts, target_candidates
-from .stats import numeric_columns, pair_correlations, quartiles
+from .stats import PASS_WIDTH, numeric_columns, pair_correlations, quartiles
 from .tally import column_facts
 
 OUTLIER_SCHEMA = "ordinal int, column string, valid_count long, outlier_count long, lower_fence double, upper_fence double"
@@ -108,14 +108,15 @@ def fence_counts(ds: Dataset, names: list[str]) -> dict[str, tuple[int, int, flo
     for n, (q1, _, q3) in quartiles(ds, todo).items():
         if q1 is not None:
             bounds[n] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    if todo:
+    for start in range(0, len(todo), PASS_WIDTH // 2):
+        chunk = todo[start : start + PASS_WIDTH // 2]
         aggs = []
-        for i, n in enumerate(todo):
+        for i, n in enumerate(chunk):
             x = ds.number(n)
             low, high = bounds.get(n, (0.0, 0.0))
             aggs += [F.count(x).alias(f"n{i}"), F.count_if((x < low) | (x > high)).alias(f"o{i}")]
         row = ds.rows.agg(*aggs).first()
-        for i, n in enumerate(todo):
+        for i, n in enumerate(chunk):
             low, high = bounds.get(n, (None, None))
             spread = low is not None and high > low
             known[n] = (row[f"n{i}"], row[f"o{i}"] if spread else 0, low, high)

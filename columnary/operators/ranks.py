@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 COARSE, FINE = 1_000, 10_000
 FINE_FROM = 20_000_000
 INSIDE = 1_000_000
+#: Columns searched together.
+PASS_KEYS = 40
 MAX_ROUNDS = 8
 
 
@@ -49,6 +51,11 @@ def rank_values(df: DataFrame, exprs: dict, wanted, inside: int = INSIDE, known:
     if not exprs:
         return {}
     keys = list(exprs)
+    if len(keys) > PASS_KEYS:  # wide tables: several passes of bounded plan size
+        answer = {}
+        for start in range(0, len(keys), PASS_KEYS):
+            answer.update(rank_values(df, {k: exprs[k] for k in keys[start : start + PASS_KEYS]}, wanted, inside, known))
+        return answer
     spans = dict(known or {})
     todo = [k for k in keys if k not in spans]
     if todo:

@@ -102,8 +102,8 @@ def prepare(
 ) -> Prepared:
     if target not in ds.names:
         raise ValueError("Target column not found in dataset.")
-    available = column_facts(ds).where(F.col("name") == target).first().non_null
-    complete = available == ds.row_count
+    facts = column_facts(ds).where(F.col("name") == target).first()
+    available, complete = facts.non_null, facts.missing == 0
     present = ds.rows if complete else ds.rows.where(ds.text(target).isNotNull())
     whole = ds if complete else ds.within(present)  # a complete target shares the known facts
     if available < min_rows:

@@ -14,6 +14,8 @@ from ..vocab import MISSING_TOKENS
 _CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 _CP1252_TEXT = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 _UNDEFINED_CP1252 = "^(?:..)*(?:81|8D|8F|90|9D)"
+#: Columns typed in one pass over the file.
+PASS_COLUMNS = 75
 _BOOLEANS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
@@ -64,29 +66,28 @@ def _decode(value: Column, encoding: str) -> Column:
 def infer_types(raw: DataFrame) -> DataFrame:
     """Give every text column the narrowest type all its values fit."""
     names = raw.columns
-    aggs = []
-    for i, n in enumerate(names):
-        v = column(n)
-        number = parse_number(v)
-        aggs += [
-            F.count(v).alias(f"n{i}"),
-            F.count_if(number.isNotNull() & F.trim(v).rlike(r"^[+-]?[0-9]+$") & F.trim(v).try_cast("long").isNotNull()).alias(f"l{i}"),
-            F.count(number).alias(f"d{i}"),
-            F.count_if(v.isin(_BOOLEANS)).alias(f"b{i}"),
-        ]
-    if not names:
-        return raw
-    row = raw.agg(*aggs).first()
     out = []
-    for i, n in enumerate(names):
-        v, present = column(n), row[f"n{i}"]
-        if present and row[f"l{i}"] == present:
-            v = F.trim(v).try_cast("long")
-        elif present and row[f"d{i}"] == present:
-            v = parse_number(v)
-        elif present and row[f"b{i}"] == present:
-            v = F.lower(v).try_cast("boolean")
-        out.append(v.alias(n))
+    for start in range(0, len(names), PASS_COLUMNS):
+        chunk = names[start : start + PASS_COLUMNS]
+        aggs = []
+        for i, n in enumerate(chunk):
+            v = column(n)
+            number = parse_number(v)
+            whole = F.trim(v).rlike(r"^[+-]?[0-9]+$") & F.trim(v).try_cast("long").isNotNull()
+            aggs += [
+                F.count(v).alias(f"n{i}"), F.count_if(whole).alias(f"l{i}"), F.count(number).alias(f"d{i}"),
+                F.count_if(v.isin(_BOOLEANS)).alias(f"b{i}"),
+            ]
+        row = raw.agg(*aggs).first()
+        for i, n in enumerate(chunk):
+            v, present = column(n), row[f"n{i}"]
+            if present and row[f"l{i}"] == present:
+                v = F.trim(v).try_cast("long")
+            elif present and row[f"d{i}"] == present:
+                v = parse_number(v)
+            elif present and row[f"b{i}"] == present:
+                v = F.lower(v).try_cast("boolean")
+            out.append(v.alias(n))
     return raw.select(*out)
 
 
@@ -103,9 +104,8 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None, order_by:
     schema = ", ".join(f"c{i} string" for i in range(len(first)))
     body = reader.csv(path, header=True, enforceSchema=True, schema=schema)
     names = clean_headers([spark.range(1).select(_decode(F.lit(v), encoding)).first()[0] if encoding == "cp1252" and v else v for v in first])
-    tokens = [t for t in MISSING_TOKENS]
     cells = []
     for i, n in enumerate(names):
         v = _decode(F.col(f"c{i}"), encoding)
-        cells.append(F.when(~v.isin(tokens), v).alias(n))
+        cells.append(F.when(~v.isin(MISSING_TOKENS), v).alias(n))
     return Dataset(infer_types(body.select(*cells)), name or path.rstrip("/").rsplit("/", 1)[-1], order_by, encoding=encoding, **options)
