@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing
+from . import chat, neardup, packing
 
 #: Vocabulary of the packing query, by its name in the installed tokenizer files.
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, tokenizer_path())
@@ -47,7 +51,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, docs.count())
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_chat_format, op9_packing)}
+LLM_QUERIES = {f.__name__: f for f in (op3_chat_format, op4_near_duplicates, op9_packing)}
 
 LLM_ORACLES = {
     "op3_chat_format": """
