@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, neardup, packing
+from . import chat, decontam, neardup, packing, toxicity
 
 #: Vocabulary of the packing query, by its name in the installed tokenizer files.
 TOKENIZER = "word_bpe_49k.json"
+#: Score from which a document counts as toxic.
+TOXIC_FROM = 0.7
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -44,6 +46,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, tokenizer_path())
@@ -51,7 +57,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, docs.count())
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_chat_format, op4_near_duplicates, op9_packing)}
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the labels whose crc32(id as text) mod 3 is not 1."""
+    learnt = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(toxicity.training_rows(docs, learnt))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
+LLM_QUERIES = {f.__name__: f for f in (op3_chat_format, op4_near_duplicates, op7_decontamination, op9_packing, op10_toxicity)}
 
 LLM_ORACLES = {
     "op3_chat_format": """
