@@ -12,6 +12,7 @@ empty one; extra columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,12 @@ from .common import ship
 END_ID = 1
 #: Pieces whose group is expected to hold about so many documents.
 GROUP_DOCS = 1024
-#: Chunks whose ids a Python worker keeps at most.
-CACHE = 400_000
+#: Chunks of a cache generation; a Python worker keeps at most two generations.
+GENERATION = 900_000
+#: Characters encoded together.
+STEP_CHARS = 1_000_000
 
-_LOADED: dict[str, tuple[object, dict[str, bytes]]] = {}
+_LOADED: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
 
 
 def _tokenizer(path: str):
@@ -39,28 +42,50 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        _LOADED[path] = (Tokenizer.from_file(path), [{}, {}])
     return _LOADED[path]
 
 
+def _core(chunk: str) -> tuple[str, str]:
+    """A chunk as two parts whose ids follow each other: letters end before a
+    mark in this tokenizer, and ASCII letters have the ids of their lower case."""
+    tail = chunk[-1:]
+    core = chunk[:-1]
+    if tail not in (",", ".") or not (core.isalpha() and core.lower().isalpha()):
+        core, tail = chunk, ""
+    return (core.lower() if core.isascii() and core.isalpha() else core), tail
+
+
 def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without the end id.
 
     Spaces and line feeds separate tokens in this tokenizer and leave none, so
     a text's ids are those of its chunks between them; chunks repeat and are
-    encoded once.
+    encoded once. When the young generation is full it becomes the old one, and
+    chunks still in use move back: the cache is bounded and keeps what repeats.
     """
-    tokenizer, known = _tokenizer(path)
-    for text in texts:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        fresh = [c for c in set(chunks) if c not in known]
-        if fresh:
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = list(set(chunks))
-            for c, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
-        yield b"".join(map(known.__getitem__, chunks))
+    tokenizer, generations = _tokenizer(path)
+    step, held = [], 0
+    for i, text in enumerate(texts):
+        step.append((text or "").replace("\n", " ").split(" "))
+        held += len(text or "")
+        if held < STEP_CHARS and i + 1 < len(texts):
+            continue
+        if len(generations[0]) > GENERATION:
+            generations[:] = [{}, generations[0]]
+        young, old = generations
+        missing = set().union(*step).difference(young)
+        fresh = {c: _core(c) for c in missing if c not in old}
+        young.update((c, old[c]) for c in missing if c in old)
+        parts = {core for core, _ in fresh.values()}.union(tail for _, tail in fresh.values()).difference(young)
+        young.update((p, old[p]) for p in parts if p in old)
+        unknown = [p for p in parts if p not in old]
+        encoded = tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
+        young.update((p, array("I", e.ids).tobytes()) for p, e in zip(unknown, encoded))
+        young.update((c, young[core] + young[tail]) for c, (core, tail) in fresh.items())
+        for chunks in step:
+            yield b"".join(map(young.__getitem__, chunks))
+        step, held = [], 0
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
