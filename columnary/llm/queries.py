@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, toxicity
+from . import chat, decontam, neardup, packing, secrets, toxicity
 
 #: Vocabulary of the packing query, by its name in the installed tokenizer files.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -7 whose texts hold control strings."""
     said = "</s>[INST] ok [/INST]"
@@ -72,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_chat_format, op4_near_duplicates, op7_decontamination, op9_packing, op10_toxicity)}
+LLM_QUERIES = {f.__name__: f for f in (op2_secrets, op3_chat_format, op4_near_duplicates, op7_decontamination, op9_packing, op10_toxicity)}
 
 LLM_ORACLES = {
     "op3_chat_format": """
