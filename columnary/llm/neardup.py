@@ -104,16 +104,32 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the least node each node of ``edges`` (a, b) can reach."""
-    ways = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = ways.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "least").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = cut(moved.join(jump, "label").select("node", "before", F.least("label", "further").alias("label")), "labels")
-        if labels.where(F.col("label") != F.col("before")).isEmpty():
-            return labels.select("node", "label")
+    """``node, label``: the least node each node of ``edges`` (a, b) can reach.
+
+    Contraction: every node points to its least neighbour, pointers are followed
+    a few steps, and edges are drawn anew between what they point to. Edges
+    inside one label vanish, so each round works on a fraction of the last.
+    """
+    rounds: list[DataFrame] = []
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    while not rounds or not left.isEmpty():
+        ends = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+        tops = left.select(F.col("a").alias("node"), F.col("a").alias("label"))
+        # a node without a smaller neighbour points to itself
+        points = cut(ends.union(tops).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        for _ in range(2):
+            further = points.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            points = cut(points.join(further, "label").select("node", F.col("further").alias("label")), "labels")
+        one = points.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        two = points.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        drawn = left.join(one, "a").join(two, "b").where("la <> lb")
+        left = cut(drawn.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        rounds.append(points)
+    labels = rounds.pop()
+    while rounds:
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        labels = rounds.pop().join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+    return cut(labels, "labels")
 
 
 def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, neardup, packing, secrets, toxicity
+from . import chat, decontam, linededup, neardup, packing, secret_scan, sharding, toxicity
 
 #: Vocabulary of the packing query, by its name in the installed tokenizer files.
 TOKENIZER = "word_bpe_49k.json"
 #: Score from which a document counts as toxic.
 TOXIC_FROM = 0.7
+SHARDS = 24
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -24,11 +25,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents"))
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),
-        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"),
     )
 
 
@@ -55,10 +56,19 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(read(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, tokenizer_path())
@@ -81,7 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secrets, op3_chat_format, op4_near_duplicates, op7_decontamination, op9_packing, op10_toxicity)}
+LLM_QUERIES = {f.__name__: f for f in (op2_secrets, op3_chat_format, op4_near_duplicates, op5_sharding, op7_decontamination, op8_line_dedup, op9_packing, op10_toxicity)}
 
 LLM_ORACLES = {
     "op3_chat_format": """

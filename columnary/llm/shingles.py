@@ -8,9 +8,9 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a Python worker keeps at most.
-CACHE = 1_000_000
+CACHE = 400_000
 #: Characters handled together; bounds the memory of a task.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 _KNOWN: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
