@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, neardup, packing, secret_scan, sharding, toxicity
+from . import chat, decontam, fingerprints, html_extract, linededup, neardup, packing, secret_scan, sharding, toxicity
 
 #: Vocabulary of the packing query, by its name in the installed tokenizer files.
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.main_texts(read(spark, sf_dir, "pages"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -61,6 +66,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fingerprints.compared(read(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text("own").alias("fingerprint"), fingerprints.as_text("changed").alias("edited_fingerprint"),
+        "near_edited", "near_next", "contained_edited",
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -91,7 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_secrets, op3_chat_format, op4_near_duplicates, op5_sharding, op7_decontamination, op8_line_dedup, op9_packing, op10_toxicity)}
+LLM_QUERIES = {f.__name__: f for f in (op1_html_text, op2_secrets, op3_chat_format, op4_near_duplicates, op5_sharding, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_packing, op10_toxicity)}
 
 LLM_ORACLES = {
     "op3_chat_format": """
