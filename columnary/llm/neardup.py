@@ -32,10 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import broadcast_if_small, cut, ship
 from .shingles import chunks, mix, shingle_set, similarity_sketch
 
 ROWS, BANDS = 5, 42
+#: Ids that may be broadcast to filter texts (a few MB).
+BROADCAST_IDS = 300_000
 WIDTH = 5
 
 
@@ -189,3 +191,15 @@ def _result(signed: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     found: Column = F.coalesce("component_id", "doc_id")
     return signed.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left").select(
         "doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``: the least id's; columns as they are.
+
+    Ids tell rows apart: rows that share the kept id stay together. Rows without
+    shingles are linked with nothing and stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = broadcast_if_small(cut(gone, "gone"), BROADCAST_IDS) if dict(docs.dtypes)["doc_id"] in ("int", "bigint") else cut(gone, "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")

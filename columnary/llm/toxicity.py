@@ -314,3 +314,21 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         return own.select("doc_id", F.lit(1 / (1 + math.exp(-model.intercept))).alias("score"))
     weighed = F.aggregate(F.zip_with("features", F.array(*map(F.lit, model.weights)), lambda x, w: x * w), F.lit(model.intercept), lambda s, x: s + x)
     return with_features(own, model.terms, ["doc_id"]).select("doc_id", (1 / (1 + F.exp(-weighed))).alias("score"))
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of ``docs`` (with ``text``) whose score is under ``limit``; columns as they are."""
+    ship(docs.sparkSession)
+    if not model.terms:
+        return docs if 1 / (1 + math.exp(-model.intercept)) < limit else docs.limit(0)
+    lexicon, weights, floor = tuple(model.terms.items()), model.weights, model.intercept
+    bar = math.log(limit / (1 - limit))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(lexicon)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            below = [floor + sum(w * x for w, x in zip(weights, features(t, automaton))) < bar for t in texts]
+            yield batch.filter(pa.array(below, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
