@@ -29,7 +29,7 @@ ASSIGN = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][c
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"(?i)\b(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|access_?key_?id)" + _SEP + r"[A-Za-z0-9@._-]{3,}"
-KEY = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
+KEY = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b(?:[A-Za-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b"
 #: Kinds in the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "ident", "key", "short", "endpoint")

@@ -1,0 +1,184 @@
+"""HTML extraction, shards, toxicity and the pipeline on small inputs."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from columnary.llm import html_extract as hx
+from columnary.llm import sharding, toxicity
+from columnary.llm.queries import LLM_ORACLES, LLM_QUERIES, op5_sharding, op10_toxicity
+
+SMALL = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, size long, shard string"
+
+
+@pytest.mark.parametrize("html, text", [
+    (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<script>var t='</p>';</script><style>p{}</style>", ""),
+    ("<nav>menu</nav><article><h1>T</h1><p><b>one<br>two  \n three<p>four</article><footer>f</footer>", "T\none\ntwo three\nfour"),
+    ("<div class='ad'>buy</div><div><p>" + "long text " * 30 + "</p></div><div id='comments'><p>nice</p></div>", " ".join(["long text"] * 30)),
+    ("<body><header>site</header><main><div class='cookie-notice'>ok?</div><article><header><h1>H</h1></header><p>a&nbsp;b &lt;c&gt; &#233;</p><aside>x</aside><form>f</form></article></main>", "H\na b <c> é"),
+    ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><!-- <p>no</p> --></article>", "a\nb\n1\n2\n3"),
+    ("<article><p>cut off in an ent&am", "cut off in an ent&am"),
+    ("<p title='a > b'>x</p><p hidden>y</p><p style='display: none'>z</p>", "x"),
+])
+def test_extract(html, text):
+    assert hx.extract(html) == text
+
+
+def test_template_of_a_host_goes(spark):
+    rng = random.Random(2)
+    pages, want = [], {}
+    for i in range(40):
+        body = " ".join(f"w{rng.randrange(999)}" for _ in range(30))
+        extra = "<div><p>extra</p></div>" if i % 5 == 0 else ""
+        pages.append((i, f"https://a.example/{i}", f"<body><div><p>Welcome to our site of many things</p></div>{extra}<div><p>{body}</p><p>more {i}</p></div><div><p>All rights kept by us</p></div>", "x"))
+        want[i] = (["extra"] if extra else []) + [body, f"more {i}"]
+    pages += [(100, None, "<p>x</p>", "x"), (101, "", None, "x"), (None, "no url", "<p>y</p>", "x"), (102, "https://b.example/1", "<div><p>Welcome to our site of many things</p></div>", "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in hx.main_texts(df).collect()}
+    for i in range(40):
+        assert "Welcome" not in got[i] and "rights" not in got[i]
+        assert got[i].split("\n")[-2:] == want[i][-2:]
+    assert (got[100], got[101], got[None], got[102]) == ("x", "", "y", "Welcome to our site of many things")
+    assert hx.main_texts(df.limit(0)).collect() == []
+
+
+def test_alignment_is_simple_tree_matching():
+    assert hx.align("html(a b(c d) e)", "html(a b(c d) e)") == (0, 1, 2, 3, 4, 5)
+    assert hx.align("html(a x b(c) e)", "html(a b(c d) e)") == (0, 1, -1, 2, 3, 5)
+    assert hx.align("html(a b(c) b(c))", "html(a b(c d))") == (0, 1, 2, 3, 2, 3)
+    assert hx.first_alike("html(a b(c) b(c d) a)") == (0, 1, 2, 3, 2, 3, 6, 1)
+    assert hx.align("html(b(d))", "html(a b(c d) e)") == (0, 2, 4)
+
+
+def test_pages_match_their_articles(spark):
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html").collect()
+    got = {r["page_id"]: r["text"] for r in LLM_QUERIES["op1_html_text"](spark, SMALL).collect()}
+    from html import unescape
+
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", article)]
+        assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_shards_are_even_and_keep_groups(spark):
+    rng = random.Random(3)
+    texts = ["x" * rng.randint(0, 400) + str(rng.randrange(600)) for _ in range(2_000)] + [None] * 5 + [""] * 3 + ["é😀" * 100] * 20
+    rows = [(i, t, 0, "q") for i, t in enumerate(texts)] + [(None, "n", 0, "q"), (1, texts[1], 0, "q")]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), 24).toPandas()
+    assert len(got) == len(rows)
+    bytes_of = got.groupby("shard")["size"].sum()
+    assert len(bytes_of) == 24 and bytes_of.max() <= 1.02 * bytes_of.mean()
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    for i, t in enumerate(texts[:50]):
+        row = got[got.doc_id == i].iloc[0]
+        assert (row["size"], row.text_crc32) == (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    homes = got[got.doc_id.notna()].assign(text=lambda d: d.doc_id.map(lambda i: texts[int(i)] or f"<{texts[int(i)]}>")).groupby("text").shard.nunique()
+    assert (homes == 1).all()
+
+
+def test_a_giant_group_is_dealt_out(spark):
+    rows = [(i, "same text", 0, "q") for i in range(900)] + [(1_000 + i, f"own text {i:4d}", 0, "q") for i in range(900)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), 8).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() <= 1.1 * sums.mean()
+    assert sharding.shard_documents(spark.createDataFrame([], DOCS), 8).count() == 0
+
+
+def test_best_fit_takes_the_tightest_bin():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 50, 300)
+    room = [400] * 20
+    got = sharding.best_fit_decreasing(sizes, room)
+    for i in np.argsort(-sizes, kind="stable"):
+        fits = [b for b in range(20) if room[b] >= sizes[i]]
+        want = min(fits, key=lambda b: room[b]) if fits else max(range(20), key=lambda b: room[b])
+        assert room[got[i]] == room[want]
+        room[got[i]] -= sizes[i]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row
+
+
+def test_automaton_against_edit_distance():
+    rng = random.Random(5)
+    terms = {"idiot$": 3.0, "wort": 2.0, "worthless$": 4.0, "lowei": 5.0, "abcabcabc": 1.5, "abd$": 1.0}
+    automaton = toxicity.Automaton(terms)
+    words = ["idiot", "idot", "idiots", "xidiot", "worthles", "wrthless", "loweixyz", "loweyxyz", "abd", "abda", "wor", ""]
+    words += ["".join(rng.choice("abcdilowert") for _ in range(rng.randint(1, 12))) for _ in range(3_000)]
+    words += ["".join(c for c in rng.choice(list(terms)).rstrip("$") if rng.random() > 0.1) + rng.choice(["", "x", "ab"]) for _ in range(3_000)]
+    for word in words:
+        best = (9, 0.0)
+        for term, weight in terms.items():
+            plain = term.rstrip("$")
+            near = edits(plain, word)[-1] if term.endswith("$") else min(edits(plain, word[:k])[-1] for k in range(len(word) + 1))
+            if near <= toxicity.allowed(term):
+                best = min(best, (near, -weight) if best[1] <= 0 else best) if best != (9, 0.0) else (near, -weight)
+        assert automaton.nearest(word) == (best[0], -best[1] if best[0] < 9 else 0.0), word
+
+
+def test_quoted_and_reported_hits_count_less():
+    automaton = toxicity.Automaton({"idiot$": 4.0})
+    plain, quoted, reported = (toxicity.features(t, automaton)[0] for t in ("you are an idiot my friend", 'the word "idiot" is old', "she said idiot was old"))
+    assert plain > reported > quoted > 0
+    assert toxicity.features(None, automaton) == toxicity.features("", automaton) == [0.0] * 5
+
+
+def test_toxicity_on_held_out_labels(spark):
+    got = {r["doc_id"]: r for r in op10_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    held = [i for i in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+    caught = sum(got[i]["predicted"] for i in held if labels[i]) / sum(labels[i] for i in held)
+    wrong = sum(got[i]["predicted"] for i in held if not labels[i]) / sum(1 - labels[i] for i in held)
+    assert caught > 0.9 and wrong < 0.01
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_toxicity_without_both_labels(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 1)], "text string, label int")
+    docs = spark.createDataFrame([(1, "a", 0, "s"), (None, None, 0, "s")], DOCS)
+    assert [r["score"] > 0.99 for r in toxicity.score(docs, toxicity.fit(rows)).collect()] == [True, True]
+    assert [r["score"] < 0.01 for r in toxicity.score(docs, toxicity.fit(rows.limit(0))).collect()] == [True, True]
+    assert toxicity.keep_below(docs, toxicity.fit(rows.limit(0)), 0.7).count() == 2
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SMALL)
+        assert kept.columns == docs.columns
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+    left = {r["doc_id"]: r["text"] for r in kept.collect()}
+    toxic = {r["doc_id"] for r in op10_toxicity(spark, SMALL).where("predicted = 1").collect()}
+    leaks = {r["doc_id"] for r in LLM_QUERIES["op7_decontamination"](spark, SMALL).collect()}
+    assert toxic and leaks and not (toxic | leaks) & set(left)
+    assert not any(re.search(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", t or "") for t in left.values())
+    packed = corpus_pipeline.run(spark, SMALL)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_registered(spark):
+    import __spark_entry__ as entry
+
+    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in entry.queries() if n.startswith("op")}
+    assert "pipeline" in entry.queries() and set(LLM_ORACLES) <= set(entry.oracle_sql())
+    law = op5_sharding(spark, SMALL).select("law").distinct().collect()
+    assert [r["law"] for r in law] == ["bytes"]
