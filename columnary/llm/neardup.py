@@ -71,8 +71,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text of each class in ``wanted``: ``class_key, text``."""
-    chosen = classes.join(wanted, "class_key", "left_semi").select(F.col("rep").alias("chosen"))
-    found = docs.select("doc_id", "text").join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text")
+    chosen = classes.join(wanted, "class_key", "left_semi").select(F.col("rep").alias("chosen")).distinct()
+    # ids are of fixed size where numeric: their number bounds a broadcast, and texts are filtered in place
+    chosen = broadcast_if_small(chosen, BROADCAST_IDS) if dict(docs.dtypes)["doc_id"] in ("int", "bigint") else chosen
+    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,13 +175,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = bands.groupBy("band").agg(F.min("class_key").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "b")
     crowded = cut(bands.join(buckets, "band"), "buckets")
     star = cut(crowded.where("class_key <> b").select(F.col("class_key").alias("a"), "b").distinct(), "pairs")
-    wanted = star.select(F.col("a").alias("class_key")).union(star.select("b")).distinct()
-    links = cut(linked(star, _class_texts(docs, reps, wanted)), "links")
+    texts = cut(_class_texts(docs, reps, crowded.select("class_key").distinct()), "texts")
+    links = cut(linked(star, texts), "links")
     first = components(links)
     named = crowded.select("band", "class_key").join(first.withColumnRenamed("node", "class_key"), "class_key", "left").withColumn("label", F.coalesce("label", "class_key"))
     mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     members = cut(named.join(mixed, "band", "left_semi").select("class_key", "label").distinct(), "members")
-    texts = cut(_class_texts(docs, reps, members.select("class_key")), "texts")
     more = cut(linked(_rest_pairs(members, texts), texts), "links")
     labels = components(links.union(more)) if not more.isEmpty() else first
     return _result(signed, reps, labels)
