@@ -115,10 +115,10 @@ samp AS (
          coalesce(avg(regexp_full_match(trim(t), '[A-Z0-9._%+\\-]+@[A-Z0-9.\\-]+\\.[A-Z]{{2,}}', 'i')::INT) FILTER (trim(t) <> ''), 0) AS email_share,
          coalesce(avg(regexp_full_match(trim(t), '\\+?[0-9][0-9\\-\\s().]{{6,}}')::INT) FILTER (trim(t) <> ''), 0) AS phone_share,
          coalesce(avg({url}::INT) FILTER (trim(t) <> ''), 0) AS url_share,
-         coalesce(avg(regexp_matches(trim(t), '{DATE_LIKE}')::INT) FILTER (rk <= 25), 0) AS date_share,
+         coalesce(avg(regexp_matches(trim(t), '{DATE_LIKE}')::INT), 0) AS date_share,
          list(DISTINCT regexp_replace(lower(trim(t)), '\\s+', ' ', 'g')) FILTER (trim(t) <> '') AS normalized,
-         string_agg(left(t, 60), '|' ORDER BY rk) FILTER (rk <= 5) AS sample_values
-  FROM ranked WHERE rk <= 40 GROUP BY ordinal),
+         string_agg(t, '|' ORDER BY rk) FILTER (rk <= 5) AS sample_values
+  FROM ranked GROUP BY ordinal),
 ratios AS (
   SELECT f.*, s.* EXCLUDE (ordinal), tops.top_n, coalesce(tops.bits, 0) AS bits, {words('f.name')} AS tokens,
          CASE WHEN non_null > 0 THEN bool_n / non_null ELSE 0 END AS bool_ratio,

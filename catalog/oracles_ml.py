@@ -92,11 +92,11 @@ SELECT label, 'test' AS side, k AS n FROM fill UNION ALL SELECT label, 'train',
     for key, data in (("identifier_like", "documents"), ("identifier_like_dirty", "dirty")):
         out[key] = f"""WITH {base(data)},
 f AS (SELECT ordinal, name, count(t) AS n, count(DISTINCT t) AS u FROM long WHERE lane = 'text' GROUP BY 1, 2),
-l AS (SELECT ordinal, avg(length(t)) AS m FROM (SELECT ordinal, t, row_number() OVER (PARTITION BY ordinal ORDER BY rid) AS rk FROM long WHERE t IS NOT NULL) WHERE rk <= 160 GROUP BY 1)
+l AS (SELECT ordinal, avg(length(t)) AS m FROM (SELECT ordinal, t, row_number() OVER (PARTITION BY ordinal ORDER BY rid) AS rk FROM long WHERE t IS NOT NULL) GROUP BY 1)
 SELECT name AS "column", round(u / n, 4) AS unique_share, round(m, 4) AS mean_length, u / n >= 0.92 OR (u / n >= 0.55 AND m >= 12) AS identifier_like FROM f JOIN l USING (ordinal) WHERE n >= 20"""
     out["supervised_diagnostics"] = f"""WITH {base('part')},
 f AS (SELECT ordinal, name, count(t) AS n, count(DISTINCT t) AS u, count(DISTINCT t) + (count(*) > count(t))::INT AS kinds FROM long WHERE lane = 'text' GROUP BY 1, 2),
-l AS (SELECT ordinal, avg(length(t)) AS m FROM (SELECT ordinal, t, row_number() OVER (PARTITION BY ordinal ORDER BY rid) AS rk FROM long WHERE t IS NOT NULL) WHERE rk <= 160 GROUP BY 1),
+l AS (SELECT ordinal, avg(length(t)) AS m FROM (SELECT ordinal, t, row_number() OVER (PARTITION BY ordinal ORDER BY rid) AS rk FROM long WHERE t IS NOT NULL) GROUP BY 1),
 g AS (SELECT *, n >= 20 AND (u / n >= 0.92 OR (u / n >= 0.55 AND m >= 12)) AS flagged FROM f JOIN l USING (ordinal)),
 c AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS test, count(DISTINCT p_retailprice) AS kinds FROM part WHERE p_retailprice IS NOT NULL)
 SELECT CASE WHEN kinds > 10 THEN 'regression' ELSE 'classification' END AS task_type, n AS rows_available, n AS rows_used, n - test AS training_rows, test AS test_rows,

@@ -2,7 +2,7 @@
 
 from .dates import day_ordinal, parse_timestamp, time_text
 from .numbers import clamp_unit, double_text, parse_number, rounded, safe_ratio, sample_skew
-from .text import column, has_any_token, missing_label, name_tokens, normalized_text, text_key, text_key_length
+from .text import column, has_any_token, missing_label, name_tokens, normalized_text, text_key, text_key_length, text_key_notes
 
 __all__ = [
     "clamp_unit", "column", "day_ordinal", "double_text", "has_any_token", "missing_label", "name_tokens",

@@ -36,20 +36,27 @@ def missing_label(value: Column) -> Column:
     return F.coalesce(value, F.lit(MISSING_LABEL))
 
 
-def text_key(value: Column) -> Column:
+def text_key(value: Column, notes: Column | None = None) -> Column:
     """A grouping key of bounded width for a text.
 
     Short texts are their own key. A long text is replaced by its first 64
     characters (kept for a readable sort order), its length and the SHA-256 of
     the *whole* text, so that grouping free text moves about 140 characters per
-    row instead of the document.
+    row instead of the document. ``notes`` are facts about the whole text that
+    travel inside the digest.
     """
+    said = F.lit("") if notes is None else notes
     digest = F.concat(
-        F.substring(value, 1, 64), F.lit(_MARK), F.length(value).cast("string"), F.lit(_MARK), F.sha2(value, 256)
+        F.substring(value, 1, 64), F.lit(_MARK), said, F.lit(_MARK), F.length(value).cast("string"), F.lit(_MARK), F.sha2(value, 256)
     )
     return F.when(F.length(value) > LONG_TEXT, digest).otherwise(value)
 
 
+def text_key_notes(key: Column) -> Column:
+    """The notes of a digest."""
+    return F.element_at(F.split(key, _MARK), -3)
+
+
 def is_digest(key: Column) -> Column:
     """Only digests are longer than ``LONG_TEXT``."""
     return F.length(key) > LONG_TEXT

@@ -17,12 +17,9 @@ from .. import vocab
 from ..functions import day_ordinal, rounded, safe_ratio
 from .dataset import BOOL, DOUBLE, LONG, TEXT, TIME, Dataset, pin
 from .ranks import exact_quantiles
-from .samples import head_values
 from .stats import PASS_WIDTH
 from .tally import column_facts, restore_labels, top_labels
 
-IDENTIFIER_SAMPLE = 160
-
 
 def is_number(ds: Dataset, name: str) -> bool:
     return ds.get(name).lane in (LONG, DOUBLE, BOOL)
@@ -43,8 +40,7 @@ def task_type(ds: Dataset, target: str) -> str:
 
 def identifier_like(ds: Dataset) -> DataFrame:
     """Text columns too close to unique, or long and fairly unique, to be inputs."""
-    lengths = head_values(ds, IDENTIFIER_SAMPLE).groupBy("ordinal").agg(F.avg(F.length("v")).alias("mean_length"))
-    facts = column_facts(ds).where((F.col("lane") == TEXT) & (F.col("non_null") >= 20)).join(F.broadcast(lengths), "ordinal")
+    facts = column_facts(ds).where((F.col("lane") == TEXT) & (F.col("non_null") >= 20)).withColumn("mean_length", safe_ratio(F.col("text_length"), F.col("non_null")))
     share = safe_ratio(F.col("unique"), F.col("non_null"))
     flagged = (share >= vocab.IDENTIFIER_SHARE) | ((share >= 0.55) & (F.col("mean_length") >= 12.0))
     return facts.select("ordinal", F.col("name").alias("column"), rounded(share, 4).alias("unique_share"), rounded("mean_length", 4).alias("mean_length"), flagged.alias("identifier_like"))

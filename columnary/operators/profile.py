@@ -1,7 +1,8 @@
 """Column profile: inferred type, semantic type, role, counts, samples.
 
 Everything is decided by one CASE per rule over the per-column facts table, so
-the data is read for the tally and for one top-k sample, nothing else.
+the data is read for the tally and for one top-k of values to show, nothing
+else. Pattern shares, the date test and the scales ask every value.
 """
 
 from __future__ import annotations
@@ -12,41 +13,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import has_any_token, name_tokens, normalized_text, rounded, safe_ratio
+from ..functions import has_any_token, name_tokens, rounded, safe_ratio
 from .dataset import TIME, Dataset, pin
 from .samples import head_values
 from .tally import column_facts
 
-SAMPLE, DATE_SAMPLE, SHOWN = 40, 25, 5
+SHOWN = 5
 
 
 def sample_facts(ds: Dataset) -> DataFrame:
-    """Per column: pattern shares and the set of normalised sample values."""
-    v = F.trim("v")
-    url = vocab.URL_EXACT_PATTERN if ds.semantic_rules == "reference" else vocab.URL_PREFIX_PATTERN
-    filled = v != ""
-
-    def share(pattern: str) -> Column:
-        return F.coalesce(F.avg(F.when(filled, v.rlike(pattern).cast("double"))), F.lit(0.0))
-
-    early = F.col("rank") <= DATE_SAMPLE
-    shown = F.when(F.col("rank") <= SHOWN, F.struct("rank", "v"))
-    return head_values(ds, SAMPLE).groupBy("ordinal").agg(
-        share(vocab.EMAIL_PATTERN).alias("email_share"),
-        share(vocab.PHONE_PATTERN).alias("phone_share"),
-        share(url).alias("url_share"),
-        F.coalesce(F.avg(F.when(early, v.rlike(vocab.DATE_LIKE_PATTERN).cast("double"))), F.lit(0.0)).alias("date_share"),
-        F.collect_set(F.when(filled, normalized_text(F.col("v")))).alias("normalized"),
-        F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["v"]).alias("sample_values"),
-    )
+    """Per column: the first values in row order, to show."""
+    return head_values(ds, SHOWN).groupBy("ordinal").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda s: s["v"]).alias("sample_values"))
 
 
 def column_ratios(ds: Dataset) -> DataFrame:
     """Shares behind the type rules, one row per column (unrounded)."""
     facts = column_facts(ds).join(F.broadcast(sample_facts(ds)), "ordinal", "left")
     non_null = F.col("non_null")
-    for share in ("email_share", "phone_share", "url_share", "date_share"):
-        facts = facts.withColumn(share, F.coalesce(F.col(share), F.lit(0.0)))
+    url = "url_exact_n" if ds.semantic_rules == "reference" else "url_prefix_n"
+    # times read like dates only where no value has a time of day
+    readable = (F.col("lane") != TIME) | F.col("midnight")
+    for share, part, whole in (("email_share", "email_n", "filled_n"), ("phone_share", "phone_n", "filled_n"), ("url_share", url, "filled_n"), ("date_share", "date_like_n", "non_null")):
+        facts = facts.withColumn(share, F.when(readable, safe_ratio(F.col(part), F.col(whole))).otherwise(0.0))
     tokens = name_tokens(F.col("name"))
     named = has_any_token(tokens, vocab.DATE_TOKENS)
     return (
@@ -90,8 +79,7 @@ def semantic_rules(strict: bool) -> list[tuple[Column, str, float]]:
         hit = F.col(part) >= 0.9
         return hit & wordy if strict else hit
 
-    scales = [F.size(F.array_except("normalized", F.array(*[F.lit(w) for w in s]))) == 0 for s in vocab.ORDINAL_SCALES]
-    on_scale = (F.size("normalized") > 0) & reduce(lambda a, b: a | b, scales)
+    on_scale = (F.col("filled_n") > 0) & reduce(lambda a, b: a | b, [F.col(f"scale_{i}") for i in range(len(vocab.ORDINAL_SCALES))])
     number = kind == "numeric"
     return [
         (F.col("non_null") == 0, "unknown", 0.0),
@@ -190,7 +178,7 @@ def column_profile(ds: Dataset) -> DataFrame:
 def sample_values(ds: Dataset, k: int = SHOWN) -> DataFrame:
     """First k non-null values per column in row order."""
     names = column_facts(ds).select("ordinal", "name")
-    return head_values(ds, max(k, SAMPLE)).where(F.col("rank") <= k).join(F.broadcast(names), "ordinal").select("name", "rank", F.col("v").alias("value"))
+    return head_values(ds, k).where(F.col("rank") <= k).join(F.broadcast(names), "ordinal").select("name", "rank", F.col("v").alias("value"))
 
 
 def header_tokens(ds: Dataset) -> DataFrame:

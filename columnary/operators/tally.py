@@ -15,8 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse_number, parse_timestamp, text_key, text_key_length
-from ..functions.text import column
+from .. import vocab
+from ..functions import double_text, normalized_text, parse_number, parse_timestamp, text_key, text_key_length, text_key_notes
+from ..functions.text import column, is_digest
 from ..vocab import BOOLEAN_WORDS, DATE_TOKENS, LATITUDE_TOKENS, LONGITUDE_TOKENS, PERCENT_TOKENS
 from .dataset import BOOL, DOUBLE, LONG, TEXT, TIME, Dataset, Field, pin
 
@@ -42,7 +43,7 @@ def tally(ds: Dataset, fields: list[Field], by: list[Column] | None = None) -> D
     """Distinct values and their counts for columns of one lane."""
     def key(f: Field) -> Column:
         if f.lane in (TEXT, BOOL):
-            return text_key(ds.text(f.name))
+            return text_key(ds.text(f.name), _notes(ds.text(f.name)))
         return ds.value(f.name)
 
     long = melt(ds, {f.ordinal: key(f) for f in fields}, by)
@@ -86,6 +87,24 @@ def restore_labels(ds: Dataset, top: DataFrame) -> DataFrame:
     return joined.select(*keep)
 
 
+#: Value patterns, each with the letter that stands for it in a digest.
+PATTERNS = {
+    "email": ("e", vocab.EMAIL_PATTERN), "phone": ("p", vocab.PHONE_PATTERN), "url_exact": ("x", vocab.URL_EXACT_PATTERN),
+    "url_prefix": ("u", vocab.URL_PREFIX_PATTERN), "date_like": ("d", vocab.DATE_LIKE_PATTERN), "filled": ("f", r"[\s\S]"),
+}
+
+
+def _notes(text: Column) -> Column:
+    """Letters of the patterns that a whole text meets."""
+    return F.concat(*[F.when(F.trim(text).rlike(p), letter).otherwise("") for letter, p in PATTERNS.values()])
+
+
+def _meets(text: Column, name: str, digests: bool) -> Column:
+    letter, pattern = PATTERNS[name]
+    plain = F.trim(text).rlike(pattern)
+    return F.when(is_digest(text), F.contains(text_key_notes(text), F.lit(letter))).otherwise(plain) if digests else plain
+
+
 # -- column facts -------------------------------------------------------------
 def _measured(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
     """Tally rows with what the rules ask of a value, in one shape for all lanes.
@@ -96,15 +115,18 @@ def _measured(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
     v = F.col("v")
     false, nothing = F.lit(False), F.lit(None).cast("double")
     x, truthy, dated, length, day = nothing, false, false, F.lit(0).cast("long"), false
+    shown = v  # the value as it reads in a cell
     if lane == LONG:
+        shown = v.cast("string")
         x, truthy = v.cast("double"), v.isin(0, 1)
         asked = [f.ordinal for f in fields if header_words(f.name) & set(DATE_TOKENS)]
         if asked:
             shaped = F.col("ordinal").isin(asked) & (v.between(1000, 9999) | v.between(10000101, 99991231))
             dated = F.when(shaped, parse_timestamp(v.cast("string"))).isNotNull()
     elif lane == DOUBLE:
-        x = v
+        x, shown = v, double_text(v)
     elif lane == TIME:
+        shown = F.substring(v.cast("string"), 1, 10)  # asked only where all values are days
         dated, day = v.isNotNull(), v == F.date_trunc("day", v).cast("timestamp_ntz")
     else:
         x, truthy = parse_number(v), F.lower(F.trim(v)).isin(BOOLEAN_WORDS)
@@ -112,6 +134,8 @@ def _measured(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
     return rows.select(
         "ordinal", "n", v.isNotNull().alias("present"), x.alias("x"), truthy.alias("truthy"), dated.alias("dated"),
         length.alias("length"), F.coalesce(day, false).alias("day"),
+        *[F.coalesce(_meets(shown, name, lane == TEXT), false).alias(name) for name in PATTERNS],
+        (normalized_text(v) if lane == TEXT else F.lit(None).cast("string")).alias("normal"),
     )
 
 
@@ -150,13 +174,17 @@ def _facts(measured: DataFrame, fields: list[Field]) -> DataFrame:
         (weight(x.between(0, 1)) if shared else zero).alias("unit_n"),
         (weight(x.between(0, 100)) if shared else zero).alias("pct_n"),
         F.coalesce(F.bool_and((x > -1) & (x < 2)), F.lit(False)).alias("unit_like"),
+        *[weight(F.col(name)).alias(f"{name}_n") for name in PATTERNS],
+        *[F.coalesce(F.bool_and(F.when(F.col("filled"), F.coalesce(F.col("normal").isin(scale), F.lit(False)))), F.lit(False)).alias(f"scale_{i}") for i, scale in enumerate(vocab.ORDINAL_SCALES)],
     )
 
 
 FACT_NAMES = [
     "rows", "non_null", "unique", "top_n", "n_log_n", "bool_n", "date_n", "text_length", "midnight",
     "num_n", "num_unique", "int_n", "nonneg_n", "lat_n", "lng_n", "unit_n", "pct_n", "unit_like",
+    *[f"{name}_n" for name in PATTERNS], *[f"scale_{i}" for i in range(len(vocab.ORDINAL_SCALES))],
 ]
+_TRUTHS = {"midnight", "unit_like", *[f"scale_{i}" for i in range(len(vocab.ORDINAL_SCALES))]}
 
 
 def column_facts(ds: Dataset) -> DataFrame:
@@ -176,7 +204,7 @@ def _column_facts(ds: Dataset) -> DataFrame:
         [(f.ordinal, f.name, f.lane) for f in ds.fields], "ordinal int, name string, lane string"
     )
     filled = [
-        F.coalesce(F.col(k), F.lit(False) if k in ("midnight", "unit_like") else F.lit(0.0) if k == "n_log_n" else F.lit(0).cast("long")).alias(k)
+        F.coalesce(F.col(k), F.lit(False) if k in _TRUTHS else F.lit(0.0) if k == "n_log_n" else F.lit(0).cast("long")).alias(k)
         for k in FACT_NAMES
     ]
     table = heads.join(F.broadcast(facts), "ordinal", "left").select("ordinal", "name", "lane", *filled)
