@@ -11,6 +11,8 @@ ORDER = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "dirty": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"],
     "orders": ["o_orderkey"],
+    "late": ["o_orderkey"],
+    "exact": None,
     "order_pairs": None,
     "customer": ["c_custkey"],
     "part": ["p_partkey"],
@@ -39,12 +41,29 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
 FROM lineitem
 """
 
+#: Orders whose first values are on a scale and later ones are not.
+LATE = """
+SELECT o_orderkey, CASE WHEN o_orderkey > 200 THEN concat('zone ', CAST(o_orderkey % 50 AS {text})) WHEN o_orderkey % 2 = 0 THEN 'low' ELSE 'high' END AS grade,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'small' WHEN o_orderkey % 3 = 1 THEN 'medium' ELSE 'large' END AS parcel,
+       CASE WHEN o_orderkey > 200 THEN concat('p', CAST(o_orderkey AS {text})) ELSE concat('user', CAST(o_orderkey AS {text}), '@mail.org') END AS contact_text
+FROM orders
+"""
+#: Prices whose exact values differ in digits that doubles do not hold.
+EXACT = """
+SELECT CAST(12345678901234567 AS DECIMAL(30, 2)) + CAST((l_linenumber % 4) / 100.0 AS DECIMAL(30, 2)) AS exact_amount, l_returnflag
+FROM lineitem
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "dirty":
         lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         body = DIRTY.format(text="STRING", slash_date="date_format(l_shipdate, 'yyyy/MM/dd')")
         return spark.sql(body.replace("FROM lineitem", "FROM {lines}"), lines=lines)
+    if name == "late":
+        return spark.sql(LATE.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    if name == "exact":
+        return spark.sql(EXACT.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if name == "order_pairs":
         return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderpriority")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,6 +107,12 @@ def multi_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule-made prediction of one class per part."""
+    part = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select(part.cast("string").alias("actual"), F.when(F.col("l_linenumber") <= 3, part).otherwise(part + 1).cast("string").alias("prediction"))
+
+
 def value_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule-made regression over line items."""
     return table(spark, sf_dir, "lineitem").select(
@@ -109,8 +134,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An experiments table: one experiment per urgent order."""
-    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(
+    """An experiments table: one experiment per order."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("analysis_id"),
         F.format_string("exp_%08d", F.col("o_orderkey")).alias("experiment_id"),
         F.when(F.col("o_orderkey") % 3 == 0, "unsupervised").otherwise("supervised").alias("experiment_type"),
@@ -121,6 +146,6 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deleted_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tombstones: experiments of finished orders."""
-    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
         F.col("o_custkey").alias("analysis_id"), F.format_string("exp_%08d", F.col("o_orderkey")).alias("experiment_id")
     )

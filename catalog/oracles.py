@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from .inputs import DIRTY
+from .inputs import DIRTY, EXACT, LATE
 
 # -- tables -----------------------------------------------------------------------
 COLUMNS = {
     "lineitem": "l_orderkey:long l_partkey:long l_suppkey:long l_linenumber:long l_quantity:double l_extendedprice:double l_discount:double l_tax:double l_returnflag:text l_linestatus:text l_shipdate:day",
     "dirty": "l_orderkey:long l_partkey:long l_suppkey:long l_linenumber:long l_extendedprice:double order_quantity:double discount_rate:double net_price:double spike:double mixed:text const:text near_const:text order_code:text return_status:text is_open:bool priority:text ship_text:text",
     "orders": "o_orderkey:long o_custkey:long o_orderstatus:text o_totalprice:double o_orderdate:day o_orderpriority:text",
+    "late": "o_orderkey:long grade:text parcel:text contact_text:text",
     "order_pairs": "o_orderstatus:text o_orderpriority:text",
     "customer": "c_custkey:long c_name:text c_nationkey:long c_acctbal:double c_mktsegment:text",
     "part": "p_partkey:long p_name:text p_brand:text p_type:text p_size:long p_retailprice:double",
@@ -24,7 +25,7 @@ COLUMNS = {
 ORDER = {
     "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate",
     "dirty": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice",
-    "orders": "o_orderkey", "order_pairs": "o_orderstatus, o_orderpriority", "customer": "c_custkey", "part": "p_partkey",
+    "orders": "o_orderkey", "late": "o_orderkey", "order_pairs": "o_orderstatus, o_orderpriority", "customer": "c_custkey", "part": "p_partkey",
     "events": "ts, event_id", "documents": "doc_id",
 }
 DIRTY_SQL = DIRTY.format(text="VARCHAR", slash_date="strftime(l_shipdate, '%Y/%m/%d')")
@@ -43,6 +44,8 @@ def columns(data: str) -> list[tuple[str, str]]:
 def source(data: str) -> str:
     if data == "dirty":
         return f"({DIRTY_SQL})"
+    if data == "late":
+        return f"({LATE.format(text='VARCHAR')})"
     return "orders" if data == "order_pairs" else data
 
 
@@ -193,6 +196,8 @@ UNION ALL SELECT 4, 'is_open', 'bool', count(is_open), count(*) - count(is_open)
 UNION ALL SELECT 5, 'ship_text', 'text', count(ship_text), count(*) - count(ship_text), count(DISTINCT ship_text) FROM src"""
 add("report_sink", "part", "SELECT CAST(2 AS BIGINT) AS analysis_id, ordinal, name, inferred_type, uniq AS unique_count, non_null AS non_null_count FROM prof")
 
+add("report_sink_replaced", "orders", "SELECT name, inferred_type, CAST(3 AS BIGINT) AS analysis_id, 'types' AS section FROM prof")
+
 # -- B. column profile ------------------------------------------------------------------
 PROFILE_SELECT = """SELECT ordinal, name, inferred_type, semantic_type, semantic_confidence, likely_role, non_null AS non_null_count,
        round(non_null / greatest(row_n, 1), 4) AS non_null_pct, missing AS missing_count, missing_pct, uniq AS unique_count, unique_pct,
@@ -207,6 +212,12 @@ add("column_types", "dirty", "SELECT name, inferred_type FROM prof")
 add("header_tokens", "dirty", "SELECT name, unnest(list_distinct(tokens)) AS token FROM prof")
 add("pattern_shares", "dirty", "SELECT name, email_share, phone_share, url_share FROM prof")
 add("integer_ratio", "dirty", "SELECT name, round(int_ratio, 6) AS int_ratio FROM prof WHERE num_n > 0")
+add("semantic_types_late_values", "late", "SELECT name, inferred_type, semantic_type, likely_role FROM prof")
+ORACLES["column_counts_decimal"] = f"""WITH src AS ({EXACT})
+SELECT 'exact_amount' AS name, count(exact_amount) AS non_null_count, count(DISTINCT exact_amount) AS unique_count FROM src
+UNION ALL SELECT 'l_returnflag', count(l_returnflag), count(DISTINCT l_returnflag) FROM src"""
+ORACLES["duplicate_rows_decimal"] = f"""SELECT sum(n)::BIGINT AS row_count, count(*) AS distinct_row_count, (sum(n) - count(*))::BIGINT AS duplicate_row_count
+FROM (SELECT count(*) AS n FROM ({EXACT}) GROUP BY exact_amount, l_returnflag)"""
 add("semantic_types", "dirty", "SELECT name, semantic_type, semantic_confidence FROM prof")
 add("semantic_types_strict", "orders", "SELECT name, semantic_type, semantic_confidence, likely_role FROM prof", strict=True)
 add("column_roles", "dirty", "SELECT name, likely_role FROM prof")

@@ -61,7 +61,7 @@ UNION ALL SELECT feature, 'categorical', CAST(rk AS INT), NULL, NULL, label, cou
 RUNS = """runs AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS user_id, c_name AS display_name, lower(c_mktsegment) || '.csv' AS source_filename,
   CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'completed' END AS status, c_name AS dataset_name, 'Segment ' || c_mktsegment AS summary, c_acctbal > 2000 AS is_ready FROM customer),
 allexp AS (SELECT o_custkey AS analysis_id, printf('exp_%08d', o_orderkey) AS experiment_id, CASE WHEN o_orderkey % 3 = 0 THEN 'unsupervised' ELSE 'supervised' END AS experiment_type,
-  strftime(o_orderdate, '%Y-%m-%d') AS created_at, 'Status ' || o_orderstatus AS summary, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'),
+  strftime(o_orderdate, '%Y-%m-%d') AS created_at, 'Status ' || o_orderstatus AS summary, o_orderstatus FROM orders),
 exp AS (SELECT * FROM allexp WHERE o_orderstatus <> 'F'),
 latest AS (SELECT analysis_id, count(*) OVER (PARTITION BY analysis_id) AS n, experiment_id, summary AS latest_summary FROM exp
            QUALIFY row_number() OVER (PARTITION BY analysis_id ORDER BY created_at DESC, experiment_id DESC) = 1),
@@ -87,6 +87,8 @@ part AS (SELECT *, floor(e) AS f, row_number() OVER (ORDER BY floor(e) - e, labe
 fill AS (SELECT label, n, CAST(f + CASE WHEN rk <= {total} - (SELECT sum(f) FROM part) THEN 1 ELSE 0 END AS BIGINT) AS k FROM part)"""
     out["stratified_split"] = "WITH " + quota.format(g="o_orderpriority", total="(SELECT ceil(0.2 * count(*)) FROM orders)") + """
 SELECT label, 'test' AS side, k AS n FROM fill UNION ALL SELECT label, 'train', n - k FROM fill"""
+    out["stratified_split_repeated_key"] = out["stratified_split"]
+    out["stratified_split_no_key"] = out["stratified_split"].replace("o_orderpriority", "lang").replace("FROM orders", "FROM documents")
     out["stratified_sample"] = "WITH " + quota.format(g="o_orderstatus", total="least(5000, (SELECT count(*) FROM orders))") + "\nSELECT label AS o_orderstatus, k AS n FROM fill"
     out["day_ordinals"] = "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', CAST(o_orderdate AS DATE)) + 1 AS day_number FROM orders"
     for key, data in (("identifier_like", "documents"), ("identifier_like_dirty", "dirty")):
@@ -129,6 +131,10 @@ SELECT cells.feature, CASE WHEN kept.v IS NULL THEN 'infrequent' ELSE cells.v EN
 SELECT 'True' AS positive_label, 'is_open' AS target UNION ALL SELECT * FROM (SELECT near_const, 'near_const' FROM src GROUP BY near_const ORDER BY count(*), near_const LIMIT 1)"""
     out["confusion_metrics"] = f"WITH {YES_NO},\n{CLASS_METRICS}\n{MET_SELECT}"
     out["confusion_metrics_multiclass"] = f"WITH {THREE},\n{CLASS_METRICS}\n{MET_SELECT}"
+    out["confusion_metrics_many_classes"] = f"""WITH preds AS (SELECT CAST(l_partkey AS VARCHAR) AS actual,
+  CAST(CASE WHEN l_linenumber <= 3 THEN l_partkey ELSE l_partkey + 1 END AS VARCHAR) AS prediction FROM lineitem),
+{CLASS_METRICS}
+{MET_SELECT}"""
     out["roc_auc"] = f"WITH {YES_NO},\n{AUC}\nSELECT round(roc_auc, 6) AS roc_auc FROM auc"
     out["average_precision"] = f"""WITH {YES_NO},
 sc AS (SELECT score, count(*) FILTER (positive) AS pos, count(*) AS n FROM preds GROUP BY 1),

@@ -71,6 +71,17 @@ def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_section(spark, path, "column_profile", 2).select("analysis_id", "ordinal", "name", "inferred_type", "unique_count", "non_null_count")
 
 
+@query("report_sink_replaced")
+def report_sink_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full section written again as an empty one, and one that was empty from the start."""
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    full = profile.column_profile(dataset(spark, sf_dir, "orders")).select("name", "inferred_type")
+    for run, kept in ((1, full), (1, full.limit(0)), (2, full.limit(0)), (3, full)):
+        write_sections({"types": kept, "never": full.limit(0)}, path, run)
+    types = read_section(spark, path, "types").withColumn("section", F.lit("types"))
+    return types.unionByName(read_section(spark, path, "never").withColumn("section", F.lit("never")))
+
+
 # -- B. column profile ----------------------------------------------------------
 def _profile(ds: Dataset) -> DataFrame:
     return profile.column_profile(ds).withColumn("sample_values", F.concat_ws("|", "sample_values"))
@@ -90,6 +101,8 @@ _on("header_tokens", "dirty", lambda ds: profile.header_tokens(ds))
 _on("pattern_shares", "dirty", lambda ds: profile.column_ratios(ds).select("name", "email_share", "phone_share", "url_share"))
 _on("integer_ratio", "dirty", lambda ds: profile.column_ratios(ds).where("num_n > 0").select("name", rounded("int_ratio", 6).alias("int_ratio")))
 _on("semantic_types", "dirty", lambda ds: profile.profile_facts(ds).select("name", "semantic_type", "semantic_confidence"))
+_on("semantic_types_late_values", "late", lambda ds: profile.profile_facts(ds).select("name", "inferred_type", "semantic_type", "likely_role"))
+_on("column_counts_decimal", "exact", lambda ds: profile.column_profile(ds).select("name", "non_null_count", "unique_count"))
 _on("column_roles", "dirty", lambda ds: profile.profile_facts(ds).select("name", "likely_role"))
 
 
@@ -110,6 +123,7 @@ _on("unsupported_columns", "embeddings", lambda ds: ds.unsupported_columns().sel
 # -- C. data quality --------------------------------------------------------------
 _on("missing_by_column", "dirty", lambda ds: quality.missing_by_column(ds).select("column", "missing_count", "missing_pct"))
 _on("missing_cells", "dirty", lambda ds: quality.missing_cells(ds).withColumn("total_missing_pct", rounded("total_missing_pct", 6)))
+_on("duplicate_rows_decimal", "exact", lambda ds: quality.duplicate_rows(ds))
 _on("duplicate_rows", "order_pairs", lambda ds: quality.duplicate_rows(ds))
 _on("duplicate_rows_text", "documents", lambda ds: quality.duplicate_rows(Dataset(ds.source.select("text", "lang"), "texts")))
 _on("constant_columns", "dirty", lambda ds: quality.constant_columns(ds).select("column"))
@@ -162,16 +176,16 @@ _on("dominant_categories", "dirty", lambda ds: stats.dominant_categories(ds).dro
 
 # -- E. chart tables and drift --------------------------------------------------------
 _on("missingness", "dirty", lambda ds: charts.missingness(ds).drop("ordinal"))
-_on("histograms", "lineitem", lambda ds: charts.histograms(ds).drop("ordinal"))
-_on("boxplots", "dirty", lambda ds: charts.boxplots(ds).drop("ordinal"))
-_on("top_categories", "dirty", lambda ds: charts.top_categories(ds).drop("ordinal"))
-_on("correlation_heatmap", "dirty", lambda ds: charts.correlation_heatmap(ds).select("x", "y", "value"))
-_on("pairwise_scatter", "events", lambda ds: charts.pairwise_scatter(ds))
-_on("drift_numeric", "events", lambda ds: drift.numeric_drift(ds).drop("ordinal"))
-_on("drift_categorical", "events", lambda ds: drift.categorical_drift(ds).drop("ordinal"))
+_on("histograms", "lineitem", lambda ds: charts.histograms(ds, 8).drop("ordinal"))
+_on("boxplots", "dirty", lambda ds: charts.boxplots(ds, 8).drop("ordinal"))
+_on("top_categories", "dirty", lambda ds: charts.top_categories(ds, 6).drop("ordinal"))
+_on("correlation_heatmap", "dirty", lambda ds: charts.correlation_heatmap(ds, 10).select("x", "y", "value"))
+_on("pairwise_scatter", "events", lambda ds: charts.pairwise_scatter(ds, 10))
+_on("drift_numeric", "events", lambda ds: drift.numeric_drift(ds, columns=8).drop("ordinal"))
+_on("drift_categorical", "events", lambda ds: drift.categorical_drift(ds, columns=6).drop("ordinal"))
 _on("drift_checks", "orders", lambda ds: drift.drift_checks(ds).drop("ordinal"))
-_on("drift_by_time", "dirty", lambda ds: drift.drift_checks(ds, F.col("ship_text") >= "1999/01/01").drop("ordinal"))
-_on("chart_picks", "events", lambda ds: charts.chart_picks(ds))
+_on("drift_by_time", "dirty", lambda ds: drift.drift_checks(ds, F.col("ship_text") >= "1999/01/01", numeric_columns_used=8, label_columns_used=6).drop("ordinal"))
+_on("chart_picks", "events", lambda ds: charts.chart_picks(ds, None, 8, 6, 10, 6))
 
 # -- F. insights ----------------------------------------------------------------------
 _on("insights", "dirty", lambda ds: insights.insights(ds))
@@ -211,6 +225,18 @@ def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 _on("stratified_split", "orders", lambda ds: supervised.split_table(ds, "o_orderpriority"))
 
 
+@query("stratified_split_repeated_key")
+def stratified_split_repeated_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row order by a day that many orders share."""
+    return supervised.split_table(Dataset(table(spark, sf_dir, "orders"), "orders", ["o_orderdate"]), "o_orderpriority")
+
+
+@query("stratified_split_no_key")
+def stratified_split_no_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without any order."""
+    return supervised.split_table(Dataset(table(spark, sf_dir, "documents"), "documents", None, hold=False), "lang")
+
+
 @query("stratified_sample")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from columnary.operators.sampling import sample_rows
@@ -279,6 +305,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 REGISTRY["confusion_metrics"] = lambda spark, sf_dir: _rounded(metrics.classification_metrics(inputs.predictions(spark, sf_dir)))
 REGISTRY["confusion_metrics_multiclass"] = lambda spark, sf_dir: _rounded(metrics.classification_metrics(inputs.multi_predictions(spark, sf_dir)))
+REGISTRY["confusion_metrics_many_classes"] = lambda spark, sf_dir: _rounded(metrics.classification_metrics(inputs.wide_predictions(spark, sf_dir)))
 REGISTRY["roc_auc"] = lambda spark, sf_dir: _rounded(metrics.roc_auc(inputs.predictions(spark, sf_dir)))
 REGISTRY["average_precision"] = lambda spark, sf_dir: _rounded(metrics.average_precision(inputs.predictions(spark, sf_dir)))
 REGISTRY["regression_metrics"] = lambda spark, sf_dir: _rounded(metrics.regression_metrics(inputs.value_predictions(spark, sf_dir)))
@@ -331,10 +358,10 @@ def supervised_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SLICED = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus"]
 SLICE_COLUMNS = ["feature", "feature_type", "bucket", "lower", "upper", "label", "count", "target_label", "target_value", "target_class"]
-_on("slices_regression", "lineitem", lambda ds: slices.target_slices(ds, "l_extendedprice", "regression", SLICED).select(*SLICE_COLUMNS))
-_on("slices_binary", "lineitem", lambda ds: slices.target_slices(ds, "l_linestatus", "classification", SLICED).select(*SLICE_COLUMNS))
+_on("slices_regression", "lineitem", lambda ds: slices.target_slices(ds, "l_extendedprice", "regression", SLICED, 4, 6).select(*SLICE_COLUMNS))
+_on("slices_binary", "lineitem", lambda ds: slices.target_slices(ds, "l_linestatus", "classification", SLICED, 4, 6).select(*SLICE_COLUMNS))
 _on("slices_multiclass", "dirty", lambda ds: slices.target_slices(
-    ds, "return_status", "classification", ["spike", "order_quantity", "discount_rate", "priority", "is_open", "mixed", "near_const"]).select(*SLICE_COLUMNS))
+    ds, "return_status", "classification", ["spike", "order_quantity", "discount_rate", "priority", "is_open", "mixed", "near_const"], 4, 6).select(*SLICE_COLUMNS))
 
 _runs: dict = {}
 
@@ -396,7 +423,7 @@ def scan_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- J. run archive -----------------------------------------------------------------------------
 def _listing(spark: SparkSession, sf_dir: str, owner: int | None = None) -> DataFrame:
-    full = archive.attach_experiments(inputs.runs(spark, sf_dir), inputs.experiments(spark, sf_dir), inputs.deleted_experiments(spark, sf_dir))
+    full = archive.with_experiments(inputs.runs(spark, sf_dir), inputs.experiments(spark, sf_dir), inputs.deleted_experiments(spark, sf_dir))
     return archive.list_runs(full, owner)
 
 

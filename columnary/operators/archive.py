@@ -11,9 +11,11 @@ EXPERIMENT_TYPE = "array<struct<id:string,type:string,created_at:string,summary:
 def list_runs(runs: DataFrame, owner: int | None = None) -> DataFrame:
     """Saved runs, newest first, with experiment count and the latest experiment.
 
-    ``experiments`` holds the newest first.
+    ``runs`` comes from ``with_experiments``, or holds ``experiments``, newest first.
     """
     mine = runs if owner is None else runs.where(F.col("user_id") == owner)
+    if "experiment_count" in runs.columns:
+        return mine.orderBy(F.desc("id"))
     count = F.coalesce(F.size("experiments"), F.lit(0))
     return mine.select(
         "*", F.greatest(count, F.lit(0)).alias("experiment_count"), F.try_element_at("experiments", F.lit(1)).alias("latest_experiment")
@@ -69,6 +71,15 @@ def latest_results(experiments: DataFrame, deleted: DataFrame | None = None) ->
     )
 
 
+def with_experiments(runs: DataFrame, experiments: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """Runs with the number of their experiments and the newest one, by combinable aggregates."""
+    live = live_experiments(experiments, deleted)
+    entry = F.struct(F.col("experiment_id").alias("id"), F.col("experiment_type").alias("type"), "created_at", "summary")
+    newest = live.groupBy(F.col("analysis_id").alias("id")).agg(
+        F.count(F.lit(1)).cast("int").alias("experiment_count"), F.max_by(entry, F.struct("created_at", "experiment_id")).alias("latest_experiment"))
+    return runs.join(newest, "id", "left").withColumn("experiment_count", F.coalesce("experiment_count", F.lit(0)))
+
+
 def attach_experiments(runs: DataFrame, experiments: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """Runs with their experiments as an array, newest first."""
     live = live_experiments(experiments, deleted)

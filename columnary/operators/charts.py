@@ -16,15 +16,18 @@ from .stats import (
 )
 from .tally import column_facts, melt
 
-HISTOGRAM_COLUMNS, LABEL_COLUMNS, HEATMAP_COLUMNS = 8, 6, 10
 SCATTER_PAIRS, SCATTER_POINTS, SCATTER_MINIMUM = 4, 220, 10
 
 
-def missingness(ds: Dataset, limit: int = 20) -> DataFrame:
-    """Missing share in percent, worst columns first."""
+def first_rows(table: DataFrame, limit: int | None) -> DataFrame:
+    return table if limit is None else table.limit(limit)
+
+
+def missingness(ds: Dataset, limit: int | None = None) -> DataFrame:
+    """Missing share in percent, worst columns first; all of them, or the first ``limit``."""
     share = rounded(safe_ratio(F.col("missing"), F.greatest("rows", F.lit(1))), 4)
     table = column_facts(ds).select("ordinal", F.col("name").alias("column"), rounded(share * 100, 2).alias("missing_pct"), F.col("missing").alias("missing_count"))
-    return table.where("missing_pct > 0").orderBy(F.desc("missing_pct"), "ordinal").limit(limit)
+    return first_rows(table.where("missing_pct > 0").orderBy(F.desc("missing_pct"), "ordinal"), limit)
 
 
 def bin_edges(low: float, high: float, count: int) -> list[float]:
@@ -48,9 +51,9 @@ def _bin(x: Column, edges: list[float]) -> Column:
     )
 
 
-def histograms(ds: Dataset) -> DataFrame:
-    """Equal-width bin counts of the first numeric columns, empty bins kept."""
-    names = numeric_columns(ds)[:HISTOGRAM_COLUMNS]
+def histograms(ds: Dataset, columns: int | None = None) -> DataFrame:
+    """Equal-width bin counts of all (or the first ``columns``) numeric columns, empty bins kept."""
+    names = numeric_columns(ds)[:columns]
     m = moments(ds, names)
     edges = {n: bin_edges(m[n]["min"], m[n]["max"], m[n]["count"]) for n in names if m[n]["count"]}
     frame = [
@@ -67,9 +70,9 @@ def histograms(ds: Dataset) -> DataFrame:
     )
 
 
-def boxplots(ds: Dataset) -> DataFrame:
-    """Five-number summary and outlier count of the first numeric columns."""
-    names = numeric_columns(ds)[:HISTOGRAM_COLUMNS]
+def boxplots(ds: Dataset, columns: int | None = None) -> DataFrame:
+    """Five-number summary and outlier count of all (or the first ``columns``) numeric columns."""
+    names = numeric_columns(ds)[:columns]
     m, q, f = moments(ds, names), quartiles(ds, names), fence_counts(ds, names)
     rows = [
         (ds.get(n).ordinal, n, m[n]["min"], q[n][0], q[n][1], q[n][2], m[n]["max"], f[n][1]) for n in names if m[n]["count"]
@@ -78,32 +81,33 @@ def boxplots(ds: Dataset) -> DataFrame:
     return table.select("ordinal", "column", *[rounded(c, 6).alias(c) for c in ("min", "q1", "median", "q3", "max")], "outlier_count")
 
 
-def top_categories(ds: Dataset) -> DataFrame:
-    """Ten most frequent labels of the first labelled columns."""
-    top = label_counts(ds, labelled_columns(ds)[:LABEL_COLUMNS])
+def top_categories(ds: Dataset, columns: int | None = None) -> DataFrame:
+    """Ten most frequent labels of all (or the first ``columns``) labelled columns."""
+    top = label_counts(ds, labelled_columns(ds)[:columns])
     return top.select("ordinal", "column", F.col("v").alias("label"), F.col("n").alias("count"), "rank")
 
 
-def correlation_heatmap(ds: Dataset) -> DataFrame:
-    return correlation_matrix(ds, HEATMAP_COLUMNS)
+def correlation_heatmap(ds: Dataset, columns: int | None = None) -> DataFrame:
+    return correlation_matrix(ds, columns)
 
 
-def scatter_pairs(ds: Dataset) -> list:
-    """The strongest defined pairs among the heatmap columns."""
-    kept = [ds.get(n).ordinal for n in numeric_columns(ds)[:HEATMAP_COLUMNS]]
+def scatter_pairs(ds: Dataset, columns: int | None = None, pairs: int = SCATTER_PAIRS) -> list:
+    """The strongest defined pairs among all (or the first ``columns``) numeric columns."""
+    kept = [ds.get(n).ordinal for n in numeric_columns(ds)[:columns]]
+    count = pairs
     pairs = pair_correlations(ds).where(F.col("a_ordinal").isin(kept) & F.col("b_ordinal").isin(kept) & F.col("correlation").isNotNull())
-    return pairs.orderBy(F.desc(F.abs("correlation")), "a_ordinal", "b_ordinal").limit(SCATTER_PAIRS).collect()
+    return pairs.orderBy(F.desc(F.abs("correlation")), "a_ordinal", "b_ordinal").limit(count).collect()
 
 
-def pairwise_scatter(ds: Dataset) -> DataFrame:
-    """First complete rows, in row order, of the strongest pairs (top-k each)."""
+def pairwise_scatter(ds: Dataset, columns: int | None = None, pairs: int = SCATTER_PAIRS, shown: int = SCATTER_POINTS) -> DataFrame:
+    """First ``shown`` complete rows, in row order, of the strongest pairs (top-k each)."""
     schema = "x_column string, y_column string, correlation double, row int, x double, y double"
     parts = []
     keys = [o.alias(f"k{i}") for i, o in enumerate(ds.order_columns)]
     order = [F.col(f"k{i}") for i in range(len(keys))]
-    for pair in scatter_pairs(ds):
+    for pair in scatter_pairs(ds, columns, pairs):
         points = ds.rows.select(*keys, ds.number(pair.column_a).alias("x"), ds.number(pair.column_b).alias("y"))
-        head = points.where("x is not null and y is not null").orderBy(*order).limit(SCATTER_POINTS)
+        head = points.where("x is not null and y is not null").orderBy(*order).limit(shown)
         numbered = head.withColumn("row", F.row_number().over(Window.orderBy(*order))).withColumn("points", F.count(F.lit(1)).over(Window.partitionBy()))
         parts.append(
             numbered.where(F.col("points") >= SCATTER_MINIMUM).select(
@@ -117,8 +121,15 @@ def pairwise_scatter(ds: Dataset) -> DataFrame:
 PICK_SCHEMA = ["pick", "subject", "detail", "value", "share", "low", "high"]
 
 
-def chart_picks(ds: Dataset, recent: Column | None = None) -> DataFrame:
-    """The single most telling entry of every chart, one row per pick."""
+def chart_picks(
+    ds: Dataset, recent: Column | None = None, histogram_columns: int | None = None, label_columns: int | None = None,
+    heatmap_columns: int | None = None, shown: int | None = None,
+) -> DataFrame:
+    """The single most telling entry of every chart, one row per pick.
+
+    The charts cover all columns, or the first so many of their kind; ``shown``
+    bounds the boxplots and missing shares that are picked from.
+    """
     from .drift import drift_checks
 
     def pick(df: DataFrame, label: str, order: list[Column], place: int = 1, **cols) -> DataFrame:
@@ -133,15 +144,15 @@ def chart_picks(ds: Dataset, recent: Column | None = None) -> DataFrame:
             (F.col(cols["high"]) if "high" in cols else F.lit(None)).cast("double").alias("high"),
         )
 
-    cells = correlation_heatmap(ds).where("x_ordinal < y_ordinal")
-    hist = histograms(ds)
+    cells = correlation_heatmap(ds, heatmap_columns).where("x_ordinal < y_ordinal")
+    hist = histograms(ds, histogram_columns)
     first_hist = hist.where(F.col("ordinal") == (hist.agg(F.min("ordinal")).first()[0]))
     of_all = safe_ratio(F.col("count"), F.sum("count").over(Window.partitionBy()))
-    labels = top_categories(ds)
+    labels = top_categories(ds, label_columns)
     first_labels = labels.where(F.col("ordinal") == (labels.agg(F.min("ordinal")).first()[0]))
-    boxes = boxplots(ds).orderBy("ordinal").limit(6).withColumn("range", F.col("max") - F.col("min"))
-    missing = missingness(ds).limit(6)
-    drift = drift_checks(ds, recent)
+    boxes = first_rows(boxplots(ds, histogram_columns).orderBy("ordinal"), shown).withColumn("range", F.col("max") - F.col("min"))
+    missing = missingness(ds, shown)
+    drift = drift_checks(ds, recent, numeric_columns_used=histogram_columns, label_columns_used=label_columns)
     corr = {"subject": "x", "detail": "y", "value": "value"}
     parts = [
         pick(cells.where("value > 0"), "strongest_positive", [F.desc("value"), F.asc("x_ordinal"), F.asc("y_ordinal")], **corr),

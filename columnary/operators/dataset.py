@@ -68,6 +68,8 @@ class Field:
     ordinal: int
     name: str
     lane: str
+    #: Decimals are counted by their exact value and only measured as doubles.
+    exact: bool = False
 
 
 @dataclass
@@ -102,7 +104,7 @@ class Dataset:
             if lane is None:
                 self.unsupported.append((item.name, item.dataType.simpleString()))
             else:
-                self.fields.append(Field(len(self.fields), item.name, lane))
+                self.fields.append(Field(len(self.fields), item.name, lane, isinstance(item.dataType, T.DecimalType)))
 
         self.rows = self._prepare()
 
@@ -170,6 +172,10 @@ class Dataset:
             return raw.cast("string")
         return raw
 
+    def key(self, name: str) -> Column:
+        """The value to group by: like ``value``, but exact for decimals."""
+        return column(name) if self.get(name).exact else self.value(name)
+
     def text(self, name: str) -> Column:
         """The value as text, the way it would read in a CSV cell."""
         lane, value = self.get(name).lane, self.value(name)

@@ -11,7 +11,7 @@ from .ordinals import from_rank
 from .stats import labelled_columns, moments, numeric_columns
 from .tally import column_facts, restore_labels, top_labels
 
-DRIFT_COLUMNS, LABEL_COLUMNS, SHOWN = 8, 6, 10
+SHOWN = 10
 NUMERIC_SCHEMA = "ordinal int, column string, baseline double, recent double, std double"
 
 
@@ -26,13 +26,13 @@ def _is_recent(ds: Dataset, recent: Column | None) -> Column | None:
     return second_half(ds) if recent is None else F.coalesce(recent, F.lit(False))
 
 
-def numeric_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
-    """Mean shift per numeric column; ``recent`` replaces the half split."""
+def numeric_drift(ds: Dataset, recent: Column | None = None, columns: int | None = None) -> DataFrame:
+    """Mean shift of all (or the first ``columns``) numeric columns; ``recent`` replaces the half split."""
     names = numeric_columns(ds)
     flag = _is_recent(ds, recent)
     rows = []
     if len(names) >= 2 and flag is not None:
-        names = names[:DRIFT_COLUMNS]
+        names = names[:columns]
         spread = moments(ds, names)
         aggs = []
         for i, n in enumerate(names):
@@ -54,13 +54,13 @@ def numeric_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
     )
 
 
-def categorical_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
-    """Leading label and its share in either part, per labelled column."""
+def categorical_drift(ds: Dataset, recent: Column | None = None, columns: int | None = None) -> DataFrame:
+    """Leading label and its share in either part, for all (or the first ``columns``) labelled columns."""
     schema = (
         "ordinal int, column string, kind string, baseline_label string, recent_label string, baseline_top string, "
         "recent_top string, baseline_share double, recent_share double, change_score double"
     )
-    names = labelled_columns(ds)[:LABEL_COLUMNS]
+    names = labelled_columns(ds)[:columns]
     flag = _is_recent(ds, recent)
     if not names or flag is None:
         return ds.spark.createDataFrame([], schema)
@@ -82,7 +82,9 @@ def categorical_drift(ds: Dataset, recent: Column | None = None) -> DataFrame:
     )
 
 
-def drift_checks(ds: Dataset, recent: Column | None = None, limit: int = SHOWN) -> DataFrame:
-    """Both kinds together, largest change first."""
-    both = numeric_drift(ds, recent).unionByName(categorical_drift(ds, recent), allowMissingColumns=True)
+def drift_checks(
+    ds: Dataset, recent: Column | None = None, limit: int = SHOWN, numeric_columns_used: int | None = None, label_columns_used: int | None = None,
+) -> DataFrame:
+    """Both kinds together, the ``limit`` largest changes first; over all columns or the first so many of a kind."""
+    both = numeric_drift(ds, recent, numeric_columns_used).unionByName(categorical_drift(ds, recent, label_columns_used), allowMissingColumns=True)
     return both.orderBy(F.desc("change_score"), F.desc("kind"), "ordinal").limit(limit)

@@ -67,26 +67,29 @@ class FeatureChoice:
     high_cardinality: int = 0
 
 
-def choose_features(ds: Dataset, target: str | None) -> FeatureChoice:
-    """Inputs of the benchmark: identifiers out, then the widest-spread numbers
-    and the fullest, least varied categories."""
+def choose_features(ds: Dataset, target: str | None, numeric: int | None = None, categorical: int | None = None) -> FeatureChoice:
+    """Inputs of the benchmark: every column but identifiers.
+
+    ``numeric`` and ``categorical`` keep the widest-spread numbers and the
+    fullest, least varied categories only.
+    """
     facts = {r["name"]: r for r in column_facts(ds).collect()}
     flagged = {r["column"] for r in identifier_like(ds).where("identifier_like").collect() if r["column"] != target}
     usable = [n for n in ds.names if n != target and facts[n].non_null > 0 and n not in flagged]
     numbers = [n for n in usable if is_number(ds, n) or ds.get(n).lane == TIME]
     labels = [n for n in usable if n not in numbers]
     picked, kept = numbers, labels
-    if len(numbers) > vocab.NUMERIC_FEATURES:
+    if numeric is not None and len(numbers) > numeric:
         v = variances(ds, numbers)
-        picked = sorted(numbers, key=lambda n: (-v[n], ds.get(n).ordinal))[: vocab.NUMERIC_FEATURES]
-    if len(labels) > vocab.CATEGORICAL_FEATURES:
-        kept = sorted(labels, key=lambda n: (-facts[n].non_null, facts[n]["unique"], n.lower()))[: vocab.CATEGORICAL_FEATURES]
+        picked = sorted(numbers, key=lambda n: (-v[n], ds.get(n).ordinal))[:numeric]
+    if categorical is not None and len(labels) > categorical:
+        kept = sorted(labels, key=lambda n: (-facts[n].non_null, facts[n]["unique"], n.lower()))[:categorical]
     wide = sum(facts[n]["unique"] + (facts[n].missing > 0) > vocab.MAX_CATEGORIES for n in kept)
     return FeatureChoice(picked, kept, len(flagged), len(numbers) - len(picked), len(labels) - len(kept), wide)
 
 
-def feature_choice_table(ds: Dataset, target: str | None) -> DataFrame:
-    choice = choose_features(ds, target)
+def feature_choice_table(ds: Dataset, target: str | None, numeric: int | None = None, categorical: int | None = None) -> DataFrame:
+    choice = choose_features(ds, target, numeric, categorical)
     rows = [(n, "numeric", i) for i, n in enumerate(choice.numeric)] + [(n, "categorical", i) for i, n in enumerate(choice.categorical)]
     return ds.spark.createDataFrame(rows, "feature string, kind string, position int")
 

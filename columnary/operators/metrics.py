@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dataset import pin
-
-SINGLE_TASK_ROWS = 1_000_000
+#: Ranges that running totals are cut into.
 RUN_SPLITS = 255
 
 
@@ -18,11 +16,11 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def classification_metrics(rows: DataFrame) -> DataFrame:
     """Accuracy, balanced accuracy and support-weighted F1, precision, recall."""
-    cells = pin(confusion(rows))
+    cells = confusion(rows)
     hit = F.when(F.col("actual") == F.col("prediction"), F.col("n")).otherwise(0)
     true = cells.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"), F.sum(hit).alias("hits"))
     made = cells.groupBy(F.col("prediction").alias("label")).agg(F.sum("n").alias("predicted"))
-    per_class = true.join(F.broadcast(made), "label", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    per_class = true.join(made, "label", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
     precision = F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("hits"), F.col("support")), F.lit(0.0))
     per_class = per_class.withColumn("precision", precision).withColumn("recall", recall)
@@ -43,11 +41,11 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
 def running_totals(table: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Exclusive running sums ``<value>_before`` in ascending ``key`` order.
 
-    A long table is cut into key ranges at sketched quantiles: ranges run in
+    The table is cut into key ranges at sketched quantiles: ranges run in
     parallel and take the total of the ranges before them as offset.
     """
-    facts = table.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, [i / (RUN_SPLITS + 1) for i in range(1, RUN_SPLITS + 1)], 10_000).alias("cuts")).first()
-    cuts = sorted(set(facts.cuts)) if facts.n > SINGLE_TASK_ROWS else []
+    facts = table.agg(F.percentile_approx(key, [i / (RUN_SPLITS + 1) for i in range(1, RUN_SPLITS + 1)], 10_000).alias("cuts")).first()
+    cuts = sorted(set(facts.cuts or []))
     if cuts:
         part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key)))
     else:

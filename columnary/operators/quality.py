@@ -48,7 +48,7 @@ def row_counts(ds: Dataset) -> tuple[int, int]:
             elif ds.get(name).lane == TEXT:
                 key = text_key(ds.value(name))
             else:
-                key = ds.value(name)
+                key = ds.key(name)
             cols.append(key.alias(f"c{i}"))
         groups = ds.rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
         found = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("kinds")).first()

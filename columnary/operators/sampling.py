@@ -1,7 +1,8 @@
 """Deterministic hash cuts: exact-size samples and stratified splits.
 
-A row's place in a sample depends on the hash of its key only, so the answer
-survives repartitioning and task retries. The cut-off hash per class is found by
+A row's place in a sample depends on the hash of its content only (its key and
+all supported columns), so the answer survives repartitioning and task retries
+and needs no unique key; rows equal in every column share their place. The cut-off hash per class is found by
 three small histograms over the hash bits; rows are never ranked or moved.
 """
 
@@ -16,13 +17,15 @@ from ..vocab import SEED
 from .dataset import Dataset
 
 HASH_BITS = 52
-#: Hash bits told apart per histogram, for tables of any size and for small ones.
-_LEVELS, _SMALL_LEVELS, _SMALL = (18, 18, 16), (26, 26), 4_000_000
+#: Hash bits told apart per histogram: at most 2^18 bins of a group meet in one task.
+_LEVELS = (18, 18, 16)
 
 
 def row_hash(ds: Dataset, seed: int = SEED) -> Column:
-    """A uniform integer in [0, 2^52) from the row key."""
-    return F.shiftrightunsigned(F.xxhash64(*ds.order_columns, F.lit(seed)), 64 - HASH_BITS)
+    """A uniform integer in [0, 2^52) from the row's key and supported columns."""
+    keys = ds.order_columns if ds.order_by else []
+    rest = [ds.value(n) for n in ds.names if n not in (ds.order_by or [])]
+    return F.shiftrightunsigned(F.xxhash64(*keys, *rest, F.lit(seed)), 64 - HASH_BITS)
 
 
 def quotas(sizes: dict[str, int], total: int) -> dict[str, int]:
@@ -42,7 +45,7 @@ def hash_cuts(rows: DataFrame, group: Column, h: Column, wanted: dict[str, int])
     prefix = {g: 0 for g in need}
     slim = rows.select(group.alias("g"), h.alias("h"))
     shift = HASH_BITS
-    for bits in _SMALL_LEVELS if sum(wanted.values()) <= _SMALL else _LEVELS:
+    for bits in _LEVELS:
         if not need:
             break
         scope = F.broadcast(rows.sparkSession.createDataFrame([(g, prefix[g], need[g]) for g in need], "g string, p long, need long"))

@@ -13,7 +13,7 @@ from .features import is_number
 from .ranks import rank_values
 from .tally import column_facts, melt, restore_labels, top_labels
 
-NUMERIC_SLICES, EXTRA_SLICES, BANDS = 4, 2, 5
+BANDS = 5
 LABELS, LABEL_ROWS, MINIMUM_ROWS = 6, 5, 20
 
 SLICE_SCHEMA = (
@@ -79,8 +79,13 @@ def _aggregate(long: DataFrame, keys: list[str], measure: Column | None) -> Data
     return cells.groupBy(*keys).agg(F.sum("n").alias("count"), (-lead["m"] / F.sum("n")).alias("target_value"), lead["c"].alias("target_class"))
 
 
-def target_slices(ds: Dataset, target: str, task: str, features: list[str] | None = None) -> DataFrame:
-    """Bands of the most related numeric features, then common categories."""
+def target_slices(
+    ds: Dataset, target: str, task: str, features: list[str] | None = None, numeric: int | None = None, total: int | None = None,
+) -> DataFrame:
+    """Bands of the numeric features, most related first, then common categories.
+
+    All features, or ``numeric`` banded ones and ``total`` features at most.
+    """
     names = [n for n in (features or ds.names) if n != target]
     rows = ds.rows.where(ds.text(target).isNotNull())
     work = ds.within(rows)
@@ -93,7 +98,7 @@ def target_slices(ds: Dataset, target: str, task: str, features: list[str] | Non
 
     numbers = [n for n in names if is_number(ds, n) and facts[n].non_null >= MINIMUM_ROWS]
     scores = _scores(ds, rows, numbers, task, y, label_y, positive)
-    leading = sorted(numbers, key=lambda n: (-scores[n], names.index(n)))[:NUMERIC_SLICES]
+    leading = sorted(numbers, key=lambda n: (-scores[n], names.index(n)))[:numeric]
     edges = _quantile_edges(ds, rows, leading, {n: facts[n]["unique"] for n in leading})
     banded = [n for n in leading if len(edges.get(n, [])) >= 2]
     parts = []
@@ -120,7 +125,7 @@ def target_slices(ds: Dataset, target: str, task: str, features: list[str] | Non
     top = pin(top_labels(work, labelled, LABELS)).where(F.col("n") >= LABEL_ROWS) if labelled else None
     if top is not None:
         present = {r.ordinal for r in top.select("ordinal").distinct().collect()}
-        wanted = [n for n in labelled if ds.get(n).ordinal in present][: NUMERIC_SLICES + EXTRA_SLICES - len(banded)]
+        wanted = [n for n in labelled if ds.get(n).ordinal in present][: None if total is None else max(0, total - len(banded))]
         if wanted:
             chosen = top.where(F.col("ordinal").isin([ds.get(n).ordinal for n in wanted]))
             long = melt(work, {ds.get(n).ordinal: text_key(work.labelled(n)) for n in wanted}, keep)

@@ -183,8 +183,8 @@ def _correlation(n: int, u: float | None, v: float | None, uv: float | None, uu:
     return max(-1.0, min(1.0, r)) if r == r else None
 
 
-def correlation_matrix(ds: Dataset, limit: int = 12) -> DataFrame:
-    """Both triangles and the diagonal over the first ``limit`` numeric columns."""
+def correlation_matrix(ds: Dataset, limit: int | None = None) -> DataFrame:
+    """Both triangles and the diagonal over all (or the first ``limit``) numeric columns."""
     names = numeric_columns(ds)
     schema = "x_ordinal int, y_ordinal int, x string, y string, value double"
     if len(names) < 2:

@@ -44,7 +44,7 @@ def tally(ds: Dataset, fields: list[Field], by: list[Column] | None = None) -> D
     def key(f: Field) -> Column:
         if f.lane in (TEXT, BOOL):
             return text_key(ds.text(f.name), _notes(ds.text(f.name)))
-        return ds.value(f.name)
+        return ds.key(f.name).cast("string") if f.exact else ds.value(f.name)
 
     long = melt(ds, {f.ordinal: key(f) for f in fields}, by)
     return long.groupBy(*long.columns).agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +124,7 @@ def _measured(lane: str, rows: DataFrame, fields: list[Field]) -> DataFrame:
             shaped = F.col("ordinal").isin(asked) & (v.between(1000, 9999) | v.between(10000101, 99991231))
             dated = F.when(shaped, parse_timestamp(v.cast("string"))).isNotNull()
     elif lane == DOUBLE:
-        x, shown = v, double_text(v)
+        x, shown = v.cast("double"), double_text(v.cast("double"))
     elif lane == TIME:
         shown = F.substring(v.cast("string"), 1, 10)  # asked only where all values are days
         dated, day = v.isNotNull(), v == F.date_trunc("day", v).cast("timestamp_ntz")
@@ -195,10 +195,10 @@ def column_facts(ds: Dataset) -> DataFrame:
 def _column_facts(ds: Dataset) -> DataFrame:
     lanes: dict[str, list[Field]] = {}
     for f in ds.fields:
-        lanes.setdefault(TEXT if f.lane == BOOL else f.lane, []).append(f)
+        lanes.setdefault((TEXT if f.lane == BOOL else f.lane, f.exact), []).append(f)
     if not lanes:
         raise ValueError("the table has no column of a supported type")
-    measured = [_measured(lane, tally(ds, fields), fields) for lane, fields in lanes.items()]
+    measured = [_measured(lane, tally(ds, fields), fields) for (lane, _), fields in lanes.items()]
     facts = pin(_facts(reduce(DataFrame.unionAll, measured), ds.fields))
     heads = ds.spark.createDataFrame(
         [(f.ordinal, f.name, f.lane) for f in ds.fields], "ordinal int, name string, lane string"

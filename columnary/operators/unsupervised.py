@@ -23,14 +23,14 @@ from .tally import column_facts
 ALL = "all"
 
 
-def scan_features(ds: Dataset) -> tuple[list[str], int]:
-    """Numeric columns that hold values, widest variance first when over 16."""
+def scan_features(ds: Dataset, limit: int | None = None) -> tuple[list[str], int]:
+    """Numeric columns that hold values: all, or the ``limit`` of widest variance, widest first."""
     filled = {r["name"] for r in column_facts(ds).where("non_null > 0").collect()}
     names = [f.name for f in ds.fields if f.lane in (LONG, DOUBLE) and f.name in filled]
-    if len(names) <= vocab.SCAN_FEATURES:
+    if limit is None or len(names) <= limit:
         return names, len(names)
     v = variances(ds, names)
-    return sorted(names, key=lambda n: (-v[n], ds.get(n).ordinal))[: vocab.SCAN_FEATURES], len(names)
+    return sorted(names, key=lambda n: (-v[n], ds.get(n).ordinal))[:limit], len(names)
 
 
 def scan_features_table(ds: Dataset) -> DataFrame:

@@ -93,7 +93,8 @@ def infer_types(raw: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, name: str | None = None, order_by: list[str] | None = None, **options) -> Dataset:
     """Read CSV with a header line. Files split over tasks unless a quoted field
-    contains a line break."""
+    contains a line break. Rows with more fields than the header are an error;
+    rows with fewer are filled with missing values."""
     validate_csv_filename(path)
     encoding, spans_lines = detect_layout(spark, path)
     charset = "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1"
@@ -101,8 +102,12 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None, order_by:
     first = reader.csv(path, header=False).limit(1).first()
     if first is None:
         raise ValueError("Unable to read CSV file: it is empty.")
-    schema = ", ".join(f"c{i} string" for i in range(len(first)))
+    # one column more than the header has catches rows that are too long
+    schema = ", ".join(f"c{i} string" for i in range(len(first) + 1))
     body = reader.csv(path, header=True, enforceSchema=True, schema=schema)
+    long = body.where(F.col(f"c{len(first)}").isNotNull()).count()
+    if long:
+        raise ValueError(f"Unable to read CSV file: {long} rows have more fields than the header.")
     names = clean_headers([spark.range(1).select(_decode(F.lit(v), encoding)).first()[0] if encoding == "cp1252" and v else v for v in first])
     cells = []
     for i, n in enumerate(names):

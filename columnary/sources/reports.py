@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORMATS = ("parquet", "json")
 
@@ -11,18 +14,21 @@ FORMATS = ("parquet", "json")
 def write_sections(sections: dict[str, DataFrame], path: str, analysis_id: int, fmt: str = "parquet") -> None:
     """Write every section of a report; writing a run again replaces it.
 
-    Only the partition of this run is overwritten, so a retried write is safe.
+    Only the folder of this run is overwritten, so a retried write is safe and
+    an empty section replaces a full one. The schema is kept beside the rows.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
     for name, table in sections.items():
-        out = table.withColumn("analysis_id", F.lit(analysis_id).cast("long"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").format(fmt).save(f"{path}/{name}")
+        table.write.mode("overwrite").format(fmt).save(f"{path}/{name}/analysis_id={analysis_id}")
+        note = table.sparkSession.createDataFrame([(table.schema.json(),)], "schema string")
+        note.write.mode("overwrite").json(f"{path}/_schemas/{name}")
 
 
 def read_section(spark: SparkSession, path: str, name: str, analysis_id: int | None = None, fmt: str = "parquet") -> DataFrame:
     """One section, optionally of one run (partition pruned)."""
-    table = spark.read.format(fmt).load(f"{path}/{name}")
+    kept = T.StructType.fromJson(json.loads(spark.read.schema("schema string").json(f"{path}/_schemas/{name}").first()["schema"]))
+    table = spark.read.format(fmt).schema(kept.add("analysis_id", "long")).load(f"{path}/{name}")
     return table if analysis_id is None else table.where(F.col("analysis_id") == analysis_id)
 
 
@@ -35,4 +41,4 @@ def list_sections(spark: SparkSession, path: str) -> list[str]:
     """Names of the stored sections."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory() and not s.getPath().getName().startswith("_"))

@@ -64,12 +64,10 @@ def test_split_is_exact_and_survives_repartitioning(spark):
     assert sides[0] == sides[1]
 
 
-def test_hash_cuts_of_both_level_plans_agree(spark, monkeypatch):
+def test_hash_cuts_keep_exactly_the_wanted_rows(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), F.shiftrightunsigned(F.xxhash64("id"), 12).alias("h"))
-    small = sampling.hash_cuts(df, F.col("g"), F.col("h"), {"g": 1234})
-    monkeypatch.setattr(sampling, "_SMALL", 0)
-    assert small == sampling.hash_cuts(df, F.col("g"), F.col("h"), {"g": 1234})
-    assert df.where(F.col("h") <= small["g"]).count() == 1234
+    cut = sampling.hash_cuts(df, F.col("g"), F.col("h"), {"g": 1234})["g"]
+    assert df.where(F.col("h") <= cut).count() == 1234
 
 
 def test_categories_are_pooled(spark):
@@ -91,9 +89,7 @@ def brute_auc(positive, score):
     return sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n))
 
 
-@pytest.mark.parametrize("single", [1_000_000, 10])
-def test_auc_and_precision_by_brute_force(spark, monkeypatch, single):
-    monkeypatch.setattr(metrics, "SINGLE_TASK_ROWS", single)
+def test_auc_and_precision_by_brute_force(spark):
     rng = np.random.default_rng(8)
     positive = (rng.random(400) < 0.3).tolist()
     score = [round(float(rng.random()) + 0.3 * y, 2) for y in positive]
@@ -107,6 +103,21 @@ def test_auc_and_precision_by_brute_force(spark, monkeypatch, single):
     assert math.isclose(metrics.average_precision(df).first()[0], want, rel_tol=1e-12)
 
 
+def test_confusion_of_many_cells(spark):
+    rows = spark.range(600_000).select(F.col("id").cast("string").alias("actual"), (F.col("id") + F.col("id") % 2).cast("string").alias("prediction"))
+    m = metrics.classification_metrics(rows).first()
+    assert math.isclose(m.accuracy, 0.5) and math.isclose(m.balanced_accuracy, 0.5)
+
+
+def test_split_sizes_with_a_repeated_key(spark):
+    rows = spark.createDataFrame([(i % 3, float(i), "ab"[i % 2]) for i in range(1000)], "day int, x double, y string")
+    for order in (["day"], None):
+        ds = Dataset(rows, "t", order)
+        test, n_train, n_test = supervised.holdout(ds, ds.rows, 0.2, {"a": 500, "b": 500}, "y")
+        got = ds.rows.groupBy(test.alias("test")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert (n_train, n_test) == (800, 200) and {r["test"]: r["n"] for r in got} == {True: 200, False: 800}
+
+
 def test_class_never_predicted_has_zero_precision(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a"), ("b", "b")], "actual string, prediction string")
     m = metrics.classification_metrics(df).first()

@@ -26,6 +26,13 @@ def test_encoding_ladder(spark, tmp_path):
     assert latin.encoding == "latin-1" and latin.source.first()[0] == "caf\x81é"
 
 
+def test_rows_longer_than_the_header_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="1 rows have more fields"):
+        read_csv(spark, write(tmp_path / "long.csv", b"a,b\n1,2\n3,4,5\n6\n"))
+    short = read_csv(spark, write(tmp_path / "short.csv", b"a,b\n1,2\n6\n"))
+    assert [tuple(r) for r in short.source.collect()] == [(1, 2), (6, None)]
+
+
 def test_file_names_and_headers():
     assert validate_csv_filename(" Data.CSV ") == "Data.CSV"
     for bad in (None, "", "a.txt"):
