@@ -2,7 +2,8 @@
 
 Units are lines, cut further at sentence ends and, where a sentence is long, at
 words chosen by their hash, so that a passage set into the middle of a line
-falls into the same units wherever it stands. Units of at least ``UNIT_WORDS``
+falls into the same units wherever it stands; neighbouring sentences too short
+for a unit are taken together. Units of at least ``UNIT_WORDS``
 words are normalised (white space, case) and digested; digests are grouped over
 all documents, and the occurrence of least (id, offset) is the one to keep.
 Every other occurrence counts as repeated, and a run of repeated neighbours is
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import cut, ship
 
 UNIT_WORDS, RUN_WORDS = 5, 30
-#: A sentence of more words is cut behind words of which one in ``ANCHOR`` is chosen.
-LONG_SENTENCE, ANCHOR = 16, 8
+#: A sentence of more words is cut behind words of which one in ``ANCHOR`` is chosen, or at ``LONGEST``.
+LONG_SENTENCE, ANCHOR, LONGEST = 16, 8, 32
 
 _BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
-_SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\S+")
 #: Rows of a batch handed back to Spark.
 _ROWS = 50_000
 
@@ -43,29 +44,30 @@ _ROWS = 50_000
 def split_units(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of every unit of enough words, in order."""
     text = text or ""
-    at = 0
+    at, short = 0, -1
     for stop, after in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        line = text[at:stop]
-        words = line.lower().split()
-        if len(words) > LONG_SENTENCE:
-            yield from _pieces(line, at, words)
-        elif len(words) >= UNIT_WORDS:
-            yield at, stop, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+        size = len(text[at:stop].split())
+        if size < UNIT_WORDS:
+            short = at if short < 0 else short  # short sentences are taken together
+        else:
+            if short >= 0:
+                yield from _pieces(text, short, at)
+                short = -1
+            yield from _pieces(text, at, stop)
         at = after
+    if short >= 0:
+        yield from _pieces(text, short, len(text))
 
 
-def _pieces(line: str, at: int, words: list[str]) -> Iterator[tuple[int, int, int, bytes]]:
-    bounds = [(0, 0)] + [(m.start(), m.end()) for m in _SPACE.finditer(line)] + [(len(line), len(line))]
-    if bounds[1][0] == 0:  # white space in front
-        bounds = bounds[1:]
-    if bounds[-1][0] == bounds[-2][1]:  # and behind
-        bounds = bounds[:-1]
-    begin = 0
-    for k, word in enumerate(words):
+def _pieces(text: str, start: int, stop: int) -> Iterator[tuple[int, int, int, bytes]]:
+    words = [(m.start(), m.end(), m[0].lower().encode("utf-8", "surrogatepass")) for m in _WORD.finditer(text, start, stop)]
+    begin, whole = 0, len(words) <= LONG_SENTENCE
+    for k, (_, end, word) in enumerate(words):
         size = k + 1 - begin
-        if size >= UNIT_WORDS and (k + 1 == len(words) or xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % ANCHOR == 0):
-            yield at + bounds[begin][1], at + bounds[k + 1][0], size, xxhash.xxh3_128_digest(" ".join(words[begin:k + 1]).encode("utf-8", "surrogatepass"))
-            begin = k + 1
+        if size < UNIT_WORDS or not (k + 1 == len(words) or not whole and (size == LONGEST or xxhash.xxh3_64_intdigest(word) % ANCHOR == 0)):
+            continue
+        yield words[begin][0], end, size, xxhash.xxh3_128_digest(b" ".join(w for _, _, w in words[begin:k + 1]))
+        begin = k + 1
 
 
 def units(docs: DataFrame) -> DataFrame:
