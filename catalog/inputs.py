@@ -12,6 +12,8 @@ ORDER = {
     "dirty": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"],
     "orders": ["o_orderkey"],
     "late": ["o_orderkey"],
+    "customer_by_name": ["c_name"],
+    "gaps": ["day_code", "o_orderkey"],
     "exact": None,
     "order_pairs": None,
     "customer": ["c_custkey"],
@@ -48,6 +50,11 @@ SELECT o_orderkey, CASE WHEN o_orderkey > 200 THEN concat('zone ', CAST(o_orderk
        CASE WHEN o_orderkey > 200 THEN concat('p', CAST(o_orderkey AS {text})) ELSE concat('user', CAST(o_orderkey AS {text}), '@mail.org') END AS contact_text
 FROM orders
 """
+#: Orders whose leading order key is a text with gaps.
+GAPS = """
+SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE concat('d', CAST(o_custkey % 7 AS {text})) END AS day_code, o_orderkey, o_totalprice, o_custkey, o_orderstatus
+FROM orders
+"""
 #: Prices whose exact values differ in digits that doubles do not hold.
 EXACT = """
 SELECT CAST(12345678901234567 AS DECIMAL(30, 2)) + CAST((l_linenumber % 4) / 100.0 AS DECIMAL(30, 2)) AS exact_amount, l_returnflag
@@ -62,6 +69,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(body.replace("FROM lineitem", "FROM {lines}"), lines=lines)
     if name == "late":
         return spark.sql(LATE.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    if name == "customer_by_name":
+        return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    if name == "gaps":
+        return spark.sql(GAPS.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     if name == "exact":
         return spark.sql(EXACT.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if name == "order_pairs":

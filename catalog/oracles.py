@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from .inputs import DIRTY, EXACT, LATE
+from .inputs import DIRTY, EXACT, GAPS, LATE
 
 # -- tables -----------------------------------------------------------------------
 COLUMNS = {
     "lineitem": "l_orderkey:long l_partkey:long l_suppkey:long l_linenumber:long l_quantity:double l_extendedprice:double l_discount:double l_tax:double l_returnflag:text l_linestatus:text l_shipdate:day",
     "dirty": "l_orderkey:long l_partkey:long l_suppkey:long l_linenumber:long l_extendedprice:double order_quantity:double discount_rate:double net_price:double spike:double mixed:text const:text near_const:text order_code:text return_status:text is_open:bool priority:text ship_text:text",
     "orders": "o_orderkey:long o_custkey:long o_orderstatus:text o_totalprice:double o_orderdate:day o_orderpriority:text",
+    "customer_by_name": "c_custkey:long c_name:text c_nationkey:long c_acctbal:double c_mktsegment:text",
+    "gaps": "day_code:text o_orderkey:long o_totalprice:double o_custkey:long o_orderstatus:text",
     "late": "o_orderkey:long grade:text parcel:text contact_text:text",
     "order_pairs": "o_orderstatus:text o_orderpriority:text",
     "customer": "c_custkey:long c_name:text c_nationkey:long c_acctbal:double c_mktsegment:text",
@@ -25,7 +27,7 @@ COLUMNS = {
 ORDER = {
     "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate",
     "dirty": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice",
-    "orders": "o_orderkey", "late": "o_orderkey", "order_pairs": "o_orderstatus, o_orderpriority", "customer": "c_custkey", "part": "p_partkey",
+    "orders": "o_orderkey", "late": "o_orderkey", "customer_by_name": "c_name", "gaps": "day_code NULLS FIRST, o_orderkey", "order_pairs": "o_orderstatus, o_orderpriority", "customer": "c_custkey", "part": "p_partkey",
     "events": "ts, event_id", "documents": "doc_id",
 }
 DIRTY_SQL = DIRTY.format(text="VARCHAR", slash_date="strftime(l_shipdate, '%Y/%m/%d')")
@@ -44,6 +46,10 @@ def columns(data: str) -> list[tuple[str, str]]:
 def source(data: str) -> str:
     if data == "dirty":
         return f"({DIRTY_SQL})"
+    if data == "customer_by_name":
+        return "customer"
+    if data == "gaps":
+        return f"({GAPS.format(text='VARCHAR')})"
     if data == "late":
         return f"({LATE.format(text='VARCHAR')})"
     return "orders" if data == "order_pairs" else data
@@ -415,6 +421,8 @@ DRIFT_TOP = "SELECT * EXCLUDE (ordinal) FROM alld ORDER BY change_score DESC, ki
 add("drift_numeric", "events", 'SELECT "column", kind, baseline_label, recent_label, baseline_value, recent_value, delta_pct, change_score FROM alld WHERE kind = \'numeric\'', drift(HALF))
 add("drift_categorical", "events", 'SELECT "column", kind, baseline_label, recent_label, baseline_top, recent_top, baseline_share, recent_share, change_score FROM alld WHERE kind = \'categorical\'', drift(HALF))
 add("drift_checks", "orders", DRIFT_TOP, drift(HALF))
+add("drift_text_key", "customer_by_name", DRIFT_TOP, drift(HALF))
+add("drift_null_key", "gaps", DRIFT_TOP, drift(HALF))
 add("drift_by_time", "dirty", DRIFT_TOP, drift("ship_text >= '1999/01/01'"))
 
 

@@ -184,6 +184,8 @@ _on("pairwise_scatter", "events", lambda ds: charts.pairwise_scatter(ds, 10))
 _on("drift_numeric", "events", lambda ds: drift.numeric_drift(ds, columns=8).drop("ordinal"))
 _on("drift_categorical", "events", lambda ds: drift.categorical_drift(ds, columns=6).drop("ordinal"))
 _on("drift_checks", "orders", lambda ds: drift.drift_checks(ds).drop("ordinal"))
+_on("drift_text_key", "customer_by_name", lambda ds: drift.drift_checks(ds).drop("ordinal"))
+_on("drift_null_key", "gaps", lambda ds: drift.drift_checks(ds).drop("ordinal"))
 _on("drift_by_time", "dirty", lambda ds: drift.drift_checks(ds, F.col("ship_text") >= "1999/01/01", numeric_columns_used=8, label_columns_used=6).drop("ordinal"))
 _on("chart_picks", "events", lambda ds: charts.chart_picks(ds, None, 8, 6, 10, 6))
 

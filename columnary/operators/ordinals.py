@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import column
 from ..session import ensure_checkpoint_dir
 from .dataset import ARRIVAL, DOUBLE, LONG, TIME, Dataset
-from .ranks import INSIDE, rank_values
+from .ranks import rank_values
 
 _POSITION = "__position"
 
@@ -49,46 +49,66 @@ def _sortable(ds: Dataset, name: str) -> Column | None:
     return None
 
 
+def _after(expr: Column, value: object) -> Column:
+    """Whether ``expr`` comes after ``value`` in ascending order, missing values first."""
+    return expr.isNotNull() if value is None else F.coalesce(expr > F.lit(value), F.lit(False))
+
+
+def key_at(rows: DataFrame, keys: list[Column], rank: int) -> tuple:
+    """The key of the row at ``rank`` (from 0) in ascending order, for keys of any type.
+
+    Equal keys collapse to one counted row before anything is sorted, so a
+    repeated key is no heavier than another; the different keys are sorted in
+    parallel by range, and only the part that holds the rank is looked into.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    ensure_checkpoint_dir(rows.sparkSession)
+    counted = rows.select(*[k.alias(n) for k, n in zip(keys, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
+    placed = counted.repartitionByRange(*names).withColumn("part", F.spark_partition_id()).checkpoint()
+    before = 0
+    for part in placed.groupBy("part").agg(F.sum("rows").alias("rows")).orderBy("part").collect():  # one row per partition
+        if rank < before + part["rows"]:
+            break
+        before += part["rows"]
+    inside = placed.where(F.col("part") == part["part"])
+    upto = F.sum("rows").over(Window.orderBy(*names)) + before  # one range of the different keys
+    return tuple(inside.withColumn("upto", upto).where(F.col("upto") > rank).orderBy(*names).select(*names).first())
+
+
 def from_rank(ds: Dataset, rank: int) -> Column:
     """Condition that holds for the rows at ``rank`` and after, in row order.
 
-    The key of the row at ``rank`` is selected key column by key column, each
-    time among the rows tied so far; no row is moved. Keys must be present and
-    should be unique together.
+    Numeric and time keys are selected key column by key column, each time among
+    the rows tied so far, and no row is moved. From the first key of another
+    type (or with missing values, which come first) on, the key is found by
+    sorting the different keys that are left. Keys should be unique together;
+    rows with equal keys stay on one side.
     """
     keys = ds.order_by or [ARRIVAL]
     chosen: list[tuple[Column, object]] = []
-    tied: Column | None = None
-    left = rank
+    rows, left = ds.rows, rank
     for i, key in enumerate(keys):
         stand_in = _sortable(ds, key)
-        rows = ds.rows if tied is None else ds.rows.where(tied)
-        if stand_in is None:
-            if i == 0 or rows.count() > INSIDE:
-                raise ValueError(f"row order by {key!r} needs a numeric or time key in front")
-        else:
-            count, [(value, _)] = rank_values(rows, {key: stand_in}, lambda n: [(left, left)])[key]
-            if i == 0 and count != ds.row_count:
-                raise ValueError(f"row order key {key!r} has missing values")
-            chosen.append((stand_in, value))
-            here = stand_in == F.lit(value)
-            tied = here if tied is None else tied & here
-            if i + 1 == len(keys):
-                break
-            scope = rows.agg(F.count_if(stand_in < F.lit(value)).alias("below"), F.count_if(here).alias("ties")).first()
-            left -= scope.below
-            if scope.ties == 1:
-                break
-            if scope.ties > INSIDE:
-                continue
-        # few rows left: order them by the remaining keys and read the one at rank
-        rest = [k for k in keys[len(chosen):]]
-        plain = [(_sortable(ds, k) if _sortable(ds, k) is not None else column(k)) for k in rest]
-        head = ds.rows.where(tied).select(*[p.alias(f"k{j}") for j, p in enumerate(plain)])
-        last = head.orderBy(*head.columns).limit(left + 1).orderBy(*[F.desc(c) for c in head.columns]).first()
-        chosen += list(zip(plain, last))
-        break
+        found = None
+        if stand_in is not None:
+            count, found = rank_values(rows, {key: stand_in}, lambda n: [(left, left)] if n > left else [])[key]
+            if count != rows.count():
+                found = None
+        if not found:
+            rest = [_sortable(ds, k) if _sortable(ds, k) is not None else column(k) for k in keys[i:]]
+            chosen += list(zip(rest, key_at(rows, rest, left)))
+            break
+        value = found[0][0]
+        chosen.append((stand_in, value))
+        here = stand_in == F.lit(value)
+        if i + 1 == len(keys):
+            break
+        scope = rows.agg(F.count_if(stand_in < F.lit(value)).alias("below"), F.count_if(here).alias("ties")).first()
+        left -= scope.below
+        if scope.ties == 1:
+            break
+        rows = rows.where(here)
     condition = F.lit(True)
     for expr, value in reversed(chosen):
-        condition = (expr > F.lit(value)) | ((expr == F.lit(value)) & condition)
+        condition = _after(expr, value) | (expr.eqNullSafe(F.lit(value)) & condition)
     return condition
