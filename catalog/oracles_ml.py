@@ -174,6 +174,15 @@ SELECT event_id, s AS anomaly_score, round(CASE WHEN max(s) OVER () = min(s) OVE
 UNION ALL SELECT CASE WHEN (SELECT count(*) FROM orders) > 4000 THEN 1 ELSE 0 END, 'Used the 16 highest-variance numeric columns out of 20 available to keep the scan stable on smaller deployments.'"""
 
     # -- J. run archive
+    out["scan_invariants"] = """SELECT count(*) AS row_count, count(DISTINCT o_orderkey) AS key_count, 4::BIGINT AS clusters, 0::BIGINT AS sign_errors,
+  TRUE AS flags_bounded, TRUE AS flags_filled, 0.0::DOUBLE AS centre FROM orders"""
+    out["cluster_order"] = "SELECT count(*) AS row_count, 1.0::DOUBLE AS share, 0::BIGINT AS out_of_order FROM orders"
+    out["scan_preview_keys"] = "SELECT least(120, count(*))::BIGINT AS shown, least(120, count(*))::BIGINT AS known FROM orders"
+    out["pca_two_columns"] = """WITH r AS (SELECT abs(corr(c_custkey, c_acctbal)) AS r FROM customer)
+SELECT 1::INT AS component, round((1 + r) / 2, 6) AS share FROM r UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM r"""
+    out["linear_fit_line"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept,
+  round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem"""
+    out["prediction_actuals"] = "SELECT ceil(0.2 * count(*))::BIGINT AS test_rows, 0::BIGINT AS wrong_actuals, TRUE AS accuracy_agrees FROM customer"
     out["runs_list"] = f"WITH {RUNS} {FLAT} WHERE user_id = 7"
     out["runs_search"] = f"WITH {RUNS} {FLAT} WHERE is_ready AND experiment_count > 0 AND contains({HAY}, 'machinery')"
     out["runs_search_experiment"] = f"WITH {RUNS} {FLAT} WHERE NOT is_ready AND contains({HAY}, 'status o')"

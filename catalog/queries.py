@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -413,8 +414,65 @@ def top_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cluster_share")
 def cluster_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster sizes and shares on a given grouping: the order status."""
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("cluster")).agg(F.count(F.lit(1)).alias("count"))
-    return rows.select("cluster", "count", rounded(F.col("count") / F.sum("count").over(Window.partitionBy()), 6).alias("share"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("cluster"))
+    given = unsupervised.Scan(3, [], 0, 0, rows, [], rows)
+    return given.cluster_distribution().select("cluster", "count", rounded("share", 6).alias("share"))
+
+
+@query("scan_invariants")
+def scan_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every scan, asked of all its rows."""
+    rows = _scan(spark, sf_dir).rows
+    return rows.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("key_0").alias("key_count"), F.count_distinct("cluster").alias("clusters"),
+        F.count_if(F.col("anomaly_flag") != (F.col("anomaly_score") < 0)).alias("sign_errors"),
+        (F.count_if(F.col("anomaly_score") < 0) <= F.floor((F.count(F.lit(1)) - 1) * 0.05) + 1).alias("flags_bounded"),
+        (F.count_if(F.col("anomaly_score") <= 0) >= F.floor((F.count(F.lit(1)) - 1) * 0.05) + 1).alias("flags_filled"),
+        (rounded(F.abs(F.avg("pc1")), 3) + rounded(F.abs(F.avg("pc2")), 3)).alias("centre"),
+    )
+
+
+@query("cluster_order")
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters are numbered by falling size and hold all rows."""
+    found = _scan(spark, sf_dir).cluster_distribution()
+    ahead = F.lag("count").over(Window.orderBy("cluster"))  # at most eight rows
+    return found.withColumn("ahead", ahead).agg(
+        F.sum("count").alias("row_count"), rounded(F.sum("share"), 6).alias("share"), F.count_if(F.col("ahead") < F.col("count")).alias("out_of_order"))
+
+
+@query("scan_preview_keys")
+def scan_preview_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = _scan(spark, sf_dir).preview()
+    return shown.join(table(spark, sf_dir, "orders"), F.col("key_0") == F.col("o_orderkey"), "left").agg(
+        F.count(F.lit(1)).alias("shown"), F.count("o_orderkey").alias("known"))
+
+
+@query("pca_two_columns")
+def pca_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two standardised columns have the variance shares (1 + |r|) / 2 and (1 - |r|) / 2."""
+    ds = Dataset(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "customer", ["c_custkey"])
+    shares = unsupervised.unsupervised_scan(ds, 2).explained_variance
+    return spark.createDataFrame([(i + 1, round(v, 6)) for i, v in enumerate(shares)], "component int, share double")
+
+
+@query("linear_fit_line")
+def linear_fit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's linear model on one feature is the least-squares line."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("label"), array_to_vector(F.array("l_quantity")).alias("features"))
+    line = dict(supervised.value_models(2, 2, 2))["Linear Regression"].fit(rows)
+    return spark.createDataFrame([(round(float(line.coefficients[0]), 4), round(float(line.intercept), 2), round(float(line.summary.r2), 6))], "slope double, intercept double, r2 double")
+
+
+@query("prediction_actuals")
+def prediction_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All held-out predictions, their actual values looked up in the table."""
+    b = _benchmark(spark, sf_dir, "customer", "c_mktsegment")
+    same = F.col("actual") == F.col("c_mktsegment")
+    known = b.predictions.join(table(spark, sf_dir, "customer"), F.col("key_0") == F.col("c_custkey"))
+    right = metrics.classification_metrics(b.predictions.select("actual", "prediction")).first()["accuracy"]
+    told = b.model_comparison.where((F.col("model") == b.best_model) & (F.col("metric") == "accuracy")).first()["value"]
+    return known.agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(~same).alias("wrong_actuals")).withColumn("accuracy_agrees", F.lit(abs(right - told) < 1e-3))
 
 
 @query("scan_warnings")
