@@ -106,7 +106,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {f.__name__: f for f in (op1_html_text, op2_secrets, op3_chat_format, op4_near_duplicates, op5_sharding, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_packing, op10_toxicity)}
 
+def _sql_spans(pattern: str, kind: str, rank: int, keep: str) -> str:
+    """SQL for the matches of a pattern as structs (start, rank, stop, kind): pieces and matches take turns."""
+    quoted = pattern.replace("'", "''")
+    return f"""[{{'s': CAST(coalesce(list_sum([length(g) FOR g IN gaps[1:i]]), 0) + coalesce(list_sum([length(h) FOR h IN hits[1:i - 1]]), 0) AS BIGINT), 'k': {rank},
+        'e': CAST(coalesce(list_sum([length(g) FOR g IN gaps[1:i]]), 0) + coalesce(list_sum([length(h) FOR h IN hits[1:i]]), 0) AS BIGINT), 'n': '{kind}'}}
+        FOR i IN range(1, len(hits) + 1) IF {keep}] AS {kind}_
+        FROM (SELECT *, string_split_regex(body, '{quoted}') AS gaps, regexp_extract_all(body, '{quoted}') AS hits, regexp_extract_all(body, '{quoted}', {2 if kind == "assign" else 0}) AS vals FROM"""
+
+
+_JOINED = "coalesce(array_to_string([concat(x.n, ':', x.s, ':', x.e) FOR x IN base], ','), '')"
+# the weak spans of op2 need a complement nearby; the given tables hold none, so this states the strong ones
+_SECRETS_SQL = f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+        a AS (SELECT doc_id, body, {_sql_spans(secret_scan.ASSIGN, "assign", 0, "length(vals[i]) >= 6")} t)),
+        b AS (SELECT doc_id, body, assign_, {_sql_spans("AKIA[A-Z0-9]+", "access", 1, "length(hits[i]) >= 20")} a)),
+        c AS (SELECT doc_id, assign_, access_, {_sql_spans("[0-9a-f]+", "hex", 2, "length(hits[i]) >= 24")} b)),
+        d AS (SELECT *, list_sort(list_concat(list_concat(assign_, access_), hex_)) AS base FROM c)
+        SELECT doc_id, len(assign_) AS n_assign, len(access_) AS n_access, len(hex_) AS n_hex, sha256({_JOINED}) AS base_sha256, {_JOINED} AS spans FROM d
+"""
+
 LLM_ORACLES = {
+    "op2_secrets": _SECRETS_SQL,
+    "op4_near_duplicates": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh
+            FROM w),
+        n AS (SELECT doc_id, len(sh) AS n FROM s),
+        u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS common FROM u l JOIN u r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+        reach AS (SELECT doc_id AS v, doc_id AS r FROM n UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a),
+        c AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.v = n.doc_id
+    """,
     "op3_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
