@@ -14,6 +14,7 @@ ORDER = {
     "late": ["o_orderkey"],
     "customer_by_name": ["c_name"],
     "gaps": ["day_code", "o_orderkey"],
+    "wide": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"],
     "exact": None,
     "order_pairs": None,
     "customer": ["c_custkey"],
@@ -55,6 +56,10 @@ GAPS = """
 SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE concat('d', CAST(o_custkey % 7 AS {text})) END AS day_code, o_orderkey, o_totalprice, o_custkey, o_orderstatus
 FROM orders
 """
+#: Line items with many derived numbers.
+WIDE_COLUMNS = 40
+WIDE_TABLE = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, " + ", ".join(
+    f"l_quantity * {i % 7} + (l_orderkey * {i + 3}) % {97 + i} + l_tax * {i * i} AS w{i:02d}" for i in range(WIDE_COLUMNS)) + " FROM lineitem"
 #: Prices whose exact values differ in digits that doubles do not hold.
 EXACT = """
 SELECT CAST(12345678901234567 AS DECIMAL(30, 2)) + CAST((l_linenumber % 4) / 100.0 AS DECIMAL(30, 2)) AS exact_amount, l_returnflag
@@ -73,6 +78,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/customer.parquet")
     if name == "gaps":
         return spark.sql(GAPS.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    if name == "wide":
+        return spark.sql(WIDE_TABLE.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if name == "exact":
         return spark.sql(EXACT.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if name == "order_pairs":

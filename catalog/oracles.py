@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from .inputs import DIRTY, EXACT, GAPS, LATE
+from .inputs import DIRTY, EXACT, GAPS, LATE, WIDE_COLUMNS, WIDE_TABLE
 
 # -- tables -----------------------------------------------------------------------
 COLUMNS = {
@@ -354,6 +354,12 @@ WITH a AS (SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem)
 SELECT 'ship_text' AS "column", strftime(lo, '%Y-%m-%dT00:00:00') AS min, strftime(hi, '%Y-%m-%dT00:00:00') AS max, date_sub('day', lo, hi) AS span_days FROM a"""
 
 
+_WIDE_NAMES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", *[f"w{i:02d}" for i in range(WIDE_COLUMNS)]]
+_WIDE_PAIRS = list(combinations(_WIDE_NAMES, 2))
+ORACLES["correlation_matrix_wide"] = "WITH src AS (" + WIDE_TABLE + "), r AS (SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in _WIDE_PAIRS) + """ FROM src)
+SELECT split_part(pair, '__', 1) AS x, split_part(pair, '__', 2) AS y, round(v, 4) AS value FROM (UNPIVOT r ON COLUMNS(*) INTO NAME pair VALUE v)"""
+
+
 def matrix(data: str, limit: int) -> tuple[str, str]:
     names = NUMERIC[data][:limit]
     diagonal = " UNION ALL ".join(f"SELECT '{n}' AS x, '{n}' AS y, CASE WHEN stddev_pop({n}) > 0 THEN 1.0::DOUBLE END AS value FROM src" for n in names)

@@ -171,6 +171,7 @@ _on("datetime_summary", "events", lambda ds: stats.datetime_summary(ds).drop("or
 _on("datetime_summary_text", "dirty", lambda ds: stats.datetime_summary(ds).drop("ordinal"))
 _on("correlation_matrix", "lineitem", lambda ds: stats.correlation_matrix(ds).select("x", "y", "value"))
 _on("correlation_matrix_dirty", "dirty", lambda ds: stats.correlation_matrix(ds).select("x", "y", "value"))
+_on("correlation_matrix_wide", "wide", lambda ds: stats.correlation_matrix(ds).where("x_ordinal < y_ordinal").select("x", "y", "value"))
 _on("strongest_correlations", "dirty", lambda ds: stats.strongest_correlations(ds))
 _on("skewed_fields", "dirty", lambda ds: stats.skewed_fields(ds).select("column", "skew"))
 _on("dominant_categories", "dirty", lambda ds: stats.dominant_categories(ds).drop("ordinal"))

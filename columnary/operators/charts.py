@@ -93,10 +93,8 @@ def correlation_heatmap(ds: Dataset, columns: int | None = None) -> DataFrame:
 
 def scatter_pairs(ds: Dataset, columns: int | None = None, pairs: int = SCATTER_PAIRS) -> list:
     """The strongest defined pairs among all (or the first ``columns``) numeric columns."""
-    kept = [ds.get(n).ordinal for n in numeric_columns(ds)[:columns]]
-    count = pairs
-    pairs = pair_correlations(ds).where(F.col("a_ordinal").isin(kept) & F.col("b_ordinal").isin(kept) & F.col("correlation").isNotNull())
-    return pairs.orderBy(F.desc(F.abs("correlation")), "a_ordinal", "b_ordinal").limit(count).collect()
+    found = pair_correlations(ds, numeric_columns(ds)[:columns]).where(F.col("correlation").isNotNull())
+    return found.orderBy(F.desc(F.abs("correlation")), "a_ordinal", "b_ordinal").limit(pairs).collect()
 
 
 def pairwise_scatter(ds: Dataset, columns: int | None = None, pairs: int = SCATTER_PAIRS, shown: int = SCATTER_POINTS) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parse_timestamp, rounded, safe_ratio, sample_skew
@@ -22,6 +24,8 @@ NUMERIC_SCHEMA = (
 PAIR_SCHEMA = "a_ordinal int, b_ordinal int, column_a string, column_b string, correlation double"
 #: Aggregate expressions evaluated in one pass.
 PASS_WIDTH = 300
+#: Columns without gaps from which their pairs are found by block products.
+GRAM_COLUMNS = 16
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -129,24 +133,40 @@ def datetime_summary(ds: Dataset) -> DataFrame:
     )
 
 
-def pair_correlations(ds: Dataset) -> DataFrame:
-    """Pearson correlation of every numeric pair over the rows where both are
-    present; NULL where undefined. One row per unordered pair, unrounded.
+def _gram(ds: Dataset, names: list[str], deviation: dict[str, Column]) -> dict:
+    """Correlations of all pairs of columns without gaps, in one pass over blocks of rows."""
+    vectors = ds.rows.select(array_to_vector(F.array(*[deviation[n] for n in names])).alias("v"))
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    found = {}
+    for (i, a), (j, b) in combinations(enumerate(names), 2):
+        r = float(matrix[i, j])
+        found[a, b] = max(-1.0, min(1.0, r)) if r == r else None
+    return found
+
+
+def pair_correlations(ds: Dataset, names: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of every pair of the named (or all) numeric columns over
+    the rows where both are present; NULL where undefined. One row per unordered
+    pair, unrounded.
 
     Plain sums of deviations from the column means, which one earlier pass
     found: a pair without missing values costs a single sum of products, a pair
-    with gaps sums its own complete rows. No data is shuffled.
+    with gaps sums its own complete rows. Many columns without gaps go through
+    one pass of block products. No data is shuffled.
     """
+    asked = numeric_columns(ds) if names is None else names
 
     def build() -> DataFrame:
-        names = numeric_columns(ds)
+        names = asked
         known = moments(ds, names)
         whole = {r["name"] for r in column_facts(ds).where("num_n = rows").select("name").collect()}
         pairs = list(combinations(names, 2))
+        full = [n for n in names if n in whole and known[n]["count"]]
         deviation = {n: ds.number(n) - F.lit(known[n]["mean"]) for n in names}
-        values: dict = {}
-        for start in range(0, len(pairs), PASS_WIDTH // 6):
-            chunk = pairs[start : start + PASS_WIDTH // 6]
+        values: dict = _gram(ds, full, deviation) if len(full) > GRAM_COLUMNS else {}
+        todo = [p for p in pairs if p not in values]
+        for start in range(0, len(todo), PASS_WIDTH // 6):
+            chunk = todo[start : start + PASS_WIDTH // 6]
             aggs = []
             for i, (a, b) in enumerate(chunk):
                 u, v = deviation[a], deviation[b]
@@ -168,7 +188,7 @@ def pair_correlations(ds: Dataset) -> DataFrame:
         rows = [(ds.get(a).ordinal, ds.get(b).ordinal, a, b, values[a, b]) for a, b in pairs]
         return ds.spark.createDataFrame(rows, PAIR_SCHEMA)
 
-    return ds.remember("pairs", build)
+    return ds.remember(("pairs", *asked), build)
 
 
 def _correlation(n: int, u: float | None, v: float | None, uv: float | None, uu: float | None, vv: float | None) -> float | None:
@@ -189,9 +209,7 @@ def correlation_matrix(ds: Dataset, limit: int | None = None) -> DataFrame:
     schema = "x_ordinal int, y_ordinal int, x string, y string, value double"
     if len(names) < 2:
         return ds.spark.createDataFrame([], schema)
-    kept = [ds.get(n).ordinal for n in names[:limit]]
-    pairs = pair_correlations(ds).where(F.col("a_ordinal").isin(kept) & F.col("b_ordinal").isin(kept))
-    pairs = pairs.where("correlation is not null")
+    pairs = pair_correlations(ds, names[:limit]).where("correlation is not null")
     spread = moments(ds, names[:limit])
     diagonal = [(ds.get(n).ordinal, ds.get(n).ordinal, n, n, 1.0) for n in names[:limit] if (spread[n]["std"] or 0.0) > 0]
     upper = pairs.toDF("x_ordinal", "y_ordinal", "x", "y", "value")
