@@ -34,6 +34,14 @@ def logistic(spark, ds) -> None:
     p.release()
 
 
+def forest(spark, ds) -> None:
+    """Prepare, split and fit the random forest of the benchmark, all rows."""
+    p = prepare(ds, "o_orderstatus")
+    model = supervised.class_models(p.train_rows, 20, 1, 8)[1][1].fit(p.train)
+    sink(metrics.classification_metrics(supervised.scored(p, model)))
+    p.release()
+
+
 QUERIES = {
     "column_facts": lambda s: sink(tally.column_facts(dataset(s, SF_DIR, "lineitem", True))),
     "duplicate_rows": lambda s: sink(quality.duplicate_rows(dataset(s, SF_DIR, "lineitem", True))),
@@ -48,6 +56,9 @@ QUERIES = {
     "target_scores": lambda s: sink(targets.heuristic_targets(dataset(s, SF_DIR, "lineitem", True))),
     "roc_auc": lambda s: sink(metrics.roc_auc(predictions(s, SF_DIR))),
     "target_slices": lambda s: sink(slices.target_slices(dataset(s, SF_DIR, "lineitem", True), "l_returnflag", "classification", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"])),
+    "profile_wide": lambda s: sink(profile.column_profile(dataset(s, SF_DIR, "wide", True))),
+    "correlation_wide": lambda s: sink(stats.correlation_matrix(dataset(s, SF_DIR, "wide", True))),
+    "forest_fit": lambda s: forest(s, dataset(s, SF_DIR, "orders", True)),
     "logistic_fit": lambda s: logistic(s, dataset(s, SF_DIR, "lineitem", True)),
     "unsupervised_scan": lambda s: sink(unsupervised.unsupervised_scan(dataset(s, SF_DIR, "orders", True)).rows),
 }

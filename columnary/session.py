@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if current is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="columnary-checkpoint-"))
         current = context.getCheckpointDir()
     return current
