@@ -6,7 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Largest table (rows) handed to an explicit broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Settings of Arrow batches: name, Spark's value, the value for rows of text.
+ARROW = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
+)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,8 +42,13 @@ def ship(spark: SparkSession) -> None:
 
     Functions run in tasks are imported there by name; a cluster whose
     executors have the package installed gets the same code twice, no more.
+    Arrow batches that the session leaves at Spark's size are made smaller:
+    texts are long rows, and a task holds a batch several times over.
     """
     context = spark.sparkContext
+    for name, usual, ours in ARROW:
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, ours)
     if getattr(context, "_columnary_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -45,6 +57,23 @@ def ship(spark: SparkSession) -> None:
     context._columnary_shipped = True
 
 
+#: What each operator keeps in a Python worker between tasks, and how to drop it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    _KEPT[owner] = drop
+
+
+def take_worker(owner: str) -> None:
+    """Called in a task: drops what other operators keep in this worker, so that
+    a worker that serves many stages holds the memory of one."""
+    for other, drop in _KEPT.items():
+        if other != owner:
+            drop()
+    pa.default_memory_pool().release_unused()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, ship
+from .common import broadcast_if_small, cut, ship, take_worker
 from .shingles import chunks, mix, shingle_set, similarity_sketch
 
 ROWS, BANDS = 5, 42
@@ -51,6 +51,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
@@ -77,6 +78,7 @@ def _class_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Data
     found = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").select("text")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
         for batch in batches:
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([_digest(shingle_set(t, WIDTH)) for t in texts], pa.binary()), batch.column(0)], names=["class_key", "text"])
@@ -92,6 +94,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
         last, other = None, None
         for batch in batches:
             keep = []
@@ -139,6 +142,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _rest_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of ``members`` (class_key, label) of different labels that may be linked: exact prefix join."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
         for batch in batches:
             keys, labels = batch.column(0), batch.column(1)
             for i, text in enumerate(batch.column(2).to_pylist()):

@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
+from .common import keeps
+
 #: Words whose hashes a Python worker keeps at most.
-CACHE = 400_000
+CACHE = 200_000
 #: Characters handled together; bounds the memory of a task.
 CHUNK_CHARS = 2_000_000
 
 _KNOWN: dict[bytes, int] = {}
+keeps("shingles", _KNOWN.clear)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 

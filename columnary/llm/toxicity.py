@@ -34,7 +34,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, keeps, ship, take_worker
 
 #: Labelled rows used for fitting at most, and lexicon terms at most.
 MAX_ROWS, MAX_TERMS = 200_000, 5_000
@@ -51,6 +51,8 @@ REPORTING = frozenset("said says wrote called quoted quote claimed posted stated
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 _FLUSH = 300_000
+#: Words without a term nearby that a Python worker remembers at most.
+CLEAR_WORDS = 300_000
 
 
 def allowed(term: str) -> int:
@@ -71,6 +73,7 @@ def _terms(text: str | None) -> set[str]:
 def _counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     """``term, n``: documents of ``rows`` (text) that hold each term, of ``only`` where given."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -159,7 +162,7 @@ class Automaton:
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.found: list[tuple[tuple[int, float], tuple[int, float]]] = []
-        self.known: dict[str, tuple[int, float]] = {}
+        self.clear: set[str] = set()
         self._state(self._closed({0: 0}))
 
     def _closed(self, at: dict[int, int]) -> frozenset:
@@ -197,13 +200,20 @@ class Automaton:
 
     def nearest(self, word: str) -> tuple[int, float]:
         """Edits to the nearest term that tolerates them, and its weight; 9 edits for none."""
-        best = self.known.get(word)
-        if best is None:
+        return self.hits({word}).get(word, _NONE)
+
+    def hits(self, words: set[str]) -> dict[str, tuple[int, float]]:
+        """Edits and weight of every word that is near a term."""
+        found = {}
+        for word in words - self.clear:
             best = self._nearest(word)
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[word] = best
-        return best
+            if best[0] < _NONE[0]:
+                found[word] = best
+            else:
+                self.clear.add(word)
+        if len(self.clear) > CLEAR_WORDS:
+            self.clear.clear()
+        return found
 
     def _nearest(self, word: str) -> tuple[int, float]:
         state, best = 0, _NONE
@@ -220,6 +230,7 @@ class Automaton:
 
 FEATURES = ("exact", "strongest", "near", "quoted", "density")
 _LIVE: dict[tuple, Automaton] = {}
+keeps("toxicity", _LIVE.clear)
 
 
 def _automaton(terms: tuple[tuple[str, float], ...]) -> Automaton:
@@ -243,7 +254,7 @@ def _in_quotes(text: str, start: int, end: int) -> bool:
 def features(text: str | None, automaton: Automaton) -> list[float]:
     low = (text or "").lower()
     words = _WORD.findall(low)
-    hits = {w: d for w in set(words) if (d := automaton.nearest(w))[0] < 9}
+    hits = automaton.hits(set(words))
     exact = strongest = near = quoted = 0.0
     if hits:
         tokens = list(_WORD.finditer(low))
@@ -267,6 +278,7 @@ def with_features(rows: DataFrame, terms: dict[str, float], keep: list[str]) ->
     lexicon = tuple(terms.items())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         automaton = _automaton(lexicon)
         for batch in batches:
             out = [features(t, automaton) for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -325,6 +337,7 @@ def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     bar = math.log(limit / (1 - limit))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("toxicity")
         automaton = _automaton(lexicon)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
