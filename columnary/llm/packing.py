@@ -21,18 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import keeps, ship, take_worker
 
 #: Id that ends every document.
 END_ID = 1
 #: Pieces whose group is expected to hold about so many documents.
 GROUP_DOCS = 1024
 #: Chunks of a cache generation; a Python worker keeps at most two generations.
-GENERATION = 900_000
+GENERATION = 600_000
 #: Characters encoded together.
 STEP_CHARS = 1_000_000
+#: Chunks given to the tokenizer at once.
+ENCODE = 4_096
 
 _LOADED: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
+keeps("packing", _LOADED.clear)
 
 
 def _tokenizer(path: str):
@@ -56,7 +59,7 @@ def _core(chunk: str) -> tuple[str, str]:
     return (core.lower() if core.isascii() and core.isalpha() else core), tail
 
 
-def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
+def _encoded(texts: list[str | None], path: str, cache: int = GENERATION) -> Iterator[bytes]:
     """Little-endian unsigned 32-bit ids of each text, without the end id.
 
     Spaces and line feeds separate tokens in this tokenizer and leave none, so
@@ -67,11 +70,15 @@ def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
     tokenizer, generations = _tokenizer(path)
     step, held = [], 0
     for i, text in enumerate(texts):
-        step.append((text or "").replace("\n", " ").split(" "))
+        body = text or ""
+        # special tokens are told by case, all other ASCII is not
+        if body.isascii() and "<|" not in body:
+            body = body.lower()
+        step.append(body.replace("\n", " ").split(" "))
         held += len(text or "")
         if held < STEP_CHARS and i + 1 < len(texts):
             continue
-        if len(generations[0]) > GENERATION:
+        if len(generations[0]) > cache:
             generations[:] = [{}, generations[0]]
         young, old = generations
         missing = set().union(*step).difference(young)
@@ -80,26 +87,29 @@ def _encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
         parts = {core for core, _ in fresh.values()}.union(tail for _, tail in fresh.values()).difference(young)
         young.update((p, old[p]) for p in parts if p in old)
         unknown = [p for p in parts if p not in old]
-        encoded = tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-        young.update((p, array("I", e.ids).tobytes()) for p, e in zip(unknown, encoded))
+        for k in range(0, len(unknown), ENCODE):  # what the library returns is large
+            part = unknown[k:k + ENCODE]
+            young.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
         young.update((c, young[core] + young[tail]) for c, (core, tail) in fresh.items())
         for chunks in step:
             yield b"".join(map(young.__getitem__, chunks))
         step, held = [], 0
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", cache: int = GENERATION) -> DataFrame:
     """Pieces ``doc_id, start, length, doc_tokens, ids``; ``ids`` is the binary
-    of little-endian unsigned 32-bit ids. Every document ends with ``END_ID``."""
+    of little-endian unsigned 32-bit ids. Every document ends with ``END_ID``. ``cache`` trades a
+    worker's memory for time, not the result."""
     ship(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("packing")
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             rows, start, length, total, ids, held = [], [], [], [], [], 0
-            for i, body in enumerate(_encoded(texts, tokenizer_path)):
+            for i, body in enumerate(_encoded(texts, tokenizer_path, cache)):
                 body += end
                 n = len(body) // 4
                 for s in range(0, n, capacity):

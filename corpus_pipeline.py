@@ -15,6 +15,9 @@ from columnary.llm import decontam, neardup, packing, secret_scan, toxicity
 from columnary.llm.common import cut
 from columnary.llm.queries import TOXIC_FROM, read, tokenizer_path, toxicity_model
 
+#: Chunks of a cache generation in the packing stage (see ``packing.GENERATION``).
+PACKING_CACHE = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, read(spark, sf_dir, "labels"))
@@ -35,7 +38,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(docs, tokenizer_path())
+    # the executors of the earlier stages have grown: leave them more memory
+    pieces = packing.token_pieces(docs, tokenizer_path(), cache=PACKING_CACHE)
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests, docs.count())
 
