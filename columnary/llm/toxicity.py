@@ -50,9 +50,9 @@ REPORTING = frozenset("said says wrote called quoted quote claimed posted stated
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
-_FLUSH = 300_000
+_FLUSH = 150_000
 #: Words without a term nearby that a Python worker remembers at most.
-CLEAR_WORDS = 300_000
+CLEAR_WORDS = 200_000
 
 
 def allowed(term: str) -> int:
