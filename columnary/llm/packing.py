@@ -28,11 +28,11 @@ END_ID = 1
 #: Pieces whose group is expected to hold about so many documents.
 GROUP_DOCS = 1024
 #: Chunks of a cache generation; a Python worker keeps at most two generations.
-GENERATION = 600_000
+GENERATION = 1_000_000
 #: Characters encoded together.
 STEP_CHARS = 1_000_000
 #: Chunks given to the tokenizer at once.
-ENCODE = 4_096
+ENCODE = 16_384
 
 _LOADED: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
 keeps("packing", _LOADED.clear)
