@@ -79,7 +79,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_spans(read(spark, sf_dir, "documents"))
+    return linededup.repeated_spans(read(spark, sf_dir, "documents"), whole_lines=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
