@@ -4,9 +4,12 @@ Numbers, names and units of a text become typed marks, so a question asked again
 with other values keeps its template. Windows of five template words of all
 documents are hash-joined with those of the benchmark; a document holds an item
 when it has at least 75 percent of the item's windows. Where the template has
-marks, the values behind them are compared on the commonest alignment: equal
-values are a verbatim copy, a one-to-one renaming is a re-parameterised one, and
-anything else is no copy.
+marks, the values behind them are compared on every alignment that reaches this
+share alone (where none does, on the commonest), and the closest one counts:
+equal values are a verbatim copy; other numbers, and other names that are a
+one-to-one renaming, a re-parameterised one. Anything else is reported as
+``inconsistent`` where that is asked for (the query and the pipeline do) and is
+no copy otherwise.
 
 Windows with fewer than two plain words say too little and do not count. An item
 of fewer than five words is one window of its own.
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut
 
 WIDTH, COVERAGE, PLAIN_WORDS = 5, 0.75, 2
+#: Kinds of copies, the closest first.
+KINDS = ("verbatim", "reparameterised", "inconsistent")
 #: Words that count as units behind a number.
 UNITS = "percent|%|kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|meter|meters|metre|metres|foot|feet|ft|inch|inches|second|seconds|sec|s|minute|minutes|min|hour|hours|h|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|pound|pounds|liter|liters|litre|litres|l|ml|degree|degrees|times"
 _NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
@@ -68,8 +73,9 @@ def item_windows(items: DataFrame) -> DataFrame:
     return told.join(sizes, "item_id")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, n_windows, n_matched, coverage, n_slots, kind`` for every document that holds an item."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", inconsistent: bool = False) -> DataFrame:
+    """``doc_id, item_id, n_windows, n_matched, coverage, n_slots, kind`` for every document that holds an item;
+    with ``inconsistent`` also where names are mixed up."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     windows = broadcast_if_small(item_windows(items))
@@ -79,14 +85,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     met = cut(spread.join(windows, "window").select("doc_id", "text_key", "item_id", "n_windows", "window", "item_pos", "doc_pos"), "template-matches")
     key = ["doc_id", "text_key", "item_id"]
     holding = met.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.count_distinct("window").alias("n_matched")).where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
-    lanes = met.groupBy(*key, (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
+    lanes = met.groupBy(*key, (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.count_distinct("window").alias("n"), F.first("n_windows").alias("of"))
+    enough = F.filter("lanes", lambda x: x["n"] >= COVERAGE * x["of"])
+    # the commonest alignment, least shift first, and all that reach the coverage
+    lanes = lanes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "shift", "n", "of"))).alias("lanes"))
+    lanes = lanes.withColumn("lane", F.explode(F.when(F.size(enough) > 0, enough).otherwise(F.slice("lanes", 1, 1)))).select(*key, "lane.shift", "lane.less")
     same = [F.col(f"h.{k}").eqNullSafe(F.col(f"l.{k}")) for k in key]
-    found = cut(holding.alias("h").join(lanes.alias("l"), same).select("h.*", "l.shift"), "template-holders")
-    return _slots(docs, items, found)
+    found = cut(holding.alias("h").join(lanes.alias("l"), same).select("h.*", "l.shift", "l.less"), "template-holders")
+    return _slots(docs, items, found, inconsistent)
 
 
-def _slots(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """Compares the values behind the marks of ``found`` pairs along their alignment."""
+def _slots(docs: DataFrame, items: DataFrame, found: DataFrame, inconsistent: bool) -> DataFrame:
+    """Compares the values behind the marks of ``found`` pairs along each alignment, and keeps the closest."""
     ids = broadcast_if_small(found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct())
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     rich_docs = texts.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), _tokens(marked(F.col("text"))).alias("doc_tokens"))
@@ -101,18 +111,20 @@ def _slots(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
     # a slot carries the same type of mark on both sides, between words that agree
     slots = F.array_distinct(F.filter("places", lambda s, p: s["said"].isNotNull() & s["asked"].rlike(f"^[{_NAME}{_NUMBER}]") & same(s) & same(F.get("places", p - 1)) & same(F.get("places", p + 1))))
     judged = both.withColumn("slots", slots)
-    asked = F.size(F.array_distinct(F.transform("slots", lambda s: s["asked"])))
-    said = F.size(F.array_distinct(F.transform("slots", lambda s: s["said"])))
+    names = F.filter("slots", lambda s: s["asked"].startswith(_NAME))
+    renamed = [F.size(F.array_distinct(F.transform(names, lambda s: s[side]))) == F.size(names) for side in ("asked", "said")]  # noqa: B023
     equal = F.forall("slots", lambda s: s["asked"] == s["said"])
-    kind = F.when(equal, "verbatim").when((asked == F.size("slots")) & (said == F.size("slots")), "reparameterised")
-    return judged.withColumn("kind", kind).where("kind is not null").select(
+    judged = judged.withColumn("rank", F.when(equal, 0).when(renamed[0] & renamed[1], 1).otherwise(2)).withColumn("n_slots", F.size("slots").cast("long"))
+    best = judged.groupBy("doc_id", "text_key", "item_id", "n_windows", "n_matched").agg(F.min(F.struct("rank", "less", "shift", "n_slots")).alias("best"))
+    kinds = F.array(*map(F.lit, KINDS))
+    return best.where(F.lit(inconsistent) | (F.col("best.rank") < 2)).select(
         "doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-        F.size("slots").cast("long").alias("n_slots"), "kind",
+        "best.n_slots", F.get(kinds, F.col("best.rank")).alias("kind"),
     ).distinct()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, inconsistent: bool = False) -> DataFrame:
     """``docs`` without the rows whose id is contaminated; columns as they are."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = contaminated(docs, benchmark, inconsistent=inconsistent).select(F.col("doc_id").alias("bad_id")).distinct()
     bad = broadcast_if_small(cut(bad, "contaminated"))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -2,7 +2,7 @@
 
 import random
 
-from columnary.llm import linededup
+from columnary.llm import decontam, linededup
 from columnary.llm.queries import LLM_QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -54,3 +54,19 @@ def test_later_lines_of_the_given_documents(spark):
         spans.setdefault(s["doc_id"], []).append((s["start"], s["end"]))
     missed = [x for x in later_lines(texts) if not any(a <= x[1] and x[2] <= b for a, b in spans.get(x[0], []))]
     assert not missed
+
+
+def kinds_of(spark, items, texts, **asked):
+    docs = spark.createDataFrame([(i, t, "b", 1) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs, bench, **asked).collect()}
+
+
+def test_numbers_need_no_renaming_and_every_alignment_is_judged(spark):
+    item = "so Anna buys 2 apples for 2 dollars in the shop and then Bert sells 3 pears to the old man at the gate for 4 coins"
+    other = item.replace("2 apples for 2", "3 apples for 5").replace("3 pears", "9 pears").replace("for 4", "for 9")
+    mixed = item.replace("Bert", "Anna")
+    texts = [other, mixed, f"{mixed} and {item}", f"{item} and {mixed}", "nothing of the kind stands in here at all"]
+    want = {(0, 0): "reparameterised", (2, 0): "verbatim", (3, 0): "verbatim"}
+    assert kinds_of(spark, [item], texts) == want
+    assert kinds_of(spark, [item], texts, inconsistent=True) == want | {(1, 0): "inconsistent"}
