@@ -11,6 +11,11 @@ one-to-one renaming, a re-parameterised one. Anything else is reported as
 ``inconsistent`` where that is asked for (the query and the pipeline do) and is
 no copy otherwise.
 
+A capital at the start of a text, sentence or quotation may start a name or not, so
+every text is read three ways: all capitalised words as names, those inside
+sentences only, and none. A window is met when any two readings of it agree; two
+windows of an item that differ in the last reading are two.
+
 Windows with fewer than two plain words say too little and do not count. An item
 of fewer than five words is one window of its own.
 
@@ -32,22 +37,31 @@ WIDTH, COVERAGE, PLAIN_WORDS = 5, 0.75, 2
 KINDS = ("verbatim", "reparameterised", "inconsistent")
 #: Words that count as units behind a number.
 UNITS = "percent|%|kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|mile|miles|meter|meters|metre|metres|foot|feet|ft|inch|inches|second|seconds|sec|s|minute|minutes|min|hour|hours|h|day|days|week|weeks|month|months|year|years|dollar|dollars|cent|cents|euro|euros|pound|pounds|liter|liters|litre|litres|l|ml|degree|degrees|times"
-_NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
+_NAME, _NUMBER, _UNIT, _FIRST = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
 def marked(text: Column) -> Column:
     """Words with a type mark in front of names, numbers and units; punctuation gone, lower case."""
-    # a capital inside a sentence starts a name; behind a full stop or line start it says nothing
+    # a capital inside a sentence starts a name; behind a full stop or line start it may, and has a mark of its own
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll}\p{N},;:]\s.)\p{L}*", _NAME + "$0")
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{_NAME}].)\p{{L}}*", _FIRST + "$0")
     t = F.regexp_replace(t, r"\d(?<![\p{L}\p{N}].)[\d.,]*(?<=\d)", _NUMBER + "$0")
     t = F.regexp_replace(t, f"(?i)({_NUMBER}\\S+\\s+)({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1{_UNIT}$2")
-    t = F.regexp_replace(t, rf"(?:[^\p{{L}}\p{{N}}.,{_NAME}{_NUMBER}{_UNIT}]|[.,](?!\d)|(?<!\d)[.,])+", " ")
+    t = F.regexp_replace(t, rf"(?:[^\p{{L}}\p{{N}}.,{_NAME}{_NUMBER}{_UNIT}{_FIRST}]|[.,](?!\d)|(?<!\d)[.,])+", " ")
     return F.trim(F.lower(t))
 
 
-def template(rich: Column) -> Column:
-    """``marked`` text with the values behind its marks taken away."""
-    return F.regexp_replace(rich, f"([{_NAME}{_NUMBER}{_UNIT}])\\S+", "$1")
+def readings(rich: Column) -> Column:
+    """The different templates of ``marked`` text: values behind marks taken away, with all capitalised words as
+    names, only those inside sentences, or none."""
+    typed = F.regexp_replace(rich, f"([{_NUMBER}{_UNIT}])\\S+", "$1")
+    every = F.regexp_replace(typed, f"[{_NAME}{_FIRST}]\\S+", _NAME)
+    inside = F.regexp_replace(F.translate(typed, _FIRST, ""), f"{_NAME}\\S+", _NAME)
+    return F.array_distinct(F.array(every, inside, _bare(typed)))
+
+
+def _bare(typed: Column) -> Column:
+    return F.translate(typed, _NAME + _FIRST, "")
 
 
 def _tokens(t: Column) -> Column:
@@ -63,13 +77,22 @@ def _hashes(tokens: Column) -> Column:
     return F.transform(_starts(F.size(tokens)), lambda i: F.xxhash64(F.slice(tokens, i + 1, WIDTH)))
 
 
+def _read(texts: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``tokens`` of every reading of ``text``; a text's words have the same places in all."""
+    rich = texts.select(*keys, marked(F.col("text")).alias("rich"))
+    # the readings and the word arrays are made once per row, behind steps of their own
+    return rich.select(*keys, F.explode(readings(F.col("rich"))).alias("reading")).select(*keys, _tokens(F.col("reading")).alias("tokens"))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """``window, item_id, item_pos, n_windows`` of every benchmark item."""
-    split = items.select("item_id", _tokens(template(marked(F.col("text")))).alias("tokens")).where(F.size("tokens") > 0)
+    """``window, item_id, item_pos, told, n_windows`` of every benchmark item; readings of a window share ``told``."""
+    split = _read(items, "item_id").where(F.size("tokens") > 0)
     spread = split.select("item_id", "tokens", F.posexplode(_hashes(F.col("tokens"))).alias("item_pos", "window"))
     plain = F.size(F.filter(F.slice("tokens", F.col("item_pos") + 1, WIDTH), lambda t: ~t.rlike(f"^[{_NAME}{_NUMBER}{_UNIT}]$")))
-    told = spread.where(plain >= F.least(F.lit(PLAIN_WORDS), F.size("tokens"))).select("window", "item_id", "item_pos")
-    sizes = told.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
+    whole = items.select("item_id", _tokens(_bare(F.regexp_replace(marked(F.col("text")), f"([{_NUMBER}{_UNIT}])\\S+", "$1"))).alias("tokens"))
+    whole = whole.select("item_id", F.posexplode(_hashes(F.col("tokens"))).alias("item_pos", "told")).distinct()
+    told = spread.where(plain >= F.least(F.lit(PLAIN_WORDS), F.size("tokens"))).select("window", "item_id", "item_pos").distinct().join(whole, ["item_id", "item_pos"])
+    sizes = told.groupBy("item_id").agg(F.count_distinct("told").alias("n_windows"))
     return told.join(sizes, "item_id")
 
 
@@ -79,13 +102,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     windows = broadcast_if_small(item_windows(items))
-    # the word array is made once per row, behind a projection of its own
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _tokens(template(marked(F.col("text")))).alias("tokens"))
+    split = _read(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id", "text_key")
     spread = split.select("doc_id", "text_key", F.posexplode(_hashes(F.col("tokens"))).alias("doc_pos", "window"))
-    met = cut(spread.join(windows, "window").select("doc_id", "text_key", "item_id", "n_windows", "window", "item_pos", "doc_pos"), "template-matches")
+    met = cut(spread.join(windows, "window").select("doc_id", "text_key", "item_id", "n_windows", "told", "item_pos", "doc_pos"), "template-matches")
     key = ["doc_id", "text_key", "item_id"]
-    holding = met.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.count_distinct("window").alias("n_matched")).where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
-    lanes = met.groupBy(*key, (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.count_distinct("window").alias("n"), F.first("n_windows").alias("of"))
+    holding = met.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.count_distinct("told").alias("n_matched")).where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
+    lanes = met.groupBy(*key, (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.count_distinct("told").alias("n"), F.first("n_windows").alias("of"))
     enough = F.filter("lanes", lambda x: x["n"] >= COVERAGE * x["of"])
     # the commonest alignment, least shift first, and all that reach the coverage
     lanes = lanes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "shift", "n", "of"))).alias("lanes"))
@@ -104,16 +126,24 @@ def _slots(docs: DataFrame, items: DataFrame, found: DataFrame, inconsistent: bo
     both = found.join(rich_docs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).join(broadcast_if_small(rich_items), F.col("item_id").eqNullSafe(F.col("i")))
     places = F.transform("item_tokens", lambda t, p: F.struct(t.alias("asked"), F.get("doc_tokens", p + F.col("shift")).alias("said")))
     both = both.withColumn("places", places)
+    def word(t: Column) -> Column:
+        return _bare(F.regexp_replace(t, f"([{_NUMBER}{_UNIT}])\\S+", "$1"))
+
+    def named(s: Column) -> Column:
+        return s["asked"].rlike(f"^[{_NAME}{_FIRST}]") & s["said"].rlike(f"^[{_NAME}{_FIRST}]")
+
     def same(s: Column) -> Column:
-        """Whether a place past either end, or one where both sides have the same template word."""
-        return F.coalesce(template(s["asked"]) == template(s["said"]), F.lit(True))
+        """Whether a place past either end, or one where both sides agree in a reading."""
+        return F.coalesce((word(s["asked"]) == word(s["said"])) | named(s), F.lit(True))
 
     # a slot carries the same type of mark on both sides, between words that agree
-    slots = F.array_distinct(F.filter("places", lambda s, p: s["said"].isNotNull() & s["asked"].rlike(f"^[{_NAME}{_NUMBER}]") & same(s) & same(F.get("places", p - 1)) & same(F.get("places", p + 1))))
+    slot = lambda s: named(s) | s["asked"].startswith(_NUMBER) & s["said"].startswith(_NUMBER)
+    slots = F.array_distinct(F.filter("places", lambda s, p: s["said"].isNotNull() & slot(s) & same(F.get("places", p - 1)) & same(F.get("places", p + 1))))
     judged = both.withColumn("slots", slots)
-    names = F.filter("slots", lambda s: s["asked"].startswith(_NAME))
+    # a sentence's first word is not sure to be a name: it may differ, but mixes nothing up
+    names = F.filter("slots", lambda s: s["asked"].startswith(_NAME) & s["said"].startswith(_NAME))
     renamed = [F.size(F.array_distinct(F.transform(names, lambda s: s[side]))) == F.size(names) for side in ("asked", "said")]  # noqa: B023
-    equal = F.forall("slots", lambda s: s["asked"] == s["said"])
+    equal = F.forall("slots", lambda s: _bare(s["asked"]) == _bare(s["said"]))
     judged = judged.withColumn("rank", F.when(equal, 0).when(renamed[0] & renamed[1], 1).otherwise(2)).withColumn("n_slots", F.size("slots").cast("long"))
     best = judged.groupBy("doc_id", "text_key", "item_id", "n_windows", "n_matched").agg(F.min(F.struct("rank", "less", "shift", "n_slots")).alias("best"))
     kinds = F.array(*map(F.lit, KINDS))

@@ -70,3 +70,14 @@ def test_numbers_need_no_renaming_and_every_alignment_is_judged(spark):
     want = {(0, 0): "reparameterised", (2, 0): "verbatim", (3, 0): "verbatim"}
     assert kinds_of(spark, [item], texts) == want
     assert kinds_of(spark, [item], texts, inconsistent=True) == want | {(1, 0): "inconsistent"}
+
+
+def test_names_at_sentence_starts_and_reprints(spark):
+    item = "Natalia sold clips to 48 of her friends. Natalia then sold half as many"
+    other = "That is so because Tom and his old friend went to the large market by the river"
+    texts = [
+        "Maria sold clips to 12 of her friends. Maria then sold half as many", f"we read here\n{item}", item.lower(),
+        f"one line without a stop\n{other.replace('Tom', 'Jim')} today", other.lower(), "Natalia sold her house. Then she left for good and all",
+    ]
+    want = {(0, 0): "reparameterised", (1, 0): "verbatim", (2, 0): "verbatim", (3, 1): "reparameterised", (4, 1): "verbatim"}
+    assert kinds_of(spark, [item, other], texts) == want
