@@ -16,11 +16,12 @@ every text is read three ways: all capitalised words as names, those inside
 sentences only, and none. A window is met when any two readings of it agree; two
 windows of an item that differ in the last reading are two.
 
-Windows with fewer than two plain words say too little and do not count. An item
-of fewer than five words is one window of its own.
+Windows with fewer than two plain words say too little and do not count; an item
+of which no window says enough is looked for by its very words, numbers kept. An
+item of fewer than five words is one window of its own, and documents are asked
+for windows of each such length.
 
-Defined cases: null or empty texts and items without words match nothing; an
-item whose windows all say too little matches nothing; rows with equal id and
+Defined cases: null or empty texts and items without words match nothing; rows with equal id and
 text are one; a null id is reported as null; an empty table on either side gives
 an empty result; extra columns are ignored.
 """
@@ -73,8 +74,20 @@ def _starts(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(tokens: Column) -> Column:
-    return F.transform(_starts(F.size(tokens)), lambda i: F.xxhash64(F.slice(tokens, i + 1, WIDTH)))
+def _hashes(tokens: Column, *mark: Column) -> Column:
+    return F.transform(_starts(F.size(tokens)), lambda i: F.xxhash64(*mark, F.slice(tokens, i + 1, WIDTH)))
+
+
+def _of_lengths(tokens: Column, lengths: list[int], *mark: Column) -> Column:
+    """(doc_pos, window) of all windows of each of ``lengths`` words."""
+    return F.concat(*(F.transform(
+        F.when(F.size(tokens) >= k, F.sequence(F.lit(0), F.size(tokens) - k)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.alias("doc_pos"), F.xxhash64(*mark, F.slice(tokens, i + 1, k)).alias("window"))) for k in lengths))  # noqa: B023
+
+
+def _exact(texts: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``tokens``: the words of ``text`` with the values kept."""
+    return texts.select(*keys, F.explode(F.array(F.translate(marked(F.col("text")), _NAME + _FIRST + _NUMBER + _UNIT, ""))).alias("said")).select(*keys, _tokens(F.col("said")).alias("tokens"))
 
 
 def _read(texts: DataFrame, *keys: str) -> DataFrame:
@@ -85,13 +98,16 @@ def _read(texts: DataFrame, *keys: str) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``window, item_id, item_pos, told, n_windows`` of every benchmark item; readings of a window share ``told``."""
+    """``window, item_id, item_pos, told, length, exact, n_windows`` of every benchmark item; readings of a window share ``told``."""
     split = _read(items, "item_id").where(F.size("tokens") > 0)
     spread = split.select("item_id", "tokens", F.posexplode(_hashes(F.col("tokens"))).alias("item_pos", "window"))
     plain = F.size(F.filter(F.slice("tokens", F.col("item_pos") + 1, WIDTH), lambda t: ~t.rlike(f"^[{_NAME}{_NUMBER}{_UNIT}]$")))
     whole = items.select("item_id", _tokens(_bare(F.regexp_replace(marked(F.col("text")), f"([{_NUMBER}{_UNIT}])\\S+", "$1"))).alias("tokens"))
     whole = whole.select("item_id", F.posexplode(_hashes(F.col("tokens"))).alias("item_pos", "told")).distinct()
-    told = spread.where(plain >= F.least(F.lit(PLAIN_WORDS), F.size("tokens"))).select("window", "item_id", "item_pos").distinct().join(whole, ["item_id", "item_pos"])
+    told = spread.where(plain >= F.least(F.lit(PLAIN_WORDS), F.size("tokens"))).select("window", "item_id", "item_pos", F.least(F.lit(WIDTH), F.size("tokens")).alias("length")).distinct().join(whole, ["item_id", "item_pos"])
+    mute = _exact(items, "item_id").where(F.size("tokens") > 0).join(told.select("item_id").distinct(), "item_id", "left_anti")
+    mute = mute.select("item_id", F.least(F.lit(WIDTH), F.size("tokens")).alias("length"), F.posexplode(_hashes(F.col("tokens"), F.lit("exact"))).alias("item_pos", "window"))
+    told = told.withColumn("exact", F.lit(False)).unionByName(mute.distinct().withColumn("told", F.col("window")).withColumn("exact", F.lit(True)))
     sizes = told.groupBy("item_id").agg(F.count_distinct("told").alias("n_windows"))
     return told.join(sizes, "item_id")
 
@@ -101,9 +117,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     with ``inconsistent`` also where names are mixed up."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    windows = broadcast_if_small(item_windows(items))
-    split = _read(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), "doc_id", "text_key")
+    made = cut(item_windows(items), "item-windows")
+    windows = broadcast_if_small(made)
+    shapes = [(x["length"], x["exact"]) for x in made.select("length", "exact").distinct().collect()]  # ten at most
+    short, exact = ([k for k, e in shapes if e == kind and (e or k < WIDTH)] for kind in (False, True))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    split = _read(keyed, "doc_id", "text_key")
     spread = split.select("doc_id", "text_key", F.posexplode(_hashes(F.col("tokens"))).alias("doc_pos", "window"))
+    if short:
+        spread = spread.unionByName(split.select("doc_id", "text_key", F.inline(_of_lengths(F.col("tokens"), short))))
+    if exact:
+        spread = spread.unionByName(_exact(keyed, "doc_id", "text_key").select("doc_id", "text_key", F.inline(_of_lengths(F.col("tokens"), exact, F.lit("exact")))))
     met = cut(spread.join(windows, "window").select("doc_id", "text_key", "item_id", "n_windows", "told", "item_pos", "doc_pos"), "template-matches")
     key = ["doc_id", "text_key", "item_id"]
     holding = met.groupBy(*key).agg(F.first("n_windows").alias("n_windows"), F.count_distinct("told").alias("n_matched")).where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))

@@ -81,3 +81,13 @@ def test_names_at_sentence_starts_and_reprints(spark):
     ]
     want = {(0, 0): "reparameterised", (1, 0): "verbatim", (2, 0): "verbatim", (3, 1): "reparameterised", (4, 1): "verbatim"}
     assert kinds_of(spark, [item, other], texts) == want
+
+
+def test_short_and_numeric_items_inside_longer_documents(spark):
+    items = ["12 + 35 - 7 = ?", "1 2 3 4 5 6", "name three primes", "7 + 8", "Which 3 rivers meet"]
+    texts = [
+        "the task was 12 + 35 - 7 = ? and nobody knew", "count 1 2 3 4 5 6 now please", "please name three primes below ten today", "Which 9 rivers meet here by the town",
+        "count 1 2 3 9 5 6 now please", "the task was 12 + 36 - 7 = ? and nobody knew", "1 2", "7 8",
+    ]
+    want = {(0, 0): "verbatim", (1, 1): "verbatim", (2, 2): "verbatim", (3, 4): "reparameterised", (7, 3): "verbatim"}
+    assert kinds_of(spark, items, texts) == want
