@@ -30,7 +30,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    found = secret_scan.scan(read(spark, sf_dir, "documents"), any_two=True)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"),

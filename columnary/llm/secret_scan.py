@@ -4,7 +4,8 @@ Strong finds stand alone: assigned secrets, access ids and long hex runs. Weak
 candidates (account names, bare 40-character keys, short assigned secrets,
 endpoints) are reported only beside their complement: identifiers beside a
 secret, weak secrets beside an identifier, endpoints beside both, with starts at
-most ``SCOPE`` code points apart in one text.
+most ``SCOPE`` code points apart in one text. With ``any_two`` (the query and the
+pipeline) two different ones of secret, identifier and endpoint are enough.
 
 Linking is an interval join: parts are put in cells of one scope length, each
 cell keeps the first and last start of every role (so nothing grows with the
@@ -33,7 +34,7 @@ KEY = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}
 ENDPOINT = r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b(?:[A-Za-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}\b"
 #: Kinds in the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "ident", "key", "short", "endpoint")
-_ROLE = {"assign": "secret", "short": "secret", "key": "secret", "access": "identifier", "ident": "identifier", "endpoint": "endpoint"}
+_ROLE = {"assign": "secret", "short": "secret", "key": "secret", "hex": "secret", "access": "identifier", "ident": "identifier", "endpoint": "endpoint"}
 _NONE = "array<struct<start:int,end:int,value:int>>"
 
 
@@ -75,43 +76,44 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return judged.select(*docs.columns, F.when(F.size("secret_weak") > 0, F.sha2("secret_text", 256)).alias("secret_key"), "secret_base", "secret_weak")
 
 
-def linked(found: DataFrame) -> DataFrame:
+def linked(found: DataFrame, any_two: bool = False) -> DataFrame:
     """``secret_key, extra``: the weak spans of each text that have their complement in scope."""
+    sides = ("secret", "identifier", "endpoint") if any_two else ("secret", "identifier")
     texts = found.where("secret_key is not null").groupBy("secret_key").agg(F.first("secret_base").alias("base"), F.first("secret_weak").alias("weak"))
     role = F.create_map(*[F.lit(x) for pair in _ROLE.items() for x in pair])
     cell = F.floor(F.col("s.start") / SCOPE).alias("cell")
-    parts = texts.select("secret_key", F.explode(F.concat("base", "weak")).alias("s")).select("secret_key", cell, role[F.col("s.kind")].alias("role"), F.col("s.start").alias("start")).where("role in ('secret', 'identifier')")
+    parts = texts.select("secret_key", F.explode(F.concat("base", "weak")).alias("s")).select("secret_key", cell, role[F.col("s.kind")].alias("role"), F.col("s.start").alias("start")).where(F.col("role").isin(*sides))
     cells = parts.groupBy("secret_key", "cell", "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     weak = texts.select("secret_key", F.explode("weak").alias("s")).select("secret_key", "s", role[F.col("s.kind")].alias("own"), F.explode(F.array(*[(F.floor(F.col("s.start") / SCOPE) + d) for d in (-1, 0, 1)])).alias("cell"))
     near = (F.col("first") <= F.col("s.start") + SCOPE) & (F.col("last") >= F.col("s.start") - SCOPE) & (F.col("role") != F.col("own"))
     met = weak.join(cells, ["secret_key", "cell"]).where(near).groupBy("secret_key", "s", "own").agg(F.count_distinct("role").alias("roles"))
-    enough = met.where(F.col("roles") >= F.when(F.col("own") == "endpoint", 2).otherwise(1))
+    enough = met.where(F.col("roles") >= F.when((F.col("own") == "endpoint") & F.lit(not any_two), 2).otherwise(1))
     return enough.groupBy("secret_key").agg(F.collect_list("s").alias("extra"))
 
 
-def _with_spans(found: DataFrame) -> DataFrame:
+def _with_spans(found: DataFrame, any_two: bool) -> DataFrame:
     """``found`` (see ``candidates``, written) with ``secret_spans``: strong and linked weak spans.
 
     Only rows with weak candidates are joined; the others keep their place.
     """
     plain = found.where("secret_key is null").withColumn("secret_spans", F.col("secret_base"))
-    extra = linked(found).withColumnRenamed("secret_key", "extra_key")
+    extra = linked(found, any_two).withColumnRenamed("secret_key", "extra_key")
     none = F.array().cast(found.schema["secret_weak"].dataType)
     joined = found.where("secret_key is not null").join(extra, F.col("secret_key") == F.col("extra_key"), "left")
     both = joined.withColumn("secret_spans", F.array_sort(F.concat("secret_base", F.coalesce("extra", none)))).select(*plain.columns)
     return plain.unionByName(both)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", any_two: bool = False) -> DataFrame:
     """Per row ``doc_id, base, spans``: strong spans, and those with the linked weak ones, by start and kind."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = cut(candidates(own).drop("text"), "secret-candidates")
-    return _with_spans(found).select("doc_id", F.col("secret_base").alias("base"), F.col("secret_spans").alias("spans"))
+    return _with_spans(found, any_two).select("doc_id", F.col("secret_base").alias("base"), F.col("secret_spans").alias("spans"))
 
 
-def redacted(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", mask: str = "[secret]", any_two: bool = False) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mask``; null texts stay null."""
-    found = _with_spans(cut(candidates(docs, text), "secret-rows"))
+    found = _with_spans(cut(candidates(docs, text), "secret-rows"), any_two)
     body, spans = F.col(text), F.col("secret_spans")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     # spans inside what is already masked lengthen the mask

@@ -2,7 +2,7 @@
 
 import random
 
-from columnary.llm import decontam, linededup
+from columnary.llm import decontam, linededup, secret_scan
 from columnary.llm.queries import LLM_QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -91,3 +91,19 @@ def test_short_and_numeric_items_inside_longer_documents(spark):
     ]
     want = {(0, 0): "verbatim", (1, 1): "verbatim", (2, 2): "verbatim", (3, 4): "reparameterised", (7, 3): "verbatim"}
     assert kinds_of(spark, items, texts) == want
+
+
+def test_hex_and_endpoints_complete_a_link(spark):
+    key, long_hex, at = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12", "0123456789abcdef" * 4, "https://db.example.org/x"
+    cases = [
+        (f"client_id=alice77 next to {long_hex}", ["ident", "hex"]), (f"{key} at {at}", ["key", "endpoint"]), (f"user: alice at {at}", ["ident", "endpoint"]),
+        (f"{long_hex} at {at}", ["hex", "endpoint"]), (f"only {at}", []), (f"user: alice{' word' * 200} {long_hex}", ["hex"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "b", 1) for i, (t, _) in enumerate(cases)], DOCS)
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan(docs, any_two=True).collect()}
+    assert got == {i: kinds for i, (_, kinds) in enumerate(cases)}
+
+
+def test_hex_is_a_secret_by_default_too(spark):
+    docs = spark.createDataFrame([(0, "account_id: bob99 and " + "ab" * 20, "b", 1)], DOCS)
+    assert [s["kind"] for s in secret_scan.scan(docs).first()["spans"]] == ["ident", "hex"]
