@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, html_extract, linededup, neardup, packing, secret_scan, sharding, toxicity
+from . import chat, conversation_trie, decontam, filter_audit, fingerprints, html_extract, jaccard_join, linededup, neardup, packing, secret_scan, sharding, toxicity
 
 #: Vocabulary of the packing query, by its name in the installed tokenizer files.
 TOKENIZER = "word_bpe_49k.json"
@@ -104,7 +104,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_html_text, op2_secrets, op3_chat_format, op4_near_duplicates, op5_sharding, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_packing, op10_toxicity)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.turn_lists(read(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.branched(turns))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {f.__name__: f for f in (op1_html_text, op2_secrets, op3_chat_format, op4_near_duplicates, op5_sharding, op6_fingerprints, op7_decontamination, op8_line_dedup, op9_packing, op10_toxicity, op11_conversation_trie, op12_filter_audit, op13_jaccard_join)}
 
 def _sql_spans(pattern: str, kind: str, rank: int, keep: str) -> str:
     """SQL for the matches of a pattern as structs (start, rank, stop, kind): pieces and matches take turns."""
@@ -126,24 +139,97 @@ _SECRETS_SQL = f"""
         SELECT doc_id, len(assign_) AS n_assign, len(access_) AS n_access, len(hex_) AS n_hex, sha256({_JOINED}) AS base_sha256, {_JOINED} AS spans FROM d
 """
 
-LLM_ORACLES = {
-    "op2_secrets": _SECRETS_SQL,
-    "op4_near_duplicates": """
+def _links_sql(width: int, percent: int, kept: str = "") -> str:
+    """SQL of the components that links of shingle sets make."""
+    return f"""
         WITH RECURSIVE w AS (
             SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws
             FROM documents),
         s AS (
-            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-                ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct([array_to_string(ws[i:i + {width - 1}], ' ') FOR i IN range(1, len(ws) - {width - 2})]) END AS sh
             FROM w),
         n AS (SELECT doc_id, len(sh) AS n FROM s),
         u AS (SELECT doc_id, unnest(sh) AS x FROM s),
         p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS common FROM u l JOIN u r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY 1, 2),
-        e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+        e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= {percent} * (na.n + nb.n - common)),
         reach AS (SELECT doc_id AS v, doc_id AS r FROM n UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a),
         c AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)
-        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.v = n.doc_id
-    """,
+        SELECT doc_id, n AS n_shingles, component_id{kept} FROM n JOIN c ON c.v = n.doc_id
+    """
+
+
+# crc32 of the id's digits: a byte goes in, eight shifts follow
+_CRC = """xor(4294967295, list_reduce(
+        list_concat([4294967295], flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN regexp_extract_all(CAST(conv_id AS VARCHAR), '.')])),
+        lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+_TRIE_SQL = f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, md5(concat(length(role), ':', role, text))) AS said, {_CRC} % 4 AS h
+            FROM t GROUP BY conv_id),
+        made AS (
+            SELECT o.conv_id, list_concat(coalesce(b.said[1:o.h], []), o.said[o.h + 1:]) AS said
+            FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+        spot AS (SELECT conv_id, d, len(said) AS n, said[d].t AS last, sha256(CAST(said[1:d] AS VARCHAR) || d) AS k, sha256(CAST(said[1:d - 1] AS VARCHAR) || (d - 1)) AS up
+            FROM (SELECT conv_id, said, unnest(range(len(said) + 1)) AS d FROM made)),
+        node AS (
+            SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+                any_value(len([x FOR x IN string_split_regex(CASE WHEN d = 0 THEN '' ELSE last END, '[\\x20\\x09-\\x0D]+') IF x <> ''])) AS words,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+            FROM spot GROUP BY k, d),
+        kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up),
+        -- a node lies below the nodes of its smallest member up to its own depth
+        below AS (
+            SELECT a.k, sum(CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+            FROM node x JOIN spot a ON a.conv_id = x.conv_id AND a.d <= x.d LEFT JOIN kids ON kids.k = x.k GROUP BY a.k)
+        SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n_children, 0) AS n_children,
+            below.n_leaves, below.saved_tokens, x.ends_sha256
+        FROM node x JOIN below ON below.k = x.k LEFT JOIN kids ON kids.k = x.k LEFT JOIN node p ON x.d > 0 AND p.k = x.up
+"""
+_AUDIT_SQL = """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+                [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws
+            FROM documents),
+        marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT w.doc_id, part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+                (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+                + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body))::INT
+                + 8 * regexp_matches(body, '[#$%&*|]')::INT
+                + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY body), FALSE)::INT AS mask
+            FROM w LEFT JOIN marks ON marks.doc_id = w.doc_id),
+        cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, mask),
+        letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        walk(prefix, applied, step) AS (
+            SELECT '', 0, 0
+            UNION ALL
+            SELECT prefix || letter, applied | bit, step + 1 FROM walk, letters WHERE applied & bit = 0),
+        steps AS (
+            SELECT o.prefix AS filter_order, i.step, l.letter, l.bit, b.applied
+            FROM walk o, (SELECT unnest(range(1, 6)) AS step) i JOIN letters l ON l.letter = o.prefix[i.step] JOIN walk b ON b.prefix = o.prefix[1:i.step - 1]
+            WHERE o.step = 5),
+        counted AS (
+            SELECT c.part, s.filter_order, s.step, s.letter,
+                coalesce(sum(n) FILTER (mask & (applied | bit) = 0), 0)::BIGINT AS kept,
+                coalesce(sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+            FROM steps s, cells c GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+        FROM counted
+"""
+
+LLM_ORACLES = {
+    "op2_secrets": _SECRETS_SQL,
+    "op4_near_duplicates": _links_sql(5, 75, ", doc_id = component_id AS kept"),
+    "op11_conversation_trie": _TRIE_SQL,
+    "op12_filter_audit": _AUDIT_SQL,
+    "op13_jaccard_join": _links_sql(3, 90),
     "op3_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
