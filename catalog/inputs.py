@@ -15,6 +15,7 @@ ORDER = {
     "customer_by_name": ["c_name"],
     "gaps": ["day_code", "o_orderkey"],
     "wide": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"],
+    "wide_gaps": ["l_orderkey"],
     "exact": None,
     "order_pairs": None,
     "customer": ["c_custkey"],
@@ -60,6 +61,11 @@ FROM orders
 WIDE_COLUMNS = 40
 WIDE_TABLE = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, " + ", ".join(
     f"l_quantity * {i % 7} + (l_orderkey * {i + 3}) % {97 + i} + l_tax * {i * i} AS w{i:02d}" for i in range(WIDE_COLUMNS)) + " FROM lineitem"
+#: Sixty columns with gaps of their own, one without any and one that is missing everywhere.
+GAPPED = [f"g{i:02d}" for i in range(60)]
+WIDE_GAPS_TABLE = "SELECT l_orderkey, " + ", ".join(
+    f"CASE WHEN (l_orderkey + l_linenumber) % {i % 11 + 2} <> {i % 3} THEN l_quantity * {i % 5} + (l_partkey * {i + 3}) % {53 + i} END AS {n}" for i, n in enumerate(GAPPED)
+) + ", CASE WHEN l_orderkey < 0 THEN l_tax END AS nothing FROM lineitem"
 #: Prices whose exact values differ in digits that doubles do not hold.
 EXACT = """
 SELECT CAST(12345678901234567 AS DECIMAL(30, 2)) + CAST((l_linenumber % 4) / 100.0 AS DECIMAL(30, 2)) AS exact_amount, l_returnflag
@@ -80,6 +86,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.sql(GAPS.format(text="STRING").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     if name == "wide":
         return spark.sql(WIDE_TABLE.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    if name == "wide_gaps":
+        return spark.sql(WIDE_GAPS_TABLE.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if name == "exact":
         return spark.sql(EXACT.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     if name == "order_pairs":

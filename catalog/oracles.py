@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from .inputs import DIRTY, EXACT, GAPS, LATE, WIDE_COLUMNS, WIDE_TABLE
+from .inputs import DIRTY, EXACT, GAPPED, GAPS, LATE, WIDE_COLUMNS, WIDE_GAPS_TABLE, WIDE_TABLE
 
 # -- tables -----------------------------------------------------------------------
 COLUMNS = {
@@ -359,6 +359,11 @@ _WIDE_PAIRS = list(combinations(_WIDE_NAMES, 2))
 ORACLES["correlation_matrix_wide"] = "WITH src AS (" + WIDE_TABLE + "), r AS (SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in _WIDE_PAIRS) + """ FROM src)
 SELECT split_part(pair, '__', 1) AS x, split_part(pair, '__', 2) AS y, round(v, 4) AS value FROM (UNPIVOT r ON COLUMNS(*) INTO NAME pair VALUE v)"""
 
+_GAP_PAIRS = list(combinations(["l_orderkey", *GAPPED], 2))
+ORACLES["correlation_matrix_wide_gaps"] = "WITH src AS (" + WIDE_GAPS_TABLE + "), r AS (SELECT " + ", ".join(
+    f"corr({a}, {b}) AS {a}__{b}" for a, b in _GAP_PAIRS) + """ FROM src)
+SELECT split_part(pair, '__', 1) AS x, split_part(pair, '__', 2) AS y, round(v, 4) AS value FROM (UNPIVOT r ON COLUMNS(*) INTO NAME pair VALUE v)"""
+
 
 def matrix(data: str, limit: int) -> tuple[str, str]:
     names = NUMERIC[data][:limit]

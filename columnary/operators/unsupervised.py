@@ -17,7 +17,7 @@ from .dataset import DOUBLE, LONG, Dataset, pin
 from .features import impute_and_scale, variances
 from .isolation import grow_forest, score_rows
 from .ranks import exact_quantiles
-from .sampling import sample_rows
+from .sampling import HASH_BITS, row_hash, sample_rows
 from .tally import column_facts
 
 ALL = "all"
@@ -100,7 +100,9 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
         rows, used = sample_rows(ds, rows, max_rows, {ALL: available}, F.lit(ALL)), max_rows
     x = scaled(ds, rows, names).alias("x")
     order = ds.order_by or [c for c in ds.rows.columns if c not in ds.all_columns]
-    vectors = rows.select(*[F.col("`" + k + "`") for k in order], x).withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    # the raw values and the order tell rows apart; scaled values differ in their last digits from run to run
+    place = F.shiftrightunsigned(F.xxhash64(row_hash(ds), *ds.order_columns), 64 - HASH_BITS).alias("place")
+    vectors = rows.select(*[F.col("`" + k + "`").alias(f"key_{i}") for i, k in enumerate(order)], place, x).withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
     k = max(2, min(int(n_clusters), used - 1, 8))
     clusters = KMeans(k=k, seed=vocab.SEED, featuresCol="features", predictionCol="label").fit(vectors)
@@ -108,11 +110,11 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
     # the sign of a component is free: make its largest loading positive
     loadings = pca.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    forest = pin(grow_forest(ds, vectors, used)).toPandas()
+    forest = pin(grow_forest(vectors, used)).toPandas()
     scored = score_rows(pca.transform(clusters.transform(vectors)), forest, min(vocab.ISOLATION_SAMPLE, used))
     points = vector_to_array("projected")
     flat = scored.select(
-        *[F.col("`" + c + "`").alias(f"key_{i}") for i, c in enumerate(order)], "label", "raw_score",
+        *[f"key_{i}" for i in range(len(order))], "label", "raw_score",
         (points[0] * signs[0]).alias("pc1"), (points[1] * signs[1]).alias("pc2"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     offset = exact_quantiles(flat, {"s": F.col("raw_score")}, [contamination])["s"][0]

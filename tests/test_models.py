@@ -57,8 +57,8 @@ def test_split_is_exact_and_survives_repartitioning(spark):
     sides = []
     for parts in (1, 9):
         ds = Dataset(spark.createDataFrame(rows, "k long, y string").repartition(parts), order_by=["k"], hold=False)
-        cond, train, test = supervised.holdout(ds, ds.rows, 0.2, features.class_sizes(ds, ds.rows, "y"), "y")
-        chosen = {r.k for r in ds.rows.where(cond).collect()}
+        held_out, _, train, test = supervised.holdout(ds, ds.rows, 0.2, features.class_sizes(ds, ds.rows, "y"), "y")
+        chosen = {r.k for r in held_out.collect()}
         assert (train, test, len(chosen)) == (800, 201, 201)
         sides.append(chosen)
     assert sides[0] == sides[1]
@@ -113,9 +113,46 @@ def test_split_sizes_with_a_repeated_key(spark):
     rows = spark.createDataFrame([(i % 3, float(i), "ab"[i % 2]) for i in range(1000)], "day int, x double, y string")
     for order in (["day"], None):
         ds = Dataset(rows, "t", order)
-        test, n_train, n_test = supervised.holdout(ds, ds.rows, 0.2, {"a": 500, "b": 500}, "y")
-        got = ds.rows.groupBy(test.alias("test")).agg(F.count(F.lit(1)).alias("n")).collect()
-        assert (n_train, n_test) == (800, 200) and {r["test"]: r["n"] for r in got} == {True: 200, False: 800}
+        test, train, n_train, n_test = supervised.holdout(ds, ds.rows, 0.2, {"a": 500, "b": 500}, "y")
+        assert (n_train, n_test, train.count(), test.count()) == (800, 200, 800, 200)
+
+
+def test_equal_rows_are_split_exactly(spark):
+    """Rows of four kinds, one of them half of all: announced and delivered sizes are the same."""
+    rows = spark.createDataFrame([("ab"[i % 2], [1, 1, 2, 3][i % 4]) for i in range(1000)], "y string, x int").repartition(5)
+    ds = Dataset(rows, "t", None)
+    sizes = {"a": 500, "b": 500}
+    test, train, n_train, n_test = supervised.holdout(ds, ds.rows, 0.2, sizes, "y")
+    assert (n_train, n_test, train.count(), test.count()) == (800, 200, 800, 200)
+    count = lambda df: {(r.y, r.x): r["count"] for r in df.groupBy("y", "x").count().collect()}
+    a, b = count(test), count(train)
+    assert sum(n for (y, _), n in a.items() if y == "a") == 100
+    assert {k: a.get(k, 0) + b.get(k, 0) for k in a | b} == count(rows)
+    assert sampling.sample_rows(ds, ds.rows, 77, sizes, F.col("y")).count() == 77
+
+
+def test_many_classes_join_instead_of_literals(spark):
+    ds = Dataset(spark.range(4000).selectExpr("id AS k", "concat('c', id % 1000) AS y", "id * 1.0D AS x"), "t", ["k"])
+    p = supervised.prepare(ds, "y")
+    assert (p.train.count(), p.test.count()) == (3200, 800)
+    plan = p.train._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+    assert p.train.select("label").distinct().count() > 900
+
+
+def test_forest_rows_are_drawn_exactly(spark):
+    """Above trees x 256 rows every tree gets its rows, whatever the partitioning."""
+    rows = lambda n: spark.range(n).selectExpr("shiftrightunsigned(xxhash64(id), 12) AS place", "array(cast(id % 97 AS double), cast(id AS double)) AS x")
+    seen = []
+    for parts in (3, 11):
+        vectors = rows(60_000).repartition(parts)
+        drawn = isolation.draw_rows(vectors, 60_000, 80, 256).collect()
+        assert len(drawn) == 80 * 256 and len({(r.tree, r.place) for r in drawn}) == 80 * 256
+        seen.append({(r.tree, r.place, tuple(r.x)) for r in drawn})
+    assert seen[0] == seen[1]
+    for n, size in ((300, 256), (12, 12)):
+        drawn = isolation.draw_rows(rows(n), n, 80, size)
+        assert drawn.groupBy("tree").count().where(f"count = {size}").count() == 80
 
 
 def test_class_never_predicted_has_zero_precision(spark):

@@ -55,7 +55,6 @@ def test_split_point_without_keys_uses_arrival(spark):
     assert ds.rows.where(ordinals.from_rank(ds, 50)).count() == 50
 
 
-def test_missing_order_keys_are_refused(spark):
-    ds = Dataset(spark.createDataFrame([(1,), (None,)], "k long"), order_by=["k"])
-    with pytest.raises(ValueError):
-        ordinals.from_rank(ds, 1)
+def test_missing_order_keys_come_first(spark):
+    ds = Dataset(spark.createDataFrame([(1,), (None,), (0,)], "k long"), order_by=["k"])
+    assert sorted(r.k for r in ds.rows.where(ordinals.from_rank(ds, 1)).collect()) == [0, 1]
