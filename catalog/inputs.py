@@ -66,6 +66,8 @@ GAPPED = [f"g{i:02d}" for i in range(60)]
 WIDE_GAPS_TABLE = "SELECT l_orderkey, " + ", ".join(
     f"CASE WHEN (l_orderkey + l_linenumber) % {i % 11 + 2} <> {i % 3} THEN l_quantity * {i % 5} + (l_partkey * {i + 3}) % {53 + i} END AS {n}" for i, n in enumerate(GAPPED)
 ) + ", CASE WHEN l_orderkey < 0 THEN l_tax END AS nothing FROM lineitem"
+#: A tenth below zero, seven tenths at zero, then a gap.
+BAND_GAP = "CASE WHEN o_orderkey % 10 = 0 THEN -5.0D - o_orderkey % 3 WHEN o_orderkey % 10 < 8 THEN 0.0D ELSE 1.0D + o_orderkey % 2 END"
 #: Prices whose exact values differ in digits that doubles do not hold.
 EXACT = """
 SELECT CAST(12345678901234567 AS DECIMAL(30, 2)) + CAST((l_linenumber % 4) / 100.0 AS DECIMAL(30, 2)) AS exact_amount, l_returnflag

@@ -432,6 +432,7 @@ DRIFT_TOP = "SELECT * EXCLUDE (ordinal) FROM alld ORDER BY change_score DESC, ki
 add("drift_numeric", "events", 'SELECT "column", kind, baseline_label, recent_label, baseline_value, recent_value, delta_pct, change_score FROM alld WHERE kind = \'numeric\'', drift(HALF))
 add("drift_categorical", "events", 'SELECT "column", kind, baseline_label, recent_label, baseline_top, recent_top, baseline_share, recent_share, change_score FROM alld WHERE kind = \'categorical\'', drift(HALF))
 add("drift_checks", "orders", DRIFT_TOP, drift(HALF))
+add("drift_no_key", "events", DRIFT_TOP, drift(HALF))
 add("drift_text_key", "customer_by_name", DRIFT_TOP, drift(HALF))
 add("drift_null_key", "gaps", DRIFT_TOP, drift(HALF))
 add("drift_by_time", "dirty", DRIFT_TOP, drift("ship_text >= '1999/01/01'"))

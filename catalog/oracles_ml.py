@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .inputs import BAND_GAP
+
 YES_NO = """preds AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS actual, CASE WHEN l_quantity > 25 THEN 'yes' ELSE 'no' END AS prediction,
   l_returnflag = 'R' AS positive, l_quantity / 50.0 AS score FROM lineitem)"""
 THREE = "preds AS (SELECT l_returnflag AS actual, CASE WHEN l_linenumber <= 2 THEN 'A' WHEN l_linenumber <= 5 THEN 'N' ELSE 'Z' END AS prediction FROM lineitem)"
@@ -89,6 +91,15 @@ fill AS (SELECT label, n, CAST(f + CASE WHEN rk <= {total} - (SELECT sum(f) FROM
 SELECT label, 'test' AS side, k AS n FROM fill UNION ALL SELECT label, 'train', n - k FROM fill"""
     out["stratified_split_repeated_key"] = out["stratified_split"]
     out["stratified_split_no_key"] = out["stratified_split"].replace("o_orderpriority", "lang").replace("FROM orders", "FROM documents")
+    out["scan_preview_rows"] = "SELECT least(120, count(*))::BIGINT AS shown, least(120, count(*))::BIGINT AS records, least(120, count(*))::BIGINT AS placed FROM orders"
+    out["preview_records"] = "SELECT least(40, ceil(0.2 * count(*)))::BIGINT AS shown, least(40, ceil(0.2 * count(*)))::BIGINT AS records FROM part"
+    out["slices_empty_band"] = f"""WITH src AS (SELECT o_totalprice AS y, {BAND_GAP.replace("0D", "0")} AS x FROM orders),
+edges AS (SELECT list_sort(list_distinct(quantile_cont(x::DOUBLE, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM src),
+bands AS (SELECT i AS bucket, e[i] AS lower, e[i + 1] AS upper FROM edges, (SELECT unnest(range(1, 6)) AS i) WHERE i < len(e))
+SELECT 'spread' AS feature, bucket::INT AS bucket, round(lower, 6) AS lower, round(upper, 6) AS upper, count(y) AS count, round(avg(y), 4) AS target_value
+FROM bands LEFT JOIN src ON x <= upper AND (x > lower OR bucket = 1) GROUP BY ALL"""
+    out["report_purge"] = """SELECT 2 AS analysis_id, p_brand, count(*) AS n, sum(p_partkey + 1) AS keys, 'e' AS extra FROM part GROUP BY p_brand
+UNION ALL SELECT 3, p_brand, count(*), sum(p_partkey), 'again' FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand"""
     out["stratified_split_equal_rows"] = out["stratified_split"]
     out["class_weights_many"] = """WITH s AS (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT part, n, round((SELECT sum(n) FROM s) / ((SELECT count(*) FROM s) * n::DOUBLE), 6) AS weight FROM s"""

@@ -17,7 +17,7 @@ from columnary.operators import (
 )
 from columnary.operators.dataset import Dataset, pin
 from columnary.session import ensure_checkpoint_dir
-from columnary.sources import read_csv, read_section, write_sections
+from columnary.sources import purge_runs, read_csv, read_section, write_sections
 
 from . import inputs
 from .inputs import dataset, table
@@ -189,6 +189,12 @@ _on("drift_categorical", "events", lambda ds: drift.categorical_drift(ds, column
 _on("drift_checks", "orders", lambda ds: drift.drift_checks(ds).drop("ordinal"))
 _on("drift_text_key", "customer_by_name", lambda ds: drift.drift_checks(ds).drop("ordinal"))
 _on("drift_null_key", "gaps", lambda ds: drift.drift_checks(ds).drop("ordinal"))
+@query("drift_no_key")
+def drift_no_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves in the order of the files, of a table that is not kept and names no key."""
+    return drift.drift_checks(Dataset(table(spark, sf_dir, "events"), "events", None, hold=False)).drop("ordinal")
+
+
 _on("drift_by_time", "dirty", lambda ds: drift.drift_checks(ds, F.col("ship_text") >= "1999/01/01", numeric_columns_used=8, label_columns_used=6).drop("ordinal"))
 _on("chart_picks", "events", lambda ds: charts.chart_picks(ds, None, 8, 6, 10, 6))
 
@@ -472,6 +478,45 @@ def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("count").alias("row_count"), rounded(F.sum("share"), 6).alias("share"), F.count_if(F.col("ahead") < F.col("count")).alias("out_of_order"))
 
 
+@query("scan_preview_rows")
+def scan_preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row number and the record of the previewed rows, against the orders they came from."""
+    shown = _scan(spark, sf_dir).preview()
+    placed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key_0"), F.col("o_totalprice").alias("price"))
+    return shown.join(placed, "key_0").agg(
+        F.count(F.lit(1)).alias("shown"), F.count_if(F.col("record.o_totalprice") == F.col("price")).alias("records"),
+        F.count_if(F.col("row") == F.col("key_0") - F.lit(table(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0]) + 1).alias("placed"))
+
+
+@query("preview_records")
+def preview_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the prediction preview are the features of the rows they name."""
+    shown = supervised.prediction_preview(_benchmark(spark, sf_dir, "part", "p_retailprice"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key_0"), "p_size")
+    return shown.join(parts, "key_0").agg(F.count(F.lit(1)).alias("shown"), F.count_if(F.col("record.p_size") == F.col("p_size")).alias("records"))
+
+
+@query("slices_empty_band")
+def slices_empty_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band whose edges lie in the gap behind a repeated value holds no row and is listed."""
+    made = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.expr(inputs.BAND_GAP).alias("spread"))
+    ds = Dataset(made, "orders", ["o_orderkey"])
+    return slices.target_slices(ds, "o_totalprice", "regression", ["spread"]).select("feature", "bucket", "lower", "upper", "count", rounded("target_value", 4).alias("target_value"))
+
+
+@query("report_purge")
+def report_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of two schemas stored, one purged, one purged and written again: what is read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    for run, kept in ((1, parts), (2, parts.withColumn("p_partkey", F.col("p_partkey") + 1).withColumn("extra", F.lit("e"))), (3, parts)):
+        write_sections({"parts": kept}, path, run)
+    purge_runs(spark, path, [1, 3])
+    write_sections({"parts": parts.where("p_brand is not null").withColumn("extra", F.lit("again"))}, path, 3)
+    return read_section(spark, path, "parts").groupBy("analysis_id", "p_brand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"), F.max("extra").alias("extra"))
+
+
 @query("scan_preview_keys")
 def scan_preview_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = _scan(spark, sf_dir).preview()

@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import column, double_text, parse_number
+from ..session import ensure_checkpoint_dir
 from ..vocab import MISSING_LABEL
 
 LONG, DOUBLE, TEXT, BOOL, TIME = "long", "double", "text", "bool", "time"
@@ -24,7 +26,10 @@ LONG, DOUBLE, TEXT, BOOL, TIME = "long", "double", "text", "bool", "time"
 PIN_ROWS = 500_000
 #: Tables the optimizer estimates below this are spread over the cores and kept.
 SMALL_BYTES = 128 * 1024 * 1024
+#: Most files whose places are sent to all tasks; beyond it they are joined by a shuffle.
+BROADCAST_FILES = 200_000
 ARRIVAL = "__arrival"
+_FILE, _ROW = "__file", "__row"
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -48,6 +53,25 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with their number in file order, where a scan tells it; no row is moved.
+
+    The rows per file are counted once, from the row numbers that the reader
+    makes up, and each file gets the number its first row has.
+    """
+    try:
+        placed = rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+    except AnalysisException:  # not a scan of files, or of files without row numbers
+        return rows.withColumn(ARRIVAL, F.monotonically_increasing_id())
+    ensure_checkpoint_dir(rows.sparkSession)
+    sizes = placed.groupBy(_FILE).agg((F.max(_ROW) + 1).alias("size"))
+    before = F.sum("size").over(Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1))
+    files = sizes.select(F.col(_FILE).alias("__path"), F.coalesce(before, F.lit(0)).alias("__before")).checkpoint()  # one row per file
+    files = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+    numbered = placed.join(files, F.col(_FILE) == F.col("__path"))
+    return numbered.withColumn(ARRIVAL, F.col("__before") + F.col(_ROW)).drop(_FILE, _ROW, "__path", "__before")
+
+
 def lane_of(data_type: T.DataType) -> str | None:
     """Which of the five value lanes a Spark type belongs to, if any."""
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -77,8 +101,9 @@ class Dataset:
     """A DataFrame prepared for profiling.
 
     ``order_by`` names the columns that define row order; it should identify a
-    row. Without it, the order in which the scan delivers rows is used, which
-    holds for one read only.
+    row. Without it, rows of Parquet files are in order of file path and place
+    in the file, the same in every read; rows of other sources are in the order
+    in which one scan delivers them.
     """
 
     source: DataFrame
@@ -117,7 +142,7 @@ class Dataset:
         """
         rows = self.source
         if not self.order_by and ARRIVAL not in rows.columns:
-            rows = rows.withColumn(ARRIVAL, F.monotonically_increasing_id())
+            rows = file_order(rows)
         if self.hold and estimated_bytes(self.source) <= SMALL_BYTES:
             parallelism = self.spark.sparkContext.defaultParallelism
             # by row key: unlike round robin this needs no sort to be repeatable

@@ -10,21 +10,28 @@ from ..session import ensure_checkpoint_dir
 from .dataset import ARRIVAL, DOUBLE, LONG, TIME, Dataset
 from .ranks import rank_values
 
-_POSITION = "__position"
+_POSITION, _CONTENT, _PLACE = "__position", "__content", "__place"
+#: Different keys that one task may sort when a rank is looked up.
+NARROW = 100_000
 
 
 def with_row_id(ds: Dataset) -> DataFrame:
     """All rows with their 0-based ``row_id`` in row order.
 
     Range partitioning sorts in parallel; a row's id is its place inside its
-    partition plus the rows of the partitions before it. The sorted rows go
-    through a checkpoint first: range bounds are sampled, and ids computed
-    against two different samplings would clash.
+    partition plus the rows of the partitions before it. Rows with equal keys
+    are in order of a hash of their content, so the rows of one key spread over
+    as many ranges as they need; equal rows are told apart by their place in the
+    scan, which matters to nothing but the ranges. The sorted rows go through a
+    checkpoint first: range bounds are sampled, and ids computed against two
+    different samplings would clash.
     """
     ensure_checkpoint_dir(ds.spark)
-    keys = ds.order_columns
+    keys = [*ds.order_columns, F.col(_CONTENT), F.col(_PLACE)]
+    content = F.xxhash64(*[ds.value(n) for n in ds.names]) if ds.names else F.lit(0)
     placed = (
-        ds.rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        ds.rows.withColumn(_CONTENT, content).withColumn(_PLACE, F.monotonically_increasing_id())
+        .repartitionByRange(*keys).sortWithinPartitions(*keys).drop(_CONTENT, _PLACE)
         .withColumn(_POSITION, F.monotonically_increasing_id()).checkpoint()
     )
     part = F.shiftright(F.col(_POSITION), 33)
@@ -58,20 +65,25 @@ def key_at(rows: DataFrame, keys: list[Column], rank: int) -> tuple:
     """The key of the row at ``rank`` (from 0) in ascending order, for keys of any type.
 
     Equal keys collapse to one counted row before anything is sorted, so a
-    repeated key is no heavier than another; the different keys are sorted in
-    parallel by range, and only the part that holds the rank is looked into.
+    repeated key is no heavier than another. The different keys are spread over
+    ranges, the range that holds the rank is spread again, and so on until it
+    holds few keys.
     """
     names = [f"k{i}" for i in range(len(keys))]
     ensure_checkpoint_dir(rows.sparkSession)
-    counted = rows.select(*[k.alias(n) for k, n in zip(keys, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
-    placed = counted.repartitionByRange(*names).withColumn("part", F.spark_partition_id()).checkpoint()
+    inside = rows.select(*[k.alias(n) for k, n in zip(keys, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
     before = 0
-    for part in placed.groupBy("part").agg(F.sum("rows").alias("rows")).orderBy("part").collect():  # one row per partition
-        if rank < before + part["rows"]:
+    while True:
+        placed = inside.repartitionByRange(*names).withColumn("part", F.spark_partition_id()).checkpoint()
+        parts = placed.groupBy("part").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("keys")).orderBy("part").collect()  # one row per range
+        for part in parts:
+            if rank < before + part["rows"]:
+                break
+            before += part["rows"]
+        inside = placed.where(F.col("part") == part["part"]).drop("part")
+        if part["keys"] <= NARROW or len(parts) == 1:
             break
-        before += part["rows"]
-    inside = placed.where(F.col("part") == part["part"])
-    upto = F.sum("rows").over(Window.orderBy(*names)) + before  # one range of the different keys
+    upto = F.sum("rows").over(Window.orderBy(*names)) + before  # one range, narrowed to few keys
     return tuple(inside.withColumn("upto", upto).where(F.col("upto") > rank).orderBy(*names).select(*names).first())
 
 

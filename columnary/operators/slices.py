@@ -114,7 +114,8 @@ def target_slices(
         frame = [(ds.get(n).ordinal, b, n, i, edges[n][b], edges[n][b + 1]) for i, n in enumerate(banded) for b in range(len(edges[n]) - 1)]
         grid = ds.spark.createDataFrame(frame, "ordinal int, v int, feature string, position int, lower double, upper double")
         parts.append(
-            found.join(F.broadcast(grid), ["ordinal", "v"]).select(
+            # a band between two edges may hold no row: it is listed with a count of 0
+            grid.join(F.broadcast(pin(found)), ["ordinal", "v"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).select(
                 "feature", F.lit("numeric").alias("feature_type"), (F.col("v") + 1).alias("bucket"),
                 rounded("lower", 6).alias("lower"), rounded("upper", 6).alias("upper"), F.lit(None).cast("string").alias("label"),
                 "count", F.lit(target_label).alias("target_label"), rounded("target_value", 6).alias("target_value"), "target_class",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import rounded
+from ..functions import column, rounded
 from .dataset import Dataset, pin
 from .features import (
     FeatureChoice, Encoding, choose_features, class_sizes, class_weights, feature_vector, is_number, learn_encoding, task_type,
@@ -141,15 +141,18 @@ def prepare(
     keys = [k.alias(f"key_{i}") for i, k in enumerate(ds.order_columns)]
     columns = [*keys, feature_vector(ds, encoding).alias("features"), y.alias("label"), w.alias("weight")]
 
-    def encoded(side: DataFrame) -> DataFrame:
+    # held-out rows keep their features as they were, for the preview
+    record = F.struct(*[column(n) for n in [*choice.numeric, *choice.categorical]]).alias("record")
+
+    def encoded(side: DataFrame, *more: Column) -> DataFrame:
         # one row per class: the plan is as large for many classes as for two
         known = side if classes is None else side.join(F.broadcast(classes), ds.text(target) == F.col(_CLASS))
-        return known.select(*columns)
+        return known.select(*columns, *more)
 
     level = StorageLevel.MEMORY_AND_DISK
     return Prepared(
         ds, target, task, choice, encoding, labels, sizes, encoded(train_raw).persist(level),
-        encoded(test_raw).persist(level), train_rows, test_rows, available, used, rows,
+        encoded(test_raw, record).persist(level), train_rows, test_rows, available, used, rows,
     )
 
 
@@ -179,7 +182,7 @@ def scored(p: Prepared, model) -> DataFrame:
     out = model.transform(p.test)
     keys = [c for c in p.test.columns if c.startswith("key_")]
     if p.task == "regression":
-        return out.select(*keys, F.col("label").alias("actual"), "prediction")
+        return out.select(*keys, F.col("label").alias("actual"), "prediction", "record")
     score = F.lit(None).cast("double")
     positive = positive_label(p.sizes)
     if positive is not None:
@@ -187,7 +190,7 @@ def scored(p: Prepared, model) -> DataFrame:
     names = class_table(p.ds, p.labels, {}).select(F.col(_INDEX), F.col(_CLASS))
     for index, name in (("label", "actual"), ("prediction", "predicted")):
         out = out.join(F.broadcast(names.toDF(f"{name}_index", name)), F.col(index) == F.col(f"{name}_index"), "left")
-    return out.select(*keys, "actual", F.col("predicted").alias("prediction"), score.alias("score"))
+    return out.select(*keys, "actual", F.col("predicted").alias("prediction"), score.alias("score"), "record")
 
 
 def evaluate(p: Prepared, rows: DataFrame) -> dict[str, float]:
@@ -276,7 +279,7 @@ def supervised_benchmark(
 
 
 def prediction_preview(b: Benchmark, limit: int = vocab.PREVIEW_ROWS) -> DataFrame:
-    """First held-out rows in row order with actual and predicted value."""
+    """First held-out rows in row order: actual and predicted value and the features as ``record``."""
     keys = [c for c in b.predictions.columns if c.startswith("key_")]
     return b.predictions.orderBy(*keys).limit(limit)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import rounded
+from ..functions import column, rounded
 from .dataset import DOUBLE, LONG, Dataset, pin
 from .features import impute_and_scale, variances
 from .isolation import grow_forest, score_rows
@@ -58,6 +58,7 @@ class Scan:
     rows: DataFrame
     explained_variance: list[float]
     warnings: DataFrame
+    ds: Dataset | None = None
 
     def cluster_distribution(self) -> DataFrame:
         """Cluster sizes with their share, largest first."""
@@ -69,9 +70,24 @@ class Scan:
         return self.rows.agg(F.count_if("anomaly_flag").alias("anomaly_count"))
 
     def preview(self, limit: int = vocab.SCAN_PREVIEW_ROWS) -> DataFrame:
-        """A fixed pseudo-random sample of scored rows."""
+        """A fixed pseudo-random sample of scored rows with their features as ``record`` and,
+        from 1, their ``row`` in the table."""
         keys = [c for c in self.rows.columns if c.startswith("key_")]
-        return self.rows.orderBy(F.xxhash64(*keys, F.lit(vocab.SEED)), *keys).limit(limit).orderBy(*keys)
+        shown = self.rows.orderBy(F.xxhash64(*keys, F.lit(vocab.SEED)), *keys).limit(limit)
+        if self.ds is None:
+            return shown.orderBy(*keys)
+        shown = pin(shown)
+        order = shown.agg(F.sort_array(F.collect_set(F.struct(*keys))).alias("shown_keys"))  # one row
+        own = F.struct(*[k.alias(f"key_{i}") for i, k in enumerate(self.ds.order_columns)])
+        # rows between two shown keys are counted, no row is sorted; the array holds ``limit`` keys
+        ahead = self.ds.rows.select(own.alias("own")).join(F.broadcast(order), how="cross").select(F.size(F.filter("shown_keys", lambda k: k <= F.col("own"))).alias("gap"))
+        counts = ahead.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+        place = F.sum("n").over(Window.orderBy("gap")) + 1  # at most ``limit`` + 1 gaps
+        starts = counts.withColumn("row", place).select((F.col("gap") + 1).alias("position"), "row")
+        listed = order.select(F.posexplode("shown_keys").alias("position", "own")).select((F.col("position") + 1).alias("position"), "own.*")
+        first = listed.join(starts, "position", "left").withColumn("row", F.coalesce("row", F.lit(1).cast("long"))).drop("position")
+        on = [F.col(f"shown.{k}").eqNullSafe(F.col(f"first.{k}")) for k in keys]
+        return shown.alias("shown").join(F.broadcast(first.alias("first")), on).select("first.row", "shown.*").orderBy("row")
 
     def top_anomalies(self, limit: int = 6) -> DataFrame:
         return top_anomalies(self.rows, limit)
@@ -102,7 +118,8 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
     order = ds.order_by or [c for c in ds.rows.columns if c not in ds.all_columns]
     # the raw values and the order tell rows apart; scaled values differ in their last digits from run to run
     place = F.shiftrightunsigned(F.xxhash64(row_hash(ds), *ds.order_columns), 64 - HASH_BITS).alias("place")
-    vectors = rows.select(*[F.col("`" + k + "`").alias(f"key_{i}") for i, k in enumerate(order)], place, x).withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    record = F.struct(*[column(n) for n in names]).alias("record")
+    vectors = rows.select(*[F.col("`" + k + "`").alias(f"key_{i}") for i, k in enumerate(order)], place, record, x).withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
     k = max(2, min(int(n_clusters), used - 1, 8))
     clusters = KMeans(k=k, seed=vocab.SEED, featuresCol="features", predictionCol="label").fit(vectors)
@@ -114,7 +131,7 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
     scored = score_rows(pca.transform(clusters.transform(vectors)), forest, min(vocab.ISOLATION_SAMPLE, used))
     points = vector_to_array("projected")
     flat = scored.select(
-        *[f"key_{i}" for i in range(len(order))], "label", "raw_score",
+        *[f"key_{i}" for i in range(len(order))], "label", "raw_score", "record",
         (points[0] * signs[0]).alias("pc1"), (points[1] * signs[1]).alias("pc2"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     offset = exact_quantiles(flat, {"s": F.col("raw_score")}, [contamination])["s"][0]
@@ -125,10 +142,10 @@ def unsupervised_scan(ds: Dataset, n_clusters: int = 3, max_rows: int | None = N
     decision = F.col("raw_score") - F.lit(offset)
     out = flat.select(
         *keys, F.element_at(renamed, F.col("label")).alias("cluster"), (decision < 0).alias("anomaly_flag"),
-        rounded(decision, 6).alias("anomaly_score"), rounded("pc1", 6).alias("pc1"), rounded("pc2", 6).alias("pc2"),
+        rounded(decision, 6).alias("anomaly_score"), rounded("pc1", 6).alias("pc1"), rounded("pc2", 6).alias("pc2"), "record",
     )
     notes = ds.spark.createDataFrame([(used, available, len(names), offered)], "used long, available long, kept int, offered int")
-    return Scan(k, names, available, used, out, [float(v) for v in pca.explainedVariance], scan_warnings(notes))
+    return Scan(k, names, available, used, out, [float(v) for v in pca.explainedVariance], scan_warnings(notes), ds)
 
 
 def scan_warnings(run: DataFrame) -> DataFrame:
