@@ -340,11 +340,14 @@ add("numeric_summary", "lineitem", NUMERIC_SELECT.replace("round(avg(x), 6)", "r
 add("numeric_summary_dirty", "dirty", NUMERIC_SELECT, QUART)
 LABELS = """,
 labels AS (SELECT long.ordinal, long.name, coalesce(long.t, '<missing>') AS t FROM long JOIN prof USING (ordinal) WHERE inferred_type IN ('categorical', 'boolean', 'text')),
-counted AS (SELECT ordinal, name, t, count(*) AS n, CASE WHEN length(t) > 128 THEN left(t, 64) || chr(1) || length(t) || chr(1) || sha256(t) ELSE t END AS k FROM labels GROUP BY 1, 2, 3),
-toplab AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, k) AS rk, count(*) OVER (PARTITION BY ordinal) AS uniq, sum(n) OVER (PARTITION BY ordinal) AS total FROM counted)"""
+counted AS (SELECT ordinal, name, t, count(*) AS n FROM labels GROUP BY 1, 2, 3),
+toplab AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, t) AS rk, count(*) OVER (PARTITION BY ordinal) AS uniq, sum(n) OVER (PARTITION BY ordinal) AS total FROM counted)"""
 LABEL_SELECT = 'SELECT name AS "column", uniq AS unique_count, CAST(rk - 1 AS INT) AS position, {value} AS value, n AS count, round(n / total, 4) AS pct FROM toplab WHERE rk <= 10'
 add("categorical_summary", "dirty", LABEL_SELECT.format(value="t"), LABELS)
 add("categorical_summary_documents", "documents", LABEL_SELECT.format(value="sha256(t)"), LABELS)
+ORACLES["categorical_ties_long_text"] = """WITH t AS (SELECT repeat('the same beginning of all texts, ', 5) || text AS body FROM documents),
+c AS (SELECT body, count(*) AS n FROM t GROUP BY body)
+SELECT row_number() OVER (ORDER BY n DESC, body)::INT AS rank, sha256(body) AS value, n FROM c ORDER BY n DESC, body LIMIT 10"""
 ISO = "CASE WHEN microsecond({v}) % 1000000 = 0 THEN strftime({v}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({v}, '%Y-%m-%dT%H:%M:%S.%f') END"
 ORACLES["datetime_summary"] = f"""
 WITH a AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events)

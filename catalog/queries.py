@@ -177,6 +177,13 @@ _on("strongest_correlations", "dirty", lambda ds: stats.strongest_correlations(d
 _on("skewed_fields", "dirty", lambda ds: stats.skewed_fields(ds).select("column", "skew"))
 _on("dominant_categories", "dirty", lambda ds: stats.dominant_categories(ds).drop("ordinal"))
 
+@query("categorical_ties_long_text")
+def categorical_ties_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts that begin alike and are equally frequent come in order of the whole text."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("the same beginning of all texts, " * 5), "text").alias("body"))
+    return stats.label_counts(Dataset(texts, "texts", ["doc_id"]), ["body"]).select("rank", F.sha2("v", 256).alias("value"), "n")
+
+
 # -- E. chart tables and drift --------------------------------------------------------
 _on("missingness", "dirty", lambda ds: charts.missingness(ds).drop("ordinal"))
 _on("histograms", "lineitem", lambda ds: charts.histograms(ds, 8).drop("ordinal"))

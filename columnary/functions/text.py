@@ -9,6 +9,8 @@ from ..vocab import MISSING_LABEL
 
 #: Texts longer than this travel through shuffles as head + length + SHA-256.
 LONG_TEXT = 128
+#: Characters of its beginning that the key of a long text keeps.
+HEAD = 64
 _MARK = "\u0001"
 
 
@@ -47,7 +49,7 @@ def text_key(value: Column, notes: Column | None = None) -> Column:
     """
     said = F.lit("") if notes is None else notes
     digest = F.concat(
-        F.substring(value, 1, 64), F.lit(_MARK), said, F.lit(_MARK), F.length(value).cast("string"), F.lit(_MARK), F.sha2(value, 256)
+        F.substring(value, 1, HEAD), F.lit(_MARK), said, F.lit(_MARK), F.length(value).cast("string"), F.lit(_MARK), F.sha2(value, 256)
     )
     return F.when(F.length(value) > LONG_TEXT, digest).otherwise(value)
 

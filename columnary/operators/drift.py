@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rounded, safe_ratio
-from .dataset import Dataset, pin
+from .dataset import Dataset
 from .ordinals import from_rank
 from .stats import labelled_columns, moments, numeric_columns
-from .tally import column_facts, restore_labels, top_labels
+from .tally import column_facts, ranked_labels
 
 SHOWN = 10
 NUMERIC_SCHEMA = "ordinal int, column string, baseline double, recent double, std double"
@@ -66,7 +66,7 @@ def categorical_drift(ds: Dataset, recent: Column | None = None, columns: int |
         return ds.spark.createDataFrame([], schema)
     by = [flag.alias("late")]
     counts = ds.rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    top = restore_labels(ds, pin(top_labels(ds, names, 1, by, ["late"])))
+    top = ranked_labels(ds, names, 1, by, ["late"])
     shares = top.join(F.broadcast(counts), "late").withColumn("share", safe_ratio(F.col("n"), F.col("total")))
     early, late = F.when(~F.col("late"), F.col("v")), F.when(F.col("late"), F.col("v"))
     sides = shares.groupBy("ordinal").agg(

@@ -16,7 +16,7 @@ from ..functions.dates import iso_text
 from .dataset import TIME, Dataset, pin
 from .profile import columns_of
 from .ranks import exact_quantiles
-from .tally import column_facts, restore_labels, top_labels
+from .tally import column_facts, ranked_labels
 
 NUMERIC_SCHEMA = (
     "ordinal int, column string, count long, mean double, median double, std double, min double, max double, "
@@ -91,7 +91,7 @@ def label_counts(ds: Dataset, names: list[str], k: int = 10) -> DataFrame:
         return ds.spark.createDataFrame([], "ordinal int, column string, v string, n long, rank int")
 
     def build() -> DataFrame:
-        top = restore_labels(ds, pin(top_labels(ds, names, k)))
+        top = ranked_labels(ds, names, k)
         heads = column_facts(ds).select("ordinal", F.col("name").alias("column"))
         return pin(top.join(F.broadcast(heads), "ordinal").select("ordinal", "column", "v", "n", "rank"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import double_text, normalized_text, parse_number, parse_timestamp, text_key, text_key_length, text_key_notes
-from ..functions.text import column, is_digest
+from ..functions.text import HEAD, LONG_TEXT, column, is_digest
 from ..vocab import BOOLEAN_WORDS, DATE_TOKENS, LATITUDE_TOKENS, LONGITUDE_TOKENS, PERCENT_TOKENS
 from .dataset import BOOL, DOUBLE, LONG, TEXT, TIME, Dataset, Field, pin
 
@@ -87,6 +87,48 @@ def restore_labels(ds: Dataset, top: DataFrame) -> DataFrame:
     return joined.select(*keep)
 
 
+def ranked_labels(ds: Dataset, names: list[str], k: int, by: list[Column] | None = None, by_names: list[str] = ()) -> DataFrame:
+    """Pinned top k labels per column as plain texts, ties in order of the whole text.
+
+    Long texts are tallied under digests that keep their beginning, so only
+    labels with the beginning and the count of the k-th one can be out of place.
+    Where that beginning is as long as a digest's, all of them are fetched,
+    their texts restored, and the first by text take the places left.
+    """
+    top = pin(top_labels(ds, names, k, by, by_names))
+    group = [*by_names, "ordinal"]
+    head = F.substring("v", 1, HEAD)
+    last = pin(top.where((F.col("rank") == k) & (F.length("v") >= HEAD)).select(*group, F.col("n").alias("last_n"), head.alias("last_head")))
+    ordinals = [r.ordinal for r in last.select("ordinal").distinct().collect()]
+    if not ordinals:
+        return _by_text(restore_labels(ds, top), group, k)
+    names_of = {f.ordinal: f.name for f in ds.fields}
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in group]
+
+    def met(rows: DataFrame, how: str) -> DataFrame:
+        # one row per column and part of the table
+        return rows.alias("x").join(F.broadcast(last.alias("y")), [*same, F.col("x.n") == F.col("y.last_n"), F.substring("x.v", 1, HEAD) == F.col("y.last_head")], how)
+
+    tied = met(label_tally(ds, [names_of[o] for o in ordinals], by), "inner").select("x.*")
+    texts = []
+    for o in ordinals:
+        raw = ds.text(names_of[o])
+        mine = tied.where(F.col("ordinal") == o)
+        rows = ds.rows.select(raw.alias("text")).where(F.length("text") > LONG_TEXT).withColumn("key", text_key(F.col("text")))
+        full = rows.join(mine.select(F.col("v").alias("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        texts.append(mine.join(full, F.col("v") == F.col("key"), "left").withColumn("v", F.coalesce("text", "v")).select(*mine.columns))
+    first = Window.partitionBy(*group).orderBy("v")
+    chosen = reduce(DataFrame.unionAll, texts).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    before = restore_labels(ds, pin(met(top, "left_anti").select(*top.columns)))
+    return _by_text(before.unionByName(pin(chosen)), group, k)
+
+
+def _by_text(labels: DataFrame, group: list[str], k: int) -> DataFrame:
+    """The first ``k`` labels of each group (a few more, pinned) by count, then text."""
+    order = Window.partitionBy(*group).orderBy(F.desc("n"), F.asc("v"))
+    return pin(labels.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
 #: Value patterns, each with the letter that stands for it in a digest.
 PATTERNS = {
     "email": ("e", vocab.EMAIL_PATTERN), "phone": ("p", vocab.PHONE_PATTERN), "url_exact": ("x", vocab.URL_EXACT_PATTERN),
