@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import BAND_GAP
+from .inputs import BAND_GAP, GAPPED, WIDE_GAPS_TABLE
 
 YES_NO = """preds AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'yes' ELSE 'no' END AS actual, CASE WHEN l_quantity > 25 THEN 'yes' ELSE 'no' END AS prediction,
   l_returnflag = 'R' AS positive, l_quantity / 50.0 AS score FROM lineitem)"""
@@ -126,6 +126,17 @@ SELECT CASE WHEN kinds > 10 THEN 'regression' ELSE 'classification' END AS task_
     out["feature_choice"] = f"""WITH flagged AS ({out['identifier_like_dirty']})
 SELECT unnest([{", ".join(f"'{n}'" for n in numbers)}]) AS feature, 'numeric' AS kind
 UNION ALL SELECT feature, 'categorical' FROM (SELECT unnest([{", ".join(f"'{n}'" for n in texts)}]) AS feature) WHERE feature NOT IN (SELECT "column" FROM flagged WHERE identifier_like)"""
+    spread = f"(WITH src AS ({WIDE_GAPS_TABLE}) " + " UNION ALL ".join(f"SELECT '{n}' AS feature, var_samp({n}) AS v FROM src" for n in GAPPED) + ")"
+    filled = " UNION ALL ".join(f"SELECT '{n}' AS feature, count({n}) AS filled, count(DISTINCT {n}) AS kinds FROM src" for n in texts)
+    out["feature_trim"] = f"""WITH flagged AS ({out['identifier_like_dirty']}), src AS (SELECT * FROM {dirty}),
+numbers AS (SELECT feature, row_number() OVER (ORDER BY v DESC, feature) - 1 AS position FROM {spread}),
+labels AS (SELECT feature, row_number() OVER (ORDER BY filled DESC, kinds, lower(feature)) - 1 AS position FROM ({filled})
+  WHERE filled > 0 AND feature NOT IN (SELECT "column" FROM flagged WHERE identifier_like))
+SELECT feature, 'numeric' AS kind, position::INT AS position FROM numbers WHERE position < 5
+UNION ALL SELECT feature, 'categorical', position::INT FROM labels WHERE position < 2"""
+    out["scan_features_trimmed"] = f"SELECT (row_number() OVER (ORDER BY v DESC, feature) - 1)::INT AS position, feature, {len(GAPPED)} AS offered FROM {spread} ORDER BY v DESC, feature LIMIT 4"
+    out["scan_sampled"] = """SELECT 500 AS row_count, 500 AS keys, 500 AS scanned, count(*) AS available,
+'Used a representative sample of 500 rows from ' || format('{:,}', count(*)) || ' available rows to keep the unsupervised scan responsive.' AS note FROM orders"""
     plain = [n for n, lane in columns("dirty") if lane in ("long", "double")]
     variance = " UNION ALL ".join(f"SELECT '{n}' AS feature, var_samp({n}) AS v FROM src" for n in plain)
     out["feature_variance"] = f"WITH src AS (SELECT * FROM {dirty}) SELECT feature, round(v, 2) AS variance FROM ({variance})"

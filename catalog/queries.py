@@ -287,6 +287,33 @@ _on("identifier_like_dirty", "dirty", lambda ds: features.identifier_like(ds).dr
 _on("feature_choice", "dirty", lambda ds: features.feature_choice_table(ds, "return_status").select("feature", "kind"))
 
 
+def _gapped(spark: SparkSession, sf_dir: str) -> Dataset:
+    return Dataset(table(spark, sf_dir, "wide_gaps").drop("l_orderkey"), "wide_gaps", None)
+
+
+@query("feature_trim")
+def feature_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five widest of sixty numbers (a column without values is dropped) and the two fullest categories."""
+    wide = features.feature_choice_table(_gapped(spark, sf_dir), None, numeric=5)
+    texts = features.feature_choice_table(dataset(spark, sf_dir, "dirty"), "return_status", categorical=2).where("kind = 'categorical'")
+    return wide.unionAll(texts)
+
+
+@query("scan_features_trimmed")
+def scan_features_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four widest numeric columns of a scan, and how many were on offer."""
+    names, offered = unsupervised.scan_features(_gapped(spark, sf_dir), 4)
+    return spark.createDataFrame([(i, n, offered) for i, n in enumerate(names)], "position int, feature string, offered int")
+
+
+@query("scan_sampled")
+def scan_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of an exact sample: its rows, its sizes and its note."""
+    scan = unsupervised.unsupervised_scan(dataset(spark, sf_dir, "orders"), 3, max_rows=500)
+    known = scan.rows.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("key_0").alias("keys"))
+    return known.select("*", F.lit(scan.rows_scanned).cast("long").alias("scanned"), F.lit(scan.rows_available).cast("long").alias("available"), F.lit(scan.warnings.first()["text"]).alias("note"))
+
+
 @query("feature_variance")
 def feature_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = dataset(spark, sf_dir, "dirty")

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,16 +52,22 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _numbers_rows(rows: DataFrame) -> bool:
+    """Whether the rows come straight from files whose reader numbers them."""
+    hidden = rows._jdf.queryExecution().analyzed().metadataOutput()
+    kinds = [hidden.apply(i) for i in range(hidden.size())]
+    return any(a.name() == "_metadata" and "row_index" in a.dataType().simpleString() for a in kinds) and "_metadata" not in rows.columns
+
+
 def file_order(rows: DataFrame) -> DataFrame:
     """``rows`` with their number in file order, where a scan tells it; no row is moved.
 
     The rows per file are counted once, from the row numbers that the reader
     makes up, and each file gets the number its first row has.
     """
-    try:
-        placed = rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
-    except AnalysisException:  # not a scan of files, or of files without row numbers
+    if not _numbers_rows(rows):
         return rows.withColumn(ARRIVAL, F.monotonically_increasing_id())
+    placed = rows.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
     ensure_checkpoint_dir(rows.sparkSession)
     sizes = placed.groupBy(_FILE).agg((F.max(_ROW) + 1).alias("size"))
     before = F.sum("size").over(Window.orderBy(_FILE).rowsBetween(Window.unboundedPreceding, -1))

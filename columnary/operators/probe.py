@@ -70,19 +70,19 @@ def blend(table: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def probed_targets(ds: Dataset, max_rows: int | None = None) -> DataFrame:
-    """All columns, the first four strong candidates probed (computed once)."""
+def probed_targets(ds: Dataset, max_rows: int | None = None, targets: int = vocab.PROBE_TARGETS) -> DataFrame:
+    """All columns, the first ``targets`` strong candidates probed (computed once)."""
 
     def build() -> DataFrame:
         table = heuristic_targets(ds)
         ordered = table.where((F.col("recommended_task") != "none") & (F.col("score") >= vocab.PROBE_MIN_SCORE))
         found = []
         for r in ordered.orderBy(F.desc("score"), F.lower("column")).select("column", "recommended_task").collect():
-            if len(found) >= vocab.PROBE_TARGETS:
+            if len(found) >= targets:
                 break
             probe = probe_target(ds, r.column, r.recommended_task, max_rows)
             if probe:
                 found.append((r.column, *probe))
         return blend(table, ds.spark.createDataFrame(found, "column string, probe_score double, reason string"))
 
-    return ds.remember(("probed", max_rows), build)
+    return ds.remember(("probed", max_rows, targets), build)

@@ -44,12 +44,9 @@ def positive_label(sizes: dict[str, int], hints: list[str] = vocab.POSITIVE_HINT
 
 
 def positive_label_table(ds: Dataset, target: str, hints: list[str] = vocab.POSITIVE_HINTS) -> DataFrame:
-    """The same rule as one aggregate over the class counts."""
-    sizes = ds.rows.where(ds.text(target).isNotNull()).groupBy(ds.text(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    known = F.array_position(F.array(*[F.lit(h) for h in hints]), F.lower(F.trim("label")))
-    order = F.struct(F.when(known > 0, known).otherwise(len(hints) + 1), F.when(known > 0, F.lit(0).cast("long")).otherwise(F.col("n")), F.col("label"))
-    chosen = sizes.agg(F.count(F.lit(1)).alias("classes"), F.min_by("label", order).alias("positive_label"))
-    return chosen.where("classes = 2").select("positive_label")
+    """The rule applied to the classes of a column: one row, none unless it has two."""
+    chosen = positive_label(class_sizes(ds, ds.rows.where(ds.text(target).isNotNull()), target), hints)
+    return ds.spark.createDataFrame([] if chosen is None else [(chosen,)], "positive_label string")
 
 
 def holdout(ds: Dataset, rows: DataFrame, share: float, sizes: dict[str, int] | None, target: str) -> tuple[DataFrame, DataFrame, int, int]:
@@ -232,10 +229,13 @@ class Benchmark:
     diagnostics: DataFrame
     warnings: DataFrame
     prepared: Prepared
+    report_rows: int | None = None
 
     def target_slices(self, max_rows: int | None = None) -> DataFrame:
+        """Slices of all used rows, or of the ``report_rows`` the warnings speak of; ``max_rows`` replaces them."""
         p = self.prepared
         rows = p.rows
+        max_rows = self.report_rows if max_rows is None else max_rows
         if max_rows is not None and p.rows_used > max_rows:
             stratified = p.task == "classification" and can_stratify(p.sizes)
             group = p.ds.text(p.target) if stratified else F.lit(ALL)
@@ -275,7 +275,7 @@ def supervised_benchmark(
     warned = supervised_warnings(
         diagnostics.crossJoin(metrics), reporting_rows=min(report_rows or p.rows_used, p.rows_used)  # one row each
     )
-    return Benchmark(p.task, best, comparison, choice, importance, shown, diagnostics, warned, p)
+    return Benchmark(p.task, best, comparison, choice, importance, shown, diagnostics, warned, p, report_rows)
 
 
 def prediction_preview(b: Benchmark, limit: int = vocab.PREVIEW_ROWS) -> DataFrame:

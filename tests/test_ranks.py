@@ -58,3 +58,34 @@ def test_split_point_without_keys_uses_arrival(spark):
 def test_missing_order_keys_come_first(spark):
     ds = Dataset(spark.createDataFrame([(1,), (None,), (0,)], "k long"), order_by=["k"])
     assert sorted(r.k for r in ds.rows.where(ordinals.from_rank(ds, 1)).collect()) == [0, 1]
+
+
+def test_rows_of_files_are_numbered_in_file_order(spark, tmp_path):
+    """The same numbers in every read, over several files and a filter, with no key."""
+    path = str(tmp_path / "parts")
+    spark.range(1000).selectExpr("id", "id % 7 AS v").repartitionByRange(6, "id").write.parquet(path)
+    seen = []
+    for _ in range(2):
+        ds = Dataset(spark.read.parquet(path), hold=False)
+        late = {r.id for r in ds.rows.where(ordinals.from_rank(ds, 500)).collect()}
+        assert late == set(range(500, 1000))
+        seen.append(sorted((r.id, r.row_id) for r in ordinals.with_row_id(ds).collect()))
+    assert seen[0] == seen[1] == [(i, i) for i in range(1000)]
+    some = Dataset(spark.read.parquet(path).where("v = 3"), hold=False)
+    assert some.rows.where(ordinals.from_rank(some, 100)).count() == some.row_count - 100
+
+
+def test_hot_order_key_is_spread(spark):
+    """Half of all rows have one key: their ids are gapless and no range holds most of them."""
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 2 = 0 THEN 5 ELSE id END AS k", "id AS v")
+    ds = Dataset(rows.repartition(4), order_by=["k"], hold=False)
+    got = ordinals.with_row_id(ds)
+    assert [r.row_id for r in got.orderBy("row_id").select("row_id").collect()] == list(range(20_000))
+    assert got.where("k < 5").agg(F.max("row_id").alias("m")).first().m < got.where("k > 5").agg(F.min("row_id").alias("m")).first().m
+
+
+def test_rank_is_found_by_repeated_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(ordinals, "NARROW", 50)
+    rows = spark.range(3000).selectExpr("concat('key ', lpad(id % 1500, 5, '0')) AS k")
+    for rank in (0, 777, 1499, 2999):
+        assert ordinals.key_at(rows, [F.col("k")], rank) == (f"key {rank // 2:05d}",)

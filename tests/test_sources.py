@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from columnary import full_report, read_csv, read_parquet
 from columnary.operators import archive
-from columnary.sources import list_sections, read_section, validate_csv_filename, write_experiment, write_sections
+from columnary.sources import (
+    list_sections, purge_runs, purged_runs, read_section, reports, validate_csv_filename, write_experiment, write_sections,
+)
 from columnary.sources.csv import clean_headers
 
 
@@ -69,3 +72,20 @@ def test_deleting_an_experiment_falls_back_to_the_one_before(spark):
     gone = spark.createDataFrame([(1, "e2")], "analysis_id long, experiment_id string")
     latest = {(r.analysis_id, r.experiment_type): r.experiment_id for r in archive.latest_results(experiments, gone).collect()}
     assert latest[1, "supervised"] == "e1"
+
+
+def test_purged_runs_are_gone_and_can_come_back(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for run, df in ((1, spark.range(3)), (2, spark.range(4).withColumn("more", F.lit("m"))), (3, spark.range(5))):
+        write_sections({"facts": df}, path, run)
+    both = {(r.analysis_id, r.id, r.more) for r in read_section(spark, path, "facts").collect()}
+    assert (1, 0, None) in both and (2, 3, "m") in both and len(both) == 12
+    # a purge that stopped behind its marks hides the run all the same
+    spark.range(1).write.json(f"{path}/{reports._MARKS}/analysis_id=2")
+    assert {r.analysis_id for r in read_section(spark, path, "facts").collect()} == {1, 3}
+    assert read_section(spark, path, "facts", 2).count() == 0
+    purge_runs(spark, path, [2, 3])
+    purge_runs(spark, path, [3])
+    assert purged_runs(spark, path) == [2, 3] and read_section(spark, path, "facts").count() == 3
+    write_sections({"facts": spark.range(7)}, path, 3)
+    assert purged_runs(spark, path) == [2] and read_section(spark, path, "facts", 3).count() == 7
