@@ -70,7 +70,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, class_key, first, second``: set size, digest and hashed prefixes of every row."""
+    """``doc_id, n_shingles, class_key, first``: set size, digest and prefix in the first hashed order of every row."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("shingles")
         for batch in batches:
@@ -80,11 +80,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                    *[_lists([hashed_prefix(s, salt) for s in sets]) for salt in ORDERS],
-                ], names=["doc_id", "n_shingles", "class_key", "first", "second"])
+                    _lists([hashed_prefix(s, ORDERS[0]) for s in sets]),
+                ], names=["doc_id", "n_shingles", "class_key", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, n_shingles long, class_key binary, first array<long>, second array<long>")
+    return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, n_shingles long, class_key binary, first array<long>")
 
 
 def _met(classes: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def _met(classes: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cid, text``: one text of each wanted class."""
+    """``cid, text, n, first, second``: one text of each wanted class, its set size and hashed prefixes."""
     chosen = classes.join(wanted, "cid", "left_semi").select("cid", "class_key", F.col("rep").alias("chosen"))
     ids = chosen.select("chosen").distinct()
     # ids are of fixed size where numeric: their number bounds a broadcast, and texts are filtered in place
@@ -112,7 +112,20 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # ids may repeat with other texts: the class is taken from the text itself
     keyed = found.mapInArrow(key, "class_key binary, text string").dropDuplicates(["class_key"])
-    return keyed.join(chosen.select("class_key", "cid"), "class_key").select("cid", "text")
+    one = keyed.join(chosen.select("class_key", "cid"), "class_key").select("cid", "text")
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("shingles")
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                sets = [shingle_set(t, WIDTH) for t in texts[a:b]]
+                prefixes = [_lists([hashed_prefix(s, salt) for s in sets]) for salt in ORDERS]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *prefixes,
+                ], names=["cid", "text", "n", "first", "second"])
+
+    return one.mapInArrow(orders, "cid long, text string, n long, first array<long>, second array<long>")
 
 
 def rarest_first(texts: DataFrame) -> DataFrame:
@@ -129,7 +142,7 @@ def rarest_first(texts: DataFrame) -> DataFrame:
                 rows = pa.array(np.full(len(s), i, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(np.full(len(s), len(s), np.int64)), pa.array(s.view(np.int64))], names=["cid", "n", "token"])
 
-    units = cut(texts.mapInArrow(explode, "cid long, n long, token long"), "tokens")
+    units = cut(texts.select("cid", "text").mapInArrow(explode, "cid long, n long, token long"), "tokens")
     spread = units.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     one = Window.partitionBy("cid")  # at most the shingles of one document
     known = units.join(spread, "token").withColumn("shared", F.count(F.lit(1)).over(one))
@@ -150,9 +163,9 @@ def _possible(x: str, y: str) -> Column:
     return sizes & alone & (F.least(left[x], left[y]) * 19 >= both * 9)
 
 
-def _agreed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose hashed prefixes share enough under every hashed order."""
-    slim = classes.select("cid", "n", "first", "second")
+    slim = texts.select("cid", "n", "first", "second")
     one = slim.select(*[F.col(c).alias(f"{c}_a") for c in slim.columns])
     two = slim.select(*[F.col(c).alias(f"{c}_b") for c in slim.columns])
     both = pairs.join(one, F.col("a") == F.col("cid_a")).join(two, F.col("b") == F.col("cid_b"))
@@ -211,16 +224,16 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = cut(signatures(docs), "signed")
     grouped = signed.where("n_shingles > 0").groupBy("class_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("first").alias("first"))
     # written once, so the numbers hold in every later use
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     texts = cut(_texts(docs, classes, cut(_met(classes), "met")), "texts")
     prefix = cut(rarest_first(texts), "prefixes")
     star = cut(_star(prefix), "pairs")
-    links = cut(_linked(_agreed(star, classes), texts), "links")
+    links = cut(_linked(_agreed(star, texts), texts), "links")
     labels = components(links)
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_linked(_agreed(cut(_across(prefix, labels).join(seen, ["a", "b"], "left_anti"), "pairs"), classes), texts), "links")
+    more = cut(_linked(_agreed(cut(_across(prefix, labels).join(seen, ["a", "b"], "left_anti"), "pairs"), texts), texts), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     return _result(signed, classes, labels)
