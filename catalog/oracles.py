@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from columnary import vocab
+
 from .inputs import DIRTY, EXACT, GAPPED, GAPS, LATE, WIDE_COLUMNS, WIDE_GAPS_TABLE, WIDE_TABLE
 
 # -- tables -----------------------------------------------------------------------
@@ -200,6 +202,11 @@ UNION ALL SELECT 2, 'mixed', 'text', count(mixed), count(*) - count(mixed), coun
 UNION ALL SELECT 3, 'return_status', 'text', count(return_status), count(*) - count(return_status), count(DISTINCT return_status) FROM src
 UNION ALL SELECT 4, 'is_open', 'bool', count(is_open), count(*) - count(is_open), count(DISTINCT is_open) FROM src
 UNION ALL SELECT 5, 'ship_text', 'text', count(ship_text), count(*) - count(ship_text), count(DISTINCT ship_text) FROM src"""
+_missing = ", ".join(f"'{t}'" for t in vocab.MISSING_TOKENS)
+ORACLES["csv_multiline"] = f"""
+SELECT doc_id, md5(t) AS text_md5, CAST(length(t) - length(replace(t, chr(10), '')) AS BIGINT) AS line_breaks,
+       CASE WHEN lang NOT IN ({_missing}) THEN lang END AS lang, CASE WHEN source NOT IN ({_missing}) THEN source END AS source, CAST(n_chars AS BIGINT) AS n_chars
+FROM (SELECT *, CASE WHEN text NOT IN ({_missing}) THEN text END AS t FROM documents)"""
 add("report_sink", "part", "SELECT CAST(2 AS BIGINT) AS analysis_id, ordinal, name, inferred_type, uniq AS unique_count, non_null AS non_null_count FROM prof")
 
 add("report_sink_replaced", "orders", "SELECT name, inferred_type, CAST(3 AS BIGINT) AS analysis_id, 'types' AS section FROM prof")

@@ -62,6 +62,17 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("ordinal", "name", "data_type", "non_null", "missing", F.col("unique").alias("unique_count"))
 
 
+@query("csv_multiline")
+def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whose texts contain line breaks and quotes, written as CSV and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}.csv"
+    layout = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, sf_dir, "documents").write.options(**layout).csv(path)
+    rows = read_csv(spark, path, order_by=["doc_id"]).source
+    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    return rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), breaks.cast("long").alias("line_breaks"), "lang", "source", "n_chars")
+
+
 @query("report_sink")
 def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs stored by section, one read back."""

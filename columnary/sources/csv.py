@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import column, parse_number
-from ..operators.dataset import Dataset
+from ..operators.dataset import ARRIVAL, Dataset
 from ..vocab import MISSING_TOKENS
+from .records import csv_records
 
 # What the bytes 0x80-0x9F mean in Windows-1252. The bytes 81, 8D,
 # 8F, 90 and 9D are undefined there.
@@ -26,21 +27,22 @@ def validate_csv_filename(filename: str | None) -> str:
     return cleaned
 
 
-def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Encoding and whether quoted fields span lines, from one splittable scan.
+def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool, bool]:
+    """Encoding, whether quoted fields may span lines, and whether line feeds end all lines, from one splittable scan.
 
     Lines arrive as raw bytes, so validity is tested before anything is decoded.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
     raw = F.col("value")
     quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
     seen = lines.agg(
         F.count_if(~F.is_valid_utf8(raw)).alias("invalid"),
         F.count_if(F.hex(raw.cast("binary")).rlike(_UNDEFINED_CP1252)).alias("undefined"),
         F.count_if(quotes % 2 == 1).alias("open_quotes"),
+        F.count_if(raw.rlike("\r(?!$)")).alias("bare_returns"),
     ).first()
     encoding = "utf-8-sig" if seen.invalid == 0 else "cp1252" if seen.undefined == 0 else "latin-1"
-    return encoding, seen.open_quotes > 0
+    return encoding, seen.open_quotes > 0, seen.bare_returns == 0
 
 
 def clean_headers(names: list[str | None]) -> list[str]:
@@ -65,8 +67,8 @@ def _decode(value: Column, encoding: str) -> Column:
 
 def infer_types(raw: DataFrame) -> DataFrame:
     """Give every text column the narrowest type all its values fit."""
-    names = raw.columns
-    out = []
+    names = [n for n in raw.columns if n != ARRIVAL]
+    out = [F.col(ARRIVAL)] if ARRIVAL in raw.columns else []
     for start in range(0, len(names), PASS_COLUMNS):
         chunk = names[start : start + PASS_COLUMNS]
         aggs = []
@@ -92,19 +94,27 @@ def infer_types(raw: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, name: str | None = None, order_by: list[str] | None = None, **options) -> Dataset:
-    """Read CSV with a header line. Files split over tasks unless a quoted field
-    contains a line break. Rows with more fields than the header are an error;
-    rows with fewer are filled with missing values."""
+    """Read CSV with a header line. Files split over tasks, also where quoted
+    fields contain line breaks; only where carriage returns stand inside lines
+    (or end them, as on old Macs; they become line feeds in fields then) is a
+    file read by one task. Rows with more
+    fields than the header are an error; rows with fewer are filled with missing
+    values."""
     validate_csv_filename(path)
-    encoding, spans_lines = detect_layout(spark, path)
+    encoding, spans_lines, line_feeds = detect_layout(spark, path)
     charset = "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1"
-    reader = spark.read.options(quote='"', escape='"', encoding=charset, multiLine=spans_lines, maxCharsPerColumn=-1)
+    parsing = {"quote": '"', "escape": '"', "multiLine": str(spans_lines or not line_feeds).lower(), "maxCharsPerColumn": "-1"}
+    reader = spark.read.options(encoding=charset, **parsing)
     first = reader.csv(path, header=False).limit(1).first()
     if first is None:
         raise ValueError("Unable to read CSV file: it is empty.")
     # one column more than the header has catches rows that are too long
     schema = ", ".join(f"c{i} string" for i in range(len(first) + 1))
-    body = reader.csv(path, header=True, enforceSchema=True, schema=schema)
+    if spans_lines and line_feeds:
+        parsed = F.from_csv("record", schema, {**parsing, "lineSep": "\n"}).alias("row")
+        body = csv_records(spark, path, charset).where("not is_first").select(parsed, ARRIVAL).select("row.*", ARRIVAL)
+    else:
+        body = reader.csv(path, header=True, enforceSchema=True, schema=schema)
     long = body.where(F.col(f"c{len(first)}").isNotNull()).count()
     if long:
         raise ValueError(f"Unable to read CSV file: {long} rows have more fields than the header.")
@@ -113,4 +123,8 @@ def read_csv(spark: SparkSession, path: str, name: str | None = None, order_by:
     for i, n in enumerate(names):
         v = _decode(F.col(f"c{i}"), encoding)
         cells.append(F.when(~v.isin(MISSING_TOKENS), v).alias(n))
-    return Dataset(infer_types(body.select(*cells)), name or path.rstrip("/").rsplit("/", 1)[-1], order_by, encoding=encoding, **options)
+    if ARRIVAL in body.columns:
+        cells.append(F.col(ARRIVAL))
+    ds = Dataset(infer_types(body.select(*cells)), name or path.rstrip("/").rsplit("/", 1)[-1], order_by, encoding=encoding, **options)
+    ds.source = ds.source.drop(ARRIVAL)  # the rows keep it
+    return ds
