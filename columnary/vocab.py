@@ -85,7 +85,7 @@ PREVIEW_ROWS = 40
 MAX_CATEGORIES = 12
 MIN_CATEGORY_SHARE = 0.01
 FOREST_TREES = 72
-UNBAGGED_TREES = 96
+EXTRA_TREES = 96
 IDENTIFIER_SHARE = 0.92
 MIN_SUPERVISED_ROWS = 40
 

@@ -2,10 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from columnary import Dataset
 from columnary.operators import features, isolation, metrics, probe, sampling, slices, supervised, targets, unsupervised
+from columnary.operators.extra_trees import ExtraTrees
 
 
 @pytest.fixture(scope="module")
@@ -21,12 +23,12 @@ def binary(spark):
 
 
 def test_benchmark_finds_the_signal(binary):
-    b = supervised.supervised_benchmark(binary, "y", trees=8, unbagged=8, depth=5)
+    b = supervised.supervised_benchmark(binary, "y", trees=8, extra=8, depth=5)
     d = b.diagnostics.first()
     assert (d.rows_used, d.training_rows, d.test_rows, d.task_type) == (600, 480, 120, "classification")
     wide = {(r.model, r.metric): r.value for r in b.model_comparison.collect()}
     assert wide["Logistic Regression", "roc_auc"] > 0.9
-    assert {m for m, _ in wide} == {"Logistic Regression", "Random Forest", "Unbagged Forest"}
+    assert {m for m, _ in wide} == {"Logistic Regression", "Random Forest", "Extra Trees"}
     assert b.feature_importance.first().feature == "numeric__x1"
     preview = supervised.prediction_preview(b).collect()
     assert len(preview) == 40 and [r.key_0 for r in preview] == sorted(r.key_0 for r in preview)
@@ -39,11 +41,50 @@ def test_regression_benchmark(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(a), float(b), 3.0 * float(a) + float(e)) for i, (a, b, e) in enumerate(rng.normal(size=(300, 3)) * [1, 1, 0.1])]
     ds = Dataset(spark.createDataFrame(rows, "row_id long, x1 double, x2 double, y double"), order_by=["row_id"])
-    b = supervised.supervised_benchmark(ds, "y", trees=5, unbagged=5, depth=4)
+    b = supervised.supervised_benchmark(ds, "y", trees=5, extra=5, depth=4)
     assert b.best_model == "Linear Regression" and b.task == "regression"
     assert b.model_comparison.where("metric = 'r2' and model = 'Linear Regression'").first().value > 0.98
 
 
+def test_extra_trees_grow_alike_in_one_task_and_by_levels(spark):
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(size=(400, 3)), np.ones(400), rng.integers(0, 2, 400)])
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float) + (x[:, 4] > 0)
+    rows = [(v.tolist(), float(t), float(1 + i % 2)) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x array<double>, label double, weight double").select(array_to_vector("x").alias("features"), "label", "weight")
+    for classes, share in ((3, "sqrt"), (0, 0.9)):
+        fits = [ExtraTrees(classes, 5, 6, share, 42, local_bytes=b).fit(df.repartition(p)) for b, p in ((1 << 30, 3), (0, 5), (0, 1))]
+        for other in fits[1:]:
+            same = ["tree", "node", "feature", "n"]
+            assert (fits[0].nodes[same].values == other.nodes[same].values).all()
+            assert np.allclose(fits[0].nodes["threshold"], other.nodes["threshold"])
+        nodes = fits[0].nodes
+        inner = nodes[nodes["feature"] >= 0]
+        assert nodes[nodes["feature"] < 0]["n"].sum() == 5 * 400
+        assert ((inner["low"] <= inner["threshold"]) & (inner["threshold"] < inner["high"])).all() and (inner["gain"] > -1e-9).all()
+        assert 3 not in set(inner["feature"]) and nodes["node"].max() < 2**7
+        importance = fits[0].featureImportances.toArray()
+        assert importance[3] == 0 and abs(importance.sum() - 1) < 1e-9 and {int(f) for f in importance.argsort()[-2:]} == {0, 4}  # the two that make most of the label
+        made = fits[0].transform(df)
+        assert made.where("abs(prediction - label) < 0.5").count() > 340
+        if classes:
+            assert made.select(F.abs(F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, v: a + v) - 1).alias("e")).where("e > 1e-9").count() == 0
+
+
+def test_extra_trees_of_rows_that_agree_are_leaves(spark):
+    df = spark.createDataFrame([([1.0, 2.0], float(i % 2), 1.0) for i in range(10)] , "x array<double>, label double, weight double")
+    df = df.select(array_to_vector("x").alias("features"), "label", "weight")
+    for local in (0, 1 << 30):
+        model = ExtraTrees(2, 3, 5, "sqrt", 1, local_bytes=local).fit(df)
+        assert list(model.nodes["feature"]) == [-1, -1, -1] and list(model.nodes["n"]) == [10, 10, 10]
+        assert not model.featureImportances.toArray().any()
+        assert model.transform(df).first().probability.toArray().tolist() == [0.5, 0.5]
+        pure = ExtraTrees(2, 3, 5, "sqrt", 1, local_bytes=local).fit(df.where("label = 1"))
+        assert pure.transform(df).select("prediction").distinct().collect() == [(1.0,)]
+        with pytest.raises(ValueError, match="need rows"):
+            ExtraTrees(2, 3, 5, "sqrt", 1, local_bytes=local).fit(df.limit(0))
+
+
 def test_too_few_rows_and_unknown_targets_are_refused(spark):
     ds = Dataset(spark.createDataFrame([(i, "a") for i in range(39)], "x long, y string"))
     with pytest.raises(ValueError):
