@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Matrices
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,7 +229,11 @@ class Automaton:
         return whole if (whole[0], -whole[1]) < (best[0], -best[1]) else best
 
 
-FEATURES = ("exact", "strongest", "near", "quoted", "density")
+FEATURES = ("exact", "near_density", "near", "quoted", "density")
+#: Finding a term, misspelt or not, never makes a text less toxic; that it stands in quotes may.
+LEAST_WEIGHTS = (0.0, 0.0, 0.0, -1000.0, 0.0)
+#: Weight of the copy of a toxic text in which all terms count as misspelt.
+MISSPELT = 0.5
 _LIVE: dict[tuple, Automaton] = {}
 keeps("toxicity", _LIVE.clear)
 
@@ -251,11 +256,12 @@ def _in_quotes(text: str, start: int, end: int) -> bool:
     return False
 
 
-def features(text: str | None, automaton: Automaton) -> list[float]:
+def features(text: str | None, automaton: Automaton, misspelt: bool = False) -> list[float]:
+    """Numbers of ``FEATURES``; with ``misspelt`` every term counts as one edit away at least."""
     low = (text or "").lower()
     words = _WORD.findall(low)
     hits = automaton.hits(set(words))
-    exact = strongest = near = quoted = 0.0
+    exact = near = quoted = 0.0
     if hits:
         tokens = list(_WORD.finditer(low))
         for i, m in enumerate(tokens):
@@ -266,14 +272,15 @@ def features(text: str | None, automaton: Automaton) -> list[float]:
                 weight, quoted = weight * QUOTED, quoted + 1
             if any(t[0] in REPORTING for t in tokens[max(0, i - 6):i + 7]):
                 weight *= REPORTED
-            if edits == 0:
-                exact, strongest = exact + weight, max(strongest, weight)
+            if edits == 0 and not misspelt:
+                exact += weight
             else:
-                near += weight / (1 + edits)
-    return [math.log1p(exact), strongest, math.log1p(near), math.log1p(quoted), min(5.0, 20 * exact / max(1, len(words)))]
+                near += weight / (1 + max(1, edits))
+    near_density, density = (min(5.0, 20 * x / max(1, len(words))) for x in (near, exact))
+    return [math.log1p(exact), near_density, math.log1p(near), math.log1p(quoted), density]
 
 
-def with_features(rows: DataFrame, terms: dict[str, float], keep: list[str]) -> DataFrame:
+def with_features(rows: DataFrame, terms: dict[str, float], keep: list[str], misspelt: bool = False) -> DataFrame:
     """``keep`` columns of ``rows`` and ``features`` (array of double) of ``text``."""
     lexicon = tuple(terms.items())
 
@@ -281,7 +288,7 @@ def with_features(rows: DataFrame, terms: dict[str, float], keep: list[str]) ->
         take_worker("toxicity")
         automaton = _automaton(lexicon)
         for batch in batches:
-            out = [features(t, automaton) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            out = [features(t, automaton, misspelt) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*keep, "features"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -313,8 +320,12 @@ def fit(labelled: DataFrame) -> Model:
     if not terms:
         rate = n_a / max(1, n_a + n_b)
         return Model({}, [0.0] * len(FEATURES), math.log(rate / (1 - rate)) if 0 < rate < 1 else 40.0 * (2 * rate - 1))
-    table = cut(with_features(rows, terms, ["label"]), "features").withColumn("features", array_to_vector("features"))
-    found = LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-3, maxIter=40).fit(table)
+    # labelled texts spell their terms right; copies of the toxic ones teach what the automaton's near hits are worth
+    copies = with_features(rows.where("label = 1"), terms, ["label"], misspelt=True).withColumn("weight", F.lit(MISSPELT))
+    both = with_features(rows, terms, ["label"]).withColumn("weight", F.lit(1.0)).union(copies)
+    table = cut(both, "features").withColumn("features", array_to_vector("features"))
+    bounds = Matrices.dense(1, len(FEATURES), LEAST_WEIGHTS)
+    found = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1e-3, maxIter=40, lowerBoundsOnCoefficients=bounds).fit(table)
     return Model(terms, [float(w) for w in found.coefficients], float(found.intercept))
 
 

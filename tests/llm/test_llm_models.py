@@ -1,5 +1,6 @@
 """HTML extraction, shards, toxicity and the pipeline on small inputs."""
 
+import time
 import random
 import re
 import zlib
@@ -147,6 +148,30 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_misspelt_toxic_texts_are_toxic(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    marks = labels.selectExpr("doc_id", "toxic as label", "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 as held_out")
+    model = toxicity.fit(toxicity.training_rows(docs, marks.where("not held_out")))
+    known, rng = toxicity.Automaton(model.terms), random.Random(5)
+
+    def misspelt(text):
+        hits = known.hits(set(toxicity._WORD.findall(text.lower())))
+
+        def change(m):
+            word, i = m[0], len(m[0]) // 2
+            return word[:i] + rng.choice("bdgkz") + word[i + 1:] if hits.get(word.lower(), (1, 0))[0] == 0 and len(word) > 4 else word
+
+        return toxicity._WORD.sub(change, text)
+
+    texts = [r.text for r in docs.join(marks.where("held_out and label = 1"), "doc_id").select("text").collect()]
+    rows = [(i, misspelt(t or "")) for i, t in enumerate(texts)] + [(-1, "worthless pathetic idiot"), (-2, "worthles pathetik idiott"), (-3, "a plain clean text")]
+    score = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert sum(score[i] >= 0.7 for i in range(len(texts))) >= 0.6 * len(texts)  # 94 of 144; 14 while near hits weighed against
+    assert score[-1] > 0.9 and score[-2] > 0.9 and score[-3] < 0.1
+    assert all(w >= 0 for n, w in zip(toxicity.FEATURES, model.weights) if n != "quoted")
+
+
 def test_toxicity_without_both_labels(spark):
     rows = spark.createDataFrame([("a", 1), (None, 1)], "text string, label int")
     docs = spark.createDataFrame([(1, "a", 0, "s"), (None, None, 0, "s")], DOCS)
@@ -182,3 +207,18 @@ def test_registered(spark):
     assert "pipeline" in entry.queries() and set(LLM_ORACLES) <= set(entry.oracle_sql())
     law = op5_sharding(spark, SMALL).select("law").distinct().collect()
     assert [r["law"] for r in law] == ["bytes"]
+
+
+def test_pages_nested_and_broken_without_end():
+    from columnary.llm.html_extract import extract
+
+    for tag in ("div", "span"):
+        text = extract(f"<{tag}>" * 5000 + "core of <b>the</b> page<nav>menu</nav>" + f"</{tag}>" * 5000)
+        assert text.split() == "core of the page".split()
+    begun = time.time()
+    assert extract("<p>one</p>" + "<a " * 300_000).startswith("one")
+    extract('<a "' * 200_000 + ">")
+    extract("<p>a</p><!-- " * 50_000)
+    assert time.time() - begun < 20
+    assert extract("<p>one</p><!-- never <p>two</p>") == "one" and extract("<p>one</p> tail <!-- never") == "one\ntail"
+    assert extract("plain < text") == "plain < text"
