@@ -72,6 +72,12 @@ def test_numbers_need_no_renaming_and_every_alignment_is_judged(spark):
     assert kinds_of(spark, [item], texts, inconsistent=True) == want | {(1, 0): "inconsistent"}
 
 
+def test_other_units_are_other_values(spark):
+    item = "we paid 3 euros to the old man at the gate and he gave us 5 kg of ripe pears from his garden"
+    texts = [item, item.replace("euros", "dollars"), item.replace("kg", "lbs").replace("3", "4"), ""]
+    assert kinds_of(spark, [item], texts) == {(0, 0): "verbatim", (1, 0): "reparameterised", (2, 0): "reparameterised"}
+
+
 def test_names_at_sentence_starts_and_reprints(spark):
     item = "Natalia sold clips to 48 of her friends. Natalia then sold half as many"
     other = "That is so because Tom and his old friend went to the large market by the river"
