@@ -29,7 +29,7 @@ def sink(df) -> None:
 def logistic(spark, ds) -> None:
     """Prepare, split and fit the linear model of the benchmark, all rows."""
     p = prepare(ds, "l_returnflag")
-    model = supervised.class_models(p.train_rows, 1, 1, 1)[0][1].setMaxIter(50).fit(p.train)
+    model = supervised.class_models(p.train_rows, len(p.labels), 1, 1, 1)[0][1].setMaxIter(50).fit(p.train)
     sink(metrics.classification_metrics(supervised.scored(p, model)))
     p.release()
 
@@ -37,7 +37,7 @@ def logistic(spark, ds) -> None:
 def forest(spark, ds) -> None:
     """Prepare, split and fit the random forest of the benchmark, all rows."""
     p = prepare(ds, "o_orderstatus")
-    model = supervised.class_models(p.train_rows, 20, 1, 8)[1][1].fit(p.train)
+    model = supervised.class_models(p.train_rows, len(p.labels), 20, 1, 8)[1][1].fit(p.train)
     sink(metrics.classification_metrics(supervised.scored(p, model)))
     p.release()
 

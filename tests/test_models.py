@@ -214,6 +214,14 @@ def test_target_rules_and_blend(spark):
     assert math.isclose(blended.where("column = 'churn'").first().score, t["churn"].score * 0.78 + 0.11, abs_tol=1e-4)
 
 
+def test_class_targets_are_probed(binary):
+    """A text target is fitted for the probe: two classes give balanced accuracy and ROC AUC."""
+    score, reason = probe.probe_target(binary, "y", "classification")
+    assert score > 0.8 and "ROC AUC" in reason
+    probed = {r.column: r for r in targets.target_recommendations(binary).collect()}
+    assert probed["y"].probe_score is not None and any("Quick probe" in r for r in probed["y"].reasons)
+
+
 def test_multiclass_slices_take_the_smallest_label_on_a_tie(spark):
     rows = [(float(i), "g1" if i % 2 else "g2", "ab"[(i // 2) % 2] if i < 80 else "c") for i in range(100)]
     ds = Dataset(spark.createDataFrame(rows, "x double, g string, y string"))
