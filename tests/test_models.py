@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from columnary import Dataset
 from columnary.operators import features, isolation, metrics, probe, sampling, slices, supervised, targets, unsupervised
-from columnary.operators.extra_trees import ExtraTrees
+from columnary.operators.extra_trees import ExtraTrees, Forest
 
 
 @pytest.fixture(scope="module")
@@ -181,6 +181,28 @@ def test_many_classes_join_instead_of_literals(spark):
     assert p.train.select("label").distinct().count() > 900
 
 
+def test_forests_hold_few_trees_at_a_time(spark, monkeypatch):
+    """Groups of trees together are a forest: votes, shares of importance and stored nodes are those of all trees."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    df = spark.range(300).selectExpr("array(id % 7 * 1.0D, id % 2 * 1.0D) AS x", "id % 2 * 1.0D AS label", "1.0D AS weight")
+    df = df.select(array_to_vector("x").alias("features"), "label", "weight")
+    model = dict(supervised.class_models(300, 2, 10, 1, 4))["Random Forest"].fit(df)
+    parts = [RandomForestClassificationModel.load(p) for p in model.paths]
+    assert [m.getNumTrees for m in parts] == [4, 4, 2]
+    made = model.transform(df).collect()
+    x = df.select("features").distinct().collect()
+    for r in x:
+        mean = sum(m.predictRaw(r.features).toArray() for m in parts) / 10
+        assert {tuple(np.round(m.probability.toArray(), 9)) for m in made if m.features == r.features} == {tuple(np.round(mean, 9))}
+    assert all(m.prediction == m.label for m in made) and abs(model.featureImportances.toArray().sum() - 1) < 1e-9
+    held = []
+    monkeypatch.setattr("columnary.operators.extra_trees.Forest.of", lambda nodes, trees, of=Forest.of: held.append(nodes["tree"].nunique()) or of(nodes, trees))
+    extra = ExtraTrees(2, 30, 3, "sqrt", 1).fit(df)
+    assert all(m.prediction == m.label for m in extra.transform(df).collect())
+    assert held == [12, 12, 6]
+
+
 def test_forest_rows_are_drawn_exactly(spark):
     """Above trees x 256 rows every tree gets its rows, whatever the partitioning."""
     rows = lambda n: spark.range(n).selectExpr("shiftrightunsigned(xxhash64(id), 12) AS place", "array(cast(id % 97 AS double), cast(id AS double)) AS x")
