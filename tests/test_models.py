@@ -181,6 +181,18 @@ def test_many_classes_join_instead_of_literals(spark):
     assert p.train.select("label").distinct().count() > 900
 
 
+def test_classes_beyond_the_pin_are_numbered_and_weighted(spark, monkeypatch):
+    """The table of classes is the one made on the driver, and does not pass through it."""
+    ds = Dataset(spark.range(5000).selectExpr("id AS k", "concat('c', id * id % 1009) AS y"), "t", ["k"])
+    sizes = features.class_sizes(ds, ds.rows, "y")
+    want = {r[0]: (r[1], r[2]) for r in supervised.class_table(ds, sorted(sizes), features.class_weights(sizes)).collect()}
+    monkeypatch.setattr("columnary.operators.dataset.PIN_ROWS", 100)
+    counts = features.class_counts(ds, ds.rows, "y")
+    found = {r[0]: (r[1], r[2]) for r in supervised.numbered_classes(counts, features.counted_weights(counts)).collect()}
+    assert len(found) == 505 and found.keys() == want.keys()
+    assert all(found[g][0] == want[g][0] and math.isclose(found[g][1], want[g][1]) for g in want)
+
+
 def test_forests_hold_few_trees_at_a_time(spark, monkeypatch):
     """Groups of trees together are a forest: votes, shares of importance and stored nodes are those of all trees."""
     from pyspark.ml.classification import RandomForestClassificationModel
