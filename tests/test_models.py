@@ -306,3 +306,18 @@ def test_exact_sample_size(spark):
     ds = Dataset(spark.range(3000).toDF("k"), order_by=["k"])
     rows = sampling.sample_rows(ds, ds.rows, 400, {"all": 3000}, F.lit("all"))
     assert rows.count() == 400
+
+
+def test_extra_trees_leave_nothing_sent(spark, monkeypatch):
+    """What tasks were sent for a level or a group of trees is dropped behind it; the driver held all of it before."""
+    import os
+
+    from pyspark import SparkContext
+
+    sent = []
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value, of=SparkContext.broadcast: sent.append(of(self, value)) or sent[-1])
+    df = spark.range(200).selectExpr("array(id % 7 * 1.0D, id * 1.0D) AS x", "id % 2 * 1.0D AS label", "1.0D AS weight")
+    df = df.select(array_to_vector("x").alias("features"), "label", "weight")
+    model = ExtraTrees(2, 3, 4, "sqrt", 1, local_bytes=0).fit(df)
+    assert model.transform(df).count() == 200
+    assert len(sent) > 3 and not any(os.path.exists(b._path) for b in sent)
