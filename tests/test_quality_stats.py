@@ -93,3 +93,32 @@ def test_insights_read_well(flawed):
     assert lines[0].startswith("flawed contains 203 rows across 9 columns")
     assert any("3 duplicate rows" in t for t in lines) and any("Strong correlation detected between" in t for t in lines)
     assert {r.capability: r.available for r in insights.capability_gates(flawed).collect()} == {"unsupervised": True, "supervised": True}
+
+
+def test_rows_of_many_columns_travel_as_digests(spark):
+    """Wide rows are compared by one digest, as their values are: nulls, minus zero, NaN and texts that run on."""
+    from columnary.operators import quality
+
+    names = [f"c{i}" for i in range(8)]
+    rows = [
+        (1, 0.0, "a", "bc", None, True, "x" * 300, "k"), (1, -0.0, "a", "bc", None, True, "x" * 300, "k"),
+        (1, 0.0, "ab", "c", None, True, "x" * 300, "k"), (1, 0.0, "a", None, "bc", True, "x" * 300, "k"),
+        (1, None, "a", "bc", None, True, "x" * 300, "k"), (1, float("nan"), "a", "bc", None, True, "x" * 300, "k"),
+        (1, 0.0, "a", "bc", "", True, "x" * 300, "k"), (1, 0.0, "a", "bc", None, True, "x" * 299, "k"),
+    ]
+    ds = Dataset(spark.createDataFrame(rows, "c0 long, c1 double, c2 string, c3 string, c4 string, c5 boolean, c6 string, c7 string"), "wide", ["c0"])
+    assert quality.row_counts(ds) == (8, 6)
+    assert quality.row_counts(Dataset(ds.source.select(*names[:7]), "narrow", ["c0"])) == (8, 6)
+    assert quality.row_keys(ds)[0]._jc.toString().startswith("unhex(sha2(") and len(quality.row_keys(ds)) == 1
+
+
+def test_numbers_are_not_searched_for_addresses(spark):
+    """Numbers and times hold no address and no link: those patterns are not tried on them, with the same facts."""
+    from columnary.operators import tally
+
+    ds = Dataset(spark.sql("SELECT id, id * 1.5D AS x, timestamp_ntz'2024-01-01 00:00:00' AS t, concat('a', id, '@mail.org') AS m FROM range(30)"), "facts", ["id"])
+    number = [f for f in ds.fields if f.lane == "long"]
+    plan = tally._measured("long", tally.tally(ds, number), number)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?i)" not in plan
+    facts = {r["name"]: r for r in tally.column_facts(ds).collect()}
+    assert [facts[n].email_n for n in ("id", "x", "t", "m")] == [0, 0, 0, 30] and [facts[n].filled_n for n in ("id", "x", "t", "m")] == [30] * 4
