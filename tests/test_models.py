@@ -321,3 +321,11 @@ def test_extra_trees_leave_nothing_sent(spark, monkeypatch):
     model = ExtraTrees(2, 3, 4, "sqrt", 1, local_bytes=0).fit(df)
     assert model.transform(df).count() == 200
     assert len(sent) > 3 and not any(os.path.exists(b._path) for b in sent)
+
+
+def test_scan_parts_are_bounded(spark, monkeypatch):
+    """A task of a scan holds a bounded number of rows, however few parts the table comes in."""
+    monkeypatch.setattr(unsupervised, "PART_ROWS", 20)
+    rows = spark.range(0, 1000, 1, 2).selectExpr("id", "id % 13 * 1.0D AS a", "id % 7 * 2.0D AS b")
+    scan = unsupervised.unsupervised_scan(Dataset(rows, "scan", ["id"], hold=False), 2)
+    assert scan.rows.rdd.getNumPartitions() == 50 and scan.rows.count() == 1000
