@@ -23,12 +23,14 @@ each; an empty table gives an empty one; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,8 +42,8 @@ from .common import cut, ship
 CONSTANT, FEWEST_PAGES = 0.9, 10
 #: Hosts whose wrappers may be broadcast (a wrapper has a few kB), and salts of a host otherwise.
 BROADCAST_HOSTS, SALTS = 2_000, 16
-#: Longest skeleton that is aligned, in nodes; longer ones vary throughout.
-LARGEST = 400
+#: Worths of pairs of subtrees, or of one list of siblings, that are remembered at once; others are found again.
+REMEMBERED = 1_000_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
@@ -240,6 +242,96 @@ def first_alike(shape: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+class _Matcher:
+    """Simple tree matching of two shapes, for siblings of any number.
+
+    Equal subtrees are one ``kind``, so a pair of kinds is matched once. A row of
+    the table of sibling scores is a few array operations; of the table only
+    every ``step``-th row is kept, and the rows between two of them are made again
+    on the way back, so siblings need memory by their number times its root.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.labels: list[str] = []
+        self.inner: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.worths: dict[tuple[int, int], int] = {}
+
+    def kinds(self, nodes: list[tuple[str, list[int]]]) -> list[int]:
+        """The kind of the subtree below every node."""
+        out = [0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            label, inner = nodes[i][0], tuple(out[c] for c in nodes[i][1])
+            out[i] = self.known.setdefault((label, inner), len(self.labels))
+            if out[i] == len(self.labels):
+                self.labels.append(label)
+                self.inner.append(inner)
+                self.sizes.append(1 + sum(self.sizes[k] for k in inner))
+        return out
+
+    def worth(self, u: int, v: int) -> int:
+        """Nodes that a matching of two kinds pairs at most; 0 where their labels differ."""
+        if u == v:
+            return self.sizes[u]
+        if self.labels[u] != self.labels[v]:
+            return 0
+        if not self.inner[u] or not self.inner[v]:
+            return 1
+        if (u, v) not in self.worths:
+            found = 1 + self.siblings(self.inner[u], self.inner[v], False)[0]
+            if len(self.worths) >= REMEMBERED:
+                self.worths.clear()
+            self.worths[u, v] = found
+        return self.worths[u, v]
+
+    def siblings(self, left: tuple[int, ...], right: tuple[int, ...], wanted: bool = True) -> tuple[int, list[tuple[int, int]]]:
+        """Best score of two lists of siblings and, if wanted, the pairs of places that reach it, last ones first."""
+        start = 0  # equal beginnings are always paired
+        while start < min(len(left), len(right)) and left[start] == right[start]:
+            start += 1
+        same = sum(self.sizes[k] for k in left[:start])
+        pairs = [(x, x) for x in range(start - 1, -1, -1)] if wanted else []
+        left, right = left[start:], right[start:]
+        if not left or not right:
+            return same, pairs
+        others, place = np.unique(np.array(right), return_inverse=True)
+        rows: dict[int, np.ndarray] = {}
+
+        def following(before: np.ndarray, u: int) -> np.ndarray:
+            if u not in rows:
+                if len(rows) * len(others) > REMEMBERED:
+                    rows.clear()
+                rows[u] = np.array([self.worth(u, int(v)) for v in others], np.int32)
+            row = np.zeros_like(before)
+            np.maximum.accumulate(np.maximum(before[1:], before[:-1] + rows[u][place]), out=row[1:])
+            return row
+
+        step = math.isqrt(len(left)) + 1
+        kept, row = [], np.zeros(len(right) + 1, np.int32)
+        for x, u in enumerate(left):
+            if wanted and x % step == 0:
+                kept.append(row)
+            row = following(row, u)
+        best = same + int(row[-1])
+        found, y = [], len(right)
+        for strip in range(len(kept) - 1, -1, -1):
+            first = strip * step
+            table = [kept.pop()]
+            for u in left[first : first + step]:
+                table.append(following(table[-1], u))
+            x = len(table) - 1
+            while x and y:
+                if table[x][y] == table[x - 1][y]:
+                    x -= 1
+                elif table[x][y] == table[x][y - 1]:
+                    y -= 1
+                else:
+                    found.append((start + first + x - 1, start + y - 1))
+                    x, y = x - 1, y - 1
+        return best, found + pairs
+
+
 @lru_cache(maxsize=20_000)
 def align(shape: str, wrapper: str) -> tuple[int, ...]:
     """Simple tree matching: the wrapper's slot for every slot of ``shape``, -1 where none.
@@ -249,43 +341,18 @@ def align(shape: str, wrapper: str) -> tuple[int, ...]:
     a, b = _tree(shape), _tree(wrapper)
     if shape == wrapper:
         return tuple(range(len(a)))
+    matcher = _Matcher()
+    of_a, of_b = matcher.kinds(a), matcher.kinds(b)
     out = [-1] * len(a)
-    if len(a) > LARGEST or len(b) > LARGEST:
-        return tuple(out)
-    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def match(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
-        if (i, j) in known:
-            return known[i, j]
-        if a[i][0] != b[j][0]:
-            known[i, j] = (0, [])
-            return known[i, j]
-        left, right = a[i][1], b[j][1]
-        score = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for x, u in enumerate(left, 1):
-            for y, v in enumerate(right, 1):
-                score[x][y] = max(score[x - 1][y], score[x][y - 1], score[x - 1][y - 1] + match(u, v)[0])
-        pairs, x, y = [], len(left), len(right)
-        while x and y:
-            if score[x][y] == score[x - 1][y]:
-                x -= 1
-            elif score[x][y] == score[x][y - 1]:
-                y -= 1
-            else:
-                pairs.append((left[x - 1], right[y - 1]))
-                x, y = x - 1, y - 1
-        known[i, j] = (1 + score[-1][-1], pairs)
-        return known[i, j]
-
-    work = [(0, 0)] if match(0, 0)[0] else []
+    work = [(0, 0)] if a[0][0] == b[0][0] else []
     while work:
         i, j = work.pop()
         out[i] = j
-        pairs = match(i, j)[1]
-        met = {u for u, _ in pairs}
+        pairs = matcher.siblings(matcher.inner[of_a[i]], matcher.inner[of_b[j]])[1]
+        met = {x for x, _ in pairs}
         kinds = {b[v][0]: v for v in reversed(b[j][1])}
-        work.extend(pairs)
-        work.extend((u, kinds[a[u][0]]) for u in a[i][1] if u not in met and a[u][0] in kinds)
+        work.extend((a[i][1][x], b[j][1][y]) for x, y in pairs)
+        work.extend((u, kinds[a[u][0]]) for x, u in enumerate(a[i][1]) if x not in met and a[u][0] in kinds)
     return tuple(out)
 
 

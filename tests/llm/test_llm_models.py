@@ -56,6 +56,55 @@ def test_alignment_is_simple_tree_matching():
     assert hx.align("html(b(d))", "html(a b(c d) e)") == (0, 2, 4)
 
 
+def plain_pairs(left, right):
+    """Score and pairs of two lists of (label, inner) trees by the whole table of scores."""
+    score = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for x, u in enumerate(left, 1):
+        for y, v in enumerate(right, 1):
+            worth = 1 + plain_pairs(u[1], v[1])[0] if u[0] == v[0] else 0
+            score[x][y] = max(score[x - 1][y], score[x][y - 1], score[x - 1][y - 1] + worth)
+    pairs, x, y = [], len(left), len(right)
+    while x and y:
+        if score[x][y] == score[x - 1][y]:
+            x -= 1
+        elif score[x][y] == score[x][y - 1]:
+            y -= 1
+        else:
+            pairs.append((x - 1, y - 1))
+            x, y = x - 1, y - 1
+    return score[-1][-1], pairs
+
+
+def test_siblings_are_matched_as_by_the_whole_table():
+    rng = random.Random(5)
+    kinds = ["p", "h2", "li(p q)", "li(q p)", "li(q)", "li(p(q) q p)"]
+
+    def tree(shape):
+        nodes = hx._tree(f"html({shape})")
+        inner = lambda i: [(nodes[c][0], inner(c)) for c in nodes[i][1]]
+        return inner(0)
+
+    for _ in range(60):
+        one, two = (" ".join(rng.choice(kinds) for _ in range(rng.randint(1, 30))) for _ in range(2))
+        matcher = hx._Matcher()
+        of = [matcher.inner[matcher.kinds(hx._tree(f"html({shape})"))[0]] for shape in (one, two)]
+        assert matcher.siblings(*of) == plain_pairs(tree(one), tree(two))
+
+
+def test_long_pages_are_aligned_like_short_ones(spark):
+    items = " ".join(["h2", "p"] * 1_500)
+    page, wrapper = f"html(x {items} footer)", f"html({items} footer)"
+    assert hx.align(page, wrapper) == (0, -1, *range(1, 3_002))
+    # a template line is one on hosts of long pages too
+    rows = []
+    for i in range(12):
+        body = "".join(f"<h2>Head {i}.{k}</h2><p>Body {i}.{k}</p>" for k in range(300))
+        rows.append((i, f"https://long.example/{i}", f"<div><h3>Read our other stories</h3>{'<ul><li>more</li></ul>' if i % 2 else ''}{body}</div>"))
+    got = hx.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 12 and not any("other stories" in r["text"] for r in got)
+    assert all(r["text"].count("Body") == 300 for r in got)
+
+
 def test_pages_match_their_articles(spark):
     rows = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html").collect()
     got = {r["page_id"]: r["text"] for r in LLM_QUERIES["op1_html_text"](spark, SMALL).collect()}
