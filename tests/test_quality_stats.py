@@ -122,3 +122,48 @@ def test_numbers_are_not_searched_for_addresses(spark):
     assert "(?i)" not in plan
     facts = {r["name"]: r for r in tally.column_facts(ds).collect()}
     assert [facts[n].email_n for n in ("id", "x", "t", "m")] == [0, 0, 0, 30] and [facts[n].filled_n for n in ("id", "x", "t", "m")] == [30] * 4
+
+
+def test_wide_tables_take_several_compiled_passes(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from columnary.operators import stats
+    from columnary.session import COMPILED_METHOD, compiled_methods
+
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(400, 21)) * np.arange(1, 22)
+    values[:, 5] = 7.0
+    rows = [(i, *[None if (i + j) % 9 == 0 else float(v) for j, v in enumerate(r)]) for i, r in enumerate(values)]
+    names = [f"v{j}" for j in range(21)]
+    ds = Dataset(spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names)), order_by=["id"])
+    passes, multiplied, agg = [], [], DataFrame.agg
+
+    def counted(self, *exprs):
+        passes.append(len(exprs))
+        return agg(self, *exprs)
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "agg", counted)
+        found = stats.moments(ds, names)
+    assert max(passes) <= 6 * stats.MOMENT_COLUMNS < 6 * len(names)
+    for j, n in enumerate(names):
+        here = np.array([r[j + 1] for r in rows if r[j + 1] is not None])
+        assert found[n]["count"] == len(here) and (found[n]["min"], found[n]["max"]) == (here.min(), here.max())
+        assert np.allclose((found[n]["mean"], found[n]["std"]), (here.mean(), here.std()))
+
+    def seen(frame):
+        multiplied.append(spark.conf.get(limit))
+        return pinned(frame)
+
+    before, pinned = spark.conf.get(limit), stats.pin
+    with monkeypatch.context() as m:
+        m.setattr(stats, "pin", seen)
+        found = stats.pair_correlations(ds, names).collect()
+    assert len(found) == 21 * 20 // 2 and multiplied == [str(COMPILED_METHOD)]
+    assert spark.conf.get(limit) == before
+    try:
+        with compiled_methods(spark):
+            raise ValueError
+    except ValueError:
+        assert spark.conf.get(limit) == before
