@@ -329,3 +329,23 @@ def test_scan_parts_are_bounded(spark, monkeypatch):
     rows = spark.range(0, 1000, 1, 2).selectExpr("id", "id % 13 * 1.0D AS a", "id % 7 * 2.0D AS b")
     scan = unsupervised.unsupervised_scan(Dataset(rows, "scan", ["id"], hold=False), 2)
     assert scan.rows.rdd.getNumPartitions() == 50 and scan.rows.count() == 1000
+
+
+def test_forests_give_back_the_drivers_heap(spark):
+    """The garbage of one group of trees is gone before the next is fitted, sent or read."""
+    from columnary.operators import extra_trees
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def whole() -> int:
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    df = spark.range(60).selectExpr("array(id % 7 * 1.0D, id % 2 * 1.0D) AS x", "id % 2 * 1.0D AS label", "1.0D AS weight")
+    df = df.select(array_to_vector("x").alias("features"), "label", "weight")
+    before = whole()
+    model = dict(supervised.class_models(60, 2, 8, 1, 2))["Random Forest"].fit(df)
+    fitted = whole()
+    model.transform(df)
+    read = whole()
+    extra_trees.ExtraTrees(2, 13, 2, "sqrt", 1).fit(df).transform(df)
+    assert fitted - before >= 2 and read - fitted >= 2 and whole() - read >= 2
