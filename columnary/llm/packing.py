@@ -12,6 +12,7 @@ empty one; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -29,23 +30,56 @@ END_ID = 1
 GROUP_DOCS = 1024
 #: Chunks of a cache generation; a Python worker keeps at most two generations.
 GENERATION = 1_000_000
-#: Characters encoded together.
-STEP_CHARS = 1_000_000
-#: Chunks given to the tokenizer at once.
-ENCODE = 16_384
-
-_LOADED: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
+#: Texts with other signs than these are encoded chunk by chunk: these are kept by the
+#: normalizer, apart from their case, and each is a letter, a digit, a space or none of them, whatever stands beside it.
+_OTHER = re.compile("[^\x00-\x7f¡«»¿À-ÖØ-öø-ÿ–—‘’“”…€]")
+_WORD = re.compile("[a-zß-öø-ÿ]+")
+#: What this tokenizer's pattern cuts a lower-case text of those signs into.
+_TOKENS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9ß-öø-ÿ \t-\r]+")
+
+_LOADED: dict[str, _Chunks] = {}
 keeps("packing", _LOADED.clear)
 
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
+class _Chunks(dict):
+    """Ids of chunks of texts as bytes; a chunk not met yet is encoded when it is asked for.
+
+    When the young generation is full it becomes the old one, and chunks still
+    in use move back: the cache is bounded and keeps what repeats.
+    """
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), [{}, {}])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.word, self.old = self.tokenizer.model.tokenize, {}
+        # letters as the model knows them
+        self.spelt = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if _WORD.match(c)}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            core, tail = _core(chunk)
+            if tail:
+                ids = self[core] + self[tail]
+            elif _WORD.fullmatch(core):  # one word to the model
+                ids = array("I", [t.id for t in self.word(core if core.isascii() else core.translate(self.spelt))]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def renew(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
+def _chunks(path: str) -> _Chunks:
+    if path not in _LOADED:
+        _LOADED[path] = _Chunks(path)
     return _LOADED[path]
 
 
@@ -59,41 +93,22 @@ def _core(chunk: str) -> tuple[str, str]:
     return (core.lower() if core.isascii() and core.isalpha() else core), tail
 
 
-def _encoded(texts: list[str | None], path: str, cache: int = GENERATION) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without the end id.
+def _split(body: str) -> list[str]:
+    """Parts whose ids follow each other: tokens before the model sees them, or chunks between spaces and
+    line feeds, which separate tokens in this tokenizer and leave none."""
+    # special tokens are told by case, all other signs of these are not
+    if "<|" in body or not body.isascii() and _OTHER.search(body):
+        return body.replace("\n", " ").split(" ")
+    return _TOKENS.findall(body.lower())
 
-    Spaces and line feeds separate tokens in this tokenizer and leave none, so
-    a text's ids are those of its chunks between them; chunks repeat and are
-    encoded once. When the young generation is full it becomes the old one, and
-    chunks still in use move back: the cache is bounded and keeps what repeats.
-    """
-    tokenizer, generations = _tokenizer(path)
-    step, held = [], 0
-    for i, text in enumerate(texts):
-        body = text or ""
-        # special tokens are told by case, all other ASCII is not
-        if body.isascii() and "<|" not in body:
-            body = body.lower()
-        step.append(body.replace("\n", " ").split(" "))
-        held += len(text or "")
-        if held < STEP_CHARS and i + 1 < len(texts):
-            continue
-        if len(generations[0]) > cache:
-            generations[:] = [{}, generations[0]]
-        young, old = generations
-        missing = set().union(*step).difference(young)
-        fresh = {c: _core(c) for c in missing if c not in old}
-        young.update((c, old[c]) for c in missing if c in old)
-        parts = {core for core, _ in fresh.values()}.union(tail for _, tail in fresh.values()).difference(young)
-        young.update((p, old[p]) for p in parts if p in old)
-        unknown = [p for p in parts if p not in old]
-        for k in range(0, len(unknown), ENCODE):  # what the library returns is large
-            part = unknown[k:k + ENCODE]
-            young.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        young.update((c, young[core] + young[tail]) for c, (core, tail) in fresh.items())
-        for chunks in step:
-            yield b"".join(map(young.__getitem__, chunks))
-        step, held = [], 0
+
+def _encoded(texts: list[str | None], path: str, cache: int = GENERATION) -> Iterator[bytes]:
+    """Little-endian unsigned 32-bit ids of each text, without the end id; chunks repeat and are encoded once."""
+    known = _chunks(path)
+    for text in texts:
+        if len(known) > cache:
+            known.renew()
+        yield b"".join(map(known.__getitem__, _split(text or "")))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", cache: int = GENERATION) -> DataFrame:

@@ -138,3 +138,20 @@ def test_hashes_of_the_chat_query(spark):
     found = chat_rows(spark, [(-7, 0, "user", text, None), (-7, 1, "assistant", text, None)])[-7]
     joined = "".join(f"{t['role']}\n{t['text']}\n" for t in found["turns"])
     assert hashlib.sha256(joined.encode()).hexdigest() == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_packing_meets_each_word_once():
+    """Words with marks, in capitals or with accents cost the tokenizer one word; ids are those of the whole text."""
+    from columnary.llm.queries import tokenizer_path
+
+    path = tokenizer_path()
+    packing._LOADED.clear()
+    words = ["Été", "été,", "ÉTÉ***", "(été)", "it's", "IT'S.", "1,200.5", "—été…", "--'s", "été.", "İ.", "漢字。", "\x1c.", "\t.", "<|endoftext|>", "x.,"]
+    texts = [None, "", " ".join(words[:4]), *words, "".join(words), "\n".join(words), " ".join(words[:9])]
+    plain = packing._chunks(path).tokenizer
+    for text, ids in zip(texts, packing._encoded(texts, path)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+    packing._LOADED.clear()
+    list(packing._encoded([" ".join(words[:4])], path))
+    assert set(packing._chunks(path)) == {"été", ",", "***", "(", ")"}
+    assert [list(packing._encoded([w], path, cache=2)) for w in words] == [list(packing._encoded([w], path)) for w in words]
