@@ -8,7 +8,9 @@ filters of three orders have to agree before full sets are compared:
 
 1. Equal sets are one class. Two hashed orders give each class a prefix with
    l = 1 + n / 20; a class stays only if enough of its first prefix occurs in the
-   first prefixes of other classes.
+   first prefixes of other classes. Among those that stay the same is asked of a
+   longer prefix of the second order, l = 1 + n / 8: it tells classes with half of
+   their shingles in other texts from those with nine tenths.
 2. The third order is by rising number of classes that hold a shingle, counted
    over the classes left. Passages that many texts share come last in it and
    make no pairs; shingles of one class alone only use up places of its prefix.
@@ -46,6 +48,8 @@ from .shingles import chunks, mix, shingle_set
 WIDTH = 3
 #: One salt per hashed global order.
 ORDERS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Prefixes are made for one common shingle and one more for every so many of a set.
+SHORT, LONGER = 20, 8
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -57,10 +61,10 @@ def _least_overlap(n: int) -> int:
     return (9 * n + 9) // 10
 
 
-def hashed_prefix(s: np.ndarray, salt: int) -> np.ndarray:
+def hashed_prefix(s: np.ndarray, salt: int, every: int = SHORT) -> np.ndarray:
     """The first shingles of a set in the order of their salted hashes."""
     n = len(s)
-    m = n - _least_overlap(n) + 1 + n // 20
+    m = n - _least_overlap(n) + 1 + n // every
     return np.sort(mix(s ^ np.uint64(salt)))[:m]
 
 
@@ -87,17 +91,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind}, n_shingles long, class_key binary, first array<long>")
 
 
-def _met(classes: DataFrame) -> DataFrame:
-    """Ids of the classes whose first prefix has enough shingles of other first prefixes."""
-    places = classes.select("cid", "n", F.explode("first").alias("token"))
+def _met(classes: DataFrame, prefix: str = "first", every: int = SHORT) -> DataFrame:
+    """Ids of the classes whose prefix has enough shingles of the prefixes of other classes."""
+    places = classes.select("cid", "n", F.explode(prefix).alias("token"))
     shared = places.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
     found = places.join(shared, "token").groupBy("cid", "n").agg(F.count(F.lit(1)).alias("found"))
-    # a linked class has at least 0.9 n shingles, so its prefix gives l = 1 + 0.9 n / 20 at least
-    return found.where(F.col("found") >= 1 + F.floor(9 * F.col("n") / 200)).select("cid")
+    # a linked class has at least 0.9 n shingles, so its prefix gives l = 1 + 0.9 n / every at least
+    return found.where(F.col("found") >= 1 + F.floor(9 * F.col("n") / (10 * every))).select("cid")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cid, text, n, first, second``: one text of each wanted class, its set size and hashed prefixes."""
+    """``cid, text, n, first, second, longer``: one text of each wanted class, its set size and hashed prefixes."""
     chosen = classes.join(wanted, "cid", "left_semi").select("cid", "class_key", F.col("rep").alias("chosen"))
     ids = chosen.select("chosen").distinct()
     # ids are of fixed size where numeric: their number bounds a broadcast, and texts are filtered in place
@@ -120,12 +124,12 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 sets = [shingle_set(t, WIDTH) for t in texts[a:b]]
-                prefixes = [_lists([hashed_prefix(s, salt) for s in sets]) for salt in ORDERS]
+                prefixes = [_lists([hashed_prefix(s, salt, every) for s in sets]) for salt, every in (*zip(ORDERS, (SHORT, SHORT)), (ORDERS[1], LONGER))]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *prefixes,
-                ], names=["cid", "text", "n", "first", "second"])
+                ], names=["cid", "text", "n", "first", "second", "longer"])
 
-    return one.mapInArrow(orders, "cid long, text string, n long, first array<long>, second array<long>")
+    return one.mapInArrow(orders, "cid long, text string, n long, first array<long>, second array<long>, longer array<long>")
 
 
 def rarest_first(texts: DataFrame) -> DataFrame:
@@ -228,7 +232,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # written once, so the numbers hold in every later use
     classes = cut(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     texts = cut(_texts(docs, classes, cut(_met(classes), "met")), "texts")
-    prefix = cut(rarest_first(texts), "prefixes")
+    near = broadcast_if_small(cut(_met(texts, "longer", LONGER), "met"), BROADCAST_IDS)
+    prefix = cut(rarest_first(texts.join(near, "cid", "left_semi")), "prefixes")
     star = cut(_star(prefix), "pairs")
     links = cut(_linked(_agreed(star, texts), texts), "links")
     labels = components(links)

@@ -123,3 +123,30 @@ def test_join_of_a_large_group_near_the_threshold(spark):
             text[rng.randrange(200)] = f"own{rng.randrange(500)}"
         docs.append((i, " ".join(text)))
     assert joined(spark, docs) == plain_join(docs)
+
+
+def test_join_drops_half_shared_texts_before_their_shingles_are_listed(spark):
+    """Texts that have half of their shingles in common go by the longer prefix; linked ones stay, of any size."""
+    import numpy as np
+
+    rng = random.Random(5)
+
+    def words(k: int) -> list[str]:
+        return [f"w{rng.randrange(10**9)}" for _ in range(k)]
+
+    pool = [words(40) for _ in range(4)]
+    half = [[*sum((w for piece in rng.sample(pool, 2) for w in (words(45), piece)), []), *words(10)] for _ in range(40)]
+    near = []
+    for size in (3, 12, 40, 41, 97, 200, 333):
+        base = words(size)
+        near += [base, [*base[: size - size // 25], *words(size // 25)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*half, *near])]
+    sets = [jaccard_join.shingle_set(t, jaccard_join.WIDTH) for _, t in rows]
+    lists = [(i, len(s), *[jaccard_join.hashed_prefix(s, jaccard_join.ORDERS[1], e).view(np.int64).tolist() for e in (20, 8)]) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(lists, "cid long, n long, short array<long>, longer array<long>")
+    linked = {i for i, s in enumerate(sets) for j, o in enumerate(sets) if i != j and 100 * len(np.intersect1d(s, o)) >= 90 * len(np.union1d(s, o))}
+    short, longer = ({r.cid for r in jaccard_join._met(classes, *how).collect()} for how in (("short",), ("longer", 8)))
+    assert len(linked) >= 8 and linked <= longer and linked <= short
+    assert sum(i < 40 for i in longer) < sum(i < 40 for i in short) / 2
+    found = dict(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect())
+    assert {i for i in found if list(found.values()).count(found[i]) > 1} == linked
