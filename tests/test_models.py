@@ -215,6 +215,54 @@ def test_forests_hold_few_trees_at_a_time(spark, monkeypatch):
     assert held == [12, 12, 6]
 
 
+def test_groups_of_small_trees_are_in_work_together(spark, monkeypatch):
+    """Two groups are fitted at a time where their trees are small, one where they may be large; the forest is the same."""
+    from threading import Barrier, BrokenBarrierError
+
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from columnary.operators import forests
+
+    df = spark.range(300).selectExpr("array(id % 7 * 1.0D, id % 11 * 1.0D) AS x", "id % 2 * 1.0D AS label", "1.0D AS weight")
+    df = df.select(array_to_vector("x").alias("features"), "label", "weight").coalesce(3).persist()
+    fit, made = RandomForestClassifier.fit, []
+    for bound, seconds in ((forests.HELD_NODES, 120), (1, 1)):
+        met, gate = [], Barrier(2)
+
+        def waits(self, rows, own, met=met, gate=gate, seconds=seconds):
+            try:
+                gate.wait(seconds)
+                met.append(True)
+            except BrokenBarrierError:
+                met.append(False)
+            return fit(self, rows, own)
+
+        monkeypatch.setattr(forests, "HELD_NODES", bound)
+        monkeypatch.setattr(RandomForestClassifier, "fit", waits)
+        model = dict(supervised.class_models(300, 2, 8, 1, 4))["Random Forest"].fit(df)
+        assert met == [bound > 1] * 2
+        scores = sorted((tuple(r.features), r.label, tuple(r.probability)) for r in model.transform(df).collect())
+        made.append((tuple(model.featureImportances), scores))
+    assert made[0] == made[1]
+    assert forests.batches([3, 3, 9, 1, 1, 1], 6, 2) == [range(0, 2), range(2, 3), range(3, 5), range(5, 6)]
+
+
+def test_extra_trees_score_together_where_they_are_small(spark, monkeypatch):
+    """One function holds all groups of small trees; held apart they say the same."""
+    from columnary.operators import extra_trees
+
+    df = spark.range(200).selectExpr("array(id % 7 * 1.0D, id * 1.0D) AS x", "id % 13 * 1.0D AS label", "1.0D AS weight")
+    df = df.select(array_to_vector("x").alias("features"), "label", "weight").persist()
+    model, made = ExtraTrees(0, 30, 6, 0.9, 1).fit(df), []
+    for bound, times in ((extra_trees.SCORED_NODES, 1), (1, 3)):
+        monkeypatch.setattr(extra_trees, "SCORED_NODES", bound)
+        sent = []
+        monkeypatch.setattr(extra_trees, "collect_garbage", sent.append)
+        made.append(sorted((tuple(r.features), r.prediction) for r in model.transform(df).collect()))
+        assert len(sent) == times
+    assert [x for x, _ in made[0]] == [x for x, _ in made[1]] and np.allclose([v for _, v in made[0]], [v for _, v in made[1]], rtol=1e-12)
+
+
 def test_forest_rows_are_drawn_exactly(spark):
     """Above trees x 256 rows every tree gets its rows, whatever the partitioning."""
     rows = lambda n: spark.range(n).selectExpr("shiftrightunsigned(xxhash64(id), 12) AS place", "array(cast(id % 97 AS double), cast(id AS double)) AS x")
