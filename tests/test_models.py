@@ -278,6 +278,20 @@ def test_forest_rows_are_drawn_exactly(spark):
         assert drawn.groupBy("tree").count().where(f"count = {size}").count() == 80
 
 
+def test_scan_keeps_vectors_once_in_small_parts(spark, monkeypatch):
+    """What a scan keeps holds each vector once; parts of a large table are small, and all rows are scored."""
+    from pyspark.ml.clustering import KMeans
+
+    kept, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: kept.append(rows) or fit(self, rows))
+    assert unsupervised.PART_ROWS <= 200_000
+    monkeypatch.setattr(unsupervised, "PART_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id AS k", "id % 7 * 1.0D AS a", "id % 11 * 1.0D AS b")
+    scan = unsupervised.unsupervised_scan(Dataset(rows, "t", ["k"], hold=False), 3)
+    assert sorted(kept[0].columns) == ["features", "key_0", "place", "record"]
+    assert scan.rows.count() == 1000 and scan.rows.rdd.getNumPartitions() == 20
+
+
 def test_class_never_predicted_has_zero_precision(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a"), ("b", "b")], "actual string, prediction string")
     m = metrics.classification_metrics(df).first()
